@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from timberline.llm import mixing
+from timberline.llm import exact, mixing, packing
 
 QUERIES = {
+    "op5_pack": packing.op5_pack,
     "op7_mix": mixing.op7_mix,
+    "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 ORACLES = {
     "op7_mix": mixing.SQL,
+    "op10_exact_dedup": exact.SQL,
 }
