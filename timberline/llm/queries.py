@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from timberline.llm import exact, mixing, packing
+from timberline.llm import counting, exact, merkle, mixing, packing, secrets
 
 QUERIES = {
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_pack": packing.op5_pack,
+    "op6_fingerprint": merkle.op6_fingerprint,
     "op7_mix": mixing.op7_mix,
+    "op9_token_count": counting.op9_token_count,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
