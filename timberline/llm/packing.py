@@ -6,11 +6,11 @@ bounded number of pieces. Each group is packed in one task, so that no task grow
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table, written
+from timberline.llm.hashing import Multilinear, Numbering
 
 LENGTH = 4096
 END = 1
 #: Pieces in a group, on average.
 GROUP = 20_000
 #: Distinct words that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Code points that are cut at white space and handled at once.
 BLOCK = 1 << 20
 
@@ -39,30 +40,44 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _class(*kinds: str) -> str:
-    """The characters below U+0180 of these general categories, for a regex class."""
-    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] in kinds)
-
-
-_SPACE = r"\t-\r\x85" + _class("Z")
-#: The vocabulary's own splitting rule, spelled out for code points below U+0180.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L', 'N')}]+")
 #: Outside of these, normalisation and lower case need the library itself.
-_PLAIN = re.compile(r"[\x00-įı-ſ]*")
+_PLAIN = re.compile(r"[\x00-\u012f\u0131-\u017f]*")
 _BREAK = re.compile(r"[ \t-\r]")
+_LETTER, _NUMBER, _OTHER, _SPACE = range(4)
+
 
+def _kinds() -> np.ndarray:
+    """Kinds of the code points below U+0180, by their general category."""
+    out = np.full(0x180, _OTHER, np.uint8)
+    for c in range(0x180):
+        category = unicodedata.category(chr(c))[0]
+        out[c] = _SPACE if category == "Z" or c in (9, 10, 11, 12, 13, 0x85) else {"L": _LETTER, "N": _NUMBER}.get(category, _OTHER)
+    return out
 
-class _Numbers(dict):
-    """Words numbered as they come; those new since the last look are in ``new``."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+_KINDS = _kinds()
+_BLANK = "".join(chr(c) for c in np.flatnonzero(_KINDS == _SPACE))
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
+
+def word_starts(points: np.ndarray) -> np.ndarray:
+    """Whether the vocabulary's splitting rule starts a word at each place of a lower-case plain text.
+
+    Words are runs of letters, single numbers, runs of other characters, and 's 't 'm 'd 're 've 'll.
+    """
+    kinds = _KINDS[points]
+    before = np.concatenate([[_SPACE], kinds[:-1]])
+    starts = (kinds != _SPACE) & ((kinds != before) | (kinds == _NUMBER))
+    quote = np.flatnonzero((points == 39) & (before != _OTHER))
+    if len(quote):
+        far = np.concatenate([points, np.zeros(3, points.dtype)])
+        one, two = far[quote + 1], far[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        starts[quote[short | long] + 1] = False
+        ends = np.concatenate([quote[short] + 2, quote[long] + 3])
+        ends = ends[ends < len(points)]
+        starts[ends[kinds[ends] != _SPACE]] = True
+    return starts
 
 
 def _grown(old: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -74,7 +89,7 @@ def _grown(old: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Token ids as the library gives them; the ids of a word are looked up once.
+    """Token ids as the library gives them; the ids of a word are looked up once, by its 64-bit hash.
 
     The vocabulary's pre-tokenizer drops white space and its merges never cross a word, so a text's ids are
     those of its words in a row. Texts with code points from U+0180 on, with U+0130, or with a special token's
@@ -82,43 +97,61 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.last = np.zeros(self.library.get_vocab_size(), bool)  # ids that end a word
+        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.hash = Multilinear(0x180)
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.known, self.used = _Numbers(), 0, 0
+        self.numbers, self.used = Numbering(), 0
         self.count, self.begin, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
-    def _learn(self) -> None:
-        """Look up the words that are new."""
-        new, self.numbers.new = self.numbers.new, []
-        for low in range(0, len(new), 20_000):
-            found = [e.ids for e in self.library.encode_batch(new[low : low + 20_000], add_special_tokens=False)]
-            counts = np.array([len(f) for f in found], np.int32)
-            self.begin = _grown(self.begin, self.known, self.used + np.cumsum(counts, dtype=np.int64) - counts)
-            self.count = _grown(self.count, self.known, counts)
-            self.flat = _grown(self.flat, self.used, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())))
-            self.known, self.used = self.known + len(found), self.used + int(counts.sum())
-
-    def _gather(self, blocks: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each block of words."""
-        sizes = np.array([len(b) for b in blocks])
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(blocks)), np.int64, int(sizes.sum()))
-        self._learn()
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Ask the library for new words, some hundred of them in a line; each ends with an id of its own kind."""
+        lines = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        for low in range(0, len(lines), 100):
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch(lines[low : low + 100], add_special_tokens=False)])
+            counts = np.diff(np.flatnonzero(self.last[ids]), prepend=-1).astype(np.int32)
+            part = keys[low * 200 : (low + 100) * 200]
+            if len(counts) != len(part):
+                raise ValueError("the vocabulary does not end each word with an id of its own kind")
+            known = self.numbers.used
+            self.numbers.add(part)
+            self.begin = _grown(self.begin, known, self.used + np.cumsum(counts, dtype=np.int64) - counts)
+            self.count = _grown(self.count, known, counts)
+            self.flat = _grown(self.flat, self.used, ids)
+            self.used += len(ids)
+
+    def _gather(self, blocks: list[str]) -> list[np.ndarray]:
+        """The ids of each block of lower-case plain text."""
+        text = "\n".join(blocks)
+        points = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        starts = np.flatnonzero(word_starts(points))
+        keys = self.hash.hashes(points, starts, _KINDS[points] == _SPACE)
+        at = self.numbers.find(keys)
+        if (at < 0).any():
+            new, first = np.unique(keys[at < 0], return_index=True)
+            places = np.flatnonzero(at < 0)[first]
+            ends = np.append(starts, len(text))[places + 1]
+            self._learn(new, [text[a:b].strip(_BLANK) for a, b in zip(starts[places].tolist(), ends.tolist(), strict=True)])
+            at = self.numbers.find(keys)
         n = self.count[at]
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         ids = self.flat[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])]
-        if len(self.numbers) > REMEMBERED:
+        if self.numbers.used > REMEMBERED:
             self.forget()
-        return np.split(ids, ends[np.cumsum(sizes)[:-1]])
+        borders = np.cumsum([len(b) + 1 for b in blocks[:-1]])
+        return np.split(ids, ends[np.searchsorted(starts, borders)])
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         owners: list[int] = []
-        blocks: list[list[str]] = []
+        blocks: list[str] = []
         queued = 0
 
         def flush() -> None:
@@ -135,11 +168,10 @@ class WordTokenizer:
             while at < len(text):
                 m = _BREAK.search(text, at + BLOCK) if len(text) - at > BLOCK else None
                 end = m.start() if m else len(text)
-                words = _WORDS.findall(text, at, end)
                 owners.append(i)
-                blocks.append(words)
-                queued, at = queued + len(words), end
-                if queued > 400_000:
+                blocks.append(text[at:end])
+                queued, at = queued + end - at, end
+                if queued > BLOCK:
                     flush()
                     queued = 0
         flush()
