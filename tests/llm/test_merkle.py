@@ -54,5 +54,6 @@ def test_documents(spark):
 def test_branches_locate_edits(spark):
     a, b = "A b. C d.\nE f.\n\nG h.\nI j.", "A b. C d.\nE f.\n\nG X.\nI j."
     df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(merkle.F.col("a")).alias("a"), merkle.fingerprint(merkle.F.col("b")).alias("b"))
-    assert df.select(merkle.differing(merkle.F.col("a"), merkle.F.col("b"))).first()[0] == [3]
+    both = df.select(merkle.paragraphs(merkle.F.col("a")).alias("x"), merkle.paragraphs(merkle.F.col("b")).alias("y"))
+    assert both.select(merkle.differing(merkle.F.col("x"), merkle.F.col("y"))).first()[0] == [3]
     assert df.select(merkle.likeness(merkle.F.col("a"), merkle.F.col("b"))).first()[0] == 0.8

@@ -7,6 +7,8 @@ separators are fixed, so equal roots mean equal texts. A fingerprint writes the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,31 +35,37 @@ def fingerprint(text: Column) -> Column:
     return F.transform(F.array(tree), lambda t: F.concat(_hash(t, ROOT), F.lit(":"), t))[0]
 
 
-def _leaves(print_: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit(rf"\b[0-9a-f]{{{LEAF}}}\b"), F.lit(0)))
+def leaves(print_: Column) -> Column:
+    """The distinct leaves of a fingerprint: its shortest hashes."""
+    return F.array_distinct(F.filter(F.split(print_, "[^0-9a-f]+"), lambda h: F.length(h) == LEAF))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, a_leaves: Column | None = None, b_leaves: Column | None = None) -> Column:
     """Share of distinct leaves that two fingerprints have in common (Dice), 1 for equal ones."""
-    x, y = _leaves(a), _leaves(b)
+    x, y = (leaves(a) if a_leaves is None else a_leaves), (leaves(b) if b_leaves is None else b_leaves)
     return F.when(a == b, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: places (from 1) of the paragraphs of ``a`` whose branch ``b`` does not have."""
-    inner = rf"([0-9a-f]{{{NODE}}})\("
-    mine, theirs = F.regexp_extract_all(a, F.lit(inner), F.lit(1)), F.regexp_extract_all(b, F.lit(inner), F.lit(1))
-    gone = F.array_except(mine, theirs)
-    numbered = F.transform(mine, lambda p, i: F.when(F.array_contains(gone, p), i + 1))
-    return F.when(a == b, F.array().cast("array<int>")).otherwise(F.array_compact(numbered))
+def paragraphs(print_: Column) -> Column:
+    """The hashes of a fingerprint's paragraphs, in order."""
+    return F.regexp_extract_all(print_, F.lit(rf"([0-9a-f]{{{NODE}}})\("), F.lit(1))
+
 
+def differing(mine: Column, theirs: Column) -> Column:
+    """Where two texts differ, from their ``paragraphs``: first places (from 1) of those that only ``mine`` has.
+
+    The arguments must be columns, not expressions: they are looked at once for each paragraph found.
+    """
+    return F.array_sort(F.transform(F.array_except(mine, theirs), lambda p: F.array_position(mine, p).cast("int")))
 
-def with_next(docs: DataFrame, columns: list[str], rows: int = ROWS) -> DataFrame:
+
+def with_next(docs: DataFrame, columns: list[str], rows: int = ROWS, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next row by descending doc_id; the first row follows the last.
 
     Ids are counted in up to ``CELLS`` equal cells, and neighbouring cells joined to ranges of about ``rows``
     rows. Each range is ordered by itself; the head of the range below is dealt to it as well, as a guard.
-    Rows with one doc_id are ordered by ``columns``; null ids come last.
+    Rows with one doc_id are ordered by ``columns``; null ids come last. ``made`` may add columns once the rows
+    are dealt, so that these need not move.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("_pos", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
@@ -74,13 +82,12 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = ROWS) -> DataFram
     cells = [(c, i, head, (i - 1) % len(ranges)) for i, (head, _, held) in enumerate(ranges) for c in held]
     known = F.broadcast(spark.createDataFrame(cells, "_cell int, _range int, _head long, _above int"))
     placed = docs.withColumn("_cell", cell).join(known, "_cell")
-    own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guard"))
-    guard = F.struct(F.col("_above").alias("range"), F.lit(True).alias("guard"))
-    dealt = placed.withColumn("_to", F.explode(F.when(F.col("_pos") == F.col("_head"), F.array(own, guard)).otherwise(F.array(own))))
-    order = Window.partitionBy("_to.range").orderBy("_to.guard", F.desc("_pos"), *columns)
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where("not _to.guard").drop("_pos", "_cell", "_range", "_head", "_above", "_to")
+    to = F.when(F.col("_pos") == F.col("_head"), F.array("_range", "_above")).otherwise(F.array("_range"))
+    dealt = placed.select(*docs.columns, F.posexplode(to).alias("_guard", "_to")).repartition("_to")
+    dealt = made(dealt) if made else dealt
+    order = Window.partitionBy("_to").orderBy("_guard", F.desc("_pos"), *columns)
+    found = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return found.where("_guard = 0").drop("_pos", "_guard", "_to")
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -91,14 +98,21 @@ def compare(docs: DataFrame) -> DataFrame:
     an empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    printed = docs.withColumn("fingerprint", fingerprint(F.col("text")))
-    pairs = with_next(printed, ["text", "fingerprint"]).withColumn("n_chars", F.length("text").cast("long"))
+    pairs = with_next(docs, ["text", "fingerprint"], made=lambda d: d.withColumn("fingerprint", fingerprint(F.col("text"))))
+    pairs = pairs.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
-    pairs = pairs.withColumn("edited", edited)
-    pairs = pairs.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    one, other = F.col("fingerprint"), F.col("edited_fingerprint")
-    return pairs.select("doc_id", "n_chars", "edited_sha256", one, other, likeness(one, other).alias("near_edited"), likeness(one, F.col("next_fingerprint")).alias("near_next"), differing(one, other).alias("changed"))
+    pairs = pairs.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", edited.alias("edited"))
+    pairs = pairs.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
+        pairs = pairs.withColumn(f"_{name}", leaves(F.col(name)))
+    pairs = pairs.withColumn("_mine", paragraphs(F.col("fingerprint"))).withColumn("_theirs", paragraphs(F.col("edited_fingerprint")))
+
+    def near(other: str) -> Column:
+        return likeness(F.col("fingerprint"), F.col(other), F.col("_fingerprint"), F.col(f"_{other}"))
+
+    changed = differing(F.col("_mine"), F.col("_theirs"))
+    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"), changed.alias("changed"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
