@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from timberline.llm import counting, exact, langid, merkle, minhash, mixing, packing, secrets
+from timberline.llm import counting, exact, langid, merkle, minhash, mixing, packing, secrets, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_pack": packing.op5_pack,
