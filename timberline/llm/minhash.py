@@ -8,13 +8,14 @@ Sets with a Jaccard similarity of 0.8 exceed it with a probability near 1e-5.
 Documents with one shingle set are one class from the start. Under a key the classes are tied to one hub, never
 to each other; each tie is confirmed on the full sets, best ties first, and only ties between components that are
 still apart are looked at further. At last, keys that still hold several components are searched in blocks for
-pairs across components, so no link between components is lost.
+likely pairs across components; what these connect is compared block by block, and only links that join components
+leave a task. So no link between components is lost, and pairs are never written out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ from timberline.llm.components import components
 from timberline.llm.shingles import batches, minhashes, shingle_sets
 
 SYMBOLS, CHUNK = 48, 4
-KEYS = SYMBOLS
 #: Symbols of one byte in the sketch that rules pairs out before sets are compared.
 SKETCH = 256
 #: Members of a key that are compared with each other at once.
 BLOCK = 512
+#: Members of a cluster whose sets are in one task, of each of two blocks.
+SETS_BLOCK = 256
 WIDTH, PERCENT = 4, 80
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, signature binary"
@@ -45,24 +47,42 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
             yield ids.slice(low + start, len(some)), some
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    return (minhashes(sets, SYMBOLS) >> np.uint64(48)).astype(np.uint16)
-
-
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return (minhashes(sets, SKETCH, seed=8) >> np.uint64(56)).astype(np.uint8)
 
 
-def signature_keys(signatures: np.ndarray) -> np.ndarray:
-    """The ``KEYS`` keys of each signature: its place, then the symbols of a chunk but one."""
-    chunks = signatures.astype(np.uint64).reshape(len(signatures), -1, CHUNK)
-    out = np.empty((len(signatures), KEYS), np.int64)
-    for c in range(chunks.shape[1]):
-        for v in range(CHUNK):
-            a, b, d = (chunks[:, c, i] for i in range(CHUNK) if i != v)
-            k = c * CHUNK + v
-            out[:, k] = (np.uint64(k) << np.uint64(48) | a << np.uint64(32) | b << np.uint64(16) | d).astype(np.int64)
-    return out
+class MultiIndex:
+    """Keys of a signature for the Hamming join: each chunk without one of its symbols, for every one of them."""
+
+    symbols = keys = SYMBOLS
+
+    def of(self, signatures: np.ndarray) -> np.ndarray:
+        chunks = signatures.astype(np.int64).reshape(len(signatures), -1, CHUNK)
+        out = np.empty((len(signatures), self.keys), np.int64)
+        for k in range(self.keys):
+            a, b, d = (chunks[:, k // CHUNK, i] for i in range(CHUNK) if i != k % CHUNK)
+            out[:, k] = k << 48 | a << 32 | b << 16 | d
+        return out
+
+
+class Bands:
+    """Keys of a signature for banding: its place and the three symbols of each band."""
+
+    rows = 3
+
+    def __init__(self, bands: int) -> None:
+        self.keys, self.symbols = bands, bands * self.rows
+
+    def of(self, signatures: np.ndarray) -> np.ndarray:
+        s = signatures.astype(np.int64).reshape(-1, self.keys, self.rows)
+        return np.arange(self.keys) << 48 | s[:, :, 0] << 32 | s[:, :, 1] << 16 | s[:, :, 2]
+
+
+Index = MultiIndex | Bands
+
+
+def signatures(sets: list[np.ndarray], index: Index) -> np.ndarray:
+    return (minhashes(sets, index.symbols) >> np.uint64(48)).astype(np.uint16)
 
 
 def most_errors(n: int, percent: int, deviations: float = 5.0) -> int:
@@ -71,40 +91,44 @@ def most_errors(n: int, percent: int, deviations: float = 5.0) -> int:
     return int(n * p + deviations * (n * p * (1 - p)) ** 0.5)
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
+def signed(docs: DataFrame, width: int, index: Index) -> DataFrame:
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for ids, texts in _texts(batch):
                 sets = shingle_sets(texts, width)
                 n = [len(s) for s in sets]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in _signatures(sets)], pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in signatures(sets, index)], pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
 
     return docs.mapInArrow(made, SIGNED)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def set_columns(sets: list[np.ndarray], index: Index) -> list[pa.Array]:
+    """``n, signature, sketch, items`` of the sets."""
+    columns = [[s.tobytes() for s in x] for x in (signatures(sets, index), _sketches(sets), sets)]
+    return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]]
+
+
+def full_sets(docs: DataFrame, width: int, index: Index) -> DataFrame:
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for ids, texts in _texts(batch):
-                sets = shingle_sets(texts, width)
-                columns = [[s.tobytes() for s in x] for x in (_signatures(sets), _sketches(sets), sets)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "n", "signature", "sketch", "items"])
+                yield pa.RecordBatch.from_arrays([ids, *set_columns(shingle_sets(texts, width), index)], ["doc_id", "n", "signature", "sketch", "items"])
 
     return docs.mapInArrow(made, SETS)
 
 
-def keyed(signatures: DataFrame) -> DataFrame:
+def keyed(signed: DataFrame, index: Index) -> DataFrame:
     """Rows ``key, doc_id`` of rows ``doc_id, signature``."""
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                found = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(signature_keys(found).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), KEYS))], ["key", "doc_id"])
+                found = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, index.symbols)
+                yield pa.RecordBatch.from_arrays([pa.array(index.of(found).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), index.keys))], ["key", "doc_id"])
 
-    return signatures.select("doc_id", "signature").mapInArrow(made, "key long, doc_id long")
+    return signed.select("doc_id", "signature").mapInArrow(made, "key long, doc_id long")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -142,68 +166,132 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _both(pairs.select("a", "b"), sets, "items").select("a", "b", "a_items", "b_items").mapInArrow(kept, "a long, b long")
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs ``a, b`` of different components under one key, each under its first common key only.
-
-    ``members``: ``key, size, doc_id, root, n, signature, sketch``. The members of a key are dealt into blocks, and
-    each pair of blocks is a piece of work of bounded size.
-    """
-    most = most_errors(SKETCH, percent)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _dealt(members: DataFrame, group: str, size: str, block: int, *columns: str) -> DataFrame:
+    """Members of each group in blocks: a row for every pair of blocks that its own is in, pairs together."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    columns = ["key", "low", "high", "own", "doc_id", "root", "n", "signature", "sketch"]
-    dealt = dealt.select(columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.select(group, "low", "high", "own", *columns).repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
-    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        g = {c: group.column(c).to_numpy() for c in ("key", "low", "high", "own", "doc_id", "root", "n")}
-        rows = len(g["key"])
-        left, right = np.triu_indices(rows, 1)
-        if g["low"][0] != g["high"][0]:
-            apart = g["own"][left] != g["own"][right]
-            left, right = left[apart], right[apart]
-        n, root = g["n"], g["root"]
-        near = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
-        left, right = left[near], right[near]
-        if not len(left):
-            return left, right
-        keys = signature_keys(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(rows, SYMBOLS))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(rows, SKETCH)
-        place, found = int(g["key"][0]) >> 48, []
-        for at in range(0, len(left), 20_000):
-            i, j = left[at : at + 20_000], right[at : at + 20_000]
-            ok = (keys[i, : place + 1] == keys[j, : place + 1]).argmax(1) == place
-            i, j = i[ok], j[ok]
-            ok = (sketch[i] != sketch[j]).sum(1) <= most
-            found.append((g["doc_id"][i[ok]], g["doc_id"][j[ok]]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(whole: pa.Table) -> pa.RecordBatch:
-            names = [whole.column(c).to_numpy() for c in ("key", "low", "high")]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
-            pairs = [work(whole.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True) if b - a > 1]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]]) for k in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _by_group(dealt: DataFrame, group: str, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs ``a, b`` that ``work`` finds in each pair of blocks; a block's rows stand together in a task."""
+    names = (group, "low", "high")
+
+    def done(whole: pa.Table) -> pa.RecordBatch:
+        columns = [whole.column(c).to_numpy() for c in names]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+        pairs = [work(whole.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True) if b - a > 1]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]])) for k in range(2)], ["a", "b"])
 
+    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in rows:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            last = held.slice(held.num_rows - 1, 1).to_pylist()[0] if held.num_rows else None
-            if last is None:
-                continue
-            same = np.all([held.column(c).to_numpy() == last[c] for c in ("key", "low", "high")], axis=0)
-            cut = int(np.argmax(same))
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
+            for low in range(0, batch.num_rows, 4096):
+                part = pa.Table.from_batches([batch.slice(low, 4096)])
+                held = part if held is None else pa.concat_tables([held, part])
+                last = held.slice(held.num_rows - 1, 1).select(names).to_pylist()[0]
+                cut = int(np.argmax(np.all([held.column(c).to_numpy() == last[c] for c in names], axis=0)))
+                if cut:
+                    yield done(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None:
             yield done(held)
 
     return dealt.mapInArrow(made, "a long, b long")
 
 
+def _pairs(g: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a group that are in different components, of its two blocks, and of like size."""
+    left, right = np.triu_indices(len(g["n"]), 1)
+    if g["low"][0] != g["high"][0]:
+        apart = g["own"][left] != g["own"][right]
+        left, right = left[apart], right[apart]
+    n, root = g["n"], g["root"]
+    near = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+    return left[near], right[near]
+
+
+def _alike(sketches: list[bytes], left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SKETCH)
+    return np.concatenate([np.zeros(0, bool), *[(sketch[left[at : at + 20_000]] != sketch[right[at : at + 20_000]]).sum(1) <= most for at in range(0, len(left), 20_000)]])
+
+
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least member that each of ``n`` reaches by the pairs."""
+    least = np.arange(n)
+    while len(left):
+        before = least.copy()
+        np.minimum.at(least, left, least[right])
+        np.minimum.at(least, right, least[left])
+        least = least[least]
+        if (least == before).all():
+            break
+    return least
+
+
+_COLUMNS = ("low", "high", "own", "doc_id", "root", "n")
+
+
+def across(members: DataFrame, index: Index, percent: int) -> DataFrame:
+    """Ties ``a, b`` that connect what likely pairs of different components under one key connect.
+
+    ``members``: ``key, size, doc_id, root, n, signature, sketch``. Of every pair of blocks at most one tie for each
+    member comes out. Each pair is looked at under its first common key only.
+    """
+    most = most_errors(SKETCH, percent)
+
+    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        g = {c: group.column(c).to_numpy() for c in ("key", *_COLUMNS)}
+        left, right = _pairs(g, percent)
+        keys = index.of(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(g["n"]), -1))
+        place = int(g["key"][0]) >> 48
+        first = np.ones(len(left), bool)
+        for k in range(place):
+            first &= keys[left, k] != keys[right, k]
+        left, right = left[first], right[first]
+        alike = _alike(group.column("sketch").to_pylist(), left, right, most)
+        least = _forest(len(g["n"]), left[alike], right[alike])
+        tied = np.flatnonzero(least != np.arange(len(least)))
+        return g["doc_id"][tied], g["doc_id"][least[tied]]
+
+    return _by_group(_dealt(members, "key", "size", BLOCK, "doc_id", "root", "n", "signature", "sketch"), "key", work)
+
+
+def within(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components, confirmed on the full sets: at most one for each component and pair of blocks.
+
+    ``members``: ``cluster, size, doc_id, root, n, sketch, items``.
+    """
+    most = most_errors(SKETCH, percent)
+
+    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        g = {c: group.column(c).to_numpy() for c in _COLUMNS}
+        left, right = _pairs(g, percent)
+        alike = _alike(group.column("sketch").to_pylist(), left, right, most)
+        left, right = left[alike], right[alike]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+        items, place = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+        mark, good = np.zeros(len(items), bool), np.zeros(len(left), bool)
+        order = np.argsort(left, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(order) else []:
+            i = left[some[0]]
+            mine = place[starts[i] : starts[i] + len(sets[i])]
+            mark[mine] = True
+            both = np.add.reduceat(mark[place], starts)[right[some]]
+            mark[mine] = False
+            good[some] = 100 * both >= percent * (g["n"][i] + g["n"][right[some]] - both)
+        left, right = left[good], right[good]
+        _, root = np.unique(g["root"], return_inverse=True)
+        least = _forest(int(root.max()) + 1, root[left], root[right])
+        one = np.unique(root, return_index=True)[1]  # a member of each component
+        tied = np.flatnonzero(least != np.arange(len(least)))
+        return g["doc_id"][one[tied]], g["doc_id"][one[least[tied]]]
+
+    return _by_group(_dealt(members, "cluster", "size", SETS_BLOCK, "doc_id", "root", "n", "sketch", "items"), "cluster", work)
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` after joining components by ``links`` between their members."""
     named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
@@ -217,36 +305,53 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return named.where("ra <> rb").drop("ra", "rb")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id, kept``.
+def connected(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], index: Index, percent: int) -> DataFrame:
+    """Components of similar classes: ``node, root`` for every class that shares a key with another.
 
-    Words are runs of non-white bytes with A-Z in lower case; a text with fewer words than ``width`` is one shingle,
-    a null or empty one has none and is linked with nothing. Documents are linked where ``100 * intersection >=
-    percent * union``; a component is named by its smallest doc_id. Rows that repeat a doc_id are nodes of that id.
-    A null doc_id is linked with nothing: its component is null, and it is kept. An empty table gives no rows;
-    other columns are not read.
+    ``classes``: ``doc_id, signature``, ids distinct and not null. ``sets_of`` gives the rows of ``SETS`` for the
+    ids in a table ``doc_id``.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = written(signed(docs, width), "signatures")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = written(marks.where(linked).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    keys = keyed(classes.select(F.col("rep").alias("doc_id"), "signature"))
+    keys = keyed(classes, index)
     # Masked by the key, a class that is the least under one key is not so under another: hubs differ.
     hubs = keys.groupBy("key").agg((F.min(F.col("doc_id").bitwiseXOR(F.col("key")))).alias("masked"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hubs = written(hubs.select("key", F.col("masked").bitwiseXOR(F.col("key")).alias("hub"), "size"), "hubs")
     ties = written(keys.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
     involved = written(ties.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-    sets = written(full_sets(docs.join(small(involved, involved.count()), "doc_id", "left_semi"), width), "sets")
+    sets = written(sets_of(involved), "sets")
     ties = written(likely(ties, sets, percent), "likely-ties")
     best = ties.groupBy("a").agg(F.min(F.struct("errors", "b"))["b"].alias("b"))
     roots = written(involved.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")), "roots")
     roots = _merged(roots, written(confirmed(best, sets, percent), "links"))
     roots = _merged(roots, written(confirmed(_apart(ties, roots), sets, percent), "links"))
-    held = keyed(sets).join(hubs.select("key", "size"), "key").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
-    held = written(held, "members")
+    named = roots.withColumnRenamed("node", "doc_id")
+    held = written(keyed(sets, index).join(hubs.select("key", "size"), "key").join(named, "doc_id"), "members")
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = held.join(mixed, "key", "left_semi").join(sets.select("doc_id", "n", "signature", "sketch"), "doc_id")
-    roots = _merged(roots, written(confirmed(written(across(members, percent), "across"), sets, percent), "links"))
+    clusters = components(across(members, index, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    clusters = written(clusters, "clusters")
+    sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    members = sized.join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
+    return _merged(roots, written(within(members, percent), "links"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id, kept``.
+
+    Words are runs of non-white bytes with A-Z in lower case; a text with fewer words than ``width`` is one shingle,
+    a null or empty one has none and is linked with nothing. Documents are linked where ``100 * intersection >=
+    percent * union``; a component is named by its smallest doc_id. Rows that repeat a doc_id are nodes of that id.
+    A null doc_id is linked with nothing: its component is null, and it is kept. An empty table gives no rows;
+    other columns are not read.
+    """
+    docs, index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MultiIndex()
+    marks = written(signed(docs, width, index), "signatures")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = written(marks.where(linked).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        return full_sets(docs.join(small(involved, involved.count()), "doc_id", "left_semi"), width, index)
+
+    roots = connected(classes.select(F.col("rep").alias("doc_id"), "signature"), sets_of, index, percent)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
     out = marks.join(named, "set_id", "left").withColumn("component_id", F.when(linked, F.col("root")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
