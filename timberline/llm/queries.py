@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import counting, exact, langid, merkle, minhash, mixing, packing, secrets, suffixes
+from timberline.llm import counting, exact, langid, merkle, minhash, mixing, packing, passages, secrets, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pack": packing.op5_pack,
     "op6_fingerprint": merkle.op6_fingerprint,
     "op7_mix": mixing.op7_mix,
+    "op8_passage_dedup": passages.op8_passage_dedup,
     "op9_token_count": counting.op9_token_count,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
