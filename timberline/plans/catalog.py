@@ -1,6 +1,482 @@
-"""Registered tree queries and their SQL twins."""
+"""Registered tree queries over the driver's tables, each with a SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from timberline.functions import prep
+from timberline.operators import bounds, exact, groups, tree
+from timberline.operators.box import Box, feasible_in, free
+from timberline.operators.tree import Tree
+from timberline.sources import tables
+
+FEATURES = ["f1", "f2", "f3"]
+ALPHA = 0.05
+#: Splits at the root and its left child; the right child sends all rows to the right-most leaf; leaf 6 has no label.
+DEMO = Tree(2, {1: (1, 0.5), 2: (2, 0.3)}, {4: 1, 5: 2, 7: 3})
+OTHER = Tree(2, {1: (2, 0.5), 2: (1, 0.25), 3: (3, 0.4)}, {4: 3, 5: 1, 6: 2, 7: 1})
+CANDIDATES = [DEMO, OTHER, Tree(2, {}, {7: 2}), Tree(2, {1: (3, 0.5), 3: (1, 0.75)}, {5: 1, 6: 2, 7: 3})]
+BOX = Box(
+    2,
+    {1: frozenset({1}), 2: frozenset({1, 2, 3}), 3: frozenset({1, 2, 3})},
+    {1: (0.25, 0.75), 2: (0.0, 1.0), 3: (0.0, 1.0)},
+    {1: (1, 1), 2: (1, 1), 3: (1, 1)},
+    {4: frozenset({1}), 5: frozenset({1, 2, 3}), 6: frozenset({1, 2, 3}), 7: frozenset({1, 2, 3})},
+)
+#: A box over ``part`` whose thresholds leave rows that can reach some leaves only.
+PART_FEATURES = ["f1", "f2"]
+PART_BOX = Box(
+    2,
+    {1: frozenset({1}), 2: frozenset({1, 2}), 3: frozenset({1, 2})},
+    {1: (0.25, 0.75), 2: (0.2, 0.6), 3: (0.4, 0.8)},
+    {1: (1, 1), 2: (1, 1), 3: (1, 1)},
+    {4: frozenset({1}), 5: frozenset(range(1, 7)), 6: frozenset({2, 3}), 7: frozenset(range(1, 7))},
+)
+#: Boxes for the feasibility query: id, node, feature, range. The second lies between two neighbouring values of f3.
+RANGES = [(1, 1, 1, 0.25, 0.75), (1, 2, 3, 0.0, 1.0), (2, 1, 1, 0.0, 1.0), (2, 3, 3, 0.13, 0.24), (3, 1, 3, 0.13, 0.24), (3, 1, 2, 0.45, 0.55)]
+MODULUS = 104729
+N_GROUPS, N_BOOTSTRAP = 7, 6
+#: Thresholds of all features together that an exact search of depth 2 tries at the root.
+MOST_THRESHOLDS = 2_000
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as labelled points: keys, three features scaled to [0, 1], and the return flag's code."""
+    rows = tables.parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_returnflag")
+    return prep.scaled(prep.encode(rows, "l_returnflag"), FEATURES)[0].drop("l_returnflag")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as labelled points: size and price scaled, and the type's code."""
+    rows = tables.parquet(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("f1"), F.col("p_retailprice").alias("f2"), "p_type")
+    return prep.scaled(prep.encode(rows, "p_type"), PART_FEATURES)[0].drop("p_type")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.parquet(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("f1"), F.col("c_nationkey").cast("double").alias("f2"), "c_mktsegment")
+    return prep.scaled(prep.encode(rows, "c_mktsegment"), PART_FEATURES)[0].drop("c_mktsegment")
+
+
+def _share(df: DataFrame) -> float:
+    return prep.majority_share(df, "y").first()["share"]
+
+
+POINTS = """
+r AS (SELECT min(l_quantity) a1, max(l_quantity) b1, min(l_discount) a2, max(l_discount) b2, min(l_tax) a3, max(l_tax) b3 FROM lineitem),
+k AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag)::INTEGER AS y FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+p AS (SELECT l_orderkey, l_linenumber, (l_quantity - a1) / (b1 - a1) AS f1, (l_discount - a2) / (b2 - a2) AS f2, (l_tax - a3) / (b3 - a3) AS f3, y
+      FROM lineitem JOIN k USING (l_returnflag), r)"""
+PARTS = """
+r AS (SELECT min(p_size)::DOUBLE a1, max(p_size)::DOUBLE b1, min(p_retailprice) a2, max(p_retailprice) b2 FROM part),
+k AS (SELECT p_type, row_number() OVER (ORDER BY p_type)::INTEGER AS y FROM (SELECT DISTINCT p_type FROM part)),
+p AS (SELECT p_partkey, (p_size::DOUBLE - a1) / (b1 - a1) AS f1, (p_retailprice - a2) / (b2 - a2) AS f2, y FROM part JOIN k USING (p_type), r)"""
+CUSTOMERS = """
+r AS (SELECT min(c_acctbal) a1, max(c_acctbal) b1, min(c_nationkey)::DOUBLE a2, max(c_nationkey)::DOUBLE b2 FROM customer),
+k AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment)::INTEGER AS y FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+p AS (SELECT c_custkey, (c_acctbal - a1) / (b1 - a1) AS f1, (c_nationkey::DOUBLE - a2) / (b2 - a2) AS f2, y FROM customer JOIN k USING (c_mktsegment), r)"""
+SHARE = "(SELECT max(n)::DOUBLE / sum(n)::DOUBLE FROM (SELECT count(*) AS n FROM p GROUP BY y))"
+
+
+def sql_leaf(t: Tree, node: int = 1) -> str:
+    if node in t.leaves:
+        return str(node)
+    if node not in t.split:
+        return sql_leaf(t, 2 * node + 1)
+    f, b = t.split[node]
+    return f"CASE WHEN f{f} + 1e-12 >= {b}::DOUBLE THEN {sql_leaf(t, 2 * node + 1)} ELSE {sql_leaf(t, 2 * node)} END"
+
+
+def sql_label(t: Tree) -> str:
+    return f"CASE {sql_leaf(t)} " + " ".join(f"WHEN {leaf} THEN {k}" for leaf, k in t.label.items()) + " ELSE 0 END"
+
+
+def sql_scores(trees: list[Tree]) -> str:
+    """One row for each tree over ``p``: errors, splits, cost, accuracy."""
+    each = " UNION ALL ".join(f"SELECT {i}::INTEGER AS tree_id, sum(CASE WHEN ({sql_label(t)}) = y THEN 0 ELSE 1 END)::BIGINT AS errors, {len(t.split)}::INTEGER AS splits, count(*) AS n FROM p" for i, t in enumerate(trees))
+    return f"SELECT tree_id, errors, splits, round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, round(1 - errors::DOUBLE / n, 6) AS accuracy FROM ({each})"
+
+
+def sql_reach(box: Box) -> str:
+    """The reachable leaves of a row of ``p`` as comma-joined text."""
+    ways: dict[int, str] = {}
+
+    def walk(t: int, come: str) -> None:
+        if t >= 2**box.depth:
+            ways[t] = come
+            return
+        lo, hi = box.threshold[t]
+        fs = sorted(box.features[t])
+        walk(2 * t, f"{come} AND NOT ({' AND '.join(f'f{f} >= {hi}::DOUBLE' for f in fs)})")
+        walk(2 * t + 1, f"{come} AND NOT ({' AND '.join(f'f{f} < {lo}::DOUBLE' for f in fs)})")
+
+    walk(1, "true")
+    return "list_filter([" + ", ".join(f"CASE WHEN {ways[t]} THEN {t} END" for t in sorted(ways)) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_values(box: Box) -> str:
+    cases = " ".join(f"WHEN {t} THEN CASE WHEN y NOT IN ({', '.join(map(str, sorted(lab)))}) THEN 1 ELSE {0 if len(lab) == 1 else -1} END" for t, lab in sorted(box.labels.items()))
+    return f"list_transform(reach, lambda t: CASE t {cases} END)"
+
+
+def class_frequency(spark, sf_dir):
+    both = [prep.class_frequency(tables.parquet(spark, sf_dir, t), c).select(F.lit(t).alias("tab"), "label", "n") for t, c in (("lineitem", "l_returnflag"), ("events", "event_type"))]
+    return both[0].unionByName(both[1])
+
+
+def majority_share(spark, sf_dir):
+    return prep.majority_share(tables.parquet(spark, sf_dir, "events"), "event_type").select(F.round("share", 9).alias("share"))
+
+
+def label_encode(spark, sf_dir):
+    return prep.encode(tables.parquet(spark, sf_dir, "customer"), "c_mktsegment").select("c_custkey", "c_mktsegment", "y")
+
+
+def one_hot(spark, sf_dir):
+    df = prep.encode(tables.parquet(spark, sf_dir, "customer"), "c_mktsegment").withColumn("code", prep.one_hot(F.col("y"), 5))
+    df = df.withColumn("decoded", prep.from_one_hot(F.col("code")))
+    return df.select("c_custkey", F.concat_ws(",", F.transform("code", lambda c: c.cast("string"))).alias("code"), "decoded")
+
+
+def minmax_scale(spark, sf_dir):
+    return points(spark, sf_dir).select("l_orderkey", "l_linenumber", *FEATURES)
+
+
+def drop_constant(spark, sf_dir):
+    rows = tables.parquet(spark, sf_dir, "lineitem").withColumn("one", F.lit(1.0))
+    return prep.feature_report(rows, ["l_quantity", "l_discount", "one"])
+
+
+def feature_min_gap(spark, sf_dir):
+    rows = tables.parquet(spark, sf_dir, "lineitem")
+    return prep.min_gaps(rows, ["l_quantity", "l_discount", "l_tax"]).select("f", F.round("gap", 9).alias("gap"))
+
+
+def stratified_split(spark, sf_dir):
+    rows = tables.parquet(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return prep.stratified_split(rows, "o_orderstatus", F.pmod(F.col("o_orderkey") * 7919, F.lit(MODULUS)), "o_orderkey")
+
+
+def route_leaf(spark, sf_dir):
+    return points(spark, sf_dir).select("l_orderkey", "l_linenumber", tree.leaf(DEMO, FEATURES).alias("leaf"))
+
+
+def predict(spark, sf_dir):
+    return tree.predict(points(spark, sf_dir), DEMO, FEATURES).select("l_orderkey", "l_linenumber", "y", "leaf", "pred")
+
+
+def tree_cost(spark, sf_dir):
+    df = points(spark, sf_dir)
+    return tree.score(df, [DEMO], FEATURES, _share(df), ALPHA)
+
+
+def leaf_histogram(spark, sf_dir):
+    counts = tree.leaf_counts(points(spark, sf_dir), DEMO, FEATURES)
+    return counts.join(tree.majority_labels(counts), "leaf").select("leaf", "y", "n", "label")
+
+
+def confusion(spark, sf_dir):
+    return tree.predict(points(spark, sf_dir), DEMO, FEATURES).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prediction_agreement(spark, sf_dir):
+    df = points(spark, sf_dir)
+    a, b = (tree.label_at(t, tree.leaf(t, FEATURES)) for t in (DEMO, OTHER))
+    return df.groupBy(a.alias("pred_a"), b.alias("pred_b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def accuracy_report(spark, sf_dir):
+    """Accuracies in percent of two trees on the train and test part, as one row."""
+    df = prep.stratified_split(points(spark, sf_dir), "y", F.pmod(F.col("l_orderkey") * 7919, F.lit(MODULUS)), "l_orderkey", "l_linenumber")
+    cols = [F.round(100 * F.avg(F.when((F.col("split") == "test") == F.lit(test), (tree.label_at(t, tree.leaf(t, FEATURES)) == F.col("y")).cast("double"))), 3).alias(f"{part}_{name}") for name, t in (("a", DEMO), ("b", OTHER)) for part, test in (("train", False), ("test", True))]
+    return df.agg(*cols)
+
+
+def score_many_trees(spark, sf_dir):
+    df = points(spark, sf_dir)
+    found = tree.score(df, CANDIDATES, FEATURES, _share(df), ALPHA)
+    return found.withColumn("best", F.col("tree_id") == F.min_by("tree_id", F.struct("cost", "tree_id")).over(Window.partitionBy()))
+
+
+def prune_and_score(spark, sf_dir):
+    df = points(spark, sf_dir)
+    return tree.score(df, [tree.pruned(OTHER, shape) for shape in range(8)], FEATURES, _share(df), ALPHA)
+
+
+def merge_trees(spark, sf_dir):
+    df = points(spark, sf_dir)
+    joined = tree.merged(CANDIDATES)
+    joined = tree.relabelled(joined, tree.leaf_counts(df, joined, FEATURES))
+    return tree.score(df, [joined], FEATURES, _share(df), ALPHA)
+
+
+def best_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single threshold of least cost, or no split: running class counts along each feature's distinct values."""
+    df = points(spark, sf_dir)
+    counts = prep.long_form(prep.cells(df, FEATURES), FEATURES, "y", "n").groupBy("f", "v").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)])
+    before = Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("f")
+    for k in (1, 2, 3):
+        counts = counts.withColumn(f"a{k}", F.sum(f"n{k}").over(before)).withColumn(f"b{k}", F.sum(f"n{k}").over(whole) - F.col(f"a{k}"))
+    some = counts.where("a1 is not null")
+    errors = reduce(lambda a, b: a + b, [F.col(f"{s}{k}") for s in "ab" for k in (1, 2, 3)]) - F.greatest("a1", "a2", "a3") - F.greatest("b1", "b2", "b3")
+    splits = some.select("f", "v", errors.cast("long").alias("errors"), F.lit(1).alias("splits"))
+    none = prep.class_frequency(df, "y").agg((F.sum("n") - F.max("n")).alias("errors")).select(F.lit(0).alias("f"), F.lit(0.0).alias("v"), F.col("errors").cast("long"), F.lit(0).alias("splits"))
+    cost = F.round(F.col("errors") / F.lit(_share(df)) + ALPHA * F.col("splits"), 6)
+    return splits.unionByName(none).withColumn("cost", cost).agg(F.min(F.struct("cost", "splits", "f", "v", "errors")).alias("r")).select("r.cost", "r.splits", "r.f", F.round("r.v", 9).alias("v"), "r.errors")
+
+
+def optimal_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of a tree of depth 2 over the cells: every root split, and on each side the best split or none.
+
+    For every root split the running class counts of each side are taken at once; rows grow with distinct cells and
+    thresholds, not with the table.
+    """
+    df = points(spark, sf_dir)
+    cells = prep.cells(df, FEATURES)
+    share = _share(df)
+    rows = prep.long_form(cells, FEATURES, *FEATURES, "y", "n")
+    thresholds = rows.select("f", "v").distinct().limit(MOST_THRESHOLDS + 1).collect()
+    if len(thresholds) > MOST_THRESHOLDS:
+        raise ValueError("too many thresholds for an exact search: bin the features first")
+    sides_of = []
+    for f, name in enumerate(FEATURES, 1):
+        values = sorted(r.v for r in thresholds if r.f == f)[1:]
+        each = rows.withColumn("rf", F.lit(f)).withColumn("rv", F.explode(F.lit(values).cast("array<double>")))
+        sides_of.append(each.withColumn("side", (F.col(name) >= F.col("rv")).cast("int")))
+    sided = reduce(DataFrame.unionByName, sides_of)
+    counts = sided.groupBy("rf", "rv", "side", "f", "v").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)])
+    keys = ["rf", "rv", "side", "f"]
+    before = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    for k in (1, 2, 3):
+        counts = counts.withColumn(f"a{k}", F.coalesce(F.sum(f"n{k}").over(before), F.lit(0))).withColumn(f"b{k}", F.sum(f"n{k}").over(Window.partitionBy(*keys)) - F.col(f"a{k}"))
+    total = reduce(lambda a, b: a + b, [F.col(f"{s}{k}") for s in "ab" for k in (1, 2, 3)])
+    stopped = F.col("a1") + F.col("a2") + F.col("a3") == 0  # below the first value all rows are on the right: no split
+    errors = (total - F.greatest("a1", "a2", "a3") - F.greatest("b1", "b2", "b3")).cast("long")
+    option = F.struct((errors / F.lit(share) + F.when(stopped, 0.0).otherwise(ALPHA)).alias("cost"), errors.alias("errors"), F.when(stopped, 0).otherwise(1).alias("splits"))
+    sides = counts.groupBy("rf", "rv", "side").agg(F.min(option).alias("o"))
+    both = sides.groupBy("rf", "rv").agg(F.sum("o.errors").alias("errors"), (F.sum("o.splits") + 1).alias("splits"))
+    none = cells.groupBy("y").agg(F.sum("n").alias("n")).agg((F.sum("n") - F.max("n")).alias("errors")).select(F.lit(0).alias("rf"), F.lit(0.0).alias("rv"), "errors", F.lit(0).cast("long").alias("splits"))
+    found = both.unionByName(none).withColumn("cost", F.round(F.col("errors") / F.lit(share) + ALPHA * F.col("splits"), 6))
+    return found.agg(F.min(F.struct("cost", "errors", "splits")).alias("r")).select("r.*")
+
+
+def exact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same optimum by dynamic programming over the cells in one task, with its tree scored on all rows."""
+    df = points(spark, sf_dir)
+    share = _share(df)
+    schema = "cost double, splits string, labels string"
+
+    def work(batches):
+        import pandas as pd
+
+        rows = pd.concat(list(batches))
+        cost, found = exact.fit(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy(float), 2, share, ALPHA)
+        yield pd.DataFrame({"cost": [cost], "splits": [repr(found.split)], "labels": [repr(found.label)]})
+
+    row = prep.cells(df, FEATURES).coalesce(1).mapInPandas(work, schema).first()
+    return tree.score(df, [bounds.tree_of(row, 2)], FEATURES, share, ALPHA).select("cost", "errors", F.col("splits").cast("long").alias("splits"))
+
+
+def box_feasible(spark, sf_dir):
+    rows = prep.long_form(points(spark, sf_dir), FEATURES).distinct()
+    return feasible_in(rows, spark.createDataFrame(RANGES, "box_id int, t int, f int, lo double, hi double"))
+
+
+def leaf_reach(spark, sf_dir):
+    found = bounds.reachability(parts(spark, sf_dir), PART_BOX, PART_FEATURES)
+    return found.select("p_partkey", "y", F.concat_ws(",", F.transform("reach", lambda t: t.cast("string"))).alias("reach"), "cost", "lb")
+
+
+def cf_bound(spark, sf_dir):
+    df = parts(spark, sf_dir)
+    return bounds.closed_form(df, PART_BOX, PART_FEATURES, _share(df), ALPHA)
+
+
+def cf_bound_lineitem(spark, sf_dir):
+    df = points(spark, sf_dir)
+    return bounds.closed_form(df, BOX, FEATURES, _share(df), ALPHA)
+
+
+def label_cover_counts(spark, sf_dir):
+    found = bounds.cover_counts(parts(spark, sf_dir), PART_BOX, PART_FEATURES)
+    return found.select("y", F.concat_ws(",", F.transform("reach", lambda t: t.cast("string"))).alias("reach"), "n")
+
+
+def label_cover_bound(spark, sf_dir):
+    df = points(spark, sf_dir)
+    counts = [r.asDict() for r in bounds.cover_counts(df, BOX, FEATURES).collect()]  # at most classes times sets of leaves
+    return spark.createDataFrame([(round(bounds.label_cover(counts, BOX, _share(df), ALPHA), 6),)], "bound double")
+
+
+def group_deal(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    return groups.deal(df, "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=N_GROUPS).select("c_custkey", "y", "group_id")
+
+
+def bootstrap_groups(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    return groups.bootstrap(df, F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n=df.count(), n_groups=N_BOOTSTRAP, round_=3).select("group_id", "c_custkey", "y")
+
+
+def _group_bound(spark, sf_dir, depth):
+    df = groups.deal(customers(spark, sf_dir), "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=25)
+    eps = {r.f: r.gap for r in prep.min_gaps(df, PART_FEATURES).collect()}
+    import numpy as np
+
+    found = bounds.group_bounds(df, free(depth, 2, 5), PART_FEATURES, _share(df), ALPHA, df.count(), np.array([eps[1], eps[2]]))
+    return found.select("group_id", F.round("bound", 6).alias("bound"))
+
+
+def group_bound(spark, sf_dir):
+    return _group_bound(spark, sf_dir, 1)
+
+
+def group_bound_depth2(spark, sf_dir):
+    return _group_bound(spark, sf_dir, 2)
+
+
+def embedding_features(spark, sf_dir):
+    """Two dimensions of an embedding, scaled, routed through a tree."""
+    df = tables.parquet(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("f1"), F.element_at("embedding", 2).cast("double").alias("f2"), F.lit(0.0).alias("f3"), (F.col("label") + 1).cast("int").alias("y"))
+    df = prep.scaled(df, ["f1", "f2"])[0]
+    return tree.predict(df, DEMO, FEATURES).select("vec_id", "y", "leaf", "pred")
+
+
+def order_ranks(spark, sf_dir):
+    """First-seen order and size of groups, and where each begins when they are laid out one behind the other."""
+    rows = tables.parquet(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # over the distinct groups
+    return rows.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def class_lookup(spark, sf_dir):
+    """Rows with the class that another table gives for their id, the id dropped."""
+    suppliers = tables.parquet(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    nations = tables.parquet(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return tables.with_class(suppliers, nations, "s_nationkey", "n_name")
+
+
+def cart_tree(spark, sf_dir):
+    from timberline.operators.greedy import cart
+
+    df = points(spark, sf_dir)
+    return tree.score(df, [cart(df, FEATURES, 2)], FEATURES, _share(df), ALPHA)
+
+
+def kmeans_groups(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    return groups.kmeans_deal(df, PART_FEATURES, "c_custkey", N_GROUPS, 4).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def branch_and_bound(spark, sf_dir):
+    from timberline.operators.search import Search
+
+    df = parts(spark, sf_dir).withColumnRenamed("p_partkey", "row_id").withColumn("f2", F.round("f2", 1)).withColumn("f1", F.round("f1", 1))
+    search = Search(df, PART_FEATURES, 2, ALPHA)
+    search.run(max_nodes=8, seconds=60)
+    return search.bound_log(spark)
+
+
+def synthetic_clusters(spark, sf_dir):
+    return tables.clusters(spark).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"))
+
+
+def tree_nodes(spark, sf_dir):
+    return DEMO.to_df(spark)
+
+
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, branch_and_bound, synthetic_clusters, tree_nodes)}
+
+_MERGED = tree.merged(CANDIDATES)
+_CLASSES = range(1, 4)
+
+
+def _sql_merge() -> str:
+    return f"""WITH {POINTS},
+c AS (SELECT {sql_leaf(_MERGED)} AS leaf, y, count(*) AS n FROM p GROUP BY ALL),
+m AS (SELECT sum(n) - sum(top) AS errors, sum(n) AS n FROM (SELECT leaf, sum(n) AS n, max(n) AS top FROM c GROUP BY leaf))
+SELECT 0::INTEGER AS tree_id, errors::BIGINT AS errors, {len(_MERGED.split)}::INTEGER AS splits,
+  round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * {len(_MERGED.split)}, 6) AS cost, round(1 - errors::DOUBLE / n::DOUBLE, 6) AS accuracy FROM m"""
+
+
+_LONG = "l AS (SELECT 1 AS f, f1 AS v, * FROM c UNION ALL SELECT 2, f2, * FROM c UNION ALL SELECT 3, f3, * FROM c)"
+_STUMP = f"""WITH {POINTS}, c AS (SELECT f1, f2, f3, y, count(*) AS n FROM p GROUP BY ALL), {_LONG},
+g AS (SELECT f, v, {', '.join(f'sum(n) FILTER (y = {k}) AS n{k}' for k in _CLASSES)} FROM l GROUP BY f, v),
+w AS (SELECT f, v, {', '.join(f'sum(coalesce(n{k}, 0)) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a{k}, sum(coalesce(n{k}, 0)) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}' for k in _CLASSES)} FROM g),
+o AS (SELECT f, v, a1 + a2 + a3 - greatest(a1, a2, a3) + b1 + b2 + b3 - greatest(b1, b2, b3) AS errors, 1 AS splits FROM w WHERE a1 IS NOT NULL
+      UNION ALL SELECT 0, 0, sum(n) - max(n), 0 FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, splits::INTEGER AS splits, f::INTEGER AS f, round(v::DOUBLE, 9) AS v, errors::BIGINT AS errors
+FROM o ORDER BY 1, 2, 3, v LIMIT 1"""
+_DEPTH2 = f"""WITH {POINTS}, c AS (SELECT f1, f2, f3, y, count(*) AS n FROM p GROUP BY ALL), {_LONG},
+q AS (SELECT DISTINCT f AS rf, v AS rv FROM l), t AS (SELECT * FROM q WHERE rv > (SELECT min(rv) FROM q q2 WHERE q2.rf = q.rf)),
+s AS (SELECT rf, rv, (CASE rf WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END >= rv)::INTEGER AS side, f, v,
+        {', '.join(f'sum(n) FILTER (y = {k}) AS n{k}' for k in _CLASSES)} FROM l, t GROUP BY ALL),
+w AS (SELECT rf, rv, side, {', '.join(f'coalesce(sum(coalesce(n{k}, 0)) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{k}, sum(coalesce(n{k}, 0)) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}' for k in _CLASSES)} FROM s),
+o AS (SELECT rf, rv, side, a1 + a2 + a3 - greatest(a1, a2, a3) + b1 + b2 + b3 - greatest(b1, b2, b3) AS errors, (a1 + a2 + a3 > 0)::INTEGER AS splits FROM w),
+b AS (SELECT rf, rv, side, errors, splits, row_number() OVER (PARTITION BY rf, rv, side ORDER BY errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, errors) AS i FROM o),
+d AS (SELECT sum(errors) AS errors, sum(splits) + 1 AS splits FROM b WHERE i = 1 GROUP BY rf, rv
+      UNION ALL SELECT sum(n) - max(n), 0 FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, errors::BIGINT AS errors, splits::BIGINT AS splits FROM d ORDER BY 1, 2 LIMIT 1"""
+_REACH = f"{PARTS}, q AS (SELECT p_partkey, y, {sql_reach(PART_BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(PART_BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
+_REACH_L = f"{POINTS}, q AS (SELECT y, {sql_reach(BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
+_COVER = " UNION ALL ".join(f"SELECT {', '.join(f'{k} AS c{t}' for t, k in zip(sorted(BOX.labels), labels, strict=True))}" for labels in product(*[sorted(BOX.labels[t]) for t in sorted(BOX.labels)]))
+
+
+def _closed(table: str, box: Box) -> str:
+    return f"SELECT coalesce(sum((cost = -1)::INTEGER), 0)::BIGINT AS undetermined, coalesce(sum(lb), 0)::BIGINT AS determined_errors, round(coalesce(sum(lb), 0)::DOUBLE / {SHARE} + {ALPHA * box.least_splits}::DOUBLE, 6) AS bound FROM {table}"
+
+
+_DEAL = f"(row_number() OVER (PARTITION BY y ORDER BY (c_custkey * 7919) % {MODULUS}, c_custkey) - 1)"
+_GROUP1 = f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % 25 AS group_id FROM p),
+t AS (SELECT count(*) AS total FROM p),
+l AS (SELECT group_id, y, 1 AS f, f1 AS v FROM g UNION ALL SELECT group_id, y, 2, f2 FROM g),
+h AS (SELECT group_id, f, v, y, count(*) AS n FROM l GROUP BY ALL),
+s AS (SELECT DISTINCT group_id, f, v AS cut FROM h),
+o AS (SELECT s.group_id, s.f, s.cut, h.y, sum(CASE WHEN h.v < s.cut THEN n ELSE 0 END) AS a, sum(CASE WHEN h.v < s.cut THEN 0 ELSE n END) AS b
+      FROM s JOIN h ON s.group_id = h.group_id AND s.f = h.f GROUP BY ALL),
+e AS (SELECT group_id, sum(a) - max(a) + sum(b) - max(b) AS errors, (sum(a) > 0) AS cut, sum(a) + sum(b) AS m FROM o GROUP BY group_id, f, o.cut)
+SELECT group_id::BIGINT AS group_id, round(min(errors::DOUBLE / {SHARE} + CASE WHEN cut THEN {ALPHA}::DOUBLE * m::DOUBLE / total ELSE 0 END), 6) AS bound FROM e, t GROUP BY group_id"""
+
+ORACLES = {
+    "class_frequency": "SELECT 'lineitem' AS tab, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY ALL",
+    "majority_share": "SELECT round(max(n)::DOUBLE / sum(n)::DOUBLE, 9) AS share FROM (SELECT count(*) AS n FROM events GROUP BY event_type)",
+    "label_encode": "SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment)::INTEGER AS y FROM customer",
+    "one_hot": "SELECT c_custkey, array_to_string(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN i = y THEN 1 ELSE -1 END), ',') AS code, y AS decoded FROM (SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INTEGER AS y FROM customer)",
+    "minmax_scale": f"WITH {POINTS} SELECT l_orderkey, l_linenumber, f1, f2, f3 FROM p",
+    "drop_constant": "SELECT 'l_quantity' AS feature, min(l_quantity) AS low, max(l_quantity) AS high, min(l_quantity) <> max(l_quantity) AS kept FROM lineitem UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount), min(l_discount) <> max(l_discount) FROM lineitem UNION ALL SELECT 'one', 1.0::DOUBLE, 1.0::DOUBLE, false",
+    "feature_min_gap": "SELECT f::INTEGER AS f, round(coalesce(min(gap), 1e-10), 9) AS gap FROM (SELECT f, v - lag(v) OVER (PARTITION BY f ORDER BY v) AS gap FROM (SELECT DISTINCT 1 AS f, l_quantity AS v FROM lineitem UNION SELECT 2, l_discount FROM lineitem UNION SELECT 3, l_tax FROM lineitem)) GROUP BY f",
+    "stratified_split": f"SELECT o_orderkey, o_orderstatus, CASE WHEN i::DOUBLE / n <= 0.5 THEN 'train' WHEN i::DOUBLE / n <= 0.75 THEN 'valid' ELSE 'test' END AS split FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 7919) % {MODULUS}, o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)",
+    "route_leaf": f"WITH {POINTS} SELECT l_orderkey, l_linenumber, {sql_leaf(DEMO)} AS leaf FROM p",
+    "predict": f"WITH {POINTS} SELECT l_orderkey, l_linenumber, y, {sql_leaf(DEMO)} AS leaf, {sql_label(DEMO)} AS pred FROM p",
+    "tree_cost": f"WITH {POINTS} {sql_scores([DEMO])}",
+    "leaf_histogram": f"WITH {POINTS}, c AS (SELECT {sql_leaf(DEMO)} AS leaf, y, count(*) AS n FROM p GROUP BY ALL) SELECT leaf, y, n, first_value(y) OVER (PARTITION BY leaf ORDER BY n DESC, y) AS label FROM c",
+    "confusion": f"WITH {POINTS} SELECT y, {sql_label(DEMO)} AS pred, count(*) AS n FROM p GROUP BY ALL",
+    "prediction_agreement": f"WITH {POINTS} SELECT {sql_label(DEMO)} AS pred_a, {sql_label(OTHER)} AS pred_b, count(*) AS n FROM p GROUP BY ALL",
+    "accuracy_report": f"WITH {POINTS}, s AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY (l_orderkey * 7919) % {MODULUS}, l_orderkey, l_linenumber)::DOUBLE / count(*) OVER (PARTITION BY y) > 0.75 AS test FROM p) SELECT "
+    + ", ".join(f"round(100 * avg((({sql_label(t)}) = y)::INTEGER) FILTER (test = {flag}), 3) AS {part}_{name}" for name, t in (("a", DEMO), ("b", OTHER)) for part, flag in (("train", "false"), ("test", "true")))
+    + " FROM s",
+    "score_many_trees": f"WITH {POINTS} SELECT *, tree_id = first_value(tree_id) OVER (ORDER BY cost, tree_id) AS best FROM ({sql_scores(CANDIDATES)})",
+    "prune_and_score": f"WITH {POINTS} {sql_scores([tree.pruned(OTHER, shape) for shape in range(8)])}",
+    "merge_trees": _sql_merge(),
+    "best_stump": _STUMP,
+    "optimal_depth2": _DEPTH2,
+    "exact_tree": _DEPTH2,
+    "box_feasible": f"WITH {POINTS}, l AS (SELECT DISTINCT 1 AS f, f1 AS v FROM p UNION SELECT 2, f2 FROM p UNION SELECT 3, f3 FROM p), b(box_id, t, f, lo, hi) AS (VALUES {', '.join(map(str, RANGES))}), n AS (SELECT box_id, t, max(EXISTS (SELECT 1 FROM l WHERE l.f = b.f AND l.v BETWEEN b.lo::DOUBLE AND b.hi::DOUBLE)::INTEGER) AS hit FROM b GROUP BY box_id, t) SELECT box_id, min(hit) = 1 AS feasible FROM n GROUP BY box_id",
+    "leaf_reach": f"WITH {_REACH} SELECT p_partkey, y, array_to_string(reach, ',') AS reach, cost, lb FROM z",
+    "cf_bound": f"WITH {_REACH} {_closed('z', PART_BOX)}",
+    "cf_bound_lineitem": f"WITH {_REACH_L} {_closed('z', BOX)}",
+    "label_cover_counts": f"WITH {_REACH} SELECT y, array_to_string(reach, ',') AS reach, count(*) AS n FROM z GROUP BY ALL",
+    "label_cover_bound": f"WITH {_REACH_L}, n AS (SELECT y, reach, count(*) AS n FROM z GROUP BY ALL), a AS ({_COVER}), u AS (SELECT sum(CASE WHEN {' OR '.join(f'(list_contains(reach, {t}) AND c{t} = y)' for t in sorted(BOX.labels))} THEN 0 ELSE n END) AS errors FROM a, n GROUP BY {', '.join(f'c{t}' for t in sorted(BOX.labels))}) SELECT round(min(errors)::DOUBLE / {SHARE} + {ALPHA * BOX.least_splits}::DOUBLE, 6) AS bound FROM u",
+    "group_deal": f"WITH {CUSTOMERS} SELECT c_custkey, y, ({_DEAL} % {N_GROUPS})::BIGINT AS group_id FROM p",
+    "bootstrap_groups": f"WITH {CUSTOMERS}, q AS (SELECT *, row_number() OVER (ORDER BY (c_custkey * 7919) % {MODULUS}, c_custkey) - 1 AS i FROM p), d AS (SELECT DISTINCT g AS group_id, (g * 1000003 + j * 7919 + 3 * {MODULUS}) % (SELECT count(*) FROM p) AS i FROM range({N_BOOTSTRAP}) a(g), range(50) b(j)) SELECT group_id, c_custkey, y FROM d JOIN q USING (i)",
+    "group_bound": _GROUP1,
+    "embedding_features": f"WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label + 1)::INTEGER AS y FROM embeddings), r AS (SELECT min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2 FROM e), p AS (SELECT vec_id, y, (x1 - a1) / (b1 - a1) AS f1, (x2 - a2) / (b2 - a2) AS f2, 0.0::DOUBLE AS f3 FROM e, r) SELECT vec_id, y, {sql_leaf(DEMO)} AS leaf, {sql_label(DEMO)} AS pred FROM p",
+    "order_ranks": "SELECT event_type, first_id, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"begin\" FROM (SELECT event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY event_type)",
+    "class_lookup": "SELECT s_suppkey, s_acctbal, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "tree_nodes": "SELECT * FROM (VALUES " + ", ".join(f"({t}, 'branch', {DEMO.split[t][0] if t in DEMO.split else 'NULL'}, {DEMO.split[t][1] if t in DEMO.split else 'NULL'}::DOUBLE, {'true' if t in DEMO.split else 'false'}, NULL)" for t in DEMO.branches) + ", " + ", ".join(f"({t}, 'leaf', NULL, NULL, NULL, {DEMO.label.get(t, 0)})" for t in DEMO.leaves) + ") v(t, kind, feature, threshold, has_split, label)",
+}
