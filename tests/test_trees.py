@@ -115,6 +115,26 @@ def test_search_finds_the_optimum(spark, toy):
         Search(toy, ["f1", "f2"], 2, methods="MILP")
 
 
+def test_candidates_only_improve_the_incumbent(toy):
+    search = Search(toy, ["f1", "f2"], 2)
+    search.offer([Tree(2)])
+    costs = [search.ub]
+    search.bootstrap(toy, n_groups=3, size=20)
+    costs.append(search.ub)
+    search.offer(search.drawn(box.free(2, 2, 3), search.tree))
+    assert costs[0] >= costs[1] >= search.ub >= OPTIMUM[2][2]
+    b = box.free(2, 2, 3)
+    first, known = search.bound(b, 0.0)
+    again, same = search.bound(b, 0.0, known)
+    assert again == pytest.approx(first) and same == known
+
+
+def test_reachable_leaves_and_the_others(toy):
+    b = box.branch(box.free(2, 2, 3), "b", 1)[1]
+    found = bounds.reachability(toy, b, ["f1", "f2"]).withColumn("rest", bounds.unreachable(F.col("reach"), 2)).collect()
+    assert all(sorted(r.reach + r.rest) == [4, 5, 6, 7] for r in found)
+
+
 def test_numbering():
     assert tree.ancestors(6) == ([3], [1]) and tree.ancestors(1) == ([], [])
     assert tree.subtree(2, 2) == ([2], [4, 5]) and tree.subtree(1, 2) == ([1, 2, 3], [4, 5, 6, 7])

@@ -39,6 +39,11 @@ def reach(box: Box, features: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(ways[t], F.lit(t)) for t in sorted(ways)]))
 
 
+def unreachable(leaves: Column, depth: int) -> Column:
+    """The leaves of a depth that are not in the array ``leaves``."""
+    return F.array_except(F.sequence(F.lit(2**depth), F.lit(2 ** (depth + 1) - 1)), leaves)
+
+
 def leaf_costs(box: Box, leaves: Column, y: Column) -> tuple[Column, Column]:
     """A row's ``cost`` (0 or 1 where all trees agree, else -1) and its least cost ``lb`` over the reachable leaves."""
     known = {t: (F.lit(1) if not lab else F.when(~y.isin(sorted(lab)), 1).otherwise(0 if len(lab) == 1 else -1)) for t, lab in box.labels.items()}

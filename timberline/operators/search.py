@@ -15,13 +15,15 @@ from timberline.operators import bounds
 from timberline.operators.box import Box, branch, feasible, free, widest_threshold
 from timberline.operators.exact import gaps
 from timberline.operators.greedy import cart
-from timberline.operators.groups import deal, group_count
+from timberline.operators.groups import bootstrap, deal, group_count
 from timberline.operators.tree import Tree, leaf_counts, majority_labels, score
 
 GAP = 1e-2
 LOG = "iter long, open_nodes long, level int, lb double, ub double, gap double"
 #: Distinct feature values that may come to the driver for the feasibility test.
 MOST_VALUES = 1_000_000
+#: For each group its bound and best tree in some box, None if the box has no tree for it.
+Known = dict[int, tuple[float, Tree | None]]
 
 
 def next_variable(box: Box, seed: int) -> tuple[str, object] | None:
@@ -62,7 +64,7 @@ class Search:
             raise ValueError("too many distinct feature values: bin them first")
         self.values = {f: sorted(r.v for r in found if r.f == f) for f in range(1, len(features) + 1)}
         self.eps = np.array([gaps(np.array(self.values[f])[:, None])[0] for f in self.values])
-        n_groups = group_count(self.n, len(features), self.k, depth)
+        self.n_groups = n_groups = min(self.n, group_count(self.n, len(features), self.k, depth))
         self.groups = deal(points.select("row_id", *features, "y"), "y", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(104729)), "row_id", n_groups=n_groups, carry=True).persist()
         self.tree, self.ub = Tree(depth), float("inf")
         self.log: list[tuple] = []
@@ -82,27 +84,52 @@ class Search:
             if cost <= self.ub:
                 self.tree, self.ub = better, cost
 
-    def bound(self, box: Box, lb: float) -> float:
-        """The best bound of a box: each level only while the one before leaves a gap."""
+    def drawn(self, box: Box, tree: Tree, n: int = 8) -> list[Tree]:
+        """``tree`` with its thresholds drawn anew from the box, by a seed."""
+        random = np.random.default_rng(self.seed)
+        return [replace(tree, split={t: (f, float(random.uniform(*box.threshold[t]))) for t, (f, _) in tree.split.items()}) for _ in range(n)]
+
+    def bootstrap(self, points: DataFrame, n_groups: int = 6, size: int = 50, round_: int = 0) -> None:
+        """Offer the best trees of small groups drawn with repetition, whatever their box."""
+        order = F.pmod(F.xxhash64("row_id", F.lit(self.seed)), F.lit(104729))
+        drawn = bootstrap(points.select("row_id", *self.features, "y"), order, "row_id", n=self.n, n_groups=n_groups, size=size, round_=round_)
+        rows = bounds.group_bounds(drawn, free(self.depth, len(self.features), self.k), self.features, self.share, self.alpha, self.n, self.eps)
+        self.offer([bounds.tree_of(r, self.depth) for r in rows.collect()])
+
+    def bound(self, box: Box, lb: float, known: Known | None = None) -> tuple[float, Known]:
+        """The best bound of a box, each level only while the one before leaves a gap; and what each group came to.
+
+        ``known`` is what the groups came to in a box around this one. A group whose best tree still lies in the box
+        has the same bound here, and is not solved again.
+        """
+        known = known or {}
         if _closed(lb, self.ub, self.gap):
-            return lb
+            return lb, known
         if "MILP" in self.methods and any(len(lab) > 1 for lab in box.labels.values()):
             counts = [r.asDict() for r in bounds.cover_counts(self.cells, box, self.features, F.col("n")).collect()]
             lb = max(lb, bounds.label_cover(counts, box, self.share, self.alpha))
         if "SG" in self.methods and not _closed(lb, self.ub, self.gap):
-            rows = bounds.group_bounds(self.groups, box, self.features, self.share, self.alpha, self.n, self.eps).collect()
-            lb = max(lb, sum(r.bound for r in rows))
-            trees = [bounds.tree_of(r, self.depth) for r in rows if r.bound < float("inf")]
+            still = {g: k for g, k in known.items() if k[1] is not None and box.holds(k[1])}
+            rows = self.groups if not still else self.groups.where(~F.col("group_id").isin(list(still)))
+            if len(still) < self.n_groups:
+                for r in bounds.group_bounds(rows, box, self.features, self.share, self.alpha, self.n, self.eps).collect():
+                    still[r.group_id] = (r.bound, bounds.tree_of(r, self.depth) if r.bound < float("inf") else None)
+            known = still
+            lb = max(lb, sum(b for b, _ in known.values()))
+            trees = [t for _, t in known.values() if t is not None]
             self.offer(list({repr(t): t for t in trees}.values())[:64])
-        return lb
+        open_ = box.undetermined()
+        if not (open_["d"] or open_["a"] or open_["c"]):
+            self.offer(self.drawn(box, self.tree))
+        return lb, known
 
     def run(self, max_nodes: int = 1000, seconds: float = 14_400, start: Tree | None = None, shape: int = 0) -> tuple[Tree, float, float]:
         """Search until the gap is closed, nodes or time run out: the tree, its cost, and the bound certified for it."""
         began = time.monotonic()
         self.offer([start or cart(self.cells, self.features, self.depth, weight="n"), Tree(self.depth)])
         box = free(self.depth, len(self.features), self.k, shape)
-        lb = self.bound(box, bounds.closed_forms(self.cells, [box], self.features, self.share, self.alpha, F.col("n"))[0])
-        heap, given_up, seq = [(lb, 0, 1, box)], float("inf"), 0
+        lb, known = self.bound(box, bounds.closed_forms(self.cells, [box], self.features, self.share, self.alpha, F.col("n"))[0])
+        heap, given_up, seq = [(lb, 0, 1, box, known)], float("inf"), 0
         for i in range(max_nodes):
             while heap and _closed(heap[0][0], self.ub, self.gap):
                 given_up = min(given_up, heapq.heappop(heap)[0])
@@ -110,7 +137,7 @@ class Search:
             self.log.append((i, len(heap), heap[0][2] if heap else None, float(least), float(self.ub), (self.ub - least) / abs(least) if least else None))
             if not heap or time.monotonic() - began > seconds:
                 break
-            lb, _, level, box = heapq.heappop(heap)
+            lb, _, level, box, known = heapq.heappop(heap)
             variable = next_variable(box, self.seed + i)
             if variable is None:
                 given_up = min(given_up, lb)
@@ -118,7 +145,8 @@ class Search:
             halves = [b for b in branch(box, *variable) if feasible(b, self.values)]
             for half, value in zip(halves, bounds.closed_forms(self.cells, halves, self.features, self.share, self.alpha, F.col("n")), strict=True):
                 seq += 1
-                heapq.heappush(heap, (self.bound(half, max(lb, value)), -seq, level + 1, half))
+                found, groups = self.bound(half, max(lb, value), known)
+                heapq.heappush(heap, (found, -seq, level + 1, half, groups))
         least = min([given_up, self.ub, *[h[0] for h in heap]])
         return self.tree, self.ub, float(least)
 
