@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import table, written
+from timberline.llm.common import spread, table, written
 from timberline.llm.shingles import batches, mixed, word_hashes
 
 LEAST, GRAM = 50, 8
@@ -89,7 +89,7 @@ def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
 def repeated(found: DataFrame) -> DataFrame:
     """Rows of ``found`` whose key occurs twice or more."""
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return found.join(keys, "key", "left_semi")
+    return found.join(spread(keys), "key", "left_semi")
 
 
 def suffixes(docs: DataFrame, places: DataFrame, least: int, gram: int, window: int) -> DataFrame:
@@ -140,8 +140,25 @@ class _Rows:
         return left, same(self.ahead, np.minimum((self.words - self.position)[i], (self.words - self.position)[j]))
 
     def spans(self, mine: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+        """What rows ``mine`` share with ``other``: one span a row for earlier rows and one for later ones.
+
+        All spans of a row hold its suffix's start, so several are one. That for later rows is left out where
+        the one for earlier rows covers it.
+        """
         later = (self.doc[other] < self.doc[mine]) | (self.doc[other] == self.doc[mine]) & (self.position[other] < self.position[mine])
-        return [self.doc[mine], self.position[mine] - left, self.position[mine] + right, self.doc[other], later]
+        code = 2 * mine + later
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        if not len(first):
+            return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+        row, gone = code[order][first] // 2, code[order][first] % 2 == 1
+        begin = np.minimum.reduceat((self.position[mine] - left)[order], first)
+        end = np.maximum.reduceat((self.position[mine] + right)[order], first)
+        least = np.minimum.reduceat(self.doc[other][order], first)
+        low, high = np.full(self.n, np.iinfo(np.int64).max), np.full(self.n, -1)
+        low[row[gone]], high[row[gone]] = begin[gone], end[gone]
+        told = gone | (begin < low[row]) | (end > high[row])
+        return [self.doc[row][told], begin[told], end[told], least[told], gone[told]]
 
 
 def _compare(rows: pa.Table, least: int, pairs: np.ndarray | None = None) -> tuple[list[np.ndarray], pa.Table]:
@@ -160,14 +177,15 @@ def _compare(rows: pa.Table, least: int, pairs: np.ndarray | None = None) -> tup
     order = np.lexsort((x.position, x.doc, chain))
     first = order[np.concatenate([[True], chain[order][1:] != chain[order][:-1]])]
     told = np.flatnonzero(good if pairs is None else good & pairs)
-    found = [x.spans(told, told + 1, left[told], right[told]), x.spans(told + 1, told, left[told], right[told])]
     each = np.arange(x.n)
     least_one = first[chain]
     each, least_one = each[each != least_one], least_one[each != least_one]
-    left, right = x.agree(each, least_one)
-    keep = (left + right >= least) & ~((x.doc[each] == x.doc[least_one]) & (x.position[each] == x.position[least_one]))
-    found.append(x.spans(each[keep], least_one[keep], left[keep], right[keep]))
-    return [np.concatenate(c) for c in zip(*found, strict=True)], rows.slice(int(first[chain[n - 1]]), 1)
+    far_left, far_right = x.agree(each, least_one)
+    keep = (far_left + far_right >= least) & ~((x.doc[each] == x.doc[least_one]) & (x.position[each] == x.position[least_one]))
+    mine = np.concatenate([told, told + 1, each[keep]])
+    other = np.concatenate([told + 1, told, least_one[keep]])
+    lefts, rights = (np.concatenate([a[told], a[told], b[keep]]) for a, b in ((left, far_left), (right, far_right)))
+    return x.spans(mine, other, lefts, rights), rows.slice(int(first[chain[n - 1]]), 1)
 
 
 MATCH = "doc_id long, begin int, end int, other_id long, later boolean, edge binary"
@@ -243,8 +261,8 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
 
     Spans are in words (runs of non-white bytes, A-Z as a-z) from 0, the end exclusive. Rows with ``kept`` false
     are passages that were found to occur earlier (in a smaller doc_id, then place) as well: these can be cut out.
-    Rows with ``kept`` true are passages that occur later as well. ``other_id`` is the least document found to
-    share one. A passage that shares its first half with one document and its second half with another is in both. Repeats within one document count. Null and empty texts, and
+    Rows with ``kept`` true are passages that were found to occur later only. ``other_id`` is the least document
+    found to share one. Rows of both kinds can overlap where a passage is longer than what is shared earlier. Repeats within one document count. Null and empty texts, and
     those of fewer than ``least`` words, have none; rows that repeat a doc_id are searched, their spans joined;
     rows without a doc_id are left out; an empty table gives no rows; other columns are not read.
     """
