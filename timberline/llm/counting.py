@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table
+from timberline.llm.frugal import frugal
 
 LIMIT = 1024
 #: Bytes in a chunk, and of text handled at once.
@@ -317,7 +318,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 low = high
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(frugal(counted), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

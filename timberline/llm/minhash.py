@@ -3,7 +3,7 @@
 A signature has ``SYMBOLS`` b-bit MinHash symbols (b = 16) in chunks of ``CHUNK``. Two signatures that differ in
 at most ``2 * chunks - 1`` symbols have, by the pigeonhole principle, a chunk with at most one error; so each
 chunk is indexed once for every symbol that may be the wrong one, and all pairs within that distance share a key.
-Sets with a Jaccard similarity of 0.8 exceed it with a probability near 1e-5.
+Sets with a Jaccard similarity of 0.8 exceed it with a probability of 3e-6.
 
 Documents with one shingle set are one class from the start. Under a key the classes are tied to one hub, never
 to each other; each tie is confirmed on the full sets, best ties first, and only ties between components that are
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import small, table, written
+from timberline.llm.common import small, spread, table, written
 from timberline.llm.components import components
+from timberline.llm.frugal import frugal
 from timberline.llm.shingles import batches, minhashes, shingle_sets
 
 SYMBOLS, CHUNK = 48, 4
@@ -100,7 +101,7 @@ def signed(docs: DataFrame, width: int, index: Index) -> DataFrame:
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in signatures(sets, index)], pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
 
-    return docs.mapInArrow(made, SIGNED)
+    return docs.mapInArrow(frugal(made), SIGNED)
 
 
 def set_columns(sets: list[np.ndarray], index: Index) -> list[pa.Array]:
@@ -115,7 +116,7 @@ def full_sets(docs: DataFrame, width: int, index: Index) -> DataFrame:
             for ids, texts in _texts(batch):
                 yield pa.RecordBatch.from_arrays([ids, *set_columns(shingle_sets(texts, width), index)], ["doc_id", "n", "signature", "sketch", "items"])
 
-    return docs.mapInArrow(made, SETS)
+    return docs.mapInArrow(frugal(made), SETS)
 
 
 def keyed(signed: DataFrame, index: Index) -> DataFrame:
@@ -128,7 +129,7 @@ def keyed(signed: DataFrame, index: Index) -> DataFrame:
                 found = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, index.symbols)
                 yield pa.RecordBatch.from_arrays([pa.array(index.of(found).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), index.keys))], ["key", "doc_id"])
 
-    return signed.select("doc_id", "signature").mapInArrow(made, "key long, doc_id long")
+    return signed.select("doc_id", "signature").mapInArrow(frugal(made), "key long, doc_id long")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -148,7 +149,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(errors.astype(np.int64))], ["a", "b", "errors"]).filter(pa.array(errors <= most))
 
     joined = _both(pairs, sets, "n", "sketch").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return joined.select("a", "b", "a_sketch", "b_sketch").mapInArrow(kept, "a long, b long, errors long")
+    return joined.select("a", "b", "a_sketch", "b_sketch").mapInArrow(frugal(kept), "a long, b long, errors long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return _both(pairs.select("a", "b"), sets, "items").select("a", "b", "a_items", "b_items").mapInArrow(kept, "a long, b long")
+    return _both(pairs.select("a", "b"), sets, "items").select("a", "b", "a_items", "b_items").mapInArrow(frugal(kept), "a long, b long")
 
 
 def _dealt(members: DataFrame, group: str, size: str, block: int, *columns: str) -> DataFrame:
@@ -198,7 +199,7 @@ def _by_group(dealt: DataFrame, group: str, work: Callable[[pa.Table], tuple[np.
         if held is not None:
             yield done(held)
 
-    return dealt.mapInArrow(made, "a long, b long")
+    return dealt.mapInArrow(frugal(made), "a long, b long")
 
 
 def _pairs(g: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,10 +327,10 @@ def connected(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ind
     named = roots.withColumnRenamed("node", "doc_id")
     held = written(keyed(sets, index).join(hubs.select("key", "size"), "key").join(named, "doc_id"), "members")
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = held.join(mixed, "key", "left_semi").join(sets.select("doc_id", "n", "signature", "sketch"), "doc_id")
+    members = held.join(spread(mixed), "key", "left_semi").join(sets.select("doc_id", "n", "signature", "sketch"), "doc_id")
     clusters = components(across(members, index, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
     clusters = written(clusters, "clusters")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    sized = clusters.join(spread(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))), "cluster")
     members = sized.join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
     return _merged(roots, written(within(members, percent), "links"))
 

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import small, table, written
+from timberline.llm.common import small, spread, table, written
+from timberline.llm.frugal import frugal
 from timberline.llm.minhash import SETS, Bands, connected, set_columns, signatures
 from timberline.llm.shingles import batches, shingle_sets, word_hashes
 from timberline.llm.suffixes import anchored, grams, united
@@ -74,7 +75,7 @@ def paragraphs(docs: DataFrame, least: int, width: int, index: Bands) -> DataFra
                 columns = [pa.array(owner, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in symbols], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "begin", "words", "node", "symbols"])
 
-    return docs.mapInArrow(made, "doc_id long, begin int, words int, node long, symbols binary")
+    return docs.mapInArrow(frugal(made), "doc_id long, begin int, words int, node long, symbols binary")
 
 
 def paragraph_sets(docs: DataFrame, least: int, width: int, index: Bands) -> DataFrame:
@@ -86,7 +87,7 @@ def paragraph_sets(docs: DataFrame, least: int, width: int, index: Bands) -> Dat
                 sets = _paragraphs(ids, texts, least, width)[3]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), *set_columns(sets, index)], ["doc_id", "n", "signature", "sketch", "items"])
 
-    return docs.mapInArrow(made, SETS)
+    return docs.mapInArrow(frugal(made), SETS)
 
 
 def stretches(docs: DataFrame, least: int, passage: int) -> DataFrame:
@@ -103,7 +104,7 @@ def stretches(docs: DataFrame, least: int, passage: int) -> DataFrame:
                 keys = grams(words, least)[first[owner] + place]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ids, pa.int64()).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["node", "doc_id", "begin"])
 
-    return docs.mapInArrow(made, "node long, doc_id long, begin int")
+    return docs.mapInArrow(frugal(made), "node long, doc_id long, begin int")
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
@@ -135,7 +136,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
 
     pieces = written(stretches(docs, least, passage), "stretches")
     many = pieces.groupBy("node").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id <> last").drop("last")
-    pieces = written(pieces.join(many, "node").select("doc_id", "begin", (F.col("begin") + least).alias("end"), "keep_id", "node"), "repeated-stretches")
+    pieces = written(pieces.join(spread(many), "node").select("doc_id", "begin", (F.col("begin") + least).alias("end"), "keep_id", "node"), "repeated-stretches")
     mine = F.col("doc_id") == F.col("keep_id")
     parts = [united(pieces.where(which).withColumn("other_id", F.col("keep_id"))) for which in (mine, ~mine)]
     joined = parts[0].unionByName(parts[1]).select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", F.xxhash64("other_id").alias("component"), F.col("other_id").alias("keep_id"))

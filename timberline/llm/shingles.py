@@ -9,7 +9,7 @@ import numpy as np
 from timberline.llm.hashing import Multilinear
 
 #: Bytes of text handled at once.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def _is_white() -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.llm.common import spread, table, written
+from timberline.llm.frugal import frugal
 from timberline.llm.shingles import batches, mixed, word_hashes
 
 LEAST, GRAM = 50, 8
@@ -83,7 +84,7 @@ def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
                     owner, place, keys, _ = anchored(some, gram, window)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), ids.slice(low + start, len(some)).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["key", "doc_id", "position"])
 
-    return docs.mapInArrow(made, "key long, doc_id long, position int")
+    return docs.mapInArrow(frugal(made), "key long, doc_id long, position int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def suffixes(docs: DataFrame, places: DataFrame, least: int, gram: int, window:
     schema = pa.schema([("key", pa.int64()), ("ahead", pa.binary()), ("doc_id", pa.int64()), ("position", pa.int32()), ("words", pa.int32()), ("behind", pa.binary())])
     wanted = places.groupBy("doc_id").agg(F.array_distinct(F.collect_list("position")).alias("positions"))
     wanted = wanted.withColumnRenamed("doc_id", "_id")
-    return docs.join(wanted, docs["doc_id"] == wanted["_id"]).select("doc_id", "text", "positions").mapInArrow(made, SUFFIX)
+    return docs.join(wanted, docs["doc_id"] == wanted["_id"]).select("doc_id", "text", "positions").mapInArrow(frugal(made), SUFFIX)
 
 
 class _Rows:
@@ -219,7 +220,7 @@ def matches(ordered: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())] + [edge], names)
 
     names = [f.split(" ")[0] for f in MATCH.split(", ")]
-    return ordered.mapInArrow(made, MATCH)
+    return ordered.mapInArrow(frugal(made), MATCH)
 
 
 def _head(part: pa.Table, least: int) -> pa.Table:
