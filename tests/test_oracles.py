@@ -19,6 +19,9 @@ def con():
     return con
 
 
+SAME = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v.isoformat() if isinstance(v, datetime) else v
 
@@ -28,6 +31,9 @@ def test_twin(spark, con, name):
     df = catalog.QUERIES[name](spark, SMALL)
     found = con.execute(catalog.ORACLES[name])
     columns = [d[0] for d in found.description]
+    types = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {catalog.ORACLES[name]}").fetchall()}
+    found = con.execute(catalog.ORACLES[name])
+    assert {c: SAME.get(types[c], types[c]) for c in columns} == dict(df.dtypes)
     assert sorted(columns) == sorted(df.columns)
     want = sorted([tuple(map(plain, r)) for r in found.fetchall()], key=str)
     got = sorted([tuple(map(plain, r)) for r in df.select(columns).collect()], key=str)
