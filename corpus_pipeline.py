@@ -8,28 +8,41 @@ from timberline.llm import exact, langid, minhash, mixing, packing
 from timberline.llm.common import written
 
 
+#: Rows that go to a Python worker at once. Five stages share executors, and both sides hold such a batch.
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model tells; what it rejects goes."""
+    small_batches(spark)
     return langid.accepted_documents(docs, langid.fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact.kept_documents(docs, exact.dedup(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by shingles of five words."""
+    small_batches(spark)
     return exact.kept_documents(docs, minhash.near_duplicates(docs, width=5))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and the last of a source as far, as the mix takes them."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences."""
+    small_batches(spark)
     return packing.packed(docs)
 
 

@@ -97,3 +97,13 @@ def test_sequences(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, stages[-1].collect()))
+
+
+def test_awkward_rows_and_none(spark, awkward, nothing, tmp_path):
+    for name, docs in (("awkward", awkward), ("nothing", nothing)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SMALL).write.parquet(str(tmp_path / f"{name}{k}"))
+            columns = docs.columns
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+        assert (docs.count() > 0) == (name == "awkward")

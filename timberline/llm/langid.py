@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import small, table
+from timberline.llm.frugal import frugal
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
 SIZES = (2, 3, 4)
@@ -26,8 +27,8 @@ PER_LANGUAGE, MOST = 600, 6_000
 EPOCHS, BATCH, RATE = 6, 16, 4.0
 #: Share of accepted languages' own documents that calibration may reject.
 REJECTED = 0.001
-#: Code points handled at once; longer texts are cut at a blank.
-BLOCK = 1_000_000
+#: Code points handled at once; a text longer than ``BLOCK`` is cut at a blank.
+HELD, BLOCK = 250_000, 1_000_000
 UNKNOWN = "und"
 
 _odd = np.random.default_rng(23).integers(1, 1 << 31, 4).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -114,7 +115,7 @@ class Model:
                 held.append(block)
                 owners.append(i)
                 size += len(block)
-                if size > BLOCK:
+                if size > HELD:
                     flush()
                     size = 0
         if held:
@@ -223,7 +224,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) ->
         rows = pd.concat([pd.DataFrame({"text": [], "_lang": [], "_hash": []}), *batches]).sort_values(["_hash", "_lang"])
         yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["_lang"].tolist()))]})
 
-    return pickle.loads(drawn.coalesce(1).mapInPandas(work, "model binary").first()[0])
+    found = drawn.coalesce(1).mapInPandas(frugal(work), "model binary").first()
+    return pickle.loads(found[0]) if found else train([], [])  # a table without files has no task
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -242,7 +244,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return docs.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return docs.mapInArrow(frugal(work), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -256,7 +258,7 @@ def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(low, 1024)
                 yield part.filter(pa.array(shared.value.predict(part.column(at).to_pylist())[2], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(frugal(work), docs.schema)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

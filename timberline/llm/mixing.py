@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import WORD, table, words_in, written
+from timberline.llm.common import WORD, small, table, words_in, written
 
 CYCLE = (3, 1, 2)
 SHARE = 1.5
@@ -42,17 +42,18 @@ def targets(by_source: DataFrame, cycle: Sequence[int] = CYCLE, share: float = S
     return leveled.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))).select("source", "skey", "source_size", "weight", "target")
 
 
-def plan(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text, source``): ``doc_id, source, size, source_size, target, taken``.
+def _skey() -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("!"))
 
-    Every document of a source gets ``floor(target / source_size)`` whole repetitions. The remaining words are
-    taken from its documents in the order of a seeded hash, the last one in part, so each source meets its
-    target to the word. Null texts have size 0 and are taken 0 times; a null source is a source of its own,
-    ranked last; repeated rows each count; an empty table gives no rows. Other columns are not read.
-    """
-    skey = F.coalesce(F.concat(F.lit("="), "source"), F.lit("!"))
-    draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sizes = written(docs.select("doc_id", "source", skey.alias("skey"), draw.alias("draw"), words_in(F.col("text")).alias("size")), "mix-sizes")
+
+def _draw(seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
+def _placed(docs: DataFrame, cycle: Sequence[int], share: float, epochs: int, seed: int) -> DataFrame:
+    """Rows ``doc_id, source, skey, draw, size, source_size, target, whole, extra``."""
+    sizes = written(docs.select("doc_id", "source", _skey().alias("skey"), _draw(seed).alias("draw"), words_in(F.col("text")).alias("size")), "mix-sizes")
     sizes = sizes.withColumn("bucket", F.substring("draw", 1, 3))
     buckets = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     by_source = targets(buckets.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), cycle, share, epochs)
@@ -65,27 +66,43 @@ def plan(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, ep
     inside = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cuts, ["skey", "bucket"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("prior") - F.col("inner")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"))
+    return placed.select("doc_id", "source", "skey", "draw", "size", "source_size", "target", "whole", extra.alias("extra"))
+
+
+def plan(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text, source``): ``doc_id, source, size, source_size, target, taken``.
+
+    Every document of a source gets ``floor(target / source_size)`` whole repetitions. The remaining words are
+    taken from its documents in the order of a seeded hash, the last one in part, so each source meets its
+    target to the word. Null texts have size 0 and are taken 0 times; a null source is a source of its own,
+    ranked last; repeated rows each count; an empty table gives no rows. Other columns are not read.
+    """
+    placed = _placed(docs, cycle, share, epochs, seed)
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """``docs`` as the plan takes them: a row per whole repetition, and one with the first
-    words, joined by single spaces, for a part.
+    """``docs`` as the plan takes them: a row per whole repetition, and one with the first words, joined by single
+    spaces, for a part.
 
-    All columns of ``docs`` stay; ``n_chars``, if there, is that of the text in the row. Documents of size 0
-    are not words of any source and go. Rows that share a doc_id and a size share their repetitions.
+    The plan comes to one row a source: its whole repetitions, and the last document that is taken once more. So
+    texts stay where they are, and each is compared with its source's row. All columns of ``docs`` stay; ``n_chars``,
+    if there, is that of the text in the row. Documents of size 0 are not words of any source and go. Where several
+    rows with one doc_id and size are the last of a source, each is taken as far as the first.
     """
-    taken = plan(docs, cycle, share, epochs, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    taken = taken.agg(F.max("taken").alias("_taken"))
-    sized = docs.withColumn("_words", words_in(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    joined = sized.join(taken, on)
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
-    parts = F.concat(F.array_repeat(F.col("_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("_part", F.explode(parts))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_part").cast("int")), " ")
-    text = F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(cut)
-    out = rows.withColumn("text", text)
+    placed = _placed(docs, cycle, share, epochs, seed)
+    last = F.max(F.when(F.col("extra") > 0, F.struct("draw", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "size", "extra")))
+    rule = written(placed.groupBy("skey").agg(F.first("whole").alias("_mix_whole"), last.alias("_mix_last")).withColumnRenamed("skey", "_mix_skey"), "mix-rule")
+    known = docs.withColumns({"_mix_key": _skey(), "_mix_size": words_in(F.col("text"))})
+    known = known.join(small(rule, rule.count()), F.col("_mix_key") == F.col("_mix_skey")).where("_mix_size > 0")
+    mine = F.struct(_draw(seed).alias("draw"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("_mix_size").alias("size"))
+    end = F.struct(F.col("_mix_last.draw"), F.col("_mix_last.doc_id"), F.col("_mix_last.size"))
+    extra = F.when(F.col("_mix_last").isNull() | (mine > end), F.lit(0)).when(mine < end, F.col("_mix_size")).otherwise(F.col("_mix_last.extra"))
+    known = known.withColumn("_mix_extra", extra.cast("long"))
+    parts = F.concat(F.array_repeat("_mix_size", F.col("_mix_whole").cast("int")), F.when(F.col("_mix_extra") > 0, F.array("_mix_extra")).otherwise(F.array().cast("array<bigint>")))
+    rows = known.withColumn("_mix_part", F.explode(parts))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_mix_part").cast("int")), " ")
+    out = rows.withColumn("text", F.when(F.col("_mix_part") == F.col("_mix_size"), F.col("text")).otherwise(cut))
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
 

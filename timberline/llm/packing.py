@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import table, written
+from timberline.llm.frugal import frugal
 from timberline.llm.hashing import Multilinear, Numbering
 
 LENGTH = 4096
@@ -26,9 +27,9 @@ END = 1
 #: Pieces in a group, on average.
 GROUP = 20_000
 #: Distinct words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Code points that are cut at white space and handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -210,7 +211,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names[: len(columns)])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(pieces, PIECES + (", ids array<long>" if with_ids else ""))
+    return docs.mapInArrow(frugal(pieces), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
