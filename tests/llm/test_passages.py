@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from timberline.llm import passages
+from timberline.llm import borders, passages
 from tests.conftest import SMALL
 
 
@@ -98,3 +98,58 @@ def test_bands_reach_the_recall(percent, rows):
     bands = passages.tuned(percent, rows, 0.99)
     hit = lambda b: 1 - (1 - (percent / 100) ** rows) ** b
     assert hit(bands) >= 0.99 > hit(bands - 1)
+
+
+def brute_words(rows, least, earlier):
+    """Words of each document within ``least`` words that an earlier (or any other) document has, by all runs of words."""
+    where, out = defaultdict(set), defaultdict(set)
+    texts = {i: words(t) for i, t in rows}
+    for i, w in texts.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add(i)
+    for i, w in texts.items():
+        for k in range(len(w) - least + 1):
+            if any(j < i if earlier else j != i for j in where[tuple(w[k : k + least])]):
+                out[i] |= set(range(k, k + least))
+    return dict(out)
+
+
+def reported(found, kept=(False, True)):
+    out = defaultdict(set)
+    for r in found:
+        if r.kind == "stretch" and r.kept in kept:
+            out[r.doc_id] |= set(range(r.begin, r.end))
+    return dict(out)
+
+
+@pytest.mark.parametrize("chunk", [8192, 3])
+def test_stretches_reach_the_borders(spark, monkeypatch, chunk):
+    monkeypatch.setattr(borders, "CHUNK", chunk)
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, i = [], 0
+    for length in [51, 51, 52, 60, 77, 120, 200] * 3:
+        passage = fresh(length)
+        for _ in range(r.randrange(2, 5)):
+            before, behind = fresh(r.choice([0, 3, 40])), fresh(r.choice([0, 2, 70]))
+            rows.append((i := i + 1, " ".join(before + passage + behind)))
+    for _ in range(12):  # later documents share more than the first, on either side or both
+        passage = fresh(160)
+        for _ in range(6):
+            low, high = r.randrange(0, 55), r.randrange(106, 161)
+            rows.append((i := i + 1, " ".join(fresh(r.randrange(0, 9)) + passage[low:high] + fresh(r.randrange(0, 9)))))
+    passage = fresh(55)
+    rows += [(i + 1 + k, " ".join(fresh(8) + passage + fresh(8))) for k in range(60)]  # a common one
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = passages.repeated_passages(df).collect()
+    assert reported(found, [False]) == brute_words(rows, 51, True)
+    assert reported(found) == brute_words(rows, 51, False)
+
+
+def test_repeated_words_of_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for kept, earlier in (([False], True), ([False, True], False)):
+        got, must, can = reported(found, kept), brute_words(rows, 51, earlier), brute_words(rows, 25, earlier)
+        assert all(must[i] <= got.get(i, set()) for i in must) and all(got[i] <= can.get(i, set()) for i in got)

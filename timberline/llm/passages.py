@@ -4,7 +4,7 @@ Two kinds of units are compared. Paragraphs (lines of ``LEAST`` words or more) a
 Jaccard similarity of their five-word shingles is high enough; bands are tuned so that such a pair collides in one
 with a set recall, and keys that hold several components are searched for links between them. Passages within running text do not keep a paragraph's borders: these are found by stretches of
 ``LEAST`` words that start at minimisers, of which every passage of ``PASSAGE`` words holds one, under a single band,
-the stretch itself. Classes of equal units are formed before anything is dealt out by key; under a key they are tied
+the stretch itself, and extended both ways to the borders of what documents share. Classes of equal units are formed before anything is dealt out by key; under a key they are tied
 to one hub. Components decide which document keeps a passage.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm.borders import extended
 from timberline.llm.common import small, spread, table, written
 from timberline.llm.frugal import frugal
 from timberline.llm.minhash import SETS, Bands, connected, set_columns, signatures
@@ -112,7 +113,8 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
 
     ``begin`` and ``end`` count words (runs of non-white bytes, A-Z as a-z) of the text from 0, the end exclusive;
     ``kind`` is ``paragraph`` or ``stretch`` (joined where they overlap). Of a component the smallest doc_id keeps
-    its passages, the others can cut them; repeats within one document alone do not count. Null, empty and short
+    its passages, the others can cut them. Stretches reach to the borders of the longest agreement: those not kept, with
+    smaller doc_ids; where larger ones agree further, the document has a kept row as well. Repeats within one document alone do not count. Null, empty and short
     texts have none; rows that repeat a doc_id count as one document; rows without a doc_id are left out; an empty
     table gives no rows; other columns are not read.
     """
@@ -137,6 +139,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
     pieces = written(stretches(docs, least, passage), "stretches")
     many = pieces.groupBy("node").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id <> last").drop("last")
     pieces = written(pieces.join(spread(many), "node").select("doc_id", "begin", (F.col("begin") + least).alias("end"), "keep_id", "node"), "repeated-stretches")
+    pieces = extended(docs, pieces, least, passage - least)
     mine = F.col("doc_id") == F.col("keep_id")
     parts = [united(pieces.where(which).withColumn("other_id", F.col("keep_id"))) for which in (mine, ~mine)]
     joined = parts[0].unionByName(parts[1]).select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", F.xxhash64("other_id").alias("component"), F.col("other_id").alias("keep_id"))
