@@ -191,7 +191,7 @@ def prediction_agreement(spark, sf_dir):
 
 def accuracy_report(spark, sf_dir):
     """Accuracies in percent of two trees on the train and test part, as one row."""
-    df = prep.stratified_split(points(spark, sf_dir), "y", F.pmod(F.col("l_orderkey") * 7919, F.lit(MODULUS)), "l_orderkey", "l_linenumber")
+    df = prep.stratified_split(points(spark, sf_dir), "y", F.pmod(F.col("l_orderkey") * 7919, F.lit(MODULUS)), "l_orderkey", "l_linenumber", *FEATURES)  # the keys repeat
     cols = [F.round(100 * F.avg(F.when((F.col("split") == "test") == F.lit(test), (tree.label_at(t, tree.leaf(t, FEATURES)) == F.col("y")).cast("double"))), 3).alias(f"{part}_{name}") for name, t in (("a", DEMO), ("b", OTHER)) for part, test in (("train", False), ("test", True))]
     return df.agg(*cols)
 
@@ -457,7 +457,7 @@ ORACLES = {
     "leaf_histogram": f"WITH {POINTS}, c AS (SELECT {sql_leaf(DEMO)} AS leaf, y, count(*) AS n FROM p GROUP BY ALL) SELECT leaf, y, n, first_value(y) OVER (PARTITION BY leaf ORDER BY n DESC, y) AS label FROM c",
     "confusion": f"WITH {POINTS} SELECT y, {sql_label(DEMO)} AS pred, count(*) AS n FROM p GROUP BY ALL",
     "prediction_agreement": f"WITH {POINTS} SELECT {sql_label(DEMO)} AS pred_a, {sql_label(OTHER)} AS pred_b, count(*) AS n FROM p GROUP BY ALL",
-    "accuracy_report": f"WITH {POINTS}, s AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY (l_orderkey * 7919) % {MODULUS}, l_orderkey, l_linenumber)::DOUBLE / count(*) OVER (PARTITION BY y) > 0.75 AS test FROM p) SELECT "
+    "accuracy_report": f"WITH {POINTS}, s AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY (l_orderkey * 7919) % {MODULUS}, l_orderkey, l_linenumber, f1, f2, f3)::DOUBLE / count(*) OVER (PARTITION BY y) > 0.75 AS test FROM p) SELECT "
     + ", ".join(f"round(100 * avg((({sql_label(t)}) = y)::INTEGER) FILTER (test = {flag}), 3) AS {part}_{name}" for name, t in (("a", DEMO), ("b", OTHER)) for part, flag in (("train", "false"), ("test", "true")))
     + " FROM s",
     "score_many_trees": f"WITH {POINTS} SELECT *, tree_id = first_value(tree_id) OVER (ORDER BY cost, tree_id) AS best FROM ({sql_scores(CANDIDATES)})",
