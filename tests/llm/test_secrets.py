@@ -80,3 +80,26 @@ def test_more_spans_are_added(spark):
     row = secrets.scan(df).first()
     assert row.spans == "forge:2:46,hex:6:46,private:49:76"
     assert row.n_hex == 1
+
+
+def test_terms_of_a_text(spark):
+    """The one pass finds just the trigrams that a text holds."""
+    terms = sorted(set().union(*(secrets.terms_of(secrets.trigram_query(r.pattern)) for r in [*secrets.BASE, *secrets.MORE])))
+    texts = [(i, t) for i, t in [*noise(300, 8), (300, " ".join(terms)), (301, None), (302, "")]]
+    found = secrets.postings(spark.createDataFrame(texts, "doc_id long, text string"), terms).collect()
+    want = [(t, i) for i, text in texts for t in terms if t in (text or "").lower()]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_many_matches_in_one_text(spark):
+    """A dump of 100,000 hex runs and one of as many assignments, each in seconds."""
+    import time
+
+    run = "0123456789abcdef"
+    texts = [(1, "\n".join(f"{run} é" for _ in range(100_000))), (2, " ".join("Token=abcdefghijklmnop" for _ in range(100_000))), (3, "eyJ" * 200_000), (4, "-----BEGIN " * 50_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    secrets.scan(df.limit(1)).count()
+    start = time.monotonic()
+    found = secrets.scan(df).collect()
+    assert time.monotonic() - start < 30
+    assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in found), key=str) == expected(texts)

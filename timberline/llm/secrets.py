@@ -50,8 +50,9 @@ MORE = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("signed", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # Repeats before a later part are bounded: a crafted run cannot make the regex start over at each of its places.
+    Rule("signed", r"eyJ[A-Za-z0-9_-]{1,500}\.eyJ[A-Za-z0-9_-]{1,8000}\.[A-Za-z0-9_-]+"),
+    Rule("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 
 #: A query is True (any text), a trigram, or ("and" | "or", its parts).
@@ -144,39 +145,66 @@ def _holds(query: Query, has: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
 
 
+def any_term(terms: list[str]) -> str:
+    """A pattern that captures the term at each place of a text; a trie of the terms, so that most places fail at once."""
+
+    def trie(tails: list[str]) -> str:
+        if tails == [""]:
+            return ""
+        by_first = {c: sorted(t[1:] for t in tails if t[0] == c) for c in sorted({t[0] for t in tails})}
+        parts = [re.escape(c) + trie(rest) for c, rest in by_first.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    firsts = "".join(re.escape(c) for c in sorted({t[0] for t in terms}))
+    return f"(?=[{firsts}])(?=({trie(sorted(terms))}))"
+
+
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """The inverted index: rows ``term`` (its place in ``terms``), ``doc_id``, on shared files."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    there = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(terms)])
-    return written(low.select(F.explode(F.array_compact(there)).alias("term"), "doc_id"), "postings")
+    """The inverted index: rows ``term, doc_id``, on shared files. One pass over each text finds the terms it holds."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_term(terms)), F.lit(1)))
+    return written(docs.select(F.explode(held).alias("term"), "doc_id"), "postings")
 
 
 def candidates(index: DataFrame, terms: list[str], queries: list[Query]) -> DataFrame:
     """``doc_id, rules``: the places in ``queries`` of those that hold for the document's postings."""
     got = index.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    has = {t: F.array_contains("terms", i) for i, t in enumerate(terms)}
+    has = {t: F.array_contains("terms", t) for t in terms}
     rules = F.array_compact(F.array(*[F.when(_holds(q, has), F.lit(i)) for i, q in enumerate(queries)]))
     return got.select("doc_id", rules.alias("rules")).where(F.size("rules") > 0)
 
 
+def running(numbers: Column) -> Column:
+    """The running sums of an array, by doubling: as many passes as its size has bits, none of them grows an array."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + 1)).cast("int"))
+
+    def doubled(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    return F.aggregate(rounds, numbers, doubled)
+
+
 def _spans(rule: Rule, order: int, active: Column) -> Column:
-    """Spans of one rule in ``text`` as an array of (start, order, end, kind), in code points."""
+    """Spans of one rule in ``text`` as an array of (start, order, end, kind), in code points.
+
+    What lies between the matches tells where they are: a match ends behind all text and matches up to it. So the work
+    is that of a few passes over the text and over its matches, however many there are.
+    """
     pattern = F.lit(f"({rule.pattern})")
     whole = F.regexp_extract_all("text", pattern, F.lit(1))
     asked = F.regexp_extract_all("text", pattern, F.lit(rule.group + 1))
-    found = F.when(active, F.arrays_zip(whole.alias("whole"), asked.alias("asked")))
-    kind = "struct<at:int,spans:array<struct<start:int,order:int,end:int,kind:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
+    sizes = F.transform(whole, F.length)
 
-    def step(done: Column, match: Column) -> Column:
-        start = F.call_function("locate", match["whole"], F.col("text"), done["at"] + 1) - 1
-        end = start + F.length(match["whole"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        added = F.when(F.length(match["asked"]) >= rule.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct(end.alias("at"), added.alias("spans")).cast(kind)
+    def placed(sizes: Column) -> Column:
+        steps = F.zip_with(F.slice(F.transform(F.split("text", F.lit(rule.pattern), -1), F.length), F.lit(1), F.size(sizes)), sizes, lambda gap, size: gap + size)
+        ends = running(steps)
+        kept = F.transform(F.arrays_zip(ends.alias("end"), sizes.alias("size"), F.transform(asked, F.length).alias("asked")), lambda m: F.struct((m["end"] - m["size"]).alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(rule.kind).alias("kind"), m["asked"].alias("asked")))
+        kept = F.filter(kept, lambda m: m["asked"] >= rule.least)
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["order"].alias("order"), m["end"].alias("end"), m["kind"].alias("kind")))
 
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return F.coalesce(F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda done: done["spans"])), none)
+    found = F.transform(F.array(sizes), lambda s: F.when(F.size(s) > 0, placed(s)).otherwise(none))[0]
+    return F.coalesce(F.when(active, found), none)
 
 
 def _joined(spans: Column) -> Column:
