@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from timberline.llm import counting
@@ -37,3 +38,44 @@ def test_random_texts(monkeypatch):
         counter = counting.Counter(counting.vocabulary_path())
         some = texts if chunk > 1 else texts[:100]
         assert counter.counts(some) == want[: len(some)] and counter.counts(some) == want[: len(some)]
+
+
+def test_long_words():
+    """Words of a million letters without any border, of many kinds, and in time that grows as their length."""
+    import time
+
+    library = Tokenizer.from_file(counting.vocabulary_path())
+    r = random.Random(2)
+    texts = ["a" * 1_000_000, "ACGT" * 100_000, "".join(r.choice("acgt") for _ in range(1_000_000)), "=" * 300_000, "x" + "-" * 100_001, "".join(r.choice("etaoinsh") for _ in range(200_000)), "word " + "日本" * 100_000]
+    counter = counting.Counter(counting.vocabulary_path())
+    for text in texts:
+        assert counter.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    times = []
+    for n in (500_000, 4_000_000):
+        start = time.monotonic()
+        counter.counts(["".join(r.choice("acgt") for _ in range(n))])
+        times.append(time.monotonic() - start)
+    assert times[1] < 16 * times[0] + 2
+
+
+def test_states_are_forgotten_on_the_way(monkeypatch):
+    monkeypatch.setattr(counting, "KEPT", 200)
+    library = Tokenizer.from_file(counting.vocabulary_path())
+    r = random.Random(6)
+    texts = ["".join(r.choice("etaoinsh") for _ in range(20_000)), "aab" * 5_000, " ".join("".join(r.choice("abc-1") for _ in range(r.randint(1, 900))) for _ in range(30))]
+    assert counting.Counter(counting.vocabulary_path()).counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_maps_are_composed():
+    r = random.Random(3)
+    for _ in range(50):
+        n, k = r.randint(1, 40), r.randint(1, 4)
+        maps = [[r.randrange(k) for _ in range(k)] for _ in range(n)]
+        chunk, entry = (x.ravel() for x in np.mgrid[0:n, 0:k])
+        ends = np.array(maps).ravel()
+        taken = counting.composed(chunk, entry, ends, (chunk == 0) & (entry == 0), chunk < n - 1)
+        now, want = 0, []
+        for m in maps:
+            want.append(now)
+            now = m[now]
+        assert entry[taken].tolist() == want and chunk[taken].tolist() == list(range(n))

@@ -4,8 +4,8 @@ A byte-level merge vocabulary is compiled into a deterministic transducer: its s
 a word can still depend on, and each transition carries by how much the word's token count changes. States are
 made when a text first reaches them. Splitting into words depends on a few neighbouring characters only, so it
 is done for all positions at once. Texts are cut into chunks of equal size that run side by side: behind its
-first word start a chunk's state map is constant; what lies before it is open and is composed, chunk after
-chunk, with the exit state of the chunk before.
+first word start a chunk's state map is constant; for what lies before it, maps from the entry states that can
+occur to exit state and count are made, and composed over all chunks by a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from timberline.llm.frugal import frugal
 LIMIT = 1024
 #: Bytes in a chunk, and of text handled at once.
 CHUNK, BATCH = 256, 6_000_000
-#: Transitions a worker keeps before it forgets all and starts anew.
+#: Transitions a worker keeps before it forgets all but the states that it is in.
 KEPT = 1_000_000
 
 #: Odd multiplier that spreads keys over a hash table.
@@ -88,6 +88,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Trail:
+    """State and count behind each byte that a run has passed, -1 elsewhere."""
+
+    def __init__(self, n: int) -> None:
+        self.state, self.count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+
+
+def composed(chunk: np.ndarray, entry: np.ndarray, ends: np.ndarray, certain: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Which entries of the chunks' state maps are those of the text.
+
+    Each is a pair of ``chunk`` and ``entry``; where ``on``, it leads to the next chunk's entry that it ends in. The maps
+    are composed with themselves, 1, 2, 4 chunks on, so that after as many rounds as the number of chunks has bits
+    all entries that follow from the ``certain`` ones are known.
+    """
+    codes = chunk << 32 | entry
+    order = np.argsort(codes)
+    after = np.arange(len(codes))
+    after[on] = order[np.searchsorted(codes[order], (chunk[on] + 1) << 32 | ends[on])]
+    reached = certain.copy()
+    while True:
+        reached[after[reached]] = True
+        further = after[after]
+        if (further == after).all():
+            return reached
+        after = further
+
+
 class Transducer:
     """Counts tokens of words. A state lists, for each earlier cut from which a token may still grow, the place in
     the trie of tokens that the bytes since then reach, the last token before the cut, and the tokens since.
@@ -208,27 +235,75 @@ class Transducer:
             self.to[at[won]], self.more[at[won]] = to[left[won]], more[left[won]]
             left = left[~won]
 
-    def run(self, data: np.ndarray, starts: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Run stretches of ``data`` side by side from the given states: their exit states and counts."""
+    def _shrink(self, live: list[np.ndarray], trail: Trail | None) -> None:
+        """Forget all states but those in ``live``, which are numbered anew in place; a trail loses the others."""
+        used = np.unique(np.concatenate([np.zeros(1, np.int64), *live]))
+        number = np.full(len(self.states), -1, np.int64)
+        number[used] = np.arange(len(used))
+        states = [self.states[i] for i in used.tolist()]
+        self.forget()
+        self.states, self.number = states, {s: i for i, s in enumerate(states)}
+        for held in live:
+            held[:] = number[held]
+        if trail is not None:
+            trail.state[:] = np.where(trail.state >= 0, number[trail.state], -1)
+
+    def _step(self, data: np.ndarray, place: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind the bytes at ``place``, and the changes of the counts."""
+        keys = state << 8 | data[place]
+        at = self._slots(keys)
+        if len(new := np.flatnonzero(self.keys[at] < 0)):
+            self._add(np.unique(keys[new]).tolist())
+            at = self._slots(keys)
+        return self.to[at], self.more[at]
+
+    def run(self, data: np.ndarray, starts: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, trail: Trail | None = None, held: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Run stretches of ``data`` side by side from the given states: their exit states and counts.
+
+        A ``trail`` takes down the state and count behind every byte. ``held``: arrays of states that are still needed.
+        """
         order = np.argsort(-length, kind="stable")
         begin, length, now = begin[order], length[order], state[order].astype(np.int64)
         count = np.zeros(len(order), np.int64)
         for t in range(int(length[0]) if len(length) else 0):
             m = int(np.searchsorted(-length, -t, "left"))
             p = begin[:m] + t
-            keys = np.where(starts[p], 0, now[:m]) << 8 | data[p]
-            at = self._slots(keys)
-            if len(new := np.flatnonzero(self.keys[at] < 0)):
-                self._add(np.unique(keys[new]).tolist())
-                at = self._slots(keys)
-            now[:m] = self.to[at]
-            count[:m] += self.more[at]
+            now[:m], more = self._step(data, p, np.where(starts[p], 0, now[:m]))
+            count[:m] += more
+            if trail is not None:
+                trail.state[p], trail.count[p] = now[:m], count[:m]
+            if self.used > KEPT:
+                self._shrink([now, *held], trail)
         out, counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         out[order], counts[order] = now, count
         return out, counts
 
+    def follow(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, trail: Trail, ends: np.ndarray, counts: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """As ``run`` within words, from other states than ``trail`` began with: a run that meets it has its end and rest."""
+        now, count = state.astype(np.int64), np.zeros(len(begin), np.int64)
+        ends = ends.copy()
+        left, t = np.arange(len(begin)), 0
+        while len(left):
+            p = begin[left] + t
+            now[left], more = self._step(data, p, now[left])
+            count[left] += more
+            met = trail.state[p] == now[left]
+            count[left[met]] += (counts[left] - trail.count[p])[met]
+            now[left[met]] = ends[left[met]]
+            t += 1
+            left = left[~met & (t < length[left])]
+            if self.used > KEPT:
+                self._shrink([now, ends, *held], trail)
+        return now, count
+
     def stretches(self, data: np.ndarray, starts: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens in each stretch of ``data``; each starts with a word."""
+        """Tokens in each stretch of ``data``; each starts with a word.
+
+        Behind its first word start a chunk does not depend on the chunk before. What lies before it is the chunk's
+        head, whose state map is made for the entry states that can occur: those in which maps of the chunk before
+        end, at first the state of a new word. Runs from different states soon meet, so that two rounds over all
+        heads at once close the maps of most texts; a run of one character takes as many as its tokens have phases.
+        """
         chunks = -(-length // CHUNK)
         owner = np.repeat(np.arange(len(begin)), chunks)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -237,16 +312,28 @@ class Transducer:
         marks = np.flatnonzero(starts)
         first = np.minimum(np.concatenate([marks, [len(starts)]])[np.searchsorted(marks, low)], high)
         exits, counts = self.run(data, starts, first, high - first, np.zeros(len(low), np.int64))
-        known = first < high  # chunks whose exit does not depend on their entry
-        open_ = np.flatnonzero(first > low)
-        while len(open_):
-            ready = open_[known[open_ - 1]]
-            states, more = self.run(data, starts, low[ready], first[ready] - low[ready], exits[ready - 1])
-            counts[ready] += more
-            whole = first[ready] == high[ready]
-            exits[ready[whole]] = states[whole]
-            known[ready] = True
-            open_ = open_[~np.isin(open_, ready)]
+        headed, whole = first > low, first == high
+        heads = np.flatnonzero(headed)
+        if len(heads):
+            trail, place = Trail(len(data)), np.zeros(len(low), np.int64)
+            place[heads] = np.arange(len(heads))
+            chunk, entry = heads, np.where(whole[heads - 1], 0, exits[heads - 1])
+            ends, tokens = self.run(data, starts, low[heads], (first - low)[heads], entry, trail, (entry,))
+            base, new = tokens.copy(), slice(0, None)
+            while True:
+                on = whole[chunk[new]] & headed[np.minimum(chunk[new] + 1, len(low) - 1)] & (chunk[new] + 1 < len(low))
+                codes = np.unique((chunk[new][on] + 1) << 32 | ends[new][on])
+                codes = codes[~np.isin(codes, chunk << 32 | entry)]
+                if not len(codes):
+                    break
+                more, state = codes >> 32, codes & 0xFFFFFFFF
+                at = place[more]
+                held = (entry, ends, state)
+                out, n = self.follow(data, low[more], (first - low)[more], state, trail, ends[at], base[at], held)
+                new = slice(len(chunk), None)
+                chunk, entry, ends, tokens = (np.concatenate(x) for x in ((chunk, more), (entry, state), (ends, out), (tokens, n)))
+            taken = composed(chunk, entry, ends, ~whole[chunk - 1], whole[chunk] & headed[np.minimum(chunk + 1, len(low) - 1)] & (chunk + 1 < len(low)))
+            counts[chunk[taken]] += tokens[taken]
         return np.bincount(owner, counts, len(begin)).astype(np.int64)
 
 
