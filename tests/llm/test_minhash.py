@@ -1,7 +1,10 @@
 import random
 import re
+from collections import Counter
 
-from timberline.llm import minhash
+from pyspark.sql import functions as F
+
+from timberline.llm import exact, minhash
 from timberline.llm.components import components
 from tests.conftest import SMALL
 
@@ -76,3 +79,55 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100)] + [(200 + i, 200) for i in range(1, 50)] + [(300, 300), (None, 5), (401, 400)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(101)} | {200 + i: 200 for i in range(50)} | {400: 400, 401: 400}
+
+
+def _units(spark, sizes, block, stream):
+    """Rows dealt of one group whose components have the given sizes."""
+    members = [(7, i, r, 10) for r, n in enumerate(sizes) for i in range(1000 * r * 100, 1000 * r * 100 + n)]
+    df = spark.createDataFrame(members, "key long, doc_id long, root long, n long")
+    return members, minhash._dealt(df, "key", F.lit(1), block, stream, "doc_id", "root", "n")
+
+
+def test_every_two_of_different_components_meet_once(spark):
+    members, dealt = _units(spark, [40, 25, 9, 1], 7, 20)
+    units = {}
+    for r in dealt.collect():
+        units.setdefault((r.block, r.part), ([], []))[r.streams].append(r)
+    met = Counter()
+    for held, stream in units.values():
+        met.update(frozenset((x.doc_id, y.doc_id)) for x in held for y in stream if x.root != y.root and (y.big or x.doc_id < y.doc_id))
+    want = Counter(frozenset((a[1], b[1])) for k, a in enumerate(members) for b in members[:k] if a[2] != b[2])
+    assert met == want
+
+
+def test_rows_under_a_hot_key_grow_as_its_members(spark):
+    """20,000 members of one key, nearly all in one component, or in two halves."""
+    for sizes, most in (([19_900, 100], 1.01), ([10_000, 10_000], 3.6)):
+        for scale in (1, 2):
+            counts = [n // 2 * scale for n in sizes]
+            assert _units(spark, counts, minhash.BLOCK, minhash.PART)[1].count() <= most * sum(counts)
+
+
+def test_one_hot_key_with_two_components(spark):
+    """Thousands of documents under the same keys, in two components with no link between them, and one that joins some."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    # Each half shares an ending of its own: 78 % of the halves' shingles are common to both.
+    rows = [(i, " ".join([*base, *[f"{'ab'[i % 2]}{k}" for k in range(12)], f"u{i}"])) for i in range(3000)]
+    rows += [(5000, " ".join([*base, f"v{r.random()}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {f[0]: f[2] for f in got(df)}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert linked(0, 2) and linked(1, 3)
+    assert (found[0] == found[1]) == (linked(0, 1) or linked(0, 5000) and linked(1, 5000))
+    assert {found[i] for i in range(0, 3000, 2)} == {found[0]} and {found[i] for i in range(1, 3000, 2)} == {found[1]}
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long + " more"
+    pairs = [(1, long), (2, near), (2, "another text of its own"), (None, near + " yet"), (None, "no id and alone here"), (3, "twice the very same row"), (3, "twice the very same row"), (4, ""), (5, None), (None, "null id twice over now"), (None, "null id twice over now")]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in exact.kept_documents(df, minhash.decided(df)).collect()), key=str)
+    assert kept == sorted([(1, long), (2, "another text of its own"), (None, "no id and alone here"), (3, "twice the very same row"), (4, ""), (5, None), (None, "null id twice over now")], key=str)

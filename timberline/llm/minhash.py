@@ -7,9 +7,10 @@ Sets with a Jaccard similarity of 0.8 exceed it with a probability of 3e-6.
 
 Documents with one shingle set are one class from the start. Under a key the classes are tied to one hub, never
 to each other; each tie is confirmed on the full sets, best ties first, and only ties between components that are
-still apart are looked at further. At last, keys that still hold several components are searched in blocks for
-likely pairs across components; what these connect is compared block by block, and only links that join components
-leave a task. So no link between components is lost, and pairs are never written out.
+still apart are looked at further. At last, keys that still hold several components are searched for likely pairs:
+what is outside a key's largest component is cut into blocks, and all members of the key are streamed past them. What
+likely pairs connect is compared on the full sets in the same way, and only links that join components leave a task.
+So no link between components is lost, and pairs are never written out.
 """
 
 from __future__ import annotations
@@ -19,24 +20,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import small, spread, table, written
 from timberline.llm.components import components
+from timberline.llm.exact import mark
 from timberline.llm.frugal import frugal
 from timberline.llm.shingles import batches, minhashes, shingle_sets
 
 SYMBOLS, CHUNK = 48, 4
 #: Symbols of one byte in the sketch that rules pairs out before sets are compared.
 SKETCH = 256
-#: Members of a key that are compared with each other at once.
-BLOCK = 512
-#: Members of a cluster whose sets are in one task, of each of two blocks.
-SETS_BLOCK = 256
+#: Members of a key in a block, in a part of the stream that passes it, and rows of the stream that are held at once.
+BLOCK, PART, STREAM = 4096, 65_536, 256
+#: The same for members of a cluster, by the bytes of their sets.
+BLOCK_BYTES, PART_BYTES = 8_000_000, 256_000_000
 WIDTH, PERCENT = 4, 80
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, signature binary"
+SIGNED = "doc_id long, mark binary, n_shingles long, set_id binary, signature binary"
 SETS = "doc_id long, n long, signature binary, sketch binary, items binary"
 
 
@@ -93,15 +95,19 @@ def most_errors(n: int, percent: int, deviations: float = 5.0) -> int:
 
 
 def signed(docs: DataFrame, width: int, index: Index) -> DataFrame:
+    """Number of shingles, hash of the set and signature of each row of ``docs`` (``doc_id, text, mark``)."""
+
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
+            low = 0
             for ids, texts in _texts(batch):
                 sets = shingle_sets(texts, width)
                 n = [len(s) for s in sets]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in signatures(sets, index)], pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(low, len(ids)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in signatures(sets, index)], pa.binary())], ["doc_id", "mark", "n_shingles", "set_id", "signature"])
+                low += len(ids)
 
-    return docs.mapInArrow(frugal(made), SIGNED)
+    return docs.select("doc_id", "text", "mark").mapInArrow(frugal(made), SIGNED)
 
 
 def set_columns(sets: list[np.ndarray], index: Index) -> list[pa.Array]:
@@ -167,57 +173,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _both(pairs.select("a", "b"), sets, "items").select("a", "b", "a_items", "b_items").mapInArrow(frugal(kept), "a long, b long")
 
 
-def _dealt(members: DataFrame, group: str, size: str, block: int, *columns: str) -> DataFrame:
-    """Members of each group in blocks: a row for every pair of blocks that its own is in, pairs together."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    return dealt.select(group, "low", "high", "own", *columns).repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
-
+def _dealt(members: DataFrame, group: str, weight: Column, block: int, stream: int, *columns: str) -> DataFrame:
+    """Members of each group (``doc_id, root``) so dealt that every two of different components meet in one unit.
 
-def _by_group(dealt: DataFrame, group: str, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Pairs ``a, b`` that ``work`` finds in each pair of blocks; a block's rows stand together in a task."""
-    names = (group, "low", "high")
-
-    def done(whole: pa.Table) -> pa.RecordBatch:
-        columns = [whole.column(c).to_numpy() for c in names]
-        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
-        pairs = [work(whole.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True) if b - a > 1]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]])) for k in range(2)], ["a", "b"])
+    The members of a group's largest component never meet each other. The others are cut into blocks of about ``block``
+    (by ``weight``), and all members are a stream that passes every block, in parts of about ``stream``: a unit is a
+    block and a part. So a member has a row for each block and, if it is in one, for each part; their numbers grow with
+    what is outside the largest component, not with pairs. Rows of a unit stand together, those of the block first.
+    """
+    sized = members.withColumn("_weight", weight)
+    inside = sized.groupBy(group, "root").agg(F.count(F.lit(1)).alias("_n"), F.sum("_weight").alias("_w"))
+    top = F.max(F.struct("_n", "_w", "root"))
+    known = inside.groupBy(group).agg(top.alias("_top"), F.sum("_w").alias("_all")).where("_all is not null")
+    known = known.select(group, F.col("_top.root").alias("_largest"), F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_top._w")) / block)).cast("int").alias("_blocks"), F.greatest(F.lit(1), F.ceil(F.col("_all") / stream)).cast("int").alias("_parts"))
+    dealt = sized.join(spread(known), group).withColumn("big", F.col("root") == F.col("_largest"))
+    own = F.pmod(F.xxhash64("doc_id"), "_blocks").cast("int")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), "_parts").cast("int")
+    units = lambda blocks, parts, streams: F.transform(blocks, lambda b: F.transform(parts, lambda p: F.struct(b.alias("block"), p.alias("part"), F.lit(streams).alias("streams"))))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = F.when(F.col("big"), F.array().cast("array<struct<block:int,part:int,streams:boolean>>")).otherwise(F.flatten(units(F.array(own), every("_parts"), False)))
+    dealt = dealt.withColumn("_unit", F.explode(F.concat(held, F.flatten(units(every("_blocks"), F.array(part), True)))))
+    dealt = dealt.select(group, "_unit.block", "_unit.part", "_unit.streams", "big", *columns)
+    return dealt.repartition(group, "block", "part").sortWithinPartitions(group, "block", "part", "streams")
+
+
+class _Side:
+    """Rows of a block, or some of a stream, as arrays."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows
+        self.doc, self.root, self.n = (rows.column(c).to_numpy() for c in ("doc_id", "root", "n"))
+        self.big = rows.column("big").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
+
+    def near(self, other: _Side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs with ``other``, of a stream: in different components, of like size, each pair once."""
+        n, m = self.n[:, None], other.n
+        near = (self.root[:, None] != other.root) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        return np.nonzero(near & (other.big | (self.doc[:, None] < other.doc)))
+
+    def alike(self, other: _Side, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+        """Which of the pairs have sketches that allow the similarity."""
+        step = 20_000
+        return np.concatenate([np.zeros(0, bool), *[(self.sketch[left[at : at + step]] != other.sketch[right[at : at + step]]).sum(1) <= most for at in range(0, len(left), step)]])
+
+
+def _by_unit(dealt: DataFrame, group: str, opened: Callable[[pa.Table], Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Pairs ``a, b`` found where the blocks of ``dealt`` meet their streams, of which a task holds ``STREAM`` rows at once.
+
+    ``opened`` gets the rows of a block, and returns what finds pairs between it and rows of the stream.
+    """
+    names = (group, "block", "part")
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        unit, held, meet = None, [], None
         for batch in rows:
-            for low in range(0, batch.num_rows, 4096):
-                part = pa.Table.from_batches([batch.slice(low, 4096)])
-                held = part if held is None else pa.concat_tables([held, part])
-                last = held.slice(held.num_rows - 1, 1).select(names).to_pylist()[0]
-                cut = int(np.argmax(np.all([held.column(c).to_numpy() == last[c] for c in names], axis=0)))
-                if cut:
-                    yield done(held.slice(0, cut))
-                    held = held.slice(cut)
-        if held is not None:
-            yield done(held)
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch])
+            columns = [whole.column(c).to_numpy(zero_copy_only=False) for c in (*names, "streams")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(whole)], strict=True):
+                part, name = whole.slice(low, high - low), tuple(x[low] for x in columns[:3])
+                if name != unit:
+                    unit, held, meet = name, [], None
+                if not columns[3][low]:
+                    held.append(part)
+                    continue
+                if meet is None:
+                    meet = opened(pa.concat_tables(held)) if held else lambda _: (np.zeros(0, np.int64),) * 2
+                    held = []
+                for at in range(0, part.num_rows, STREAM):
+                    a, b = meet(part.slice(at, STREAM))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(frugal(made), "a long, b long")
 
 
-def _pairs(g: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of a group that are in different components, of its two blocks, and of like size."""
-    left, right = np.triu_indices(len(g["n"]), 1)
-    if g["low"][0] != g["high"][0]:
-        apart = g["own"][left] != g["own"][right]
-        left, right = left[apart], right[apart]
-    n, root = g["n"], g["root"]
-    near = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
-    return left[near], right[near]
-
-
-def _alike(sketches: list[bytes], left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SKETCH)
-    return np.concatenate([np.zeros(0, bool), *[(sketch[left[at : at + 20_000]] != sketch[right[at : at + 20_000]]).sum(1) <= most for at in range(0, len(left), 20_000)]])
-
-
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least member that each of ``n`` reaches by the pairs."""
     least = np.arange(n)
@@ -231,66 +264,84 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return least
 
 
-_COLUMNS = ("low", "high", "own", "doc_id", "root", "n")
-
-
 def across(members: DataFrame, index: Index, percent: int) -> DataFrame:
     """Ties ``a, b`` that connect what likely pairs of different components under one key connect.
 
-    ``members``: ``key, size, doc_id, root, n, signature, sketch``. Of every pair of blocks at most one tie for each
-    member comes out. Each pair is looked at under its first common key only.
+    ``members``: ``key, doc_id, root, n, signature, sketch``. Of what a block and some of its stream have in common at
+    most one tie for each member comes out. Each pair is looked at under its first common key only.
     """
     most = most_errors(SKETCH, percent)
 
-    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        g = {c: group.column(c).to_numpy() for c in ("key", *_COLUMNS)}
-        left, right = _pairs(g, percent)
-        keys = index.of(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(g["n"]), -1))
-        place = int(g["key"][0]) >> 48
-        first = np.ones(len(left), bool)
-        for k in range(place):
-            first &= keys[left, k] != keys[right, k]
-        left, right = left[first], right[first]
-        alike = _alike(group.column("sketch").to_pylist(), left, right, most)
-        least = _forest(len(g["n"]), left[alike], right[alike])
-        tied = np.flatnonzero(least != np.arange(len(least)))
-        return g["doc_id"][tied], g["doc_id"][least[tied]]
+    def opened(rows: pa.Table) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+        symbols = lambda t: index.of(np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(t.num_rows, -1))
+        block, mine, place = _Side(rows), symbols(rows), int(rows.column("key")[0].as_py()) >> 48
+
+        def meet(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            stream, theirs = _Side(some), symbols(some)
+            left, right = block.near(stream, percent)
+            for k in range(place):
+                first = mine[left, k] != theirs[right, k]
+                left, right = left[first], right[first]
+            alike = block.alike(stream, left, right, most)
+            left, right = left[alike], right[alike] + len(block.doc)
+            docs = np.concatenate([block.doc, stream.doc])
+            least = _forest(len(docs), left, right)
+            tied = np.flatnonzero(least != np.arange(len(least)))
+            return docs[tied], docs[least[tied]]
 
-    return _by_group(_dealt(members, "key", "size", BLOCK, "doc_id", "root", "n", "signature", "sketch"), "key", work)
+        return meet
+
+    return _by_unit(_dealt(members, "key", F.lit(1), BLOCK, PART, "doc_id", "root", "n", "signature", "sketch"), "key", opened)
 
 
 def within(members: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` that join components, confirmed on the full sets: at most one for each component and pair of blocks.
+    """Links ``a, b`` that join components, confirmed on the full sets: at most one for each component and unit.
 
-    ``members``: ``cluster, size, doc_id, root, n, sketch, items``.
+    ``members``: ``cluster, doc_id, root, n, sketch, items``. A unit's block is bounded by the bytes of its sets.
     """
     most = most_errors(SKETCH, percent)
 
-    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        g = {c: group.column(c).to_numpy() for c in _COLUMNS}
-        left, right = _pairs(g, percent)
-        alike = _alike(group.column("sketch").to_pylist(), left, right, most)
-        left, right = left[alike], right[alike]
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
-        items, place = np.unique(np.concatenate(sets), return_inverse=True)
+    def opened(rows: pa.Table) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+        block = _Side(rows)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("items")]
         starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-        mark, good = np.zeros(len(items), bool), np.zeros(len(left), bool)
-        order = np.argsort(left, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(order) else []:
-            i = left[some[0]]
-            mine = place[starts[i] : starts[i] + len(sets[i])]
-            mark[mine] = True
-            both = np.add.reduceat(mark[place], starts)[right[some]]
-            mark[mine] = False
-            good[some] = 100 * both >= percent * (g["n"][i] + g["n"][right[some]] - both)
-        left, right = left[good], right[good]
-        _, root = np.unique(g["root"], return_inverse=True)
-        least = _forest(int(root.max()) + 1, root[left], root[right])
-        one = np.unique(root, return_index=True)[1]  # a member of each component
-        tied = np.flatnonzero(least != np.arange(len(least)))
-        return g["doc_id"][one[tied]], g["doc_id"][one[least[tied]]]
-
-    return _by_group(_dealt(members, "cluster", "size", SETS_BLOCK, "doc_id", "root", "n", "sketch", "items"), "cluster", work)
+        items, place = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, parent = np.zeros(len(items), bool), {}
+
+        def top(r: int) -> int:
+            while parent.get(r, r) != r:
+                parent[r] = parent.get(parent[r], parent[r])
+                r = parent[r]
+            return r
+
+        def meet(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            stream = _Side(some)
+            left, right = block.near(stream, percent)
+            alike = block.alike(stream, left, right, most)
+            left, right = left[alike], right[alike]
+            found = []
+            order = np.argsort(right, kind="stable")
+            left, right = left[order], right[order]
+            cuts = np.flatnonzero(np.diff(right)) + 1
+            for mine, j in zip(np.split(left, cuts), right[np.append(0, cuts)] if len(right) else [], strict=False):
+                theirs = np.frombuffer(some.column("items")[int(j)].as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(items, theirs), len(items) - 1)
+                hit = at[items[at] == theirs]
+                mark[hit] = True
+                for i in mine.tolist():
+                    a, b = top(int(block.root[i])), top(int(stream.root[j]))
+                    if a == b:
+                        continue
+                    both = int(mark[place[starts[i] : starts[i] + len(sets[i])]].sum())
+                    if 100 * both >= percent * (block.n[i] + stream.n[j] - both):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((block.doc[i], stream.doc[j]))
+                mark[hit] = False
+            return tuple(np.array([f[k] for f in found], np.int64) for k in range(2))
+
+        return meet
+
+    return _by_unit(_dealt(members, "cluster", F.col("n") * 8 + 300, BLOCK_BYTES, PART_BYTES, "doc_id", "root", "n", "sketch", "items"), "cluster", opened)
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -325,37 +376,66 @@ def connected(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ind
     roots = _merged(roots, written(confirmed(best, sets, percent), "links"))
     roots = _merged(roots, written(confirmed(_apart(ties, roots), sets, percent), "links"))
     named = roots.withColumnRenamed("node", "doc_id")
-    held = written(keyed(sets, index).join(hubs.select("key", "size"), "key").join(named, "doc_id"), "members")
+    held = written(keyed(sets, index).join(hubs.select("key"), "key").join(named, "doc_id"), "members")
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = held.join(spread(mixed), "key", "left_semi").join(sets.select("doc_id", "n", "signature", "sketch"), "doc_id")
     clusters = components(across(members, index, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    clusters = written(clusters, "clusters")
-    sized = clusters.join(spread(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))), "cluster")
-    members = sized.join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
+    members = written(clusters, "clusters").join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
     return _merged(roots, written(within(members, percent), "links"))
 
 
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of ``docs`` (``doc_id, text``) by themselves: ``row, doc_id, mark, n_shingles, component``.
+
+    ``component`` is null where a text has no shingle; ``mark`` names the text of a row. Rows with one set of shingles
+    are one class, and are compared with others once.
+    """
+    docs, index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark(F.col("text")).alias("mark")), MultiIndex()
+    marks = written(signed(docs, width, index).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    home = F.min(F.struct("doc_id", "mark")).alias("home")
+    classes = marks.where("n_shingles > 0").groupBy("set_id").agg(home, F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    again = bool(marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        homes = classes.select("node", F.col("home.doc_id").alias("_id"), F.col("home.mark").alias("_mark"))
+        homes = written(homes.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "homes")
+        found = docs.join(small(homes, homes.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
+        return full_sets(found.dropDuplicates(["node"]) if again else found, width, index)
+
+    roots = connected(classes.select(F.col("node").alias("doc_id"), "signature"), sets_of, index, percent)
+    named = classes.join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component"))
+    return marks.join(named, "set_id", "left").select("row", "doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of non-white bytes with A-Z in lower case; a text with fewer words than ``width`` is one shingle,
     a null or empty one has none and is linked with nothing. Documents are linked where ``100 * intersection >=
-    percent * union``; a component is named by its smallest doc_id. Rows that repeat a doc_id are nodes of that id.
-    A null doc_id is linked with nothing: its component is null, and it is kept. An empty table gives no rows;
-    other columns are not read.
+    percent * union``; a component is named by its smallest doc_id. Rows that repeat a doc_id are documents of their
+    own, linked by their texts. A null doc_id is linked with nothing: its component is null, and it is kept. An empty
+    table gives no rows; other columns are not read.
     """
-    docs, index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MultiIndex()
-    marks = written(signed(docs, width, index), "signatures")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = written(marks.where(linked).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(grouped(docs.where("doc_id is not null"), width, percent), "grouped")
+    names = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(spread(names), "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = signed(docs.where("doc_id is null").withColumn("mark", F.lit(b"")), width, MultiIndex()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    def sets_of(involved: DataFrame) -> DataFrame:
-        return full_sets(docs.join(small(involved, involved.count()), "doc_id", "left_semi"), width, index)
 
-    roots = connected(classes.select(F.col("rep").alias("doc_id"), "signature"), sets_of, index, percent)
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
-    out = marks.join(named, "set_id", "left").withColumn("component_id", F.when(linked, F.col("root")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def decided(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Which rows of ``docs`` stay, as ``exact.kept_documents`` takes it: ``doc_id, mark, kept``, one row for each.
+
+    Of a component the row with the smallest doc_id stays, a null one last, and one alone: rows that repeat a doc_id,
+    have none, or are equal throughout, are compared by their texts like all others. Rows without a word all stay.
+    """
+    found = written(grouped(docs.select("doc_id", "text"), width, percent), "grouped")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))["row"]
+    first = found.where("component is not null").groupBy("component").agg(best.alias("_first"))
+    found = found.join(spread(first), "component", "left")
+    return found.select("doc_id", "mark", F.coalesce(F.col("row") == F.col("_first"), F.lit(True)).alias("kept"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
