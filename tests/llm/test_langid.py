@@ -54,3 +54,29 @@ def test_long_texts_are_read_whole():
     assert "".join(whole) == text and len(whole) == 2
     n = sum(len(langid.subwords([b])[0]) for b in whole)
     assert n == len(langid.subwords([text])[0])
+
+
+def test_rejection_is_calibrated(spark):
+    """Shares of clean documents rejected and of strangers accepted, on texts that calibration did not see."""
+    docs = spark.read.parquet(DOCS)
+    model = langid.fit(docs)
+    held = [r.text for r in docs.where(langid.held_out()).where("text is not null").collect()]
+    assert 0 < model.least < 1 and model.measured[0] <= 0.02 and model.measured[1] <= 0.05
+    assert model.predict(held)[2].mean() >= 0.99
+    strange = [t for t in langid.strangers(held, seed=99) if len(t) > 40]
+    assert model.predict(strange)[2].mean() <= 0.05
+
+
+def test_every_language_is_learned(spark):
+    """A rare language has its turn in a sample that is cut short by many languages."""
+    rows = [(i, f"w{'abcdefgh'[i % 8]} {'abcdefgh'[i % 8] * 3} x{i}", f"l{i % 8}") for i in range(800)] + [(9000 + i, f"zz yy {i}", "rare") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~langid.held_out())
+    assert set(langid.fit(docs, per_language=50, most=27).languages) == {*[f"l{k}" for k in range(8)], "rare"}
+
+
+def test_rows_are_accepted_by_their_texts(spark, awkward):
+    model = langid.fit(awkward)
+    kept = langid.accepted_documents(awkward, model)
+    want = [r.text for r in awkward.collect() if r.text and model.predict([r.text])[2][0]]
+    assert kept.columns == awkward.columns
+    assert {r.text for r in kept.collect()} == set(want)

@@ -68,3 +68,20 @@ def test_sum_of_squares_picks_the_least_sum():
         fill[bins[i]] = fill.get(bins[i], 0) + size
         seen += 1
     assert seen == 200
+
+
+def test_groups_are_even_and_lose_little(spark):
+    """Many groups, a third of the rows without an id and a third with one: even groups, few sequences more than needed."""
+    r = random.Random(7)
+    rows = [((None, 5, i)[i % 3], 0, 0, r.choice([4096, r.randint(1, 4096), r.randint(1, 600), r.randint(1, 600)]), 9) for i in range(9000)]
+    pieces = packing.written(spark.createDataFrame(rows, packing.PIECES).repartition(5), "test-pieces")
+    found = packing.pack(pieces, len(rows), group=500).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.length) for x in found) == sorted((x[0] is None, x[0] or 0, x[3]) for x in rows)
+    groups, fill = {}, {}
+    for x in found:
+        groups[x.sequence_id >> 32] = groups.get(x.sequence_id >> 32, 0) + 1
+        fill.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert len(groups) == 18 and max(groups.values()) < 650
+    for held in fill.values():
+        assert [o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 4096
+    assert len(fill) <= 1.02 * sum(x[3] for x in rows) / 4096 + 18

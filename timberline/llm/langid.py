@@ -16,8 +16,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from timberline.llm.common import small, table
+from timberline.llm.common import small, table, written
+from timberline.llm.exact import kept_documents, mark
 from timberline.llm.frugal import frugal
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
@@ -25,8 +27,12 @@ SIZES = (2, 3, 4)
 #: Bound of the training sample: documents for each language, and in all.
 PER_LANGUAGE, MOST = 600, 6_000
 EPOCHS, BATCH, RATE = 6, 16, 4.0
-#: Share of accepted languages' own documents that calibration may reject.
-REJECTED = 0.001
+#: Code points of a text that training reads at most: its sample is bounded in bytes as well.
+TRAINED = 20_000
+#: Share of texts told right that calibration may reject, share of strangers that it should, and code points of those.
+REJECTED, REFUSED, STRANGE = 0.001, 0.99, 1_000
+#: Where between the two the level lies if there is room, from the strangers' side.
+MARGIN = 0.25
 #: Code points handled at once; a text longer than ``BLOCK`` is cut at a blank.
 HELD, BLOCK = 250_000, 1_000_000
 UNKNOWN = "und"
@@ -84,12 +90,30 @@ def _blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def strangers(texts: list[str], seed: int = 3) -> list[str]:
+    """Texts of no language that was learnt, one for each of ``texts``: its letters exchanged for others throughout, as
+    in a cipher; all its characters in random order; or as many random letters and blanks."""
+    random = np.random.default_rng(seed)
+    letters = sorted({c for t in texts for c in t[:STRANGE].lower() if c.isalpha()})
+    out = []
+    for k, text in enumerate(texts):
+        text = text[:STRANGE].lower()
+        if k % 3 == 0:
+            out.append(text.translate(str.maketrans(dict(zip(letters, random.permutation(letters).tolist() if letters else [], strict=True)))))
+        elif k % 3 == 1:
+            out.append("".join(random.permutation(list(text)).tolist()) if text else "")
+        else:
+            out.append("".join(random.choice([*letters, " ", " "], len(text)).tolist()))
+    return [t for t in out if any(c.isalpha() for c in t)]
+
+
 class Model:
     """What training leaves: for each bucket its share of every language's logit, and whether it was seen."""
 
     def __init__(self, languages: list[str], logits: np.ndarray, bias: np.ndarray, seen: np.ndarray) -> None:
         self.languages, self.logits, self.bias, self.seen = languages, logits, bias, seen
         self.heat, self.usual, self.least = 1.0, 1.0, 0.0
+        self.measured: tuple[float, float] | None = None
 
     def averages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Average logits, the share of subwords that training saw, and whether there is a letter, of each text."""
@@ -128,16 +152,25 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
     def calibrate(self, texts: list[str], labels: np.ndarray) -> None:
-        """Fit the softmax's temperature, what share of seen subwords is usual, and the least score to accept."""
+        """Fit the softmax's temperature, what share of seen subwords is usual, and the least score to accept.
+
+        The level rejects ``REFUSED`` of strangers (see ``strangers``), but never more than ``REJECTED`` of the texts whose
+        language is told right; where both leave room, it lies nearer to the strangers, by ``MARGIN``. Every other text
+        sets the level; on the rest ``measured`` has the shares of right texts rejected and of strangers accepted.
+        """
         logits, seen, _ = self.averages(texts)
         losses = []
         for self.heat in np.geomspace(0.05, 10, 40):
             losses.append((-np.log(self._softmax(logits)[np.arange(len(labels)), labels] + 1e-12).mean(), self.heat))
         self.heat = min(losses)[1]
         self.usual = max(float(np.quantile(seen, 0.02)), 1e-6)
-        scores = self._scored(logits, seen)[1]
-        right = scores[logits.argmax(1) == labels]
-        self.least = min(0.4, 0.9 * float(np.quantile(right, REJECTED))) if len(right) else 0.0
+        right = self._scored(logits, seen)[1][logits.argmax(1) == labels]
+        strange = self._scored(*self.averages(strangers(texts))[:2])[1]
+        if len(right) and len(strange):
+            high, low = (x[::2] if len(x) > 20 else x for x in (right, strange))
+            most, enough = float(np.quantile(high, REJECTED)), float(np.quantile(low, REFUSED))
+            self.least = min(most, enough + MARGIN * max(0.0, most - enough))
+            self.measured = float((right[1::2] < self.least).mean()) if len(right) > 1 else 0.0, float((strange[1::2] >= self.least).mean()) if len(strange) > 1 else 0.0
 
     def _scored(self, logits: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self._softmax(logits)
@@ -211,14 +244,16 @@ def held_out():
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
     """A model of the labelled, not held out rows of ``docs`` (``doc_id, text, lang``), from a sample in the order of a hash.
 
-    The sample has about ``per_language`` rows of each language and never more than ``most``; training runs in
-    one task on an executor. Without labelled rows the model knows no language and calls every text ``und``.
+    The sample has about ``per_language`` rows of each language and never more than ``most``, of which every language
+    has its share: they are taken in turns. Of a text the first ``TRAINED`` code points are learnt. Training runs in one
+    task on an executor. Without labelled rows the model knows no language and calls every text ``und``.
     """
-    known = docs.where("text is not null and lang is not null").where(~held_out()).select("text", F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_hash"))
+    known = docs.where("text is not null and lang is not null").where(~held_out()).select(F.substring("text", 1, TRAINED).alias("text"), F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_hash"))
     counts = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     part = F.pmod(F.col("_hash"), F.lit(1_000_003)) / 1_000_003.0
     drawn = known.join(small(counts, counts.count()), "_lang").where(part < per_language / F.col("_n"))
-    drawn = drawn.orderBy(F.xxhash64("_hash"), "_lang").limit(most).select("text", "_lang", "_hash")
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_hash"), "text"))  # over the sample
+    drawn = drawn.withColumn("_turn", turn).orderBy("_turn", F.xxhash64("_hash"), "_lang").limit(most).select("text", "_lang", "_hash")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "_lang": [], "_hash": []}), *batches]).sort_values(["_hash", "_lang"])
@@ -247,18 +282,29 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(frugal(work), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
-def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that ``model`` accepts, as they are; no rows move."""
+def decided(docs: DataFrame, model: Model) -> DataFrame:
+    """Which rows of ``docs`` (``doc_id, text``) ``model`` accepts, as ``exact.kept_documents`` takes it: ``doc_id, mark, kept``.
+
+    Null, empty and other texts without a letter are rejected, as are those that score less than ``model.least``. A
+    decision depends on the text alone, so repeated rows go or stay together; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                yield part.filter(pa.array(shared.value.predict(part.column(at).to_pylist())[2], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.predict(part.column(2).to_pylist())[2], pa.bool_())], ["doc_id", "mark", "kept"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(F.col("text")).alias("mark"), "text")
+    return docs.mapInArrow(frugal(work), "doc_id long, mark binary, kept boolean")
+
 
-    return docs.mapInArrow(frugal(work), docs.schema)
+def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``model`` accepts, as they are, all columns: see ``decided``. Rejected ones are few, and
+    are left out by a join of the texts where they lie; repeated rows that are accepted all stay.
+    """
+    return kept_documents(docs, written(decided(docs, model), "accepted"))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,11 +48,17 @@ def _skey() -> Column:
 
 
 def _draw(seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    """Where a row comes in its source's order; its text counts as well, so that rows of one doc_id are dealt apart."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), text).cast("binary"))
 
 
 def _placed(docs: DataFrame, cycle: Sequence[int], share: float, epochs: int, seed: int) -> DataFrame:
-    """Rows ``doc_id, source, skey, draw, size, source_size, target, whole, extra``."""
+    """Rows ``doc_id, source, skey, draw, size, source_size, target, whole, extra, twins, shared``.
+
+    ``twins`` counts the rows that are equal to one in id, text and source, ``shared`` is what is taken of them together
+    beyond whole repetitions.
+    """
     sizes = written(docs.select("doc_id", "source", _skey().alias("skey"), _draw(seed).alias("draw"), words_in(F.col("text")).alias("size")), "mix-sizes")
     sizes = sizes.withColumn("bucket", F.substring("draw", 1, 3))
     buckets = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
@@ -64,9 +70,14 @@ def _placed(docs: DataFrame, cycle: Sequence[int], share: float, epochs: int, se
     cuts = buckets.select("skey", "bucket", F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("prior"))
     cuts = cuts.join(by_source.drop("source"), "skey")
     inside = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cuts, ["skey", "bucket"])
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("prior") - F.col("inner")))
-    return placed.select("doc_id", "source", "skey", "draw", "size", "source_size", "target", "whole", extra.alias("extra"))
+    equal = Window.partitionBy("skey", "bucket", "draw", "doc_id", "size")  # as dealt and sorted already
+    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.withColumn("twins", F.count(F.lit(1)).over(equal)).withColumn("first", F.min("inner").over(equal)).join(cuts, ["skey", "bucket"])
+
+    def taken(most: Column, inner: str) -> Column:
+        return F.greatest(F.lit(0), F.least(most, F.col("rest") - F.col("prior") - F.col(inner)))
+
+    return placed.select("doc_id", "source", "skey", "draw", "size", "source_size", "target", "whole", taken(F.col("size"), "inner").alias("extra"), "twins", taken(F.col("twins") * F.col("size"), "first").alias("shared"))
 
 
 def plan(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -88,21 +99,32 @@ def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, share: float = SHARE, epo
     The plan comes to one row a source: its whole repetitions, and the last document that is taken once more. So
     texts stay where they are, and each is compared with its source's row. All columns of ``docs`` stay; ``n_chars``,
     if there, is that of the text in the row. Documents of size 0 are not words of any source and go. Where several
-    rows with one doc_id and size are the last of a source, each is taken as far as the first.
+    rows with one doc_id and text are the last of a source, they are put into one and taken as often as the plan takes
+    them together. An empty table gives no rows.
     """
     placed = _placed(docs, cycle, share, epochs, seed)
-    last = F.max(F.when(F.col("extra") > 0, F.struct("draw", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "size", "extra")))
+    lowest = F.lit(-(2**63))
+    last = F.max(F.when(F.col("extra") > 0, F.struct("draw", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), "size", "twins", "shared")))
     rule = written(placed.groupBy("skey").agg(F.first("whole").alias("_mix_whole"), last.alias("_mix_last")).withColumnRenamed("skey", "_mix_skey"), "mix-rule")
     known = docs.withColumns({"_mix_key": _skey(), "_mix_size": words_in(F.col("text"))})
     known = known.join(small(rule, rule.count()), F.col("_mix_key") == F.col("_mix_skey")).where("_mix_size > 0")
-    mine = F.struct(_draw(seed).alias("draw"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("_mix_size").alias("size"))
+    mine = F.struct(_draw(seed).alias("draw"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), F.col("_mix_size").alias("size"))
     end = F.struct(F.col("_mix_last.draw"), F.col("_mix_last.doc_id"), F.col("_mix_last.size"))
-    extra = F.when(F.col("_mix_last").isNull() | (mine > end), F.lit(0)).when(mine < end, F.col("_mix_size")).otherwise(F.col("_mix_last.extra"))
-    known = known.withColumn("_mix_extra", extra.cast("long"))
-    parts = F.concat(F.array_repeat("_mix_size", F.col("_mix_whole").cast("int")), F.when(F.col("_mix_extra") > 0, F.array("_mix_extra")).otherwise(F.array().cast("array<bigint>")))
-    rows = known.withColumn("_mix_part", F.explode(parts))
+    place = F.when(F.col("_mix_last").isNull() | (mine > end), F.lit(1)).when(mine < end, F.lit(-1)).otherwise(F.lit(0))
+    known = known.withColumn("_mix_place", place)
+    size, whole = F.col("_mix_size"), F.col("_mix_whole").cast("int")
+    none = F.array().cast("array<bigint>")
+    twins, shared = F.col("_mix_last.twins").cast("int"), F.col("_mix_last.shared")
+    part = F.when(shared % size > 0, F.array(shared % size)).otherwise(none)
+    together = F.concat(F.array_repeat(size, whole * twins + F.floor(shared / size).cast("int")), part)
+    alone = F.array_repeat(size, whole + F.when(F.col("_mix_place") < 0, 1).otherwise(0))
+    single = (F.col("_mix_place") != 0) | (twins == 1)
+    rows = known.where(single).withColumn("_mix_part", F.explode(F.when(F.col("_mix_place") == 0, together).otherwise(alone)))
+    if rule.where("_mix_last.twins > 1").take(1):
+        again = known.where(~single).dropDuplicates(["_mix_key"])
+        rows = rows.unionByName(again.withColumn("_mix_part", F.explode(together)))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_mix_part").cast("int")), " ")
-    out = rows.withColumn("text", F.when(F.col("_mix_part") == F.col("_mix_size"), F.col("text")).otherwise(cut))
+    out = rows.withColumn("text", F.when(F.col("_mix_part") == size, F.col("text")).otherwise(cut))
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
 
@@ -113,7 +135,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}') AS draw
+         md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}:' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1 AS rank

@@ -251,7 +251,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
 
 
 def pack(pieces: DataFrame, n_pieces: int, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``pieces`` (as of ``cut``, at most ``length`` long) with ``sequence_id`` and ``offset``, gapless from 0."""
+    """``pieces`` (a written table as of ``cut``, at most ``length`` long) with ``sequence_id`` and ``offset``, gapless from 0.
+
+    Groups are even whatever the ids are, and each is packed by itself.
+    """
     groups = max(1, -(-n_pieces // group))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +262,8 @@ def pack(pieces: DataFrame, n_pieces: int, length: int = LENGTH, group: int = GR
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), length)
         return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)[PACKED.replace(" long", "").replace(" int", "").split(", ")]
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # The number of a row tells rows with one doc_id, or none, apart; which group a piece is in is all that it decides.
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(one, PACKED)
 
 
