@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_mixing import filled
+from timberline.llm import langid, mixing
 
 
 @pytest.fixture(scope="module")
@@ -100,10 +101,45 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_awkward_rows_and_none(spark, awkward, nothing, tmp_path):
+    """Each stage on what the one before kept, row by row: repeated ids, null ids, equal rows, texts without words."""
+    before = spark.conf.get(corpus_pipeline.BATCH)
     for name, docs in (("awkward", awkward), ("nothing", nothing)):
+        kept = [docs]
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            stage(spark, docs, SMALL).write.parquet(str(tmp_path / f"{name}{k}"))
-            columns = docs.columns
-            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
-            assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
-        assert (docs.count() > 0) == (name == "awkward")
+            stage(spark, kept[-1], SMALL).write.parquet(str(tmp_path / f"{name}{k}"))
+            kept.append(spark.read.parquet(str(tmp_path / f"{name}{k}")))
+            assert kept[-1].columns == docs.columns or k == len(corpus_pipeline.STAGES) - 1
+        rows = [[(r.doc_id, r.text) for r in k.collect()] for k in kept[:5]]
+        if name == "nothing":
+            assert not any(rows) and not kept[5].count()
+            continue
+        model = langid.fit(awkward)
+        assert Counter(rows[1]) == Counter(r for r in rows[0] if model.predict([r[1]])[2][0])
+        groups = defaultdict(list)
+        for i, t in rows[1]:
+            groups["".join(words(t))].append((-len(t), i is None, i, t))
+        assert sorted(rows[2], key=str) == sorted([min(g)[2:] for g in groups.values()], key=str)
+        sets = []
+        for i, t in sorted(rows[2], key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+            w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+            sets.append(((i, t), {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}))
+        first = [r for k, (r, s) in enumerate(sets) if not any(s and 100 * len(s & o) >= 80 * len(s | o) for _, o in sets[:k])]
+        assert sorted(rows[3], key=str) == sorted(first, key=str) and len(first) < len(sets)
+        plan = {(r.doc_id, r.size): r.taken for r in mixing.plan(kept[3]).collect()}
+        taken = defaultdict(int)
+        for i, t in rows[4]:
+            taken[i] += len(words(t))
+        assert dict(taken) == {i: n for (i, _), n in plan.items() if n}
+        assert {r.doc_id for r in kept[5].collect()} == set(taken)
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
+
+
+def test_stages_decide_row_by_row(spark, tmp_path):
+    """Unique texts stay that share their id, or its absence, with copies."""
+    prose = [f"{a} and {b} with the {c} of some other {a} near" for a, b, c in zip("house river garden winter stone".split(), "table mirror candle ladder bridge".split(), "night field forest morning city".split(), strict=True)]
+    pairs = [(1, prose[0]), (2, prose[0].replace(" ", "  ")), (2, prose[1]), (2, prose[2]), (None, prose[0]), (None, prose[3]), (3, prose[4]), (3, prose[4])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.exact_copies(spark, df, SMALL)
+    assert Counter("".join(words(r.text)) for r in once.collect()) == Counter({"".join(words(t)) for t in prose})
+    near = corpus_pipeline.near_copies(spark, df, SMALL)
+    assert Counter(" ".join(words(r.text)) for r in near.collect()) == Counter(set(prose))
