@@ -153,3 +153,38 @@ def test_repeated_words_of_documents(spark):
     for kept, earlier in (([False], True), ([False, True], False)):
         got, must, can = reported(found, kept), brute_words(rows, 51, earlier), brute_words(rows, 25, earlier)
         assert all(must[i] <= got.get(i, set()) for i in must) and all(got[i] <= can.get(i, set()) for i in got)
+
+
+def test_keepers_have_the_words_they_keep(spark):
+    """Each word that can be cut stands in its keeper, in a run of 25; none is short of a passage with what it overlaps."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    texts = {i: words(t) for i, t in rows}
+    found = [r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind == "stretch"]
+    held = {i: " " + " ".join(w) + " " for i, w in texts.items()}
+    assert found
+    for r in [r for r in found if not r.kept]:
+        ahead = set()
+        for k in range(r.begin, r.end - 24):
+            if " " + " ".join(texts[r.doc_id][k : k + 25]) + " " in held[r.keep_id]:
+                ahead |= set(range(k, k + 25))
+        assert r.keep_id < r.doc_id and ahead == set(range(r.begin, r.end))
+    assert all(r.keep_id == r.doc_id for r in found if r.kept)
+    for i, ks in reported(found).items():
+        run = 0
+        for k in range(len(texts[i]) + 1):
+            assert k in ks or run == 0 or run >= passages.PASSAGE
+            run = run + 1 if k in ks else 0
+
+
+@pytest.mark.parametrize("texts", [["one two\nthree\n\nfour", "", "\n", "a", " x\ny z "], ["\n\n", "last line\n"], [""]])
+def test_lines_of_texts(texts):
+    found, first, owner, begin, end = passages._lines([t.encode() for t in texts], 1)
+    got = [(int(o), int(b - first[o]), int(e - b)) for o, b, e in zip(owner, begin, end, strict=True)]
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            n = len(words(line))
+            want += [(i, at, n)] if n else []
+            at += n
+    assert got == want and len(found) == sum(len(words(t)) for t in texts)

@@ -26,7 +26,12 @@ from timberline.llm.suffixes import grams
 BEFORE, BEHIND, TELL_BEFORE, TELL_BEHIND = 1, 2, 4, 8
 CONTEXT = "node long, behind boolean, around binary, doc_id long, begin int, tell boolean"
 CHUNK = 8192
-LEVELS = "class long, low long, high long, gone int, later int, size int, chunk string, head int, tail int, edge binary"
+LEVELS = "class long, low long, high long, gone int, later int, size int, head int, tail int, who long, chunk string, edge binary"
+
+
+def stretch_keys(words: np.ndarray, least: int, at: np.ndarray) -> np.ndarray:
+    """Key of the ``least`` words from each place ``at`` on."""
+    return grams(words, least)[at].astype(np.int64)
 
 
 def asked(pieces: DataFrame, least: int, reach: int) -> DataFrame:
@@ -66,7 +71,7 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> Data
                 fits = place + least <= np.diff(first)[owner]  # another row of the same id may be shorter, or differ
                 owner, place, node, ask = (x[fits] for x in (owner, place, node, ask))
                 at = first[owner] + place
-                same = grams(words, least)[at].astype(np.int64) == node
+                same = stretch_keys(words, least, at) == node
                 owner, place, node, ask, at = (x[same] for x in (owner, place, node, ask, at))
                 ahead = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 ahead = ahead.astype(">u4")
@@ -98,24 +103,27 @@ def _padded(around: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunk(rows: pa.RecordBatch, reach: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each class of a chunk the most words that it shares with an earlier document than its first and a later one
-    than its last (-1: no such document), its size, and what it shares with the chunk's ends; and for the ends the
-    least and greatest document by number of shared words."""
+    than its last (-1: no such document), its size, what it shares with the chunk's ends, and that earlier document; and
+    for the ends the least and greatest document by number of shared words."""
     low, high = rows.column("low").to_numpy(), rows.column("high").to_numpy()
     node, behind = rows.column("node").to_numpy(), rows.column("behind").to_numpy(zero_copy_only=False)
     words, size = _padded(rows.column("around").to_pylist(), reach)
     differs = np.concatenate([words[1:] != words[:-1], np.ones((len(words) - 1, 1), bool)], axis=1)
     shared = np.where((node[1:] == node[:-1]) & (behind[1:] == behind[:-1]), differs.argmax(1), -1)
     gone, later, ends = np.full(len(low), -1), np.full(len(low), -1), np.zeros((4, reach + 1), np.int64)
+    who = low.copy()
     for level in range(reach + 1):
         starts = np.flatnonzero(np.concatenate([[True], shared < level]))
         count = np.diff(np.append(starts, len(low)))
         least, most = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-        gone[np.repeat(least, count) < low] = level
+        first = np.repeat(least, count)
+        gone[first < low] = level
+        who = np.where(first < low, first, who)
         later[np.repeat(most, count) > high] = level
         ends[:, level] = least[0], most[0], least[-1], most[-1]
     head = np.minimum.accumulate(np.append(reach, shared))
     tail = np.minimum.accumulate(np.append(reach, shared[::-1]))[::-1]
-    return [gone, later, size, head, tail], ends
+    return [gone, later, size, head, tail, who], ends
 
 
 def _levels(ordered: DataFrame, reach: int) -> DataFrame:
@@ -126,13 +134,13 @@ def _levels(ordered: DataFrame, reach: int) -> DataFrame:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
                 name, (columns, ends) = uuid.uuid4().hex, _chunk(part, reach)
-                counts = [pa.array(c.astype(np.int32)) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("low"), part.column("high"), *counts[:3], pa.array([name] * part.num_rows), *counts[3:], pa.nulls(part.num_rows, pa.binary())], names)
+                counts = [*[pa.array(c.astype(np.int32)) for c in columns[:-1]], pa.array(columns[-1])]
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("low"), part.column("high"), *counts, pa.array([name] * part.num_rows), pa.nulls(part.num_rows, pa.binary())], names)
                 sink = pa.BufferOutputStream()
                 borders = pa.Table.from_batches([part.slice(0, 1), part.slice(part.num_rows - 1, 1)]).select(["node", "behind", "around"])
                 with pa.ipc.new_stream(sink, borders.schema.with_metadata({b"ends": ends.tobytes()})) as out:
                     out.write_table(borders.replace_schema_metadata({b"ends": ends.tobytes()}))
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 3], pa.array([name]), *[pa.nulls(1, pa.int32())] * 2, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 5 + (pa.int64(),)], pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
 
     names = [f.split(" ")[0] for f in LEVELS.split(", ")]
     return ordered.mapInArrow(frugal(made), LEVELS)
@@ -169,8 +177,9 @@ def _ends(found: DataFrame, reach: int) -> list[tuple]:
 
 
 def agreements(found: DataFrame, reach: int) -> DataFrame:
-    """Rows ``doc_id, begin, behind, gone, later`` of the places of ``found`` (as in ``CONTEXT``) that ask to be told:
-    words shared at most with an earlier and with a later document, -1 if the stretch is in none."""
+    """Rows ``doc_id, begin, behind, gone, who, later`` of the places of ``found`` (as in ``CONTEXT``) that ask to be told:
+    words shared at most with an earlier document, which that is, and words shared at most with a later one; -1 if the
+    stretch is in none."""
     spark = found.sparkSession
     found = written(found.withColumn("class", F.xxhash64("node", "behind", "around")), "contexts")
     classes = written(found.groupBy("node", "behind", "around").agg(F.first("class").alias("class"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "context-classes")
@@ -183,25 +192,33 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     def most(column: str, shared: str, test) -> Column:
         return F.when(F.col(shared) >= 0, F.size(F.filter(F.slice(column, F.lit(1), F.col(shared) + 1), test)) - 1).otherwise(-1)
 
+    def earlier(column: str, shared: str) -> Column:
+        words = most(column, shared, lambda x: x < F.col("low"))
+        return F.struct(words.alias("gone"), F.bitwise_not(F.get(column, F.greatest(words, F.lit(0)))).alias("who"))
+
     levels = levels.where("edge is null").join(small(ends, len(known)), "chunk")
-    earlier = [most(f"{end}_low", shared, lambda x: x < F.col("low")) for end, shared in (("first", "head"), ("last", "tail"))]
+    # Of several that share as many words the least document: bitwise not turns the order around, for every number.
+    gone = F.greatest(F.struct("gone", F.bitwise_not("who").alias("who")), earlier("first_low", "head"), earlier("last_low", "tail"))
     after = [most(f"{end}_high", shared, lambda x: x > F.col("high")) for end, shared in (("first", "head"), ("last", "tail"))]
-    levels = levels.select("class", "low", "high", "size", F.greatest("gone", *earlier).alias("_gone"), F.greatest("later", *after).alias("_later"))
+    levels = levels.select("class", "low", "high", "size", gone.alias("_gone"), F.greatest("later", *after).alias("_later"))
     told = found.where("tell").select("class", "doc_id", "begin", "behind").join(spread(levels), "class")
-    gone = F.when(F.col("doc_id") > F.col("low"), F.col("size")).otherwise(F.col("_gone"))
+    behind_first = F.col("doc_id") > F.col("low")
+    gone = F.when(behind_first, F.col("size")).otherwise(F.col("_gone.gone"))
+    who = F.when(behind_first, F.col("low")).otherwise(F.bitwise_not(F.col("_gone.who")))
     later = F.when(F.col("doc_id") < F.col("high"), F.col("size")).otherwise(F.col("_later"))
-    return told.select("doc_id", "begin", "behind", gone.alias("gone"), later.alias("later"))
+    return told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later"))
 
 
 def extended(docs: DataFrame, pieces: DataFrame, least: int, reach: int) -> DataFrame:
     """``pieces`` (``doc_id, begin, end, node, keep_id``) and what extends them: spans ``doc_id, begin, end, keep_id``.
 
-    A piece of another document than its keeper is extended as far as an earlier document agrees, so that what is cut
-    stays there; where a later document agrees further, a span that the document itself keeps is added.
+    A piece of another document than its keeper is extended as far as an earlier document agrees: that document keeps
+    the words of such a span, so that what is cut stays there. Where a later document agrees further, a span that the
+    document itself keeps is added.
     """
     pieces_told = agreements(contexts(docs, asked(pieces, least, reach), least, reach), reach)
     span = lambda n: [F.when(F.col("behind"), F.col("begin")).otherwise(F.col("begin") - n).alias("begin"), F.when(F.col("behind"), F.col("begin") + least + n).otherwise(F.col("begin") + least).alias("end")]
-    told = written(pieces_told.join(pieces.select("doc_id", "begin", "keep_id"), ["doc_id", "begin"]), "agreements")
-    gone = told.where("gone > 0").select("doc_id", *span(F.col("gone")), "keep_id")
+    told = written(pieces_told, "agreements")
+    gone = told.where("gone > 0").select("doc_id", *span(F.col("gone")), F.col("who").alias("keep_id"))
     kept = told.where("later > gone and later > 0").select("doc_id", *span(F.col("later")), F.col("doc_id").alias("keep_id"))
     return pieces.select("doc_id", "begin", "end", "keep_id").unionByName(gone).unionByName(kept)

@@ -2,10 +2,11 @@
 
 Two kinds of units are compared. Paragraphs (lines of ``LEAST`` words or more) are near-duplicates where the exact
 Jaccard similarity of their five-word shingles is high enough; bands are tuned so that such a pair collides in one
-with a set recall, and keys that hold several components are searched for links between them. Passages within running text do not keep a paragraph's borders: these are found by stretches of
-``LEAST`` words that start at minimisers, of which every passage of ``PASSAGE`` words holds one, under a single band,
-the stretch itself, and extended both ways to the borders of what documents share. Classes of equal units are formed before anything is dealt out by key; under a key they are tied
-to one hub. Components decide which document keeps a passage.
+with a set recall, and keys that hold several components are searched for links between them. Passages within running
+text do not keep a paragraph's borders: these are found by stretches of ``LEAST`` words that start at minimisers, of
+which every passage of ``PASSAGE`` words holds one, under a single band, the stretch itself, and extended both ways to
+the borders of what documents share, word by word. Classes of equal units are formed before anything is dealt out by
+key; under a key they are tied to one hub. Components decide which document keeps a passage.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from timberline.llm.borders import extended
+from timberline.llm.borders import extended, stretch_keys
 from timberline.llm.common import small, spread, table, written
 from timberline.llm.frugal import frugal
 from timberline.llm.minhash import SETS, Bands, connected, set_columns, signatures
-from timberline.llm.shingles import batches, shingle_sets, word_hashes
-from timberline.llm.suffixes import anchored, grams, united
+from timberline.llm.shingles import batches, sets_between, word_hashes
+from timberline.llm.suffixes import anchored
 
 WIDTH, PERCENT, LEAST, PASSAGE = 5, 80, 25, 51
 RECALL = 0.999
@@ -46,37 +48,56 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
             yield ids.slice(low + start, len(some)).to_pylist(), some
 
 
-def _paragraphs(ids: list, texts: list[bytes], least: int, width: int) -> tuple[list, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Document, first word, words and shingle set of every long enough line."""
-    lines, owner = [], []
-    for i, text in enumerate(texts):
-        parts = text.split(b"\n")
-        lines += parts
-        owner += [i] * len(parts)
-    words, _, first = word_hashes(lines)
-    counts, owner = np.diff(first), np.array(owner, np.int64)
-    before = np.cumsum(counts) - counts
-    start = before[np.searchsorted(owner, np.arange(len(texts)))] if len(texts) else before
-    at = np.flatnonzero(counts >= least)
-    return [ids[i] for i in owner[at]], (before - start[owner])[at], counts[at], shingle_sets([lines[i] for i in at], width)
+def _lines(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a batch of texts, the first word of each text, and text, first and last word of long enough lines."""
+    words, starts, first = word_hashes(texts)
+    breaks = np.flatnonzero(np.frombuffer(b" ".join([*texts, b""]), np.uint8) == 10)
+    # A line feed is white, so no word holds one: lines end where the count of line feeds before a word changes, or the text.
+    new = np.zeros(len(words), bool)
+    new[first[:-1][first[:-1] < len(words)]] = True
+    new[1:] |= np.diff(np.searchsorted(breaks, starts)) > 0
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(words)) if len(begin) else begin
+    long = end - begin >= least
+    begin, end = begin[long], end[long]
+    return words, first, np.searchsorted(first, begin, "right") - 1, begin, end
 
 
 def _node(items: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def paragraphs(docs: DataFrame, least: int, width: int, index: Bands) -> DataFrame:
-    """Rows ``doc_id, begin, words, node, symbols``: long enough lines, the hash of their set, and its signature."""
+UNITS = "node long, doc_id long, begin int, words int, symbols binary"
+
+
+def units(docs: DataFrame, least: int, width: int, passage: int, index: Bands) -> DataFrame:
+    """Both kinds of units from one pass over the texts, columns as in ``UNITS``.
+
+    Long enough lines, with the hash of their set of shingles as ``node``, their number of words, and their signature;
+    and the ``least`` words from every minimiser on, with their hash, which have no words and no signature.
+    """
+    window = passage - least + 1
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for ids, texts in _texts(batch):
-                owner, begin, words, sets = _paragraphs(ids, texts, least, width)
-                symbols = signatures(sets, index)
-                columns = [pa.array(owner, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in symbols], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "begin", "words", "node", "symbols"])
-
-    return docs.mapInArrow(frugal(made), "doc_id long, begin int, words int, node long, symbols binary")
+                words, first, owner, begin, end = _lines(texts, least)
+                sets = sets_between(words, begin, end, width)
+                text, place, _ = anchored(words, first, GRAM, window)
+                whole = place + least <= np.diff(first)[text]
+                text, place = text[whole], place[whole]
+                keys = stretch_keys(words, least, first[text] + place)
+                n, m = len(owner), len(text)
+                columns = [
+                    pa.array(np.concatenate([np.array([_node(s) for s in sets], np.int64), keys])),
+                    pa.array(ids, pa.int64()).take(pa.array(np.concatenate([owner, text]))),
+                    pa.array(np.concatenate([begin - first[owner], place]).astype(np.int32)),
+                    pa.array(np.concatenate([end - begin, np.zeros(m, np.int64)]).astype(np.int32), mask=np.arange(n + m) >= n),
+                    pa.array([*[s.tobytes() for s in signatures(sets, index)], *[None] * m], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "begin", "words", "symbols"])
+
+    return docs.mapInArrow(frugal(made), UNITS)
 
 
 def paragraph_sets(docs: DataFrame, least: int, width: int, index: Bands) -> DataFrame:
@@ -84,43 +105,49 @@ def paragraph_sets(docs: DataFrame, least: int, width: int, index: Bands) -> Dat
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for ids, texts in _texts(batch):
-                sets = _paragraphs(ids, texts, least, width)[3]
+            for _, texts in _texts(batch):
+                words, _, _, begin, end = _lines(texts, least)
+                sets = sets_between(words, begin, end, width)
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), *set_columns(sets, index)], ["doc_id", "n", "signature", "sketch", "items"])
 
     return docs.mapInArrow(frugal(made), SETS)
 
 
-def stretches(docs: DataFrame, least: int, passage: int) -> DataFrame:
-    """Rows ``node, doc_id, begin``: the ``least`` words from every minimiser on."""
-    window = passage - least + 1
+def _islands(spans: DataFrame, *by: str) -> DataFrame:
+    """``spans`` with the number (``_island``) of the run of overlapping ones that each is in, among those alike in ``by``."""
+    order = Window.partitionBy(*by).orderBy("begin", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.when(F.col("begin") <= far, 0).otherwise(1))
+    return spans.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
-    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for ids, texts in _texts(batch):
-                owner, place, _, first = anchored(texts, GRAM, window)
-                whole = place + least <= np.diff(first)[owner]
-                owner, place = owner[whole], place[whole]
-                words, _, _ = word_hashes(texts)
-                keys = grams(words, least)[first[owner] + place]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ids, pa.int64()).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["node", "doc_id", "begin"])
 
-    return docs.mapInArrow(frugal(made), "node long, doc_id long, begin int")
+def shared_spans(spans: DataFrame, passage: int) -> DataFrame:
+    """``spans`` (``doc_id, begin, end, keep_id``) joined where they overlap and one document keeps them.
+
+    Where all that overlaps in a document, whoever keeps it, itself included, comes to fewer words than ``passage``, it goes.
+    """
+    island = Window.partitionBy("doc_id", "_island")
+    spans = _islands(spans, "doc_id").withColumn("_size", F.max("end").over(island) - F.min("begin").over(island))
+    spans = _islands(spans.where(F.col("_size") >= passage).drop("_island", "_size"), "doc_id", "keep_id")
+    return spans.groupBy("doc_id", "keep_id", "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
     """Passages that occur in several documents: ``doc_id, kind, begin, end, component, keep_id, kept``.
 
     ``begin`` and ``end`` count words (runs of non-white bytes, A-Z as a-z) of the text from 0, the end exclusive;
-    ``kind`` is ``paragraph`` or ``stretch`` (joined where they overlap). Of a component the smallest doc_id keeps
-    its passages, the others can cut them. Stretches reach to the borders of the longest agreement: those not kept, with
-    smaller doc_ids; where larger ones agree further, the document has a kept row as well. Repeats within one document alone do not count. Null, empty and short
-    texts have none; rows that repeat a doc_id count as one document; rows without a doc_id are left out; an empty
-    table gives no rows; other columns are not read.
+    ``kind`` is ``paragraph`` or ``stretch``. Of a component of paragraphs the smallest doc_id keeps its passages, the
+    others can cut them. Stretches reach to the borders of the longest agreement: those not kept are shared with the
+    smaller doc_id ``keep_id``, which has each of their words in a run of ``least`` of them or more; where larger ones agree
+    further, the document has a kept row as well. Rows of one document and keeper are joined where they overlap; rows of several keepers can overlap.
+    Stretches that come to fewer than ``passage`` words with all that they overlap are left out. Repeats within one
+    document alone do not count. Null, empty and short texts have none; rows that repeat a doc_id count as one document;
+    rows without a doc_id are left out; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     index = Bands(tuned(percent))
-    lines = written(paragraphs(docs, least, width, index), "paragraphs")
+    found = written(units(docs, least, width, passage, index), "units")
+    lines = found.where("symbols is not null")
     classes = written(lines.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("symbols").alias("symbols")), "classes")
 
     def sets_of(involved: DataFrame) -> DataFrame:
@@ -134,17 +161,14 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
     named = classes.join(roots, "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("component"))
     clusters = named.groupBy("component").agg(F.min("low").alias("keep_id"), F.max("high").alias("last")).where("keep_id <> last")
     named = written(named.join(clusters, "component").select("node", "component", "keep_id"), "repeated-paragraphs")
-    found = lines.join(named, "node").select("doc_id", F.lit("paragraph").alias("kind"), "begin", (F.col("begin") + F.col("words")).alias("end"), "component", "keep_id")
+    near = lines.join(named, "node").select("doc_id", F.lit("paragraph").alias("kind"), "begin", (F.col("begin") + F.col("words")).alias("end"), "component", "keep_id")
 
-    pieces = written(stretches(docs, least, passage), "stretches")
+    pieces = found.where("symbols is null").select("node", "doc_id", "begin")
     many = pieces.groupBy("node").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id <> last").drop("last")
     pieces = written(pieces.join(spread(many), "node").select("doc_id", "begin", (F.col("begin") + least).alias("end"), "keep_id", "node"), "repeated-stretches")
-    pieces = extended(docs, pieces, least, passage - least)
-    mine = F.col("doc_id") == F.col("keep_id")
-    parts = [united(pieces.where(which).withColumn("other_id", F.col("keep_id"))) for which in (mine, ~mine)]
-    joined = parts[0].unionByName(parts[1]).select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", F.xxhash64("other_id").alias("component"), F.col("other_id").alias("keep_id"))
-    both = found.unionByName(joined)
-    return both.withColumn("kept", F.col("doc_id") == F.col("keep_id"))
+    joined = shared_spans(extended(docs, pieces, least, passage - least), passage)
+    joined = joined.select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", F.xxhash64("keep_id").alias("component"), "keep_id")
+    return near.unionByName(joined).withColumn("kept", F.col("doc_id") == F.col("keep_id"))
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

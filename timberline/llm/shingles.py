@@ -54,16 +54,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, starts, np.searchsorted(starts, begin)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles; of a shorter text, of its words as one; empty without words."""
-    words, _, first = word_hashes(texts)
+def sets_between(words: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each stretch of words from ``first`` to before ``last``; of one
+    with fewer words than ``width``, of its words as one; empty without words."""
     n = len(words) - width + 1
     joined = np.zeros(max(n, 0), np.uint64)
     for j in range(width if n > 0 else 0):
         joined += words[j : j + n] * _steps[j]
     joined = mixed(joined)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a >= width:
             out.append(np.unique(joined[a : b - width + 1]))
         elif b > a:
@@ -73,6 +73,12 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The shingle sets of whole texts."""
+    words, _, first = word_hashes(texts)
+    return sets_between(words, first[:-1], first[1:], width)
+
+
 def minhashes(sets: list[np.ndarray], n: int, seed: int = 7) -> np.ndarray:
     """``n`` MinHash values of each set, spread over 64 bits; zeros for an empty set."""
     out = np.zeros((len(sets), n), np.uint64)

@@ -62,15 +62,14 @@ def minimisers(hashes: np.ndarray, owner: np.ndarray, window: int, whole: np.nda
     return np.flatnonzero((best == hashes[: len(best)]) & (best > 0))
 
 
-def anchored(texts: list[bytes], gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimisers of a batch of texts: text, place in its words, gram hash, and the first word of every text."""
-    words, _, first = word_hashes(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+def anchored(words: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers among the words of a batch of texts, which begin at ``first``: text, place in its words, gram hash."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     hashes = grams(words, gram)
     whole = owner[: len(hashes)] == owner[gram - 1 : gram - 1 + len(hashes)]
     # A gram that runs into the next text belongs to none: give it an owner of its own.
     at = minimisers(hashes, np.where(whole, owner[: len(hashes)], -1 - np.arange(len(hashes))), window, whole)
-    return owner[at], at - first[owner[at]], hashes[at].astype(np.int64), first
+    return owner[at], at - first[owner[at]], hashes[at].astype(np.int64)
 
 
 def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
@@ -81,7 +80,8 @@ def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).fill_null(b"")
             for low in range(0, len(ids), 1024):
                 for start, some in batches(texts.slice(low, 1024).to_pylist()):
-                    owner, place, keys, _ = anchored(some, gram, window)
+                    words, _, first = word_hashes(some)
+                    owner, place, keys = anchored(words, first, gram, window)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), ids.slice(low + start, len(some)).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["key", "doc_id", "position"])
 
     return docs.mapInArrow(frugal(made), "key long, doc_id long, position int")
