@@ -8,6 +8,7 @@ a third of all documents share spreads over tasks, and each agreement is the lon
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from timberline.llm.suffixes import grams
 
 #: Bits of ``ask``: contexts to look at (before, behind), and whether the place's own agreement is wanted.
 BEFORE, BEHIND, TELL_BEFORE, TELL_BEHIND = 1, 2, 4, 8
-CONTEXT = "node long, behind boolean, around binary, doc_id long, begin int, tell boolean"
+CONTEXT = "class long, node long, behind boolean, around binary, low long, high long, begin int"
 CHUNK = 8192
 LEVELS = "class long, low long, high long, gone int, later int, size int, head int, tail int, who long, chunk string, edge binary"
 
@@ -57,7 +58,11 @@ def asked(pieces: DataFrame, least: int, reach: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> DataFrame:
-    """The up to ``reach`` words around the stretches at ``places``, four bytes each; columns as in ``CONTEXT``."""
+    """The up to ``reach`` words around the stretches at ``places``, four bytes each; columns as in ``CONTEXT``.
+
+    Two kinds of rows: a class of stretches with one context once for some texts, with the least and greatest document
+    there; and the places that ask to be told, with their class, and the document in ``low``, and without the context.
+    """
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -87,7 +92,26 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> Data
                         high = np.minimum(low + reach, n - first[owner[which]])
                     source = ahead if behind else back
                     around = [source[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(np.full(len(which), behind)), pa.array(around, pa.binary()), pa.array(ids[start + owner[which]]), pa.array(place[which].astype(np.int32)), pa.array((ask[which] & tell) > 0)], names)
+                    keys = node[which].astype("<i8").tobytes()
+                    known = pa.array([keys[8 * i : 8 * i + 8] + a for i, a in enumerate(around)], pa.binary()).dictionary_encode()
+                    each, distinct = known.indices.to_numpy(), known.dictionary.to_pylist()
+                    docs_of = ids[start + owner[which]]
+                    least_doc, most_doc = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+                    np.minimum.at(least_doc, each, docs_of)
+                    np.maximum.at(most_doc, each, docs_of)
+                    prints = np.array([int.from_bytes(hashlib.blake2b(d, digest_size=8, person=bytes([behind])).digest(), "little", signed=True) for d in distinct], np.int64)
+                    asks = (ask[which] & tell) > 0
+                    n, m = len(distinct), int(asks.sum())
+                    columns = [
+                        pa.array(np.concatenate([prints, prints[each[asks]]])),
+                        pa.array(np.concatenate([np.frombuffer(b"".join(d[:8] for d in distinct), np.int64), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+                        pa.array(np.full(n + m, behind)),
+                        pa.array([*[d[8:] for d in distinct], *[None] * m], pa.binary()),
+                        pa.array(np.concatenate([least_doc, docs_of[asks]])),
+                        pa.array(np.concatenate([most_doc, docs_of[asks]])),
+                        pa.array(np.concatenate([np.zeros(n, np.int32), place[which][asks].astype(np.int32)])),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [f.split(" ")[0] for f in CONTEXT.split(", ")]
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "node", "ask")).alias("places")).withColumnRenamed("doc_id", "_id")
@@ -181,8 +205,9 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     words shared at most with an earlier document, which that is, and words shared at most with a later one; -1 if the
     stretch is in none."""
     spark = found.sparkSession
-    found = written(found.withColumn("class", F.xxhash64("node", "behind", "around")), "contexts")
-    classes = written(found.groupBy("node", "behind", "around").agg(F.first("class").alias("class"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "context-classes")
+    found = written(found, "contexts")
+    classes = found.where("around is not null").groupBy("node", "behind", "around").agg(F.first("class").alias("class"), F.min("low").alias("low"), F.max("high").alias("high"))
+    classes = written(classes, "context-classes")
     order = ["node", "behind", "around"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     levels = written(_levels(classes.repartitionByRange(parts, *order).sortWithinPartitions(*order), reach), "levels")
@@ -201,10 +226,10 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     gone = F.greatest(F.struct("gone", F.bitwise_not("who").alias("who")), earlier("first_low", "head"), earlier("last_low", "tail"))
     after = [most(f"{end}_high", shared, lambda x: x > F.col("high")) for end, shared in (("first", "head"), ("last", "tail"))]
     levels = levels.select("class", "low", "high", "size", gone.alias("_gone"), F.greatest("later", *after).alias("_later"))
-    told = found.where("tell").select("class", "doc_id", "begin", "behind").join(spread(levels), "class")
-    behind_first = F.col("doc_id") > F.col("low")
+    told = found.where("around is null").select("class", F.col("low").alias("doc_id"), "begin", "behind").join(spread(levels.withColumnRenamed("low", "first")), "class")
+    behind_first = F.col("doc_id") > F.col("first")
     gone = F.when(behind_first, F.col("size")).otherwise(F.col("_gone.gone"))
-    who = F.when(behind_first, F.col("low")).otherwise(F.bitwise_not(F.col("_gone.who")))
+    who = F.when(behind_first, F.col("first")).otherwise(F.bitwise_not(F.col("_gone.who")))
     later = F.when(F.col("doc_id") < F.col("high"), F.col("size")).otherwise(F.col("_later"))
     return told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later"))
 
