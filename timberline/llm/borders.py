@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import small, spread, written
+from timberline.llm.common import done, small, spread, written
 from timberline.llm.frugal import frugal
 from timberline.llm.shingles import batches, word_hashes
 from timberline.llm.suffixes import grams
@@ -54,7 +54,9 @@ def asked(pieces: DataFrame, least: int, reach: int) -> DataFrame:
     own = written(own, "places")
     keys = own.groupBy("node").agg(F.max("_before").alias("_some_before"), F.max("_behind").alias("_some_behind")).where("_some_before or _some_behind")
     ask = sum((F.when(F.col(c), bit).otherwise(0) for c, bit in (("_some_before", BEFORE), ("_some_behind", BEHIND), ("_before", TELL_BEFORE), ("_behind", TELL_BEHIND))), F.lit(0))
-    return own.join(spread(keys), "node").select("doc_id", "begin", "node", ask.alias("ask"))
+    out = written(own.join(spread(keys), "node").select("doc_id", "begin", "node", ask.alias("ask")), "asked")
+    done(own)
+    return out
 
 
 def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> DataFrame:
@@ -211,7 +213,7 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     order = ["node", "behind", "around"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     levels = written(_levels(classes.repartitionByRange(parts, *order).sortWithinPartitions(*order), reach), "levels")
-    known = _ends(levels, reach)
+    known, found_levels = _ends(levels, reach), levels
     ends = spark.createDataFrame(known, "chunk string, first_low array<long>, first_high array<long>, last_low array<long>, last_high array<long>")
 
     def most(column: str, shared: str, test) -> Column:
@@ -231,7 +233,9 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     gone = F.when(behind_first, F.col("size")).otherwise(F.col("_gone.gone"))
     who = F.when(behind_first, F.col("first")).otherwise(F.bitwise_not(F.col("_gone.who")))
     later = F.when(F.col("doc_id") < F.col("high"), F.col("size")).otherwise(F.col("_later"))
-    return told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later"))
+    out = written(told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later")), "agreements")
+    done(found, classes, found_levels)
+    return out
 
 
 def extended(docs: DataFrame, pieces: DataFrame, least: int, reach: int) -> DataFrame:
@@ -241,9 +245,10 @@ def extended(docs: DataFrame, pieces: DataFrame, least: int, reach: int) -> Data
     the words of such a span, so that what is cut stays there. Where a later document agrees further, a span that the
     document itself keeps is added.
     """
-    pieces_told = agreements(contexts(docs, asked(pieces, least, reach), least, reach), reach)
+    places = asked(pieces, least, reach)
+    told = agreements(contexts(docs, places, least, reach), reach)
+    done(places)
     span = lambda n: [F.when(F.col("behind"), F.col("begin")).otherwise(F.col("begin") - n).alias("begin"), F.when(F.col("behind"), F.col("begin") + least + n).otherwise(F.col("begin") + least).alias("end")]
-    told = written(pieces_told, "agreements")
     gone = told.where("gone > 0").select("doc_id", *span(F.col("gone")), F.col("who").alias("keep_id"))
     kept = told.where("later > gone and later > 0").select("doc_id", *span(F.col("later")), F.col("doc_id").alias("keep_id"))
     return pieces.select("doc_id", "begin", "end", "keep_id").unionByName(gone).unionByName(kept)

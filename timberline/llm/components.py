@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import spread, written
+from timberline.llm.common import done, spread, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         small = _least(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = written(small.where("u <> v").distinct(), "edges")
+        before, pairs = pairs, written(small.where("u <> v").distinct(), "edges")
+        done(before)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

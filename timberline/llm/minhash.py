@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import small, spread, table, written
+from timberline.llm.common import done, small, spread, table, written
 from timberline.llm.components import components
 from timberline.llm.exact import mark
 from timberline.llm.frugal import frugal
@@ -345,11 +345,13 @@ def within(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root`` after joining components by ``links`` between their members."""
+    """``node, root`` after joining components by ``links`` between their members; both tables are done with then."""
     named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     found = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     found = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return written(roots.join(found, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    out = written(roots.join(found, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    done(roots, links)
+    return out
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -366,22 +368,29 @@ def connected(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ind
     keys = keyed(classes, index)
     # Masked by the key, a class that is the least under one key is not so under another: hubs differ.
     hubs = keys.groupBy("key").agg((F.min(F.col("doc_id").bitwiseXOR(F.col("key")))).alias("masked"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = written(hubs.select("key", F.col("masked").bitwiseXOR(F.col("key")).alias("hub"), "size"), "hubs")
-    ties = written(keys.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
-    involved = written(ties.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+    hubs = written(hubs.select("key", F.col("masked").bitwiseXOR(F.col("key")).alias("hub")), "hubs")
+    tied = written(keys.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
+    involved = written(tied.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
     sets = written(sets_of(involved), "sets")
-    ties = written(likely(ties, sets, percent), "likely-ties")
+    ties = written(likely(tied, sets, percent), "likely-ties")
     best = ties.groupBy("a").agg(F.min(F.struct("errors", "b"))["b"].alias("b"))
     roots = written(involved.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")), "roots")
+    done(tied, involved)
     roots = _merged(roots, written(confirmed(best, sets, percent), "links"))
     roots = _merged(roots, written(confirmed(_apart(ties, roots), sets, percent), "links"))
     named = roots.withColumnRenamed("node", "doc_id")
     held = written(keyed(sets, index).join(hubs.select("key"), "key").join(named, "doc_id"), "members")
+    done(ties, hubs)
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = held.join(spread(mixed), "key", "left_semi").join(sets.select("doc_id", "n", "signature", "sketch"), "doc_id")
-    clusters = components(across(members, index, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    members = written(clusters, "clusters").join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
-    return _merged(roots, written(within(members, percent), "links"))
+    likely_ones = written(across(members, index, percent), "likely-pairs")
+    done(held)
+    clusters = components(likely_ones).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    clusters = written(clusters, "clusters")
+    members = clusters.join(named, "doc_id").join(sets.select("doc_id", "n", "sketch", "items"), "doc_id")
+    links = written(within(members, percent), "links")
+    done(likely_ones, clusters, sets)
+    return _merged(roots, links)
 
 
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:

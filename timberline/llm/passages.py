@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.llm.borders import extended, stretch_keys
-from timberline.llm.common import small, spread, table, written
+from timberline.llm.common import done, small, spread, table, written
 from timberline.llm.frugal import frugal
 from timberline.llm.minhash import SETS, Bands, connected, set_columns, signatures
 from timberline.llm.shingles import batches, sets_between, word_hashes
@@ -161,6 +161,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
     named = classes.join(roots, "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("component"))
     clusters = named.groupBy("component").agg(F.min("low").alias("keep_id"), F.max("high").alias("last")).where("keep_id <> last")
     named = written(named.join(clusters, "component").select("node", "component", "keep_id"), "repeated-paragraphs")
+    done(classes, roots)
     near = lines.join(named, "node").select("doc_id", F.lit("paragraph").alias("kind"), "begin", (F.col("begin") + F.col("words")).alias("end"), "component", "keep_id")
 
     pieces = found.where("symbols is null").select("node", "doc_id", "begin")
