@@ -152,8 +152,10 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
     def calibrate(self, texts: list[str], labels: np.ndarray) -> None:
-        """Fit the softmax's temperature, what share of seen subwords is usual, and the least score to accept.
+        """Fit the softmax's temperature, what share of seen subwords is usual, and how much of it a text needs.
 
+        A text is rejected for what no language explains, not for being in two: so the level is one of the share of its
+        subwords that training saw, against the usual share, and not of the score, which is low for a mixed text too.
         The level rejects ``REFUSED`` of strangers (see ``strangers``), but never more than ``REJECTED`` of the texts whose
         language is told right; where both leave room, it lies nearer to the strangers, by ``MARGIN``. Every other text
         sets the level; on the rest ``measured`` has the shares of right texts rejected and of strangers accepted.
@@ -164,17 +166,20 @@ class Model:
             losses.append((-np.log(self._softmax(logits)[np.arange(len(labels)), labels] + 1e-12).mean(), self.heat))
         self.heat = min(losses)[1]
         self.usual = max(float(np.quantile(seen, 0.02)), 1e-6)
-        right = self._scored(logits, seen)[1][logits.argmax(1) == labels]
-        strange = self._scored(*self.averages(strangers(texts))[:2])[1]
+        right = self._known(seen)[logits.argmax(1) == labels]
+        strange = self._known(self.averages(strangers(texts))[1])
         if len(right) and len(strange):
             high, low = (x[::2] if len(x) > 20 else x for x in (right, strange))
             most, enough = float(np.quantile(high, REJECTED)), float(np.quantile(low, REFUSED))
             self.least = min(most, enough + MARGIN * max(0.0, most - enough))
             self.measured = float((right[1::2] < self.least).mean()) if len(right) > 1 else 0.0, float((strange[1::2] >= self.least).mean()) if len(strange) > 1 else 0.0
 
+    def _known(self, seen: np.ndarray) -> np.ndarray:
+        return np.minimum(1.0, seen / self.usual)
+
     def _scored(self, logits: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self._softmax(logits)
-        return p.argmax(1), p.max(1) * np.minimum(1.0, seen / self.usual)
+        return p.argmax(1), p.max(1) * self._known(seen)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and acceptance of each text; ``und``, 0 and False for null or a text without a letter."""
@@ -186,7 +191,7 @@ class Model:
         best, score = self._scored(logits, seen)
         score = np.where(has, np.clip(score, 0, 1), 0.0)
         names = [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-        return names, score, has & (score >= self.least)
+        return names, score, has & (self._known(seen) >= self.least)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
@@ -285,7 +290,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 def decided(docs: DataFrame, model: Model) -> DataFrame:
     """Which rows of ``docs`` (``doc_id, text``) ``model`` accepts, as ``exact.kept_documents`` takes it: ``doc_id, mark, kept``.
 
-    Null, empty and other texts without a letter are rejected, as are those that score less than ``model.least``. A
+    Null, empty and other texts without a letter are rejected, as are those of whose subwords too few are known (``model.least``). A
     decision depends on the text alone, so repeated rows go or stay together; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
