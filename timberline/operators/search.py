@@ -47,6 +47,10 @@ def _closed(lb: float, ub: float, gap: float) -> bool:
     return ub - lb <= gap or ub - lb <= gap * min(abs(ub), abs(lb))
 
 
+#: Trees that one pass scores, and nodes after which small groups are drawn anew.
+SCORED, DRAWN = 64, 16
+
+
 class Search:
     """State of one search. ``points``: ``row_id``, features within [0, 1], and ``y`` from 1."""
 
@@ -70,13 +74,18 @@ class Search:
         self.log: list[tuple] = []
 
     def offer(self, trees: list[Tree]) -> None:
-        """Score candidates on all rows in one pass, with majority labels where theirs are worse, and keep the best."""
+        """Score all candidates on all rows, with majority labels where theirs are worse, and keep the best.
+
+        One pass over the cells scores ``SCORED`` trees, each of which adds columns to its plan.
+        """
         trees = [t for t in trees if t is not None]
         if not trees:
             return
-        for r in score(self.cells, trees, self.features, self.share, self.alpha, F.col("n")).collect():
-            if r.cost < self.ub - 1e-12:
-                self.tree, self.ub = trees[r.tree_id], r.cost
+        for low in range(0, len(trees), SCORED):
+            some = trees[low : low + SCORED]
+            for r in score(self.cells, some, self.features, self.share, self.alpha, F.col("n")).collect():
+                if r.cost < self.ub - 1e-12:
+                    self.tree, self.ub = some[r.tree_id], r.cost
         labels = {r.leaf: r.label for r in majority_labels(leaf_counts(self.cells, self.tree, self.features, F.col("n"))).collect()}
         if labels != self.tree.label:
             better = replace(self.tree, label=labels)
@@ -89,9 +98,10 @@ class Search:
         random = np.random.default_rng(self.seed)
         return [replace(tree, split={t: (f, float(random.uniform(*box.threshold[t]))) for t, (f, _) in tree.split.items()}) for _ in range(n)]
 
-    def bootstrap(self, points: DataFrame, n_groups: int = 6, size: int = 50, round_: int = 0) -> None:
+    def bootstrap(self, points: DataFrame | None = None, n_groups: int = 6, size: int = 50, round_: int = 0) -> None:
         """Offer the best trees of small groups drawn with repetition, whatever their box."""
         order = F.pmod(F.xxhash64("row_id", F.lit(self.seed)), F.lit(104729))
+        points = self.groups if points is None else points
         drawn = bootstrap(points.select("row_id", *self.features, "y"), order, "row_id", n=self.n, n_groups=n_groups, size=size, round_=round_)
         rows = bounds.group_bounds(drawn, free(self.depth, len(self.features), self.k), self.features, self.share, self.alpha, self.n, self.eps)
         self.offer([bounds.tree_of(r, self.depth) for r in rows.collect()])
@@ -117,20 +127,26 @@ class Search:
             known = still
             lb = max(lb, sum(b for b, _ in known.values()))
             trees = [t for _, t in known.values() if t is not None]
-            self.offer(list({repr(t): t for t in trees}.values())[:64])
+            self.offer(list({repr(t): t for t in trees}.values()))
         open_ = box.undetermined()
         if not (open_["d"] or open_["a"] or open_["c"]):
             self.offer(self.drawn(box, self.tree))
         return lb, known
 
     def run(self, max_nodes: int = 1000, seconds: float = 14_400, start: Tree | None = None, shape: int = 0) -> tuple[Tree, float, float]:
-        """Search until the gap is closed, nodes or time run out: the tree, its cost, and the bound certified for it."""
+        """Search until the gap is closed, nodes or time run out: the tree, its cost, and the bound certified for it.
+
+        Where group bounds are on and the gap is open, small groups drawn anew offer their best trees as well, at the
+        start and after every ``DRAWN`` nodes. The persisted rows and cells go at the end.
+        """
         began = time.monotonic()
         self.offer([start or cart(self.cells, self.features, self.depth, weight="n"), Tree(self.depth)])
         box = free(self.depth, len(self.features), self.k, shape)
         lb, known = self.bound(box, bounds.closed_forms(self.cells, [box], self.features, self.share, self.alpha, F.col("n"))[0])
         heap, given_up, seq = [(lb, 0, 1, box, known)], float("inf"), 0
         for i in range(max_nodes):
+            if "SG" in self.methods and i % DRAWN == 0 and heap and not _closed(heap[0][0], self.ub, self.gap):
+                self.bootstrap(round_=i // DRAWN)
             while heap and _closed(heap[0][0], self.ub, self.gap):
                 given_up = min(given_up, heapq.heappop(heap)[0])
             least = min([given_up, self.ub, *[h[0] for h in heap[:1]]])
@@ -148,6 +164,8 @@ class Search:
                 found, groups = self.bound(half, max(lb, value), known)
                 heapq.heappush(heap, (found, -seq, level + 1, half, groups))
         least = min([given_up, self.ub, *[h[0] for h in heap]])
+        self.cells.unpersist()
+        self.groups.unpersist()
         return self.tree, self.ub, float(least)
 
     def bound_log(self, spark: SparkSession) -> DataFrame:
