@@ -3,7 +3,9 @@
 Of all suffixes of the word sequences only those stay that start at a minimiser: the least hash of ``GRAM`` words
 in some window. Windows are as wide as a repeat of ``LEAST`` words has grams, so every such repeat holds one. Those
 whose gram occurs once go. The rest are sorted by gram and following words over all tasks, each is compared with
-its neighbours in that order, and the agreement is extended to the right and to the left of the minimiser. Range
+its neighbours in that order, and the agreement is extended to the right and to the left of the minimiser. A stranger
+that shares more words to the right may part two suffixes that share words on both sides, so within a gram's rows the
+runs of ``LEAST`` words around the minimiser are sorted as well, for each place that it can have in them. Range
 partitioning orders copies by document at last, so a passage that a third of all documents share spreads over tasks.
 """
 
@@ -22,6 +24,8 @@ from timberline.llm.frugal import frugal
 from timberline.llm.shingles import batches, mixed, word_hashes
 
 LEAST, GRAM = 50, 8
+#: Rows that are compared at a time; a gram's rows stay together up to this number, and windows join them beyond it.
+PART = 8192
 _steps = np.random.default_rng(31).integers(1, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
 #: One row for each kept suffix: words before it (backwards) and from it on, four bytes each.
 SUFFIX = "key long, ahead binary, doc_id long, position int, words int, behind binary"
@@ -140,6 +144,46 @@ class _Rows:
         left = same(self.behind, np.minimum(self.position[i], self.position[j]))
         return left, same(self.ahead, np.minimum((self.words - self.position)[i], (self.words - self.position)[j]))
 
+    def windows(self, rows: np.ndarray, least: int, salt: int) -> np.ndarray:
+        """Hashes of the ``least`` words around the suffixes of ``rows``, one for each number of words before the start; 0 beyond the text."""
+        wide = np.concatenate([self.behind[rows][:, ::-1], self.ahead[rows]], axis=1).astype(np.uint64)
+        steps = np.random.default_rng(salt).integers(1, 1 << 63, wide.shape[1], np.uint64) << np.uint64(1) | np.uint64(1)
+        sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(wide * steps, axis=1, dtype=np.uint64)], axis=1)
+        before = np.arange(min(self.behind.shape[1], least))
+        begin = self.behind.shape[1] - before
+        hashes = mixed(sums[:, begin + least] - sums[:, begin] + self.key[rows].astype(np.uint64)[:, None])
+        hashes = mixed(hashes + before.astype(np.uint64)) | np.uint64(1)
+        inside = (before <= self.position[rows][:, None]) & (least - before <= (self.words - self.position)[rows][:, None])
+        return np.where(inside, hashes, np.uint64(0))
+
+    def around(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that share ``least`` words with the suffix's start among them, by hashes, which only nominate.
+
+        Each row is paired with the first one, by document and place, that has the same words around its start.
+        """
+        order = np.lexsort((self.position, self.doc))
+        hashes = self.windows(order, least, 37)
+        row, hashes = order[np.nonzero(hashes)[0]], hashes[hashes > 0]
+        by = np.argsort(hashes, kind="stable")
+        row, hashes = row[by], hashes[by]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(row) else np.zeros(0, bool)
+        first = row[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+        pairs = np.unique(first[~new] * np.int64(self.n) + row[~new])
+        return pairs // self.n, pairs % self.n
+
+    def open_windows(self, least: int, first: bool, last: bool) -> list[np.ndarray]:
+        """All different windows of the first or last gram's rows: document, begin, two hashes. The earliest row speaks for others."""
+        some = np.zeros(self.n, bool)
+        some |= first & (self.key == self.key[0])
+        some |= last & (self.key == self.key[-1])
+        order = np.lexsort((self.position, self.doc))
+        order = order[some[order]]
+        hashes, checks = self.windows(order, least, 37), self.windows(order, least, 41)
+        at, before = np.nonzero(hashes)
+        hashes, place = np.unique(hashes[at, before], return_index=True)
+        at, before = at[place], before[place]
+        return [self.doc[order[at]], self.position[order[at]] - before, hashes.astype(np.int64), checks[at, before].astype(np.int64)]
+
     def spans(self, mine: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
         """What rows ``mine`` share with ``other``: one span a row for earlier rows and one for later ones.
 
@@ -162,90 +206,73 @@ class _Rows:
         return [self.doc[row][told], begin[told], end[told], least[told], gone[told]]
 
 
-def _compare(rows: pa.Table, least: int, pairs: np.ndarray | None = None) -> tuple[list[np.ndarray], pa.Table]:
-    """Repeats among ``rows`` in suffix order; the last row is the earliest one of the chain that the first row is in.
+def _compare(x: _Rows, least: int) -> list[np.ndarray]:
+    """Repeats among rows in suffix order: each is compared with its neighbours and with the row that ``around`` finds."""
+    at = np.arange(x.n - 1)
+    i, j = x.around(least)
+    i, j = np.concatenate([at, i]), np.concatenate([at + 1, j])
+    left, right = x.agree(i, j)
+    good = (left + right >= least) & ~((x.doc[i] == x.doc[j]) & (x.position[i] == x.position[j]))
+    i, j, left, right = i[good], j[good], left[good], right[good]
+    return x.spans(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([left, left]), np.concatenate([right, right]))
 
-    Neighbours that agree in ``least`` words or more form chains. Each row is compared with its neighbours and with
-    its chain's earliest row, so that one occurrence is left of what a chain shares. Returned with the spans: the
-    earliest row of the chain that the last row but one is in. ``pairs``: which neighbours to report, all if None.
-    """
-    x = _Rows(rows)
-    n = x.n - 1
-    at = np.arange(n - 1)
-    left, right = x.agree(at, at + 1)
-    good = left + right >= least
-    chain = np.append(np.concatenate([[0], np.cumsum(~good)]), 0)
-    order = np.lexsort((x.position, x.doc, chain))
-    first = order[np.concatenate([[True], chain[order][1:] != chain[order][:-1]])]
-    told = np.flatnonzero(good if pairs is None else good & pairs)
-    each = np.arange(x.n)
-    least_one = first[chain]
-    each, least_one = each[each != least_one], least_one[each != least_one]
-    far_left, far_right = x.agree(each, least_one)
-    keep = (far_left + far_right >= least) & ~((x.doc[each] == x.doc[least_one]) & (x.position[each] == x.position[least_one]))
-    mine = np.concatenate([told, told + 1, each[keep]])
-    other = np.concatenate([told + 1, told, least_one[keep]])
-    lefts, rights = (np.concatenate([a[told], a[told], b[keep]]) for a, b in ((left, far_left), (right, far_right)))
-    return x.spans(mine, other, lefts, rights), rows.slice(int(first[chain[n - 1]]), 1)
-
-
-MATCH = "doc_id long, begin int, end int, other_id long, later boolean, edge binary"
+
+MATCH = "doc_id long, begin int, end int, other_id long, later boolean, window long, check long"
 
 
 def matches(ordered: DataFrame, least: int) -> DataFrame:
-    """Repeats found in ``ordered`` within each task; and what comparing across the borders of tasks needs.
+    """Repeats found in ``ordered`` within each part of a task; and what comparing across parts needs.
 
-    That is one row a task, in ``edge``: its first and last row, and the earliest rows of the chains they are in.
+    That is the different windows of grams whose rows may go on in another part: rows with ``window`` and ``check``.
     """
 
-    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = early = head = None
+    def parts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool, bool]]:
+        """The rows in order, cut where the gram changes unless one gram has more rows than ``PART``; is the first, the last gram open?"""
+        rest, begun = None, True
         for batch in rows:
-            for low in range(0, batch.num_rows, 8192):
-                part = pa.Table.from_batches([batch.slice(low, 8192)])
-                first = part.slice(0, 1) if first is None else first
-                part = part if last is None else pa.concat_tables([last, part])
-                early = part.slice(0, 1) if early is None else early
-                found, early = _compare(pa.concat_tables([part, early]), least)
-                # Of the first chain of the task, the earliest row of its first batch will do for the task's others.
-                head = early if head is None and part.num_rows == 1 else _head(part, least) if head is None else head
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(found, kinds, strict=True)], pa.nulls(len(found[0]), pa.binary())], names)
-                last = part.slice(part.num_rows - 1, 1)
-        if first is not None:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, first.schema) as out:
-                out.write_table(pa.concat_tables([first, head, early, last]))
-            edge = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())] + [edge], names)
+            for low in range(0, batch.num_rows, PART):
+                part = pa.Table.from_batches([batch.slice(low, PART)])
+                part = part if rest is None else pa.concat_tables([rest, part])
+                new = np.flatnonzero(np.diff(part.column("key").to_numpy())) + 1
+                within = not len(new) and part.num_rows >= PART
+                cut = int(new[-1]) if len(new) else part.num_rows if within else 0
+                if cut:
+                    yield part.slice(0, cut), begun, within
+                    begun = within
+                rest = part.slice(cut) if cut < part.num_rows else None
+        if rest is not None:
+            yield rest, begun, True
+
+    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, first, last in parts(rows):
+            x = _Rows(part)
+            found = [pa.array(c, t) for c, t in zip(_compare(x, least), kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([*found, *[pa.nulls(len(found[0]), pa.int64())] * 2], names)
+            if first or last:
+                doc, begin, window, check = x.open_windows(least, first, last)
+                n = len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin, pa.int32()), pa.array(begin + least, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(window), pa.array(check)], names)
 
     names = [f.split(" ")[0] for f in MATCH.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
     return ordered.mapInArrow(frugal(made), MATCH)
 
 
-def _head(part: pa.Table, least: int) -> pa.Table:
-    """The earliest row of the chain that the first of ``part`` is in."""
-    x = _Rows(part)
-    at = np.arange(x.n - 1)
-    left, right = x.agree(at, at + 1)
-    n = int(np.argmax(np.append(left + right < least, True))) + 1
-    return part.slice(int(np.lexsort((x.position[:n], x.doc[:n]))[0]), 1)
-
-
-def _across_tasks(spark: SparkSession, found: DataFrame, least: int) -> DataFrame:
-    """Repeats across the borders of tasks: four rows of each task come to the driver, and are compared as one more task."""
-    edges = []
-    for row in found.where("edge is not null").select("edge").toLocalIterator():
-        with pa.ipc.open_stream(bytes(row[0])) as stream:
-            edges.append(stream.read_all())
-    schema = "doc_id long, begin int, end int, other_id long, later boolean"
-    if not edges:
-        return spark.createDataFrame([], schema)
-    order = lambda t: tuple(t.slice(0, 1).select(["key", "ahead", "doc_id", "position"]).to_pylist()[0].values())
-    rows = pa.concat_tables(sorted(edges, key=order))
-    border = np.arange(rows.num_rows - 1) % 4 == 3
-    spans = _compare(pa.concat_tables([rows, rows.slice(0, 1)]), least, border)[0]
-    return spark.createDataFrame([tuple(r) for r in zip(*[c.tolist() for c in spans], strict=True)], schema)
+def across_parts(found: DataFrame) -> DataFrame:
+    """Repeats between parts: windows (128 bits) that several parts hold, each against the earliest document and place.
+
+    A part names a window once, so a window that very many documents share comes once for each ``PART`` of them.
+    """
+    rows = found.where("window is not null").select("window", "check", "doc_id", "begin", "end")
+    place = F.struct("doc_id", "begin", "end")
+    firsts = rows.groupBy("window", "check").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    pairs = rows.join(firsts, ["window", "check"]).where(place != F.col("_first"))
+
+    def span(x: str, other: str, later: bool):
+        return F.struct(F.col(f"{x}doc_id").alias("doc_id"), F.col(f"{x}begin").alias("begin"), F.col(f"{x}end").alias("end"), F.col(f"{other}doc_id").alias("other_id"), F.lit(later).alias("later"))
+
+    both = pairs.select(F.explode(F.array(span("", "_first.", True), span("_first.", "", False))).alias("s")).select("s.*")
+    return both.groupBy("doc_id", "begin", "end", "later").agg(F.min("other_id").alias("other_id"))
 
 
 def united(spans: DataFrame) -> DataFrame:
@@ -274,8 +301,7 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["key", "ahead", "doc_id", "position"]
     found = written(matches(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order), least), "matches")
-    spans = found.where("edge is null").drop("edge").unionByName(_across_tasks(spark, found, least))
-    spans = written(spans, "spans")
+    spans = written(found.where("window is null").drop("window", "check").unionByName(across_parts(found)), "spans")
     gone, first = united(spans.where("later").drop("later")), united(spans.where("not later").drop("later"))
     both = gone.withColumn("kept", F.lit(False)).unionByName(first.withColumn("kept", F.lit(True)))
     return both.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "other_id", "kept")
