@@ -71,7 +71,11 @@ def test_strangers_between(spark):
         low = r.randrange(0, 90)
         rows.append((i, " ".join(fresh(r.randrange(20)) + base[low : low + r.randrange(20, 70)] + fresh(r.randrange(20)))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert covered(suffixes.repeats(df).collect()) == brute(rows, 50)
+    found = suffixes.repeats(df).collect()
+    assert covered(found) == brute(rows, 50)
+    again = suffixes.repeats(df.repartition(2)).collect()
+    spans = lambda f: sorted((r.doc_id, r.begin, r.end, r.kept) for r in f)
+    assert spans(found) == spans(again)
 
 
 def test_documents(spark):

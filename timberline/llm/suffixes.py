@@ -26,6 +26,8 @@ from timberline.llm.shingles import batches, mixed, word_hashes
 LEAST, GRAM = 50, 8
 #: Rows that are compared at a time; a gram's rows stay together up to this number, and windows join them beyond it.
 PART = 8192
+#: Rows that a task of the sort is meant to hold, of some 420 bytes each.
+TASK = 25 * PART
 _steps = np.random.default_rng(31).integers(1, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
 #: One row for each kept suffix: words before it (backwards) and from it on, four bytes each.
 SUFFIX = "key long, ahead binary, doc_id long, position int, words int, behind binary"
@@ -288,9 +290,10 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Passages of ``least`` words or more that occur again: ``doc_id, begin, end, n_words, other_id, kept``.
 
     Spans are in words (runs of non-white bytes, A-Z as a-z) from 0, the end exclusive. Rows with ``kept`` false
-    are passages that were found to occur earlier (in a smaller doc_id, then place) as well: these can be cut out.
-    Rows with ``kept`` true are passages that were found to occur later only. ``other_id`` is the least document
-    found to share one. Rows of both kinds can overlap where a passage is longer than what is shared earlier. Repeats within one document count. Null and empty texts, and
+    are passages that occur earlier (in a smaller doc_id, then place) as well: these can be cut out. Rows with
+    ``kept`` true are all that is repeated in one place, if some of it occurs later only; so they can hold rows of
+    the other kind. Spans do not depend on partitions; ``other_id`` is the least document that was compared and
+    shares one. Repeats within one document count. Null and empty texts, and
     those of fewer than ``least`` words, have none; rows that repeat a doc_id are searched, their spans joined;
     rows without a doc_id are left out; an empty table gives no rows; other columns are not read.
     """
@@ -298,11 +301,13 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     places = repeated(written(anchors(docs, gram, window), "anchors"))
     kept = written(suffixes(docs, places, least, gram, window), "suffixes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // TASK))
     order = ["key", "ahead", "doc_id", "position"]
     found = written(matches(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order), least), "matches")
     spans = written(found.where("window is null").drop("window", "check").unionByName(across_parts(found)), "spans")
-    gone, first = united(spans.where("later").drop("later")), united(spans.where("not later").drop("later"))
+    gone, all_ = united(spans.where("later").drop("later")), united(spans.drop("later"))
+    told = gone.select("doc_id", "begin", "end")
+    first = all_.join(told, told.columns, "left_anti")
     both = gone.withColumn("kept", F.lit(False)).unionByName(first.withColumn("kept", F.lit(True)))
     return both.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "other_id", "kept")
 
