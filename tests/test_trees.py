@@ -105,6 +105,65 @@ def test_bounds_are_below_the_optimum(spark, toy):
     assert cf <= cover + 1e-9 and max(cover, sum(p.bound for p in parts)) <= best + 1e-9
 
 
+def test_limits_of_an_exact_tree(toy):
+    """Against all stumps: the least weight of a side; against all trees of the shape: which nodes split."""
+    cuts = [(f, v) for f in (0, 1) for v in np.unique(X[:, f])]
+    for least in (1, 4, 6):
+        want = min([(13 - np.bincount(Y).max()) / 0.4] + [sum(s.size - np.bincount(Y[s]).max() for s in (np.flatnonzero(X[:, f] < v), np.flatnonzero(X[:, f] >= v))) / 0.4 + 0.05 for f, v in cuts if least <= (X[:, f] < v).sum() <= 13 - least])
+        cost, found = exact.fit(X, Y, depth=1, share=0.4, least=least)
+        assert cost == pytest.approx(want)
+        assert all(min((X[:, f - 1] + 1e-12 < b).sum(), (X[:, f - 1] + 1e-12 >= b).sum()) >= least for f, b in found.split.values())
+    for shape, nodes in ((0b100, {1}), (0b110, {1, 2}), (0b101, {1, 3}), (0b111, {1, 2, 3})):
+        cost, found = exact.fit(X, Y, depth=2, share=0.4, shape=shape)
+        assert set(found.split) == nodes
+        assert cost == pytest.approx(every_tree(X, Y, box.free(2, 2, 3, shape), exact.gaps(X), 0.4, 0.05))
+
+
+def test_groups_by_leaf(spark, toy):
+    t = Tree(2, {1: (1, 0.5), 2: (2, 0.5)}, {4: 1, 5: 1, 7: 3})
+    rows = [(i, (i * 37 % 101) / 100, (i * 53 % 97) / 96, i % 3 + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, f1 double, f2 double, y int")
+    dealt = groups.leaf_deal(df, t, ["f1", "f2"], "row_id", 10, trials=2).withColumn("leaf", tree.leaf(t, ["f1", "f2"])).collect()
+    assert sorted(r.row_id for r in dealt) == list(range(300))
+    sizes = np.bincount([r.group_id for r in dealt])
+    assert len(sizes) == 10 and set(sizes) == {30}
+    for at in {r.leaf for r in dealt}:
+        some = np.bincount([r.group_id for r in dealt if r.leaf == at], minlength=10)
+        assert some.max() - some.min() <= 1
+    few = groups.leaf_deal(df.limit(4), t, ["f1", "f2"], "row_id", 10).collect()
+    assert len({r.group_id for r in few}) == 4
+    assert groups.leaf_deal(df.limit(0), t, ["f1", "f2"], "row_id", 10).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"grouping": "leaf"}, {"methods": "CF+MILP"}])
+def test_search_with_other_groups_or_none(toy, options):
+    _, cost, bound = Search(toy, ["f1", "f2"], 1, **options).run(max_nodes=12, seconds=60)
+    assert bound <= OPTIMUM[1][2] + 1e-6 <= cost + 2e-6
+
+
+def test_ways_to_an_incumbent(toy):
+    search = Search(toy, ["f1", "f2"], 2)
+    a, b = Tree(2, {1: (1, 0.5)}, {5: 1, 7: 3}), Tree(2, {1: (1, 0.7)}, {5: 1, 7: 3})
+    search.propose("slt", [a, b])
+    first = search.ub
+    search.propose("merg", [a, b])
+    search.propose("heur")
+    assert OPTIMUM[2][2] - 1e-6 <= search.ub <= first
+    for bad in (lambda: search.propose("none"), lambda: Search(toy, ["f1", "f2"], 2, grouping="none")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_read_data(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("1,7,2,b\n3,7,NA,a\n5,7,4,a\n2,7,6,b\n")
+    df, kept, k = tables.read_data(spark, str(path), 3)
+    assert kept == ["f1", "f3"] and k == 2 and df.columns == ["row_id", "f1", "f3", "y"]
+    assert sorted((r.f1, r.f3, r.y) for r in df.collect()) == [(0.0, 0.0, 2), (0.25, 1.0, 2), (1.0, 0.5, 1)]
+    path.write_text("")
+    assert tables.read_data(spark, str(path), 3)[2] == 0
+
+
 def test_search_finds_the_optimum(spark, toy):
     search = Search(toy, ["f1", "f2"], 2)
     found, cost, bound = search.run(max_nodes=60, seconds=60)

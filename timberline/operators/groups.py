@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.functions.prep import class_position
+from timberline.operators.tree import Tree, leaf
 
 
 def group_count(n: int, n_features: int, n_classes: int, depth: int) -> int:
@@ -51,16 +54,39 @@ def bootstrap(df: DataFrame, order: Column, *ties: str, n: int, n_groups: int, s
     return placed.join(draws(df, n, n_groups, size, round_), "_place").drop("_place", "_of", "_all")
 
 
-def kmeans_deal(df: DataFrame, features: list[str], key: str, n_groups: int, n_clusters: int, trials: int = 5, seed: int = 123) -> DataFrame:
-    """Rows dealt over groups by k-means cluster, the cheapest of several trials (the later of equals)."""
+def clustered(df: DataFrame, features: list[str], n_clusters: int, trials: int = 5, seed: int = 123) -> DataFrame:
+    """``df`` with its k-means ``_cluster``, by the cheapest of several trials (the later of equals)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     points = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
     models = [KMeans(k=n_clusters, seed=seed + i, featuresCol="_x", predictionCol="_cluster").fit(points) for i in range(trials)]
     best = min(enumerate(models), key=lambda m: (m[1].summary.trainingCost, -m[0]))[1]
-    clustered = best.transform(points).drop("_x")
-    return deal(clustered, "_cluster", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(104729)), key, n_groups=n_groups, carry=True).drop("_cluster")
+    return best.transform(points).drop("_x")
+
+
+def kmeans_deal(df: DataFrame, features: list[str], key: str, n_groups: int, n_clusters: int, trials: int = 5, seed: int = 123) -> DataFrame:
+    """Rows dealt over groups by k-means cluster; group sizes differ by one at most."""
+    found = clustered(df, features, n_clusters, trials, seed)
+    return deal(found, "_cluster", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(104729)), key, n_groups=n_groups, carry=True).drop("_cluster")
+
+
+def leaf_deal(df: DataFrame, tree: Tree, features: list[str], key: str, n_groups: int, trials: int = 5, seed: int = 123) -> DataFrame:
+    """Rows dealt over groups by leaf of ``tree`` and, within a leaf, by k-means cluster; sizes differ by one at most.
+
+    A leaf has a cluster for every ``n_groups`` of its rows, two at least; a leaf with fewer rows than groups is one.
+    So each group holds rows from all over each leaf. Models are as many as leaves, clusters as a group has rows.
+    """
+    routed = df.withColumn("_leaf", leaf(tree, features))
+    sizes = {r._leaf: r["count"] for r in routed.groupBy("_leaf").count().collect()}
+    parts = []
+    for at, n in sorted(sizes.items()):
+        rows = routed.where(F.col("_leaf") == at)
+        parts.append(clustered(rows, features, max(2, n // n_groups), trials, seed) if n > n_groups else rows.withColumn("_cluster", F.lit(0)))
+    if not parts:
+        return df.withColumn("group_id", F.lit(0).cast("long"))
+    found = reduce(DataFrame.unionByName, parts).withColumn("_part", F.col("_leaf").cast("long") * F.lit(1 << 32) + F.col("_cluster"))
+    return deal(found, "_part", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(104729)), key, n_groups=n_groups, carry=True).drop("_part", "_leaf", "_cluster")
 
 
 def blocks(df: DataFrame, group: str, n_parts: int) -> DataFrame:

@@ -15,8 +15,8 @@ from timberline.operators import bounds
 from timberline.operators.box import Box, branch, feasible, free, widest_threshold
 from timberline.operators.exact import gaps
 from timberline.operators.greedy import cart
-from timberline.operators.groups import bootstrap, deal, group_count
-from timberline.operators.tree import Tree, leaf_counts, majority_labels, score
+from timberline.operators.groups import bootstrap, deal, group_count, leaf_deal
+from timberline.operators.tree import Tree, leaf_counts, majority_labels, merged, score
 
 GAP = 1e-2
 LOG = "iter long, open_nodes long, level int, lb double, ub double, gap double"
@@ -52,12 +52,18 @@ SCORED, DRAWN = 64, 16
 
 
 class Search:
-    """State of one search. ``points``: ``row_id``, features within [0, 1], and ``y`` from 1."""
+    """State of one search. ``points``: ``row_id``, features within [0, 1], and ``y`` from 1.
 
-    def __init__(self, points: DataFrame, features: list[str], depth: int, alpha: float = 0.05, share: float | None = None, gap: float = GAP, methods: str = "CF+MILP+SG", seed: int = 1) -> None:
+    ``grouping``: rows are dealt over groups by ``class``, or by ``leaf`` of the first incumbent and k-means within.
+    """
+
+    def __init__(self, points: DataFrame, features: list[str], depth: int, alpha: float = 0.05, share: float | None = None, gap: float = GAP, methods: str = "CF+MILP+SG", seed: int = 1, grouping: str = "class") -> None:
         self.methods = methods.split("+")
         if "CF" not in self.methods:
             raise ValueError("the closed-form bound is needed by all others: add CF")
+        if grouping not in ("class", "leaf"):
+            raise ValueError(f"no grouping by {grouping}")
+        self.grouping, self.greedy = grouping, {}
         self.features, self.depth, self.alpha, self.gap, self.seed = features, depth, alpha, gap, seed
         self.cells = cells(points, features).persist()
         counts = {r.y: r.n for r in self.cells.groupBy("y").agg(F.sum("n").alias("n")).collect()}
@@ -106,6 +112,32 @@ class Search:
         rows = bounds.group_bounds(drawn, free(self.depth, len(self.features), self.k), self.features, self.share, self.alpha, self.n, self.eps)
         self.offer([bounds.tree_of(r, self.depth) for r in rows.collect()])
 
+    def propose(self, method: str, trees: list[Tree] = (), box: Box | None = None) -> None:
+        """Offer an incumbent: ``heur`` grows a greedy tree from the box's features, ``merg`` joins trees into one, ``slt`` takes the best.
+
+        A greedy tree is grown once for each set of features.
+        """
+        if method == "heur":
+            box = box or free(self.depth, len(self.features), self.k)
+            allowed = tuple(sorted(frozenset().union(*box.features.values())))
+            if allowed and allowed not in self.greedy:
+                found = cart(self.cells, [self.features[f - 1] for f in allowed], self.depth, weight="n")
+                self.greedy[allowed] = replace(found, split={t: (allowed[f - 1], b) for t, (f, b) in found.split.items()})
+                self.offer([self.greedy[allowed]])
+        elif method == "merg":
+            self.offer([merged(list(trees))] if trees else [])
+        elif method == "slt":
+            self.offer(list(trees))
+        else:
+            raise ValueError(f"no way {method} to an incumbent")
+
+    def regroup(self) -> None:
+        """Deal the rows anew by leaf of the incumbent."""
+        old = self.groups
+        self.groups = leaf_deal(old.drop("group_id"), self.tree, self.features, "row_id", self.n_groups).select(*old.columns).persist()
+        self.groups.count()
+        old.unpersist()
+
     def bound(self, box: Box, lb: float, known: Known | None = None) -> tuple[float, Known]:
         """The best bound of a box, each level only while the one before leaves a gap; and what each group came to.
 
@@ -127,7 +159,9 @@ class Search:
             known = still
             lb = max(lb, sum(b for b, _ in known.values()))
             trees = [t for _, t in known.values() if t is not None]
-            self.offer(list({repr(t): t for t in trees}.values()))
+            self.propose("slt", list({repr(t): t for t in trees}.values()))
+        if "SG" not in self.methods and not _closed(lb, self.ub, self.gap):
+            self.propose("heur", box=box)
         open_ = box.undetermined()
         if not (open_["d"] or open_["a"] or open_["c"]):
             self.offer(self.drawn(box, self.tree))
@@ -140,7 +174,11 @@ class Search:
         start and after every ``DRAWN`` nodes. The persisted rows and cells go at the end.
         """
         began = time.monotonic()
-        self.offer([start or cart(self.cells, self.features, self.depth, weight="n"), Tree(self.depth)])
+        self.offer([start, Tree(self.depth)])
+        if start is None:
+            self.propose("heur")
+        if self.grouping == "leaf" and "SG" in self.methods:
+            self.regroup()
         box = free(self.depth, len(self.features), self.k, shape)
         lb, known = self.bound(box, bounds.closed_forms(self.cells, [box], self.features, self.share, self.alpha, F.col("n"))[0])
         heap, given_up, seq = [(lb, 0, 1, box, known)], float("inf"), 0

@@ -265,23 +265,43 @@ def optimal_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.min(F.struct("cost", "errors", "splits")).alias("r")).select("r.*")
 
 
-def exact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same optimum by dynamic programming over the cells in one task, with its tree scored on all rows."""
-    df = points(spark, sf_dir)
-    share = _share(df)
+def _fitted(df: DataFrame, share: float, **limits) -> DataFrame:
+    """The exact tree of depth 2 over the cells of ``df``, found in one task and scored on all rows."""
     schema = "cost double, splits string, labels string"
 
     def work(batches):
         import pandas as pd
 
         rows = pd.concat(list(batches))
-        cost, found = exact.fit(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy(float), 2, share, ALPHA)
+        cost, found = exact.fit(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy(float), 2, share, ALPHA, **limits)
         yield pd.DataFrame({"cost": [cost], "splits": [repr(found.split)], "labels": [repr(found.label)]})
 
-    row = prep.cells(df, FEATURES).coalesce(1).mapInPandas(work, schema).first()
+    cells = prep.cells(df, FEATURES)
+    rows = prep.long_form(cells, FEATURES).distinct().limit(MOST_THRESHOLDS + 1).count()
+    if rows > MOST_THRESHOLDS:
+        raise ValueError("too many thresholds for an exact search: bin the features first")
+    row = cells.coalesce(1).mapInPandas(work, schema).first()
     return tree.score(df, [bounds.tree_of(row, 2)], FEATURES, share, ALPHA).select("cost", "errors", F.col("splits").cast("long").alias("splits"))
 
 
+def exact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same optimum by dynamic programming over the cells."""
+    df = points(spark, sf_dir)
+    return _fitted(df, _share(df))
+
+
+def min_leaf_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tree whose splits leave a fifth of all rows, at least, on both sides."""
+    df = points(spark, sf_dir)
+    return _fitted(df, _share(df), least=df.count() / 5)
+
+
+def shaped_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tree of a fixed shape: the root and its left child split, the right child does not."""
+    df = points(spark, sf_dir)
+    return _fitted(df, _share(df), shape=0b110)
+
+
 def box_feasible(spark, sf_dir):
     rows = prep.long_form(points(spark, sf_dir), FEATURES).distinct()
     return feasible_in(rows, spark.createDataFrame(RANGES, "box_id int, t int, f int, lo double, hi double"))
@@ -373,6 +393,22 @@ def kmeans_groups(spark, sf_dir):
     return groups.kmeans_deal(df, PART_FEATURES, "c_custkey", N_GROUPS, 4).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def leaf_groups(spark, sf_dir):
+    """Rows a group, dealt by leaf of a tree and k-means within the leaf."""
+    df = customers(spark, sf_dir)
+    two = Tree(2, {1: (1, 0.5), 2: (2, 0.3)}, {4: 1, 5: 2, 7: 3})
+    return groups.leaf_deal(df, two, PART_FEATURES, "c_custkey", N_GROUPS, trials=2).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_delimited(spark, sf_dir):
+    """A table written as delimited text and read back as points: cleaned, encoded, scaled."""
+    path = tables.scratch(spark, "delimited")
+    rows = tables.parquet(spark, sf_dir, "customer").select("c_acctbal", F.col("c_nationkey").cast("double"), F.col("c_custkey").cast("double"), "c_mktsegment")
+    tables.write_delimited(rows, path)
+    found, kept, k = tables.read_data(spark, path, 3)
+    return found.select(*kept, "y", F.lit(k).alias("k"))
+
+
 def branch_and_bound(spark, sf_dir):
     from timberline.operators.search import Search
 
@@ -390,7 +426,7 @@ def tree_nodes(spark, sf_dir):
     return DEMO.to_df(spark)
 
 
-QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, branch_and_bound, synthetic_clusters, tree_nodes)}
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, synthetic_clusters, tree_nodes)}
 
 _MERGED = tree.merged(CANDIDATES)
 _CLASSES = range(1, 4)
@@ -412,16 +448,23 @@ o AS (SELECT f, v, a1 + a2 + a3 - greatest(a1, a2, a3) + b1 + b2 + b3 - greatest
       UNION ALL SELECT 0, 0, sum(n) - max(n), 0 FROM (SELECT sum(n) AS n FROM c GROUP BY y))
 SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, splits::INTEGER AS splits, f::INTEGER AS f, round(v::DOUBLE, 9) AS v, errors::BIGINT AS errors
 FROM o ORDER BY 1, 2, 3, v LIMIT 1"""
-_DEPTH2 = f"""WITH {POINTS}, c AS (SELECT f1, f2, f3, y, count(*) AS n FROM p GROUP BY ALL), {_LONG},
+
+
+def _depth2(allowed: str = "true", splits: str = "(a1 + a2 + a3 > 0)::INTEGER", root: str = "true", stop: str = "true") -> str:
+    """The best tree of depth 2; which splits of a side and of the root count, and whether the root may stop."""
+    return f"""WITH {POINTS}, c AS (SELECT f1, f2, f3, y, count(*) AS n FROM p GROUP BY ALL), {_LONG},
 q AS (SELECT DISTINCT f AS rf, v AS rv FROM l), t AS (SELECT * FROM q WHERE rv > (SELECT min(rv) FROM q q2 WHERE q2.rf = q.rf)),
 s AS (SELECT rf, rv, (CASE rf WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END >= rv)::INTEGER AS side, f, v,
         {', '.join(f'sum(n) FILTER (y = {k}) AS n{k}' for k in _CLASSES)} FROM l, t GROUP BY ALL),
 w AS (SELECT rf, rv, side, {', '.join(f'coalesce(sum(coalesce(n{k}, 0)) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{k}, sum(coalesce(n{k}, 0)) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}' for k in _CLASSES)} FROM s),
-o AS (SELECT rf, rv, side, a1 + a2 + a3 - greatest(a1, a2, a3) + b1 + b2 + b3 - greatest(b1, b2, b3) AS errors, (a1 + a2 + a3 > 0)::INTEGER AS splits FROM w),
-b AS (SELECT rf, rv, side, errors, splits, row_number() OVER (PARTITION BY rf, rv, side ORDER BY errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, errors) AS i FROM o),
-d AS (SELECT sum(errors) AS errors, sum(splits) + 1 AS splits FROM b WHERE i = 1 GROUP BY rf, rv
-      UNION ALL SELECT sum(n) - max(n), 0 FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+z AS (SELECT sum(n)::DOUBLE AS total FROM c),
+o AS (SELECT rf, rv, side, a1 + a2 + a3 - greatest(a1, a2, a3) + b1 + b2 + b3 - greatest(b1, b2, b3) AS errors, {splits} AS splits, a1 + a2 + a3 + b1 + b2 + b3 AS m FROM w, z WHERE {allowed}),
+b AS (SELECT rf, rv, side, errors, splits, m, row_number() OVER (PARTITION BY rf, rv, side ORDER BY errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, errors) AS i FROM o),
+d AS (SELECT sum(errors) AS errors, sum(splits) + 1 AS splits FROM b, z WHERE i = 1 GROUP BY rf, rv HAVING {root}
+      UNION ALL SELECT sum(n) - max(n), 0 FROM (SELECT sum(n) AS n FROM c GROUP BY y) HAVING {stop})
 SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, errors::BIGINT AS errors, splits::BIGINT AS splits FROM d ORDER BY 1, 2 LIMIT 1"""
+
+
 _REACH = f"{PARTS}, q AS (SELECT p_partkey, y, {sql_reach(PART_BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(PART_BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
 _REACH_L = f"{POINTS}, q AS (SELECT y, {sql_reach(BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
 _COVER = " UNION ALL ".join(f"SELECT {', '.join(f'{k} AS c{t}' for t, k in zip(sorted(BOX.labels), labels, strict=True))}" for labels in product(*[sorted(BOX.labels[t]) for t in sorted(BOX.labels)]))
@@ -442,6 +485,9 @@ o AS (SELECT s.group_id, s.f, s.cut, h.y, sum(CASE WHEN h.v < s.cut THEN n ELSE
 e AS (SELECT group_id, sum(a) - max(a) + sum(b) - max(b) AS errors, (sum(a) > 0) AS cut, sum(a) + sum(b) AS m FROM o GROUP BY group_id, f, o.cut)
 SELECT group_id::BIGINT AS group_id, round(min(errors::DOUBLE / {SHARE} + CASE WHEN cut THEN {ALPHA}::DOUBLE * m::DOUBLE / total ELSE 0 END), 6) AS bound FROM e, t GROUP BY group_id"""
 
+#: Group sizes do not depend on what the rows are dealt by.
+_DEALT = f"SELECT g::BIGINT AS group_id, ((SELECT count(*) FROM customer) - g + {N_GROUPS - 1}) // {N_GROUPS} AS n FROM range({N_GROUPS}) r(g) WHERE g < (SELECT count(*) FROM customer)"
+
 ORACLES = {
     "class_frequency": "SELECT 'lineitem' AS tab, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY ALL",
     "majority_share": "SELECT round(max(n)::DOUBLE / sum(n)::DOUBLE, 9) AS share FROM (SELECT count(*) AS n FROM events GROUP BY event_type)",
@@ -464,8 +510,10 @@ ORACLES = {
     "prune_and_score": f"WITH {POINTS} {sql_scores([tree.pruned(OTHER, shape) for shape in range(8)])}",
     "merge_trees": _sql_merge(),
     "best_stump": _STUMP,
-    "optimal_depth2": _DEPTH2,
-    "exact_tree": _DEPTH2,
+    "optimal_depth2": _depth2(),
+    "exact_tree": _depth2(),
+    "min_leaf_tree": _depth2("a1 + a2 + a3 = 0 OR least(a1 + a2 + a3, b1 + b2 + b3)::DOUBLE >= total / 5", root="min(m)::DOUBLE >= max(total) / 5"),
+    "shaped_tree": _depth2("side = 0 OR a1 + a2 + a3 = 0", "(1 - side)", stop="false"),
     "box_feasible": f"WITH {POINTS}, l AS (SELECT DISTINCT 1 AS f, f1 AS v FROM p UNION SELECT 2, f2 FROM p UNION SELECT 3, f3 FROM p), b(box_id, t, f, lo, hi) AS (VALUES {', '.join(map(str, RANGES))}), n AS (SELECT box_id, t, max(EXISTS (SELECT 1 FROM l WHERE l.f = b.f AND l.v BETWEEN b.lo::DOUBLE AND b.hi::DOUBLE)::INTEGER) AS hit FROM b GROUP BY box_id, t) SELECT box_id, min(hit) = 1 AS feasible FROM n GROUP BY box_id",
     "leaf_reach": f"WITH {_REACH} SELECT p_partkey, y, array_to_string(reach, ',') AS reach, cost, lb FROM z",
     "cf_bound": f"WITH {_REACH} {_closed('z', PART_BOX)}",
@@ -478,5 +526,8 @@ ORACLES = {
     "embedding_features": f"WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label + 1)::INTEGER AS y FROM embeddings), r AS (SELECT min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2 FROM e), p AS (SELECT vec_id, y, (x1 - a1) / (b1 - a1) AS f1, (x2 - a2) / (b2 - a2) AS f2, 0.0::DOUBLE AS f3 FROM e, r) SELECT vec_id, y, {sql_leaf(DEMO)} AS leaf, {sql_label(DEMO)} AS pred FROM p",
     "order_ranks": "SELECT event_type, first_id, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"begin\" FROM (SELECT event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY event_type)",
     "class_lookup": "SELECT s_suppkey, s_acctbal, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "kmeans_groups": _DEALT,
+    "leaf_groups": _DEALT,
+    "read_delimited": f"WITH {CUSTOMERS}, c AS (SELECT min(c_custkey)::DOUBLE a3, max(c_custkey)::DOUBLE b3, count(DISTINCT c_mktsegment) AS k FROM customer) SELECT f1, f2, (c_custkey::DOUBLE - a3) / (b3 - a3) AS f3, y, k::INTEGER AS k FROM p, c",
     "tree_nodes": "SELECT * FROM (VALUES " + ", ".join(f"({t}, 'branch', {DEMO.split[t][0] if t in DEMO.split else 'NULL'}, {DEMO.split[t][1] if t in DEMO.split else 'NULL'}::DOUBLE, {'true' if t in DEMO.split else 'false'}, NULL)" for t in DEMO.branches) + ", " + ", ".join(f"({t}, 'leaf', NULL, NULL, NULL, {DEMO.label.get(t, 0)})" for t in DEMO.leaves) + ") v(t, kind, feature, threshold, has_split, label)",
 }

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.functions import prep
+
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +38,32 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Fal
     df.write.mode("overwrite").option("sep", sep).option("header", header).csv(path)
 
 
+def read_data(spark: SparkSession, path: str, n_features: int, sep: str = ",", header: bool = False, null: str = "NA") -> tuple[DataFrame, list[str], int]:
+    """A delimited table ready for a search: points, the features that vary, and the number of classes.
+
+    Points hold ``row_id``, ``f1..fp`` scaled to [0, 1] and ``y``, the label's code from 1. Rows with a missing value
+    go, and so do features of one value only. An empty table gives no points, no features and 0 classes.
+    """
+    names = [f"f{i + 1}" for i in range(n_features)]
+    # Ids are given where lines are read, before any shuffle, so that a task run again gives the same.
+    rows = delimited(spark, path, n_features, sep, header, null).withColumn("row_id", F.monotonically_increasing_id())
+    found, kept = prep.scaled(prep.encode(rows, "label").drop("label"), names)
+    classes = found.agg(F.coalesce(F.max("y"), F.lit(0))).first()[0]
+    return found.select("row_id", *kept, "y"), kept, int(classes)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one only in one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="timberline-")
+        atexit.register(shutil.rmtree, own, True)
+        shared = f"file://{own}"
+    return f"{shared.rstrip('/')}/timberline/{name}-{uuid.uuid4().hex}"
+
+
 def with_class(rows: DataFrame, classes: DataFrame, key: str, label: str) -> DataFrame:
     """Look each row's class up by ``key``, drop the key, and put the class last. Keys of ``classes`` must be unique.
 
