@@ -1,5 +1,6 @@
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -105,6 +106,20 @@ def test_bounds_are_below_the_optimum(spark, toy):
     assert cf <= cover + 1e-9 and max(cover, sum(p.bound for p in parts)) <= best + 1e-9
 
 
+def test_label_cover_is_the_best_labelling():
+    r = random.Random(4)
+    for depth, k in ((1, 3), (2, 3), (2, 4)):
+        leaves = range(2**depth, 2 ** (depth + 1))
+        for _ in range(12):
+            b = box.free(depth, 2, k)
+            b = replace(b, labels={t: frozenset(r.sample(range(1, k + 1), r.randrange(k + 1))) for t in leaves})
+            counts = [{"y": r.randrange(1, k + 1), "reach": r.sample(list(leaves), r.randrange(1, len(leaves) + 1)), "n": r.randrange(1, 9)} for _ in range(25)]
+            most = max(sum(c["n"] for c in counts if any(labels[t - 2**depth] == c["y"] for t in c["reach"])) for labels in itertools.product(*[sorted(b.labels[t]) or [0] for t in leaves]))
+            assert bounds.label_cover(counts, b, 0.5, 0.05) == pytest.approx((sum(c["n"] for c in counts) - most) / 0.5)
+    many = [{"y": r.randrange(1, 11), "reach": [t for t in range(8, 16) if r.random() < 0.3] or [8], "n": r.randrange(1, 1000)} for _ in range(800)]
+    assert bounds.label_cover(many, box.free(3, 2, 10), 0.5, 0.05) >= 0
+
+
 def test_limits_of_an_exact_tree(toy):
     """Against all stumps: the least weight of a side; against all trees of the shape: which nodes split."""
     cuts = [(f, v) for f in (0, 1) for v in np.unique(X[:, f])]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -90,12 +89,33 @@ def cover_counts(df: DataFrame, box: Box, features: list[str], weight: Column |
 
 
 def label_cover(counts: list, box: Box, share: float, alpha: float) -> float:
-    """The least cost if a row is right as soon as any leaf it can reach carries its label, over all labellings."""
+    """The least cost if a row is right as soon as any leaf it can reach carries its label, over all labellings.
+
+    Leaves are labelled one by one, best label first; a partial labelling is left when the best gains of the other
+    leaves, each taken for itself, cannot bring it above the best one found.
+    """
     leaves = sorted(box.labels)
     total, most = sum(c["n"] for c in counts), 0
-    for labels in product(*[sorted(box.labels[t]) or [0] for t in leaves]):
-        has = dict(zip(leaves, labels, strict=True))
-        most = max(most, sum(c["n"] for c in counts if any(has[t] == c["y"] for t in c["reach"])))
+
+    def gains(rows: list, t: int) -> dict[int, int]:
+        found = dict.fromkeys(sorted(box.labels[t]), 0)
+        for y, reach, n in rows:
+            if t in reach and y in found:
+                found[y] += n
+        return found
+
+    def extend(rows: list, left: list[int], right: int) -> None:
+        nonlocal most
+        most = max(most, right)
+        each = {t: gains(rows, t) for t in left}
+        if not left or right + sum(max(g.values(), default=0) for g in each.values()) <= most:
+            return
+        t = max(left, key=lambda t: max(each[t].values(), default=0))
+        rest = [o for o in left if o != t]
+        for k, n in sorted(each[t].items(), key=lambda g: -g[1]):
+            extend([r for r in rows if not (t in r[1] and r[0] == k)], rest, right + n)
+
+    extend([(c["y"], frozenset(c["reach"]), c["n"]) for c in counts], leaves, 0)
     return (total - most) / share + alpha * box.least_splits
 
 
