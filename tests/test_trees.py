@@ -278,6 +278,17 @@ def test_scaling_drops_constant_features(spark):
     assert {r.f: r.gap for r in prep.min_gaps(df, ["a", "b"]).collect()} == {1: 1.0, 2: 1e-10}
 
 
+def test_gaps_over_buckets(spark):
+    r = np.random.default_rng(6)
+    x = np.stack([np.where(r.random(3000) < 0.6, 0.0, r.random(3000)), r.integers(-40, 40, 3000).astype(float)], 1)
+    rows = [(float(a), float(b), None) for a, b in x] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    want = {i + 1: np.diff(np.unique(x[:, i])).min() for i in (0, 1)}
+    for parts in (1, 7, 256):
+        assert {g.f: g.gap for g in prep.min_gaps(df, ["a", "b", "c"], parts).collect()} == want
+    assert prep.min_gaps(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_stream_scoring(spark, tmp_path, toy):
     toy.withColumn("ts", F.timestamp_seconds(F.col("row_id") * 600)).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("row_id long, f1 double, f2 double, y int, ts timestamp").parquet(str(tmp_path / "in"))

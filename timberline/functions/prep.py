@@ -60,15 +60,25 @@ def long_form(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, cells.alias("_c")).select(*keep, "_c.f", "_c.v")
 
 
-def min_gaps(df: DataFrame, features: list[str]) -> DataFrame:
+def min_gaps(df: DataFrame, features: list[str], parts: int = 256) -> DataFrame:
     """``f, gap``: the smallest gap between consecutive distinct values of each feature.
 
-    Values are made distinct first. A feature with very many of them is ordered in one task, as its
-    thresholds are wherever they are enumerated.
+    Values are made distinct and ordered within buckets between approximate quantiles, so a feature with very many
+    of them spreads over tasks; the ends of buckets are compared afterwards, at most ``parts`` of them a feature.
+    Nulls do not count; a feature of one value has the least gap there is, and one without values has no row.
     """
-    values = long_form(df, features).where("v is not null").distinct()
-    gap = F.col("v") - F.lag("v").over(Window.partitionBy("f").orderBy("v"))
-    return values.withColumn("gap", gap).groupBy("f").agg(F.coalesce(F.min("gap"), F.lit(NO_GAP)).alias("gap"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares).alias(f"q{i}") for i, c in enumerate(features)]).first()
+    bucket = F.lit(0)
+    for i in range(len(features)):
+        steps = sorted(set(cuts[f"q{i}"] or []))
+        below = F.size(F.filter(F.lit(steps).cast("array<double>"), lambda q: q <= F.col("v"))) if steps else F.lit(0)
+        bucket = F.when(F.col("f") == i + 1, below).otherwise(bucket)
+    values = long_form(df, features).where("v is not null").distinct().withColumn("_b", bucket)
+    inside = F.col("v") - F.lag("v").over(Window.partitionBy("f", "_b").orderBy("v"))
+    ends = values.withColumn("_gap", inside).groupBy("f", "_b").agg(F.min("_gap").alias("_gap"), F.min("v").alias("_low"), F.max("v").alias("_high"))
+    between = F.col("_low") - F.lag("_high").over(Window.partitionBy("f").orderBy("_b"))
+    return ends.withColumn("_gap", F.least("_gap", between)).groupBy("f").agg(F.coalesce(F.min("_gap"), F.lit(NO_GAP)).alias("gap"))
 
 
 def class_frequency(df: DataFrame, label: str) -> DataFrame:
