@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from timberline.functions import prep
 from timberline.operators import bounds, box, exact, groups, tree
 from timberline.operators.search import Search
 from timberline.operators.tree import Tree
+from timberline.plans import catalog
 from timberline.sources import tables
 from timberline.streaming import scoring
 
@@ -300,3 +302,30 @@ def test_stream_scoring(spark, tmp_path, toy):
     want = tree.predict(toy, t, ["f1", "f2"])
     assert sorted((r.row_id, r.pred) for r in spark.table("rows").collect()) == sorted((r.row_id, r.pred) for r in want.collect())
     assert sum(r.n for r in spark.table("windows").collect()) == 13
+
+
+def test_costs_of_many_trees(spark):
+    df = prep.cells(catalog.points(spark, SMALL), catalog.FEATURES)
+    trees = [*catalog.CANDIDATES, Tree(1), Tree(3, {1: (1, 0.4), 3: (2, 0.5), 7: (3, 0.5)}, {11: 1, 13: 2, 15: 3})]
+    want = [r.cost for r in tree.score(df, trees, catalog.FEATURES, 0.34, 0.05, F.col("n")).orderBy("tree_id").collect()]
+    assert tree.costs(df, trees, catalog.FEATURES, 0.34, 0.05, "n") == want
+    assert tree.costs(df.limit(0), trees[:1], catalog.FEATURES, 0.34, 0.05, "n") == [0.05 * len(trees[0].split)]
+
+
+def test_last_splits_of_many_subsets():
+    random = np.random.default_rng(5)
+    for least in (0, 3):
+        x, y = random.integers(0, 9, (14, 2)) / 10, random.integers(1, 4, 14)
+        solver = exact.Solver(x, y, np.ones(14), box.free(1, 2, 3), 0.4, 0.05, np.array([0.05, 0.05]), least)
+        inside = random.random((40, 14)) < 0.5
+        inside[0], inside[1] = False, True
+        found = solver._last(1, np.arange(14), inside)
+        assert np.allclose(found, [solver.solve(1, np.flatnonzero(i))[0] for i in inside])
+
+
+def test_depth2_is_independent_of_batches(monkeypatch):
+    random = np.random.default_rng(6)
+    x, y = random.random((25, 2)), random.integers(1, 4, 25)
+    whole = exact.fit(x, y)
+    monkeypatch.setattr(exact, "BATCH", 200)
+    assert exact.fit(x, y) == whole

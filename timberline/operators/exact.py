@@ -11,6 +11,9 @@ import numpy as np
 from timberline.operators.box import Box, free
 from timberline.operators.tree import Tree, rightmost
 
+#: Numbers that one batch of subsets may take at once.
+BATCH = 4_000_000
+
 
 class Solver:
     """``x`` (cells by features, within [0, 1]), labels ``y`` from 1, weights ``w``.
@@ -53,6 +56,43 @@ class Solver:
         middle = (np.maximum(below, 0.0) + np.minimum(above, 1.0)) / 2
         return order, n[fits], np.clip(middle, lowest, highest)[fits]
 
+    def _last(self, t: int, rows: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Least costs at ``t``, whose children are leaves, for many subsets of ``rows`` at once: one line of ``inside`` each.
+
+        Cuts lie between distinct values of all rows. Those that part a subset alike cost the same there.
+        """
+        hot, best = self.hot[rows], np.full(len(inside), np.inf)
+        if self.box.may_stop(t):
+            best = self._leaf(rightmost(t, self.box.depth), inside @ hot)[0] / self.share
+        if not self.box.splits[t][1]:
+            return best
+        lo, hi = self.box.threshold[t]
+        ends = np.full((len(inside), 1), np.inf)
+        for f in sorted(self.box.features[t]):
+            order = np.argsort(self.x[rows, f - 1], kind="stable")
+            v, here = self.x[rows[order], f - 1], inside[:, order]
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            there = np.logical_or.reduceat(here, first, axis=1)
+            below = np.hstack([-ends, np.maximum.accumulate(np.where(there, v[first], -np.inf), 1)])
+            above = np.hstack([np.minimum.accumulate(np.where(there, v[first], np.inf)[:, ::-1], 1)[:, ::-1], ends])
+            left = np.cumsum(np.add.reduceat(here[:, :, None] * hot[order], first, axis=1), 1)
+            left = np.concatenate([np.zeros_like(left[:, :1]), left], 1)
+            right = left[:, -1:] - left
+            fits = np.maximum(max(lo, 0.0), below + self.eps[f - 1]) <= np.minimum(min(hi, 1.0), above)
+            if self.least:
+                fits &= (left.sum(-1) >= self.least) & (right.sum(-1) >= self.least)
+            errors = self._leaf(2 * t, left)[0] + self._leaf(2 * t + 1, right)[0]
+            best = np.minimum(best, np.where(fits, errors / self.share + self.alpha, np.inf).min(1))
+        return best
+
+    def _below(self, t: int, order: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Costs of the cuts at ``t`` whose children are the last to split, in batches of bounded size."""
+        step, out = max(1, BATCH // (len(order) * self.k)), []
+        for low in range(0, len(cuts), step):
+            inside = np.arange(len(order)) < cuts[low : low + step, None]
+            out.append(self._last(2 * t, order, inside) + self._last(2 * t + 1, order, ~inside) + self.alpha)
+        return np.concatenate(out)
+
     def solve(self, t: int = 1, rows: np.ndarray | None = None, bound: float = np.inf) -> tuple[float, Tree]:
         """Least cost of the subtree at ``t`` over ``rows``; infinite if the box has none. ``bound``: only less is of use."""
         rows = np.arange(len(self.x)) if rows is None else rows
@@ -82,6 +122,12 @@ class Solver:
                         best = float(cost[i])
                         tree = Tree(depth, {t: (f, float(thresholds[i]))}, {leaf: int(k) for leaf, k in ((2 * t, ka[i]), (2 * t + 1, kb[i])) if k})
                     continue
+                if 4 * t >= 2**depth and len(order):
+                    cost = self._below(t, order, cuts)
+                    i = int((cost <= cost.min() + 1e-12).argmax())
+                    if cost[i] >= best - 1e-12:
+                        continue
+                    cuts, thresholds = cuts[i : i + 1], thresholds[i : i + 1]
                 for n, b in zip(cuts.tolist(), thresholds.tolist(), strict=True):
                     some = self.alpha
                     parts = []

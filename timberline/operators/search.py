@@ -16,7 +16,7 @@ from timberline.operators.box import Box, branch, feasible, free, widest_thresho
 from timberline.operators.exact import gaps
 from timberline.operators.greedy import cart
 from timberline.operators.groups import bootstrap, deal, group_count, leaf_deal
-from timberline.operators.tree import Tree, leaf_counts, majority_labels, merged, score
+from timberline.operators.tree import Tree, costs, leaf_counts, majority_labels, merged
 
 GAP = 1e-2
 LOG = "iter long, open_nodes long, level int, lb double, ub double, gap double"
@@ -48,7 +48,9 @@ def _closed(lb: float, ub: float, gap: float) -> bool:
 
 
 #: Trees that one pass scores, and nodes after which small groups are drawn anew.
-SCORED, DRAWN = 64, 16
+SCORED, DRAWN = 4096, 16
+#: Groups that one task solves, where there are more than cores.
+SOLVED = 256
 
 
 class Search:
@@ -75,27 +77,35 @@ class Search:
         self.values = {f: sorted(r.v for r in found if r.f == f) for f in range(1, len(features) + 1)}
         self.eps = np.array([gaps(np.array(self.values[f])[:, None])[0] for f in self.values])
         self.n_groups = n_groups = min(self.n, group_count(self.n, len(features), self.k, depth))
-        self.groups = deal(points.select("row_id", *features, "y"), "y", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(104729)), "row_id", n_groups=n_groups, carry=True).persist()
+        self.groups = self.kept(deal(points.select("row_id", *features, "y"), "y", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(104729)), "row_id", n_groups=n_groups, carry=True))
         self.tree, self.ub = Tree(depth), float("inf")
         self.log: list[tuple] = []
 
+    def kept(self, groups: DataFrame) -> DataFrame:
+        """``groups`` in memory, each whole in one part, so that no node of the search shuffles them.
+
+        The number of parts is stated: the rows are few bytes and much work, which Spark would put into one task.
+        """
+        cores = groups.sparkSession.sparkContext.defaultParallelism
+        return groups.repartition(max(1, min(self.n_groups, max(2 * cores, self.n_groups // SOLVED))), "group_id").persist()
+
     def offer(self, trees: list[Tree]) -> None:
         """Score all candidates on all rows, with majority labels where theirs are worse, and keep the best.
 
-        One pass over the cells scores ``SCORED`` trees, each of which adds columns to its plan.
+        One pass over the cells scores ``SCORED`` trees. Labels are looked at where there is a new incumbent.
         """
-        trees = [t for t in trees if t is not None]
-        if not trees:
-            return
+        trees, before = [t for t in trees if t is not None], self.tree
         for low in range(0, len(trees), SCORED):
             some = trees[low : low + SCORED]
-            for r in score(self.cells, some, self.features, self.share, self.alpha, F.col("n")).collect():
-                if r.cost < self.ub - 1e-12:
-                    self.tree, self.ub = some[r.tree_id], r.cost
+            for tree, cost in zip(some, costs(self.cells, some, self.features, self.share, self.alpha, "n"), strict=True):
+                if cost < self.ub - 1e-12:
+                    self.tree, self.ub = tree, cost
+        if self.tree is before:
+            return
         labels = {r.leaf: r.label for r in majority_labels(leaf_counts(self.cells, self.tree, self.features, F.col("n"))).collect()}
         if labels != self.tree.label:
             better = replace(self.tree, label=labels)
-            cost = score(self.cells, [better], self.features, self.share, self.alpha, F.col("n")).first().cost
+            cost = costs(self.cells, [better], self.features, self.share, self.alpha, "n")[0]
             if cost <= self.ub:
                 self.tree, self.ub = better, cost
 
@@ -134,7 +144,7 @@ class Search:
     def regroup(self) -> None:
         """Deal the rows anew by leaf of the incumbent."""
         old = self.groups
-        self.groups = leaf_deal(old.drop("group_id"), self.tree, self.features, "row_id", self.n_groups).select(*old.columns).persist()
+        self.groups = self.kept(leaf_deal(old.drop("group_id"), self.tree, self.features, "row_id", self.n_groups).select(*old.columns))
         self.groups.count()
         old.unpersist()
 

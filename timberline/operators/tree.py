@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from math import prod
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,31 @@ def score(df: DataFrame, trees: list[Tree], features: list[str], share: float, a
     return rows.select("tree_id", "errors", "splits", cost.alias("cost"), F.round(1 - F.col("errors") / F.col("_n"), 6).alias("accuracy"))
 
 
+def labels_on(tree: Tree, x: list[np.ndarray]) -> np.ndarray:
+    """The label that a tree gives to each row of arrays of its features, 0 for none; a missing feature goes left."""
+    at = np.ones(len(x[0]), int)
+    for t in tree.branches:
+        right = x[tree.split[t][0] - 1] + SLACK >= tree.split[t][1] if t in tree.split else True
+        at = np.where(at == t, 2 * t + right, at)
+    return np.array([tree.label.get(t, 0) for t in range(2 ** (tree.depth + 1))])[at]
+
+
+def costs(df: DataFrame, trees: list[Tree], features: list[str], share: float, alpha: float, weight: str) -> list[float]:
+    """Costs as in ``score``, for trees too many to be columns of a plan: tasks take them as data, and sum before the shuffle."""
+
+    def work(batches):
+        wrong = np.zeros(len(trees), np.int64)
+        for rows in batches:
+            x, y, n = [rows[f].to_numpy(float) for f in features], rows["y"].to_numpy(), rows[weight].to_numpy()
+            for i, tree in enumerate(trees):
+                wrong[i] += n[labels_on(tree, x) != y].sum()
+        yield pd.DataFrame({"tree_id": np.arange(len(trees)), "errors": wrong})
+
+    sums = df.select(*features, "y", weight).mapInPandas(work, "tree_id long, errors long").groupBy("tree_id").agg(F.sum("errors").alias("errors"))
+    errors = {r.tree_id: r.errors for r in sums.collect()}
+    return [round(errors.get(i, 0) / share + alpha * len(t.split), 6) for i, t in enumerate(trees)]
+
+
 def best(scored: DataFrame) -> DataFrame:
     """The row of least cost, the first of equals."""
     return scored.agg(F.min(F.struct("cost", "tree_id", "errors", "splits")).alias("r")).select("r.*")
