@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from timberline.functions import prep
 from timberline.operators import bounds, exact, groups, tree
-from timberline.operators.box import Box, feasible_in, free
+from timberline.operators.box import Box, branch, feasible_in, free, widest_threshold
 from timberline.operators.tree import Tree
 from timberline.sources import tables
 
@@ -39,6 +39,10 @@ PART_BOX = Box(
 )
 #: Boxes for the feasibility query: id, node, feature, range. The second lies between two neighbouring values of f3.
 RANGES = [(1, 1, 1, 0.25, 0.75), (1, 2, 3, 0.0, 1.0), (2, 1, 1, 0.0, 1.0), (2, 3, 3, 0.13, 0.24), (3, 1, 3, 0.13, 0.24), (3, 1, 2, 0.45, 0.55)]
+#: A branching: kind of variable, where, and the half that it goes on with.
+STEPS = [("d", 2, 1), ("b", 1, 1), ("a", (2, 1), 0), ("a", (3, 2), 1), ("c", (1, 15), 1), ("b", 2, 0), ("d", 5, 0), ("b", 1, 0), ("c", (3, 9), 0), ("d", 3, 0)]
+#: A tree within ``BOX``.
+INSIDE = Tree(2, {1: (1, 0.5), 2: (2, 0.3), 3: (3, 0.6)}, {4: 1, 5: 2, 6: 3, 7: 1})
 MODULUS = 104729
 N_GROUPS, N_BOOTSTRAP = 7, 6
 #: Thresholds of all features together that an exact search of depth 2 tries at the root.
@@ -412,12 +416,78 @@ def read_delimited(spark, sf_dir):
 def branch_and_bound(spark, sf_dir):
     from timberline.operators.search import Search
 
-    df = parts(spark, sf_dir).withColumnRenamed("p_partkey", "row_id").withColumn("f2", F.round("f2", 1)).withColumn("f1", F.round("f1", 1))
-    search = Search(df, PART_FEATURES, 2, ALPHA)
-    search.run(max_nodes=8, seconds=60)
+    search = Search(parts(spark, sf_dir).withColumnRenamed("p_partkey", "row_id"), PART_FEATURES, 2, ALPHA)
+    search.run(max_nodes=8)
     return search.bound_log(spark)
 
 
+def unreached_leaves(spark, sf_dir):
+    """How many rows no tree of a box sends to some leaves, for each set of such leaves."""
+    away = bounds.unreachable(bounds.reach(PART_BOX, PART_FEATURES), 2)
+    return parts(spark, sf_dir).groupBy(F.concat_ws(",", F.transform(away, lambda t: t.cast("string"))).alias("unreached")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def branched_boxes(spark, sf_dir):
+    """The box of each step of a branching, node by node, and the threshold that would be branched on next."""
+    box, rows = free(3, 3, 3), []
+    for i, (kind, at, half) in enumerate(STEPS, 1):
+        box = branch(box, kind, at)[half]
+        wide = widest_threshold(box)
+        joined = lambda some: ",".join(map(str, sorted(some)))
+        rows += [(i, t, joined(box.features[t]), *box.threshold[t], *box.splits[t], t == wide) for t in box.splits]
+        rows += [(i, t, joined(lab), None, None, None, None, False) for t, lab in box.labels.items()]
+    return spark.createDataFrame(rows, "step int, t int, choices string, low double, high double, split_low int, split_high int, widest boolean")
+
+
+def equal_trees(spark, sf_dir):
+    """Which of a tree's forms, forced to shapes, are the same tree."""
+    forms = [tree.pruned(OTHER, shape) for shape in range(8)]
+    return spark.createDataFrame([(a, b, tree.same(forms[a], forms[b])) for a, b in product(range(8), repeat=2)], "a int, b int, same boolean")
+
+
+def drop_missing(spark, sf_dir):
+    """Rows of a delimited table without a missing value, one field in three of which is empty."""
+    path = tables.scratch(spark, "missing")
+    rows = tables.parquet(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")), F.col("c_custkey").cast("double"), "c_mktsegment")
+    tables.write_delimited(rows, path)
+    return tables.delimited(spark, path, 2)
+
+
+def group_counts(spark, sf_dir):
+    """How many groups tables of some sizes and classes are dealt over, by depth."""
+    rows = []
+    for name, label, p in (("lineitem", "l_returnflag", 3), ("customer", "c_mktsegment", 2), ("embeddings", "label", 64)):
+        n, k = prep.class_frequency(tables.parquet(spark, sf_dir, name), label).agg(F.sum("n"), F.count(F.lit(1))).first()
+        rows += [(name, depth, groups.group_count(n, p, k, depth)) for depth in (1, 2, 3, 4)]
+    return spark.createDataFrame(rows, "tab string, depth int, n_groups int")
+
+
+def group_blocks(spark, sf_dir):
+    """Groups laid out in contiguous parts: into how many each falls, and whether its part is not before the last group's."""
+    df = groups.deal(customers(spark, sf_dir), "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=25)
+    placed = groups.blocks(df, "group_id", 4).withColumn("part", F.spark_partition_id())
+    each = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"), F.min("part").alias("part"))
+    before = F.lag("part").over(Window.orderBy("group_id"))  # over the groups
+    return each.select("group_id", "n", "parts", F.coalesce(F.col("part") >= before, F.lit(True)).alias("in_order"))
+
+
+def result_row(spark, sf_dir):
+    """The line of results of a tree within a box: its cost, the box's bound, the gap between them, its accuracy."""
+    df = points(spark, sf_dir)
+    share = _share(df)
+    found = tree.score(df, [INSIDE], FEATURES, share, ALPHA).first()
+    lb = bounds.closed_form(df, BOX, FEATURES, share, ALPHA).first()["bound"]
+    return tables.result_line(spark, name="lineitem", objv=found.cost, lb=lb, gap=round((found.cost - lb) / lb, 6), accuracy=found.accuracy)
+
+
+def covariance_spectrum(spark, sf_dir):
+    """Eigenvalues of a covariance made from given ones in random directions."""
+    import numpy as np
+
+    found = np.linalg.eigvalsh(tables.covariance([6.0, 0.5, 2.0], 7))
+    return spark.createDataFrame([(i, round(float(v), 9)) for i, v in enumerate(found, 1)], "i int, eigenvalue double")
+
+
 def synthetic_clusters(spark, sf_dir):
     return tables.clusters(spark).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"))
 
@@ -426,7 +496,7 @@ def tree_nodes(spark, sf_dir):
     return DEMO.to_df(spark)
 
 
-QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, synthetic_clusters, tree_nodes)}
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes)}
 
 _MERGED = tree.merged(CANDIDATES)
 _CLASSES = range(1, 4)
@@ -485,6 +555,65 @@ o AS (SELECT s.group_id, s.f, s.cut, h.y, sum(CASE WHEN h.v < s.cut THEN n ELSE
 e AS (SELECT group_id, sum(a) - max(a) + sum(b) - max(b) AS errors, (sum(a) > 0) AS cut, sum(a) + sum(b) AS m FROM o GROUP BY group_id, f, o.cut)
 SELECT group_id::BIGINT AS group_id, round(min(errors::DOUBLE / {SHARE} + CASE WHEN cut THEN {ALPHA}::DOUBLE * m::DOUBLE / total ELSE 0 END), 6) AS bound FROM e, t GROUP BY group_id"""
 
+def _sql_group2() -> str:
+    """Of each group the best tree of depth 2: every root cut with the best cut, or none, of each side; or no split."""
+    ks = range(1, 6)
+    run = ", ".join(f"coalesce(sum(n{k}) OVER (PARTITION BY group_id, rf, rv, side, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{k}, sum(n{k}) OVER (PARTITION BY group_id, rf, rv, side, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}" for k in ks)
+    side = lambda s: f"({' + '.join(f'{s}{k}' for k in ks)})"
+    wrong = " + ".join(f"{side(s)} - greatest({', '.join(f'{s}{k}' for k in ks)})" for s in "ab")
+    return f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % 25 AS group_id FROM p),
+m AS (SELECT group_id, {ALPHA}::DOUBLE * count(*)::DOUBLE / (SELECT count(*) FROM p) AS pen FROM g GROUP BY group_id),
+l AS (SELECT group_id, y, f1, f2, 1 AS f, f1 AS v FROM g UNION ALL SELECT group_id, y, f1, f2, 2, f2 FROM g),
+q AS (SELECT DISTINCT group_id, f AS rf, v AS rv FROM l),
+s AS (SELECT group_id, rf, rv, (CASE rf WHEN 1 THEN f1 ELSE f2 END >= rv) AS side, f, v, {", ".join(f"count(*) FILTER (y = {k}) AS n{k}" for k in ks)} FROM q JOIN l USING (group_id) GROUP BY ALL),
+w AS (SELECT group_id, rf, rv, side, {run} FROM s),
+o AS (SELECT group_id, rf, rv, side, min(({wrong})::DOUBLE / {SHARE} + CASE WHEN {side("a")} > 0 THEN pen ELSE 0 END) AS cost FROM w JOIN m USING (group_id) GROUP BY ALL),
+d AS (SELECT group_id, sum(cost) + any_value(pen) AS cost FROM o JOIN m USING (group_id) GROUP BY group_id, rf, rv
+      UNION ALL SELECT group_id, (sum(n) - max(n))::DOUBLE / {SHARE} FROM (SELECT group_id, count(*) AS n FROM g GROUP BY group_id, y) GROUP BY group_id)
+SELECT group_id::BIGINT AS group_id, round(min(cost), 6) AS bound FROM d GROUP BY group_id"""
+
+
+def _sql_cart() -> str:
+    """The greedy tree of depth 2: least entropy with a twentieth of the rows, at least, on both sides; equal leaves are one."""
+    run = ", ".join(f"sum(n{k}) OVER (PARTITION BY node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a{k}, sum(n{k}) OVER (PARTITION BY node, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}" for k in _CLASSES)
+    part = lambda s: " + ".join(f"CASE WHEN {s}{k} > 0 THEN {s}{k} * ln({s}{k}::DOUBLE / ({s}1 + {s}2 + {s}3)) ELSE 0 END" for k in _CLASSES)
+
+    def pick(name: str, rows: str) -> str:
+        return f"""{name}l AS (SELECT node, y, n, 1 AS f, f1 AS v FROM {rows} UNION ALL SELECT node, y, n, 2, f2 FROM {rows} UNION ALL SELECT node, y, n, 3, f3 FROM {rows}),
+{name}h AS (SELECT node, f, v, {", ".join(f"coalesce(sum(n) FILTER (y = {k}), 0) AS n{k}" for k in _CLASSES)} FROM {name}l GROUP BY ALL),
+{name}w AS (SELECT node, f, v, {run} FROM {name}h),
+{name} AS (SELECT node, f, v FROM {name}w, z WHERE a1 + a2 + a3 >= least AND b1 + b2 + b3 >= least QUALIFY row_number() OVER (PARTITION BY node ORDER BY (-({part("a")})) + (-({part("b")})), f, v) = 1)"""
+
+    value = "CASE f WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END >= v"
+    return f"""WITH {POINTS}, c AS (SELECT f1, f2, f3, y, count(*) AS n, 1 AS node FROM p GROUP BY ALL), z AS (SELECT ceil(0.05::DOUBLE * sum(n)) AS least FROM c),
+{pick("top", "c")}, i AS (SELECT f1, f2, f3, y, n, CASE WHEN {value} THEN 3 ELSE 2 END AS node FROM c JOIN top USING (node)),
+{pick("next", "i")}, j AS (SELECT i.node, y, n, 2 * i.node + CASE WHEN f IS NULL OR {value} THEN 1 ELSE 0 END AS leaf FROM i LEFT JOIN next USING (node)),
+e AS (SELECT node, leaf, y, sum(n) AS n FROM j GROUP BY ALL),
+b AS (SELECT node, leaf, sum(n) - max(n) AS errors, sum(n) AS n, first(y ORDER BY n DESC, y) AS label FROM e GROUP BY ALL),
+t AS (SELECT sum(errors) AS errors, sum(n) AS n, count(DISTINCT label) FILTER (node = 2) + count(DISTINCT label) FILTER (node = 3) - 2 + CASE WHEN count(DISTINCT label) > 1 THEN 1 ELSE 0 END AS splits FROM b)
+SELECT 0::INTEGER AS tree_id, errors::BIGINT AS errors, splits::INTEGER AS splits, round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, round(1 - errors::DOUBLE / n::DOUBLE, 6) AS accuracy FROM t"""
+
+
+_SIZES = ", ".join(f"(SELECT '{name}' AS tab, {p} AS p, count(*) AS n, count(DISTINCT {label}) AS k FROM {name})" for name, label, p in (("lineitem", "l_returnflag", 3), ("customer", "c_mktsegment", 2), ("embeddings", "label", 64))).replace("), (", ") UNION ALL (")
+_GROUP_COUNTS = f"""WITH t AS ({_SIZES}), q AS (SELECT *, d AS depth, (152 + p)::DOUBLE / (1 << d) - (p + 2 + k) AS a FROM t, range(1, 5) r(d)),
+s AS (SELECT *, CASE WHEN depth > 2 THEN CASE WHEN n BETWEEN 1000 AND 5000 THEN 100 ELSE 50 END WHEN a > 0 THEN a ELSE greatest(30, k) END AS size FROM q)
+SELECT tab, depth::INTEGER AS depth, CASE WHEN n < 50 THEN 2 ELSE greatest(1, round_even(n / size, 0)) END::INTEGER AS n_groups FROM s"""
+#: What is left of each node's choices after the steps so far, by the bits of node numbers: ``t >> k`` are the nodes above ``t``.
+_BRANCHED = f"""WITH s(i, kind, x, t, half) AS (VALUES {", ".join(f"({i}, '{kind}', {at[0] if isinstance(at, tuple) else 0}, {at[1] if isinstance(at, tuple) else at}, {half})" for i, (kind, at, half) in enumerate(STEPS, 1))}),
+b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY i) AS r FROM s WHERE kind = 'b'),
+n AS (SELECT u::INTEGER AS step, g::INTEGER AS t FROM range(1, {len(STEPS) + 1}) a(u), range(1, 16) c(g)),
+up AS (SELECT n.*, k, n.t >> k::INTEGER AS above FROM n, range(4) r(k) WHERE n.t >> k::INTEGER > 0),
+must AS (SELECT DISTINCT s.t >> k::INTEGER AS t, n.step FROM s, range(3) r(k), n WHERE kind = 'd' AND half = 1 AND i <= n.step),
+off AS (SELECT DISTINCT up.step, up.t FROM up JOIN s ON s.t = above WHERE kind = 'd' AND half = 0 AND i <= step AND (up.t < 8 OR up.t <> ((s.t + 1) << k::INTEGER) - 1)),
+gone AS (SELECT DISTINCT step, n.t, x.x FROM n JOIN s ON s.t = n.t AND i <= step AND kind = CASE WHEN n.t < 8 THEN 'a' ELSE 'c' END, (VALUES (1), (2), (3)) x(x) WHERE (half = 0) = (s.x = x.x)),
+have AS (SELECT n.step, n.t, string_agg(x.x::VARCHAR, ',' ORDER BY x.x) AS choices FROM n, (VALUES (1), (2), (3)) x(x) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.step = n.step AND gone.t = n.t AND gone.x = x.x) GROUP BY ALL),
+cut AS (SELECT n.step, n.t, coalesce(sum(half * pow(2, -r)), 0) AS low, pow(2, -count(r)) AS width FROM n LEFT JOIN b ON b.t = n.t AND i <= step GROUP BY ALL),
+w AS (SELECT n.step, n.t, CASE WHEN off.t IS NULL THEN choices ELSE '' END AS choices, low, CASE WHEN off.t IS NULL THEN low + width ELSE 0 END AS high, (must.t IS NOT NULL)::INTEGER AS split_low, (off.t IS NULL)::INTEGER AS split_high
+      FROM n LEFT JOIN have USING (step, t) JOIN cut USING (step, t) LEFT JOIN off USING (step, t) LEFT JOIN must USING (step, t)),
+o AS (SELECT step, t FROM w WHERE t < 8 AND low < high AND split_high = 1 QUALIFY row_number() OVER (PARTITION BY step ORDER BY (high - low) * (5 - length(bin(t))) DESC, t) = 1)
+SELECT w.step, w.t, choices, CASE WHEN w.t < 8 THEN low END AS low, CASE WHEN w.t < 8 THEN high END::DOUBLE AS high, CASE WHEN w.t < 8 THEN split_low END AS split_low, CASE WHEN w.t < 8 THEN split_high END AS split_high, o.t IS NOT NULL AS widest
+FROM w LEFT JOIN o ON o.step = w.step AND o.t = w.t"""
+
 #: Group sizes do not depend on what the rows are dealt by.
 _DEALT = f"SELECT g::BIGINT AS group_id, ((SELECT count(*) FROM customer) - g + {N_GROUPS - 1}) // {N_GROUPS} AS n FROM range({N_GROUPS}) r(g) WHERE g < (SELECT count(*) FROM customer)"
 
@@ -523,6 +652,16 @@ ORACLES = {
     "group_deal": f"WITH {CUSTOMERS} SELECT c_custkey, y, ({_DEAL} % {N_GROUPS})::BIGINT AS group_id FROM p",
     "bootstrap_groups": f"WITH {CUSTOMERS}, q AS (SELECT *, row_number() OVER (ORDER BY (c_custkey * 7919) % {MODULUS}, c_custkey) - 1 AS i FROM p), d AS (SELECT DISTINCT g AS group_id, (g * 1000003 + j * 7919 + 3 * {MODULUS}) % (SELECT count(*) FROM p) AS i FROM range({N_BOOTSTRAP}) a(g), range(50) b(j)) SELECT group_id, c_custkey, y FROM d JOIN q USING (i)",
     "group_bound": _GROUP1,
+    "group_bound_depth2": _sql_group2(),
+    "cart_tree": _sql_cart(),
+    "unreached_leaves": f"WITH {_REACH} SELECT array_to_string(list_filter([4, 5, 6, 7], lambda t: NOT list_contains(reach, t)), ',') AS unreached, count(*) AS n FROM z GROUP BY ALL",
+    "branched_boxes": _BRANCHED,
+    "equal_trees": "SELECT a::INTEGER AS a, b::INTEGER AS b, (CASE WHEN a = 0 THEN 7 WHEN a < 4 THEN 3 ELSE a END) = (CASE WHEN b = 0 THEN 7 WHEN b < 4 THEN 3 ELSE b END) AS same FROM range(8) x(a), range(8) y(b)",
+    "drop_missing": "SELECT c_acctbal AS f1, c_custkey::DOUBLE AS f2, c_mktsegment AS label FROM customer WHERE c_custkey % 3 > 0",
+    "group_counts": _GROUP_COUNTS,
+    "group_blocks": f"WITH {CUSTOMERS}, g AS (SELECT ({_DEAL} % 25)::BIGINT AS group_id FROM p) SELECT group_id, count(*) AS n, 1::BIGINT AS parts, true AS in_order FROM g GROUP BY group_id",
+    "result_row": f"WITH {_REACH_L}, o AS ({sql_scores([INSIDE])}), b AS ({_closed('z', BOX)}) SELECT 'lineitem' AS name, cost AS objv, bound AS lb, round((cost - bound) / bound, 6) AS gap, accuracy FROM o, b",
+    "covariance_spectrum": "SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 2.0::DOUBLE), (3, 6.0::DOUBLE)) v(i, eigenvalue)",
     "embedding_features": f"WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label + 1)::INTEGER AS y FROM embeddings), r AS (SELECT min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2 FROM e), p AS (SELECT vec_id, y, (x1 - a1) / (b1 - a1) AS f1, (x2 - a2) / (b2 - a2) AS f2, 0.0::DOUBLE AS f3 FROM e, r) SELECT vec_id, y, {sql_leaf(DEMO)} AS leaf, {sql_label(DEMO)} AS pred FROM p",
     "order_ranks": "SELECT event_type, first_id, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"begin\" FROM (SELECT event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY event_type)",
     "class_lookup": "SELECT s_suppkey, s_acctbal, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey",
