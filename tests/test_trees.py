@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -329,3 +330,31 @@ def test_depth2_is_independent_of_batches(monkeypatch):
     whole = exact.fit(x, y)
     monkeypatch.setattr(exact, "BATCH", 200)
     assert exact.fit(x, y) == whole
+
+
+def test_large_groups_of_depth_2():
+    """A group of 8,000 values of one feature: its pairs of cuts on that feature are not tried one by one."""
+    r = np.random.default_rng(3)
+    x, y = np.column_stack([r.permutation(8000) / 7999, r.integers(0, 25, 8000) / 24]), r.choice([1, 3, 4, 5], 8000)
+    y[(x[:, 0] > 0.3) & (x[:, 0] < 0.7)] = 2
+    began = time.monotonic()
+    cost, found = exact.fit(x, y, share=0.4)
+    assert time.monotonic() - began < 15
+    assert cost == pytest.approx(errors(found, x, y) / 0.4 + 0.05 * len(found.split))
+    assert all(min(abs(b - c) for f, b in found.split.values() if f == 1) < 0.01 for c in (0.3, 0.7))
+
+
+def test_groups_at_once_are_as_one_by_one():
+    r = np.random.default_rng(8)
+    for depth in (1, 2, 3):
+        x, y, at = r.integers(0, 6, (60, 2)) / 5, r.integers(1, 4, 60), r.integers(0, 7, 60)
+        at[:7] = np.arange(7)
+        for b in (box.free(depth, 2, 3), box.branch(box.free(depth, 2, 3), "b", 1)[1], box.branch(box.free(depth, 2, 3), "d", 1)[1]):
+            values, trees = exact.solve_groups(x, y, at, b, 0.4, 0.01, exact.gaps(x))
+            for g in range(7):
+                mine, n = at == g, int((at == g).sum())
+                assert b.holds(trees[g])
+                assert values[g] == pytest.approx(errors(trees[g], x[mine], y[mine]) / 0.4 + 0.01 * n * len(trees[g].split))
+                if depth == 2:
+                    cells = x[mine]
+                    assert values[g] == pytest.approx(every_tree(cells, y[mine], b, exact.gaps(x), 0.4, 0.01 * n))
