@@ -358,3 +358,26 @@ def test_groups_at_once_are_as_one_by_one():
                 if depth == 2:
                     cells = x[mine]
                     assert values[g] == pytest.approx(every_tree(cells, y[mine], b, exact.gaps(x), 0.4, 0.01 * n))
+
+
+def test_many_trees_are_counted():
+    """Against routing each row through each tree; nulls go left, as do rows a slack below a threshold."""
+    r = np.random.default_rng(9)
+    for m in (0, 1, 500):
+        x = [np.where(r.random(m) < 0.1, np.nan, r.integers(0, 9, m) / 8) for _ in range(3)]
+        y, n = r.integers(1, 5, m), r.integers(1, 9, m)
+        trees = [Tree(2, {s: (int(r.integers(1, 4)), float(r.choice([r.random(), r.integers(9) / 8]))) for s in (1, 2, 3) if r.random() < 0.7}, {s: int(r.integers(1, 6)) for s in (4, 5, 6, 7) if r.random() < 0.8}) for _ in range(100)]
+        assert tree.right_weights(trees, x, y, n).tolist() == [int(n[tree.labels_on(t, x) == y].sum()) if m else 0 for t in trees]
+    x, y, n = [r.random(200_000) for _ in range(2)], r.integers(1, 7, 200_000), np.ones(200_000, int)
+    trees = [Tree(2, {1: (1, float(a)), 2: (2, float(b)), 3: (2, float(c))}, {4: 1, 5: 2, 6: 3, 7: 4}) for a, b, c in r.random((5000, 3))]
+    began = time.monotonic()
+    found = tree.right_weights(trees, x, y, n)
+    assert time.monotonic() - began < 30 and [int((tree.labels_on(t, x) == y).sum()) for t in trees[:5]] == found[:5].tolist()
+
+
+def test_costs_of_more_trees_than_are_tried(spark):
+    df = prep.cells(catalog.points(spark, SMALL), catalog.FEATURES)
+    trees = catalog.CANDIDATES * tree.MANY
+    few = tree.costs(df, catalog.CANDIDATES, catalog.FEATURES, 0.34, 0.05, "n")
+    assert tree.costs(df, trees, catalog.FEATURES, 0.34, 0.05, "n") == few * tree.MANY
+    assert tree.costs(df.limit(0), trees[:70], catalog.FEATURES, 0.34, 0.05, "n")[:1] == [0.05 * len(trees[0].split)]
