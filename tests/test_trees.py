@@ -381,3 +381,45 @@ def test_costs_of_more_trees_than_are_tried(spark):
     few = tree.costs(df, catalog.CANDIDATES, catalog.FEATURES, 0.34, 0.05, "n")
     assert tree.costs(df, trees, catalog.FEATURES, 0.34, 0.05, "n") == few * tree.MANY
     assert tree.costs(df.limit(0), trees[:70], catalog.FEATURES, 0.34, 0.05, "n")[:1] == [0.05 * len(trees[0].split)]
+
+
+def test_clusters_by_blocks(spark):
+    """Many clusters in a large leaf: about as many as asked, as near to their points as those of Spark's k-means."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.random((2500, 2)), 0.5 + 0.05 * r.normal(size=(2500, 2))]).clip(0, 1)
+    df = spark.createDataFrame([(i, float(a), float(b), 2) for i, (a, b) in enumerate(x)], "row_id long, f1 double, f2 double, _leaf int").repartition(5)
+
+    def spread(found, name):
+        at = np.unique([r[name] for r in found], return_inverse=True)[1]
+        v = np.array([(r.f1, r.f2) for r in found])
+        centre = np.stack([np.bincount(at, v[:, j]) / np.bincount(at) for j in (0, 1)], 1)
+        return ((v - centre[at]) ** 2).sum(), at.max() + 1
+
+    found = groups.leaf_clusters(df, ["f1", "f2"], 25, 2, 123).collect()
+    assert len({r._top for r in found}) > 2 and len(found) == 5000
+    cost, k = spread(found, "_part")
+    assert 190 <= k <= 205
+    assert cost < 1.1 * spread(groups.clustered(df, ["f1", "f2"], 200, 2).collect(), "_cluster")[0], cost
+    assert sorted(groups.leaf_clusters(df.repartition(3), ["f1", "f2"], 25, 2, 123).collect()) == sorted(found)
+
+
+def test_large_leaves_are_dealt_in_time(spark):
+    """Clusters grow with a leaf's rows: 8,571 here."""
+    rows = spark.range(60_000).select(F.col("id").alias("row_id"), *[(F.pmod(F.xxhash64(F.floor(F.col("id") / 2), F.lit(j)), F.lit(9973)) / 9973).alias(f"f{j}") for j in (1, 2)], F.lit(1).alias("y"))
+    began = time.monotonic()
+    dealt = groups.leaf_deal(rows, Tree(1), ["f1", "f2"], "row_id", 7, trials=2)
+    sizes = [r["count"] for r in dealt.groupBy("group_id").count().collect()]
+    assert time.monotonic() - began < 60 and sum(sizes) == 60_000 and len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+
+
+def test_points_that_are_few_or_alike():
+    one = np.full((9, 2), 0.5)
+    assert groups.near_means(one[:3], np.ones(3), 3, 2, 1).tolist() == [0, 1, 2]
+    x = np.repeat([[0.0, 0.0], [0.9, 0.1], [1.0, 0.1]], [5, 1, 1], axis=0)
+    at = groups.near_means(x, np.ones(7), 2, 3, 1)
+    assert len(set(at[:5])) == 1 and at[5] == at[6] != at[0]
+    with pytest.raises(ValueError):
+        groups.near_means(np.array([[0.1], [np.nan], [0.2]]), np.ones(3), 2, 1, 1)
+    cuts = groups._halved(np.random.default_rng(1).random((800, 2)), 8)
+    assert np.bincount(groups._part_of(cuts, np.random.default_rng(1).random((800, 2)))).tolist() == [100] * 8
+    assert groups._halved(one, 4) is None
