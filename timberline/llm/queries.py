@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import counting, exact, langid, merkle, minhash, mixing, packing, passages, secrets, suffixes
+from timberline.llm import counting, exact, langid, manifest, merkle, minhash, mixing, packing, passages, runs, secrets, suffixes, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_passage_dedup": passages.op8_passage_dedup,
     "op9_token_count": counting.op9_token_count,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_topk": topk.op11_topk,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_runs": runs.op13_runs,
 }
 
 ORACLES = {
     "op7_mix": mixing.SQL,
     "op10_exact_dedup": exact.SQL,
+    "op11_topk": topk.SQL,
+    "op12_manifest": manifest.SQL,
 }
