@@ -19,9 +19,10 @@ def brute(words):
     for q in range(1, len(ids) // 4 + 1):
         same = np.concatenate([[False], ids[:-q] == ids[q:], [False]])
         edges = np.flatnonzero(same[1:] != same[:-1])
-        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if j - i + q >= max(6, 4 * q):
-                found.setdefault((i, j - i + q), q)
+        begin, end = edges[::2], edges[1::2]
+        long = end - begin + q >= max(6, 4 * q)
+        for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+            found.setdefault((i, j - i + q), q)
     return sorted((a, b, q) for (a, b), q in found.items())
 
 
