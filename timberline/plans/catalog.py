@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.functions import prep
-from timberline.operators import bounds, exact, groups, tree
+from timberline.operators import bounds, groups, tree
 from timberline.operators.box import Box, branch, feasible_in, free, widest_threshold
+from timberline.operators.optimal import Optimal, classified
+from timberline.operators.scan import Layout, anywhere, class_stats, square_stats
 from timberline.operators.tree import Tree
 from timberline.sources import tables
 
@@ -45,16 +46,26 @@ STEPS = [("d", 2, 1), ("b", 1, 1), ("a", (2, 1), 0), ("a", (3, 2), 1), ("c", (1,
 INSIDE = Tree(2, {1: (1, 0.5), 2: (2, 0.3), 3: (3, 0.6)}, {4: 1, 5: 2, 6: 3, 7: 1})
 MODULUS = 104729
 N_GROUPS, N_BOOTSTRAP = 7, 6
-#: Thresholds of all features together that an exact search of depth 2 tries at the root.
-MOST_THRESHOLDS = 2_000
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
     """``lineitem`` as labelled points: keys, three features scaled to [0, 1], and the return flag's code."""
-    rows = tables.parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_returnflag")
+    rows = tables.parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_returnflag", *more)
     return prep.scaled(prep.encode(rows, "l_returnflag"), FEATURES)[0].drop("l_returnflag")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` by features of few values: line number, discount and tax, scaled, and the return flag's code."""
+    rows = tables.parquet(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("double").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_returnflag")
+    return prep.scaled(prep.encode(rows, "l_returnflag"), FEATURES)[0].drop("l_returnflag")
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` by its extended price, scaled, and the return flag's code."""
+    rows = tables.parquet(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("f1"), "l_returnflag")
+    return prep.scaled(prep.encode(rows, "l_returnflag"), ["f1"])[0].drop("l_returnflag")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as labelled points: size and price scaled, and the type's code."""
     rows = tables.parquet(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("f1"), F.col("p_retailprice").alias("f2"), "p_type")
@@ -218,79 +229,54 @@ def merge_trees(spark, sf_dir):
     return tree.score(df, [joined], FEATURES, _share(df), ALPHA)
 
 
-def best_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single threshold of least cost, or no split: running class counts along each feature's distinct values."""
-    df = points(spark, sf_dir)
-    counts = prep.long_form(prep.cells(df, FEATURES), FEATURES, "y", "n").groupBy("f", "v").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)])
-    before = Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("f")
-    for k in (1, 2, 3):
-        counts = counts.withColumn(f"a{k}", F.sum(f"n{k}").over(before)).withColumn(f"b{k}", F.sum(f"n{k}").over(whole) - F.col(f"a{k}"))
-    some = counts.where("a1 is not null")
-    errors = reduce(lambda a, b: a + b, [F.col(f"{s}{k}") for s in "ab" for k in (1, 2, 3)]) - F.greatest("a1", "a2", "a3") - F.greatest("b1", "b2", "b3")
-    splits = some.select("f", "v", errors.cast("long").alias("errors"), F.lit(1).alias("splits"))
-    none = prep.class_frequency(df, "y").agg((F.sum("n") - F.max("n")).alias("errors")).select(F.lit(0).alias("f"), F.lit(0.0).alias("v"), F.col("errors").cast("long"), F.lit(0).alias("splits"))
-    cost = F.round(F.col("errors") / F.lit(_share(df)) + ALPHA * F.col("splits"), 6)
-    return splits.unionByName(none).withColumn("cost", cost).agg(F.min(F.struct("cost", "splits", "f", "v", "errors")).alias("r")).select("r.cost", "r.splits", "r.f", F.round("r.v", 9).alias("v"), "r.errors")
+def _laid(df: DataFrame, features: list[str], classes: int) -> Layout:
+    """The cells of labelled points, laid out for scans."""
+    return Layout(*_class_args(prep.cells(df, features), features, classes))
 
 
-def optimal_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least cost of a tree of depth 2 over the cells: every root split, and on each side the best split or none.
+def _class_args(rows: DataFrame, features: list[str], classes: int) -> tuple[DataFrame, list[str], list[str]]:
+    found, names = class_stats(rows, classes)
+    return found, features, names
 
-    For every root split the running class counts of each side are taken at once; rows grow with distinct cells and
-    thresholds, not with the table.
-    """
-    df = points(spark, sf_dir)
-    cells = prep.cells(df, FEATURES)
+
+def _stump(spark: SparkSession, df: DataFrame, features: list[str], classes: int) -> DataFrame:
+    """The single threshold of least cost, or no split."""
     share = _share(df)
-    rows = prep.long_form(cells, FEATURES, *FEATURES, "y", "n")
-    thresholds = rows.select("f", "v").distinct().limit(MOST_THRESHOLDS + 1).collect()
-    if len(thresholds) > MOST_THRESHOLDS:
-        raise ValueError("too many thresholds for an exact search: bin the features first")
-    sides_of = []
-    for f, name in enumerate(FEATURES, 1):
-        values = sorted(r.v for r in thresholds if r.f == f)[1:]
-        each = rows.withColumn("rf", F.lit(f)).withColumn("rv", F.explode(F.lit(values).cast("array<double>")))
-        sides_of.append(each.withColumn("side", (F.col(name) >= F.col("rv")).cast("int")))
-    sided = reduce(DataFrame.unionByName, sides_of)
-    counts = sided.groupBy("rf", "rv", "side", "f", "v").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)])
-    keys = ["rf", "rv", "side", "f"]
-    before = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    for k in (1, 2, 3):
-        counts = counts.withColumn(f"a{k}", F.coalesce(F.sum(f"n{k}").over(before), F.lit(0))).withColumn(f"b{k}", F.sum(f"n{k}").over(Window.partitionBy(*keys)) - F.col(f"a{k}"))
-    total = reduce(lambda a, b: a + b, [F.col(f"{s}{k}") for s in "ab" for k in (1, 2, 3)])
-    stopped = F.col("a1") + F.col("a2") + F.col("a3") == 0  # below the first value all rows are on the right: no split
-    errors = (total - F.greatest("a1", "a2", "a3") - F.greatest("b1", "b2", "b3")).cast("long")
-    option = F.struct((errors / F.lit(share) + F.when(stopped, 0.0).otherwise(ALPHA)).alias("cost"), errors.alias("errors"), F.when(stopped, 0).otherwise(1).alias("splits"))
-    sides = counts.groupBy("rf", "rv", "side").agg(F.min(option).alias("o"))
-    both = sides.groupBy("rf", "rv").agg(F.sum("o.errors").alias("errors"), (F.sum("o.splits") + 1).alias("splits"))
-    none = cells.groupBy("y").agg(F.sum("n").alias("n")).agg((F.sum("n") - F.max("n")).alias("errors")).select(F.lit(0).alias("rf"), F.lit(0.0).alias("rv"), "errors", F.lit(0).cast("long").alias("splits"))
-    found = both.unionByName(none).withColumn("cost", F.round(F.col("errors") / F.lit(share) + ALPHA * F.col("splits"), 6))
-    return found.agg(F.min(F.struct("cost", "errors", "splits")).alias("r")).select("r.*")
+    (fact,) = _laid(df, features, classes).facts([anywhere(len(features))])
+    none = float(fact.sums.sum() - fact.sums.max())
+    options = [(round(none / share, 6), 0, 0, 0.0, int(none))]
+    if fact.feature:
+        options.append((round(fact.value / share + ALPHA, 6), 1, fact.feature, round(fact.threshold, 9), int(fact.value)))
+    return spark.createDataFrame([min(options)], "cost double, splits int, f int, v double, errors long")
 
 
-def _fitted(df: DataFrame, share: float, **limits) -> DataFrame:
-    """The exact tree of depth 2 over the cells of ``df``, found in one task and scored on all rows."""
-    schema = "cost double, splits string, labels string"
+def best_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single threshold of least cost, or no split, from running class counts along each feature."""
+    return _stump(spark, points(spark, sf_dir), FEATURES, 3)
+
 
-    def work(batches):
-        import pandas as pd
+def best_stump_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a feature with nearly as many values as rows."""
+    return _stump(spark, prices(spark, sf_dir), ["f1"], 3)
+
+
+def optimal_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of a tree of depth 2: root cuts searched with bounds between them, each side's best split or none."""
+    df = points(spark, sf_dir)
+    share = _share(df)
+    found = Optimal(_laid(df, FEATURES, 3), 2, share, ALPHA).fit()
+    wrong = sum(int(v.sum() - v.max()) for v in found.leaves.values())
+    return spark.createDataFrame([(round(found.cost, 6), wrong, len(found.split))], "cost double, errors long, splits long")
 
-        rows = pd.concat(list(batches))
-        cost, found = exact.fit(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy(float), 2, share, ALPHA, **limits)
-        splits, labels = bounds.text_of(found)
-        yield pd.DataFrame({"cost": [cost], "splits": [splits], "labels": [labels]})
 
-    cells = prep.cells(df, FEATURES)
-    rows = prep.long_form(cells, FEATURES).distinct().limit(MOST_THRESHOLDS + 1).count()
-    if rows > MOST_THRESHOLDS:
-        raise ValueError("too many thresholds for an exact search: bin the features first")
-    row = cells.coalesce(1).mapInPandas(work, schema).first()
-    return tree.score(df, [bounds.tree_of(row, 2)], FEATURES, share, ALPHA).select("cost", "errors", F.col("splits").cast("long").alias("splits"))
+def _fitted(df: DataFrame, share: float, **limits) -> DataFrame:
+    """The exact tree of depth 2, scored on all rows."""
+    found = Optimal(_laid(df, FEATURES, 3), 2, share, ALPHA, **limits).fit()
+    return tree.score(df, [classified(found, 2)], FEATURES, share, ALPHA).select("cost", "errors", F.col("splits").cast("long").alias("splits"))
 
 
 def exact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same optimum by dynamic programming over the cells."""
+    """The tree of the same optimum."""
     df = points(spark, sf_dir)
     return _fitted(df, _share(df))
 
@@ -307,6 +293,40 @@ def shaped_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fitted(df, _share(df), shape=0b110)
 
 
+def exact_tree_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tree of depth 2 where a feature has nearly as many values as rows."""
+    df = parts(spark, sf_dir)
+    share = _share(df)
+    found = Optimal(_laid(df, PART_FEATURES, 6), 2, share, ALPHA).fit()
+    return tree.score(df, [classified(found, 2)], PART_FEATURES, share, ALPHA).select("cost")
+
+
+def exact_tree_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tree of depth 3 on line number, discount and tax."""
+    df = lines(spark, sf_dir)
+    share = _share(df)
+    found = Optimal(_laid(df, FEATURES, 3), 3, share, ALPHA).fit()
+    return tree.score(df, [classified(found, 3)], FEATURES, share, ALPHA).select("cost")
+
+
+def regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least squares of a tree of depth 2 whose leaves give the mean price, with the penalty of its splits."""
+    df = points(spark, sf_dir, F.col("l_extendedprice").alias("price"))
+    df, _ = prep.scaled(df, ["price"])
+    each = square_stats(df, "price")
+    sums = each[0].groupBy(*FEATURES).agg(*[F.sum(c).alias(c) for c in each[1]])
+    found = Optimal(Layout(sums, FEATURES, each[1]), 2, 1.0, ALPHA, criterion="squares").fit()
+    return spark.createDataFrame([(round(found.cost, 4), len(found.split))], "cost double, splits int")
+
+
+def leaf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and errors by leaf, class and part of the split, with all their margins from one pass."""
+    df = prep.stratified_split(points(spark, sf_dir), "y", F.pmod(F.col("l_orderkey") * 7919, F.lit(MODULUS)), "l_orderkey", "l_linenumber", *FEATURES)
+    wrong = (F.col("pred") != F.col("y")).cast("long")
+    found = tree.predict(df, DEMO, FEATURES).cube("leaf", "y", "split").agg(F.grouping_id().cast("long").alias("margin"), F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("errors"))
+    return found.select("leaf", "y", "split", "margin", "n", "errors")
+
+
 def box_feasible(spark, sf_dir):
     rows = prep.long_form(points(spark, sf_dir), FEATURES).distinct()
     return feasible_in(rows, spark.createDataFrame(RANGES, "box_id int, t int, f int, lo double, hi double"))
@@ -498,7 +518,7 @@ def tree_nodes(spark, sf_dir):
     return DEMO.to_df(spark)
 
 
-QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes)}
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, best_stump_price, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, exact_tree_prices, exact_tree_depth3, regression_tree, leaf_report, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes)}
 
 _MERGED = tree.merged(CANDIDATES)
 _CLASSES = range(1, 4)
@@ -537,6 +557,64 @@ d AS (SELECT sum(errors) AS errors, sum(splits) + 1 AS splits FROM b, z WHERE i
 SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, errors::BIGINT AS errors, splits::BIGINT AS splits FROM d ORDER BY 1, 2 LIMIT 1"""
 
 
+LINES = """
+r AS (SELECT min(l_linenumber)::DOUBLE a1, max(l_linenumber)::DOUBLE b1, min(l_discount) a2, max(l_discount) b2, min(l_tax) a3, max(l_tax) b3 FROM lineitem),
+k AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag)::INTEGER AS y FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+p AS (SELECT (l_linenumber::DOUBLE - a1) / (b1 - a1) AS f1, (l_discount - a2) / (b2 - a2) AS f2, (l_tax - a3) / (b3 - a3) AS f3, y FROM lineitem JOIN k USING (l_returnflag), r)"""
+PRICES = """
+r AS (SELECT min(l_extendedprice) a1, max(l_extendedprice) b1 FROM lineitem),
+k AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag)::INTEGER AS y FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+p AS (SELECT (l_extendedprice - a1) / (b1 - a1) AS f1, y FROM lineitem JOIN k USING (l_returnflag), r)"""
+
+
+def _sql_stump(rows: str, p: int, classes: int) -> str:
+    """The best single threshold of ``p`` features, or no split, from running counts."""
+    ks = range(1, classes + 1)
+    run = ", ".join(f"sum(n{k}) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a{k}, sum(n{k}) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}" for k in ks)
+    wrong = " + ".join(f"{' + '.join(f'{s}{k}' for k in ks)} - greatest({', '.join(f'{s}{k}' for k in ks)})" for s in "ab")
+    return f"""WITH {rows}, l AS ({" UNION ALL ".join(f"SELECT {j} AS f, f{j} AS v, y FROM p" for j in range(1, p + 1))}),
+g AS (SELECT f, v, {", ".join(f"count(*) FILTER (y = {k}) AS n{k}" for k in ks)} FROM l GROUP BY f, v), w AS (SELECT f, v, {run} FROM g),
+o AS (SELECT f, v, {wrong} AS errors, 1 AS splits FROM w WHERE a1 IS NOT NULL UNION ALL SELECT 0, 0, sum(n) - max(n), 0 FROM (SELECT count(*) AS n FROM p GROUP BY y))
+SELECT round(errors::DOUBLE / {SHARE} + {ALPHA}::DOUBLE * splits, 6) AS cost, splits::INTEGER AS splits, f::INTEGER AS f, round(v::DOUBLE, 9) AS v, errors::BIGINT AS errors FROM o ORDER BY 1, 2, 3, v LIMIT 1"""
+
+
+def _sql_optimal(rows: str, p: int, classes: int, depth: int) -> str:
+    """The least cost of a tree of depth 2 or 3 over the cells: all cuts at all nodes, the last ones by running counts."""
+    ks, fs = range(1, classes + 1), range(1, p + 1)
+    value = lambda f, v: f"(CASE {f} {' '.join(f'WHEN {j} THEN f{j}' for j in fs)} END >= {v})::INTEGER"
+    node = ["rf", "rv", "s1", *(["sf", "sv", "s2"] if depth == 3 else [])]
+    run = lambda k: f"coalesce(sum(n{k}) OVER (PARTITION BY {', '.join(node)}, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{k}, sum(n{k}) OVER (PARTITION BY {', '.join(node)}, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}"
+    total = lambda s: "(" + " + ".join(f"{s}{k}" for k in ks) + ")"
+    wrong = " + ".join(f"{total(s)} - greatest({', '.join(f'{s}{k}' for k in ks)})" for s in "ab")
+    upper = f"e AS (SELECT rf, rv, s1, min(cost) AS cost FROM o GROUP BY ALL)," if depth == 2 else f"""u AS (SELECT rf, rv, s1, sum(cost) + {ALPHA}::DOUBLE AS cost FROM (SELECT rf, rv, s1, sf, sv, s2, min(cost) AS cost FROM o GROUP BY ALL) GROUP BY rf, rv, s1, sf, sv),
+d AS (SELECT rf, rv, s1, (sum(n) - max(n))::DOUBLE / {SHARE} AS cost FROM (SELECT rf, rv, {value("rf", "rv")} AS s1, y, sum(n) AS n FROM c, t GROUP BY ALL) GROUP BY rf, rv, s1),
+e AS (SELECT rf, rv, s1, min(cost) AS cost FROM (SELECT * FROM u UNION ALL SELECT * FROM d) GROUP BY ALL),"""
+    second = f", t2.rf AS sf, t2.rv AS sv, {value('t2.rf', 't2.rv')} AS s2" if depth == 3 else ""
+    return f"""WITH {rows}, c AS (SELECT {", ".join(f"f{j}" for j in fs)}, y, count(*) AS n FROM p GROUP BY ALL),
+l AS ({" UNION ALL ".join(f"SELECT {j} AS f, f{j} AS v, * FROM c" for j in fs)}),
+t AS (SELECT DISTINCT f AS rf, v AS rv FROM l WHERE v > (SELECT min(v) FROM l m WHERE m.f = l.f)),
+s AS (SELECT t.rf, t.rv, {value("t.rf", "t.rv")} AS s1{second}, f, v, {", ".join(f"coalesce(sum(n) FILTER (y = {k}), 0) AS n{k}" for k in ks)} FROM l, t{", t t2" if depth == 3 else ""} GROUP BY ALL),
+w AS (SELECT {", ".join(node)}, {", ".join(map(run, ks))} FROM s),
+o AS (SELECT {", ".join(node)}, ({wrong})::DOUBLE / {SHARE} + CASE WHEN {total("a")} > 0 THEN {ALPHA}::DOUBLE ELSE 0 END AS cost FROM w),
+{upper}
+z AS (SELECT sum(cost) + {ALPHA}::DOUBLE AS cost FROM e GROUP BY rf, rv UNION ALL SELECT (sum(n) - max(n))::DOUBLE / {SHARE} FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+SELECT round(min(cost), 6) AS cost FROM z"""
+
+
+def _sql_regression() -> str:
+    """The least squares of a tree of depth 2, by all root cuts and running sums on both sides."""
+    rows = POINTS.replace("SELECT l_orderkey, l_linenumber,", "SELECT (l_extendedprice - a4) / (b4 - a4) AS price,").replace("max(l_tax) b3", "max(l_tax) b3, min(l_extendedprice) a4, max(l_extendedprice) b4")
+    run = ", ".join(f"coalesce(sum({c}) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{c}, sum({c}) OVER (PARTITION BY rf, rv, side, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{c}" for c in ("w", "y", "z"))
+    return f"""WITH {rows}, c AS (SELECT f1, f2, f3, count(*) AS w, sum(price) AS y, sum(price * price) AS z FROM p GROUP BY ALL), {_LONG},
+t AS (SELECT DISTINCT f AS rf, v AS rv FROM l WHERE v > (SELECT min(v) FROM l m WHERE m.f = l.f)),
+s AS (SELECT rf, rv, (CASE rf WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END >= rv) AS side, f, v, sum(w) AS w, sum(y) AS y, sum(z) AS z FROM l, t GROUP BY ALL),
+r2 AS (SELECT rf, rv, side, {run} FROM s),
+o AS (SELECT rf, rv, side, CASE WHEN aw > 0 THEN az - ay * ay / aw ELSE 0 END + bz - by_ * by_ / bw + CASE WHEN aw > 0 THEN {ALPHA}::DOUBLE ELSE 0 END AS cost, (aw > 0)::INTEGER AS splits FROM (SELECT *, "by" AS by_ FROM r2)),
+b AS (SELECT rf, rv, side, min(cost) AS cost, min_by(splits, cost) AS splits FROM o GROUP BY ALL),
+d AS (SELECT sum(cost) + {ALPHA}::DOUBLE AS cost, sum(splits) + 1 AS splits FROM b GROUP BY rf, rv UNION ALL SELECT sum(z) - sum(y) * sum(y) / sum(w), 0 FROM c)
+SELECT round(min(cost), 4) AS cost, min_by(splits, cost)::INTEGER AS splits FROM d"""
+
+
 _REACH = f"{PARTS}, q AS (SELECT p_partkey, y, {sql_reach(PART_BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(PART_BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
 _REACH_L = f"{POINTS}, q AS (SELECT y, {sql_reach(BOX)} AS reach FROM p), v AS (SELECT *, {sql_values(BOX)} AS vals FROM q), z AS (SELECT *, CASE WHEN list_min(vals) = list_max(vals) AND list_min(vals) >= 0 THEN list_min(vals) ELSE -1 END AS cost, CASE WHEN list_min(vals) = 1 THEN 1 ELSE 0 END AS lb FROM v)"
 _COVER = " UNION ALL ".join(f"SELECT {', '.join(f'{k} AS c{t}' for t, k in zip(sorted(BOX.labels), labels, strict=True))}" for labels in product(*[sorted(BOX.labels[t]) for t in sorted(BOX.labels)]))
@@ -641,6 +719,11 @@ ORACLES = {
     "prune_and_score": f"WITH {POINTS} {sql_scores([tree.pruned(OTHER, shape) for shape in range(8)])}",
     "merge_trees": _sql_merge(),
     "best_stump": _STUMP,
+    "best_stump_price": _sql_stump(PRICES, 1, 3),
+    "exact_tree_prices": _sql_optimal(PARTS, 2, 6, 2),
+    "exact_tree_depth3": _sql_optimal(LINES, 3, 3, 3),
+    "regression_tree": _sql_regression(),
+    "leaf_report": f"WITH {POINTS}, s AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY (l_orderkey * 7919) % {MODULUS}, l_orderkey, l_linenumber, f1, f2, f3)::DOUBLE / count(*) OVER (PARTITION BY y) AS part FROM p), q AS (SELECT {sql_leaf(DEMO)} AS leaf, y, CASE WHEN part <= 0.5 THEN 'train' WHEN part <= 0.75 THEN 'valid' ELSE 'test' END AS split, ({sql_label(DEMO)} <> y)::INTEGER AS wrong FROM s) SELECT leaf, y, split, grouping(leaf, y, split)::BIGINT AS margin, count(*) AS n, sum(wrong)::BIGINT AS errors FROM q GROUP BY CUBE (leaf, y, split)",
     "optimal_depth2": _depth2(),
     "exact_tree": _depth2(),
     "min_leaf_tree": _depth2("a1 + a2 + a3 = 0 OR least(a1 + a2 + a3, b1 + b2 + b3)::DOUBLE >= total / 5", root="min(m)::DOUBLE >= max(total) / 5"),
