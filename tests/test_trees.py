@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from timberline.functions import prep
 from timberline.operators import bounds, box, exact, groups, tree
-from timberline.operators.search import Search
+from timberline.operators.search import Node, Search
 from timberline.operators.tree import Tree
 from timberline.plans import catalog
 from timberline.sources import tables
@@ -200,10 +200,56 @@ def test_candidates_only_improve_the_incumbent(toy):
     costs.append(search.ub)
     search.offer(search.drawn(box.free(2, 2, 3), search.tree))
     assert costs[0] >= costs[1] >= search.ub >= OPTIMUM[2][2]
-    b = box.free(2, 2, 3)
-    first, known = search.bound(b, 0.0)
-    again, same = search.bound(b, 0.0, known)
-    assert again == pytest.approx(first) and same == known
+
+
+def test_results_of_groups_are_kept_for_the_halves(toy):
+    """A box bounded again finds all its groups in the stored results; its halves solve what no longer lies in them."""
+    search = Search(toy, ["f1", "f2"], 2)
+    (first,) = search.bound([Node(0.0, 1, box.free(2, 2, 3))])
+    solved = search.solved
+    (again,) = search.bound([first])
+    assert again.lb == first.lb and search.solved == solved and again.path != first.path
+    halves = [Node(0.0, 2, b, first.number, first.path) for b in box.branch(first.box, "b", 1)]
+    fresh = [Node(0.0, 2, n.box) for n in halves]
+    assert [n.lb for n in search.bound(halves)] == pytest.approx([n.lb for n in search.bound(fresh)])
+
+
+@pytest.mark.parametrize("batch", [3, 8])
+def test_rounds_of_several_boxes(spark, toy, batch):
+    search = Search(toy, ["f1", "f2"], 2)
+    found, cost, bound = search.run(max_nodes=18, batch=batch)
+    assert cost == pytest.approx(7.90) and bound <= cost and errors(found, X, Y) == 3
+    assert [r[0] for r in search.log] == ([0, 1, 3, 6, 9, 12, 15, 18] if batch == 3 else [0, 1, 3, 7, 15, 18])
+
+
+def test_trees_in_boxes_as_columns(spark):
+    random = np.random.default_rng(4)
+    boxes, trees = [], []
+    for _ in range(12):
+        b = box.free(2, 2, 3)
+        for _ in range(int(random.integers(1, 6))):
+            open_ = [(k, at) for k, some in b.undetermined().items() for at in some]
+            b = box.branch(b, *open_[int(random.integers(len(open_)))])[int(random.integers(2))]
+        boxes.append(b)
+        nodes = [t for t in (1, 2, 3) if random.random() < 0.7 and (t == 1 or trees is not None)]
+        trees.append(Tree(2, {t: (int(random.integers(1, 3)), float(random.random())) for t in nodes}, {t: int(k) for t, k in zip((4, 5, 6, 7), random.integers(0, 4, 4), strict=True) if k}))
+    trees += [Tree(2, {1: (1, 0.5)}, {5: 1, 7: 2}), Tree(2, {}, {7: 3})]
+    rows = spark.createDataFrame(bounds.box_rows({i: (0, b) for i, b in enumerate(boxes)}), bounds.BOXES)
+    table = spark.createDataFrame([(0, j, *bounds.encoded(t)) for j, t in enumerate(trees)], "parent int, tree int, feature array<int>, threshold array<double>, label array<int>")
+    got = {(r.box, r.tree): r.inside for r in table.join(rows, "parent").select("box", "tree", bounds.holds().alias("inside")).collect()}
+    assert got == {(i, j): b.holds(t) for i, b in enumerate(boxes) for j, t in enumerate(trees)}
+    assert set(got.values()) == {True, False}
+    assert [bounds.decoded(r, 2) for r in table.orderBy("tree").collect()] == trees
+
+
+def test_feasibility_with_the_closed_form(toy):
+    values = {1: sorted({r[0] / 3 for r in TOY}), 2: sorted({r[1] / 3 for r in TOY})}
+    b = box.branch(box.free(2, 2, 3), "d", 2)[1]
+    some = [b, replace(b, threshold=b.threshold | {2: (0.4, 0.6)}), replace(b, threshold=b.threshold | {1: (0.3, 0.35)}), replace(b, features=b.features | {2: frozenset()}), box.free(2, 2, 3)]
+    found = bounds.closed_and_feasible(toy, some, ["f1", "f2"], 5 / 13, 0.05)
+    assert [v < float("inf") for v in found] == [box.feasible(c, values) for c in some] == [True, False, True, False, True]
+    fine = [c for c in some if box.feasible(c, values)]
+    assert [v for v in found if v < float("inf")] == pytest.approx(bounds.closed_forms(toy, fine, ["f1", "f2"], 5 / 13, 0.05))
 
 
 def test_reachable_leaves_and_the_others(toy):

@@ -84,6 +84,42 @@ def closed_forms(df: DataFrame, boxes: list[Box], features: list[str], share: fl
     return [float(row[i]) / share + alpha * box.least_splits for i, box in enumerate(boxes)]
 
 
+def closed_and_feasible(df: DataFrame, boxes: list[Box], features: list[str], share: float, alpha: float, weight: Column | None = None) -> list[float]:
+    """The closed-form bounds of many boxes in one pass over the data, infinite for a box that has no tree.
+
+    A box has one if each node that must split has an allowed feature with a data value in its threshold range; that is
+    looked up in the same pass, so no values come to the driver.
+    """
+    if not boxes:
+        return []
+    n = F.lit(1) if weight is None else weight
+    sums, hits = [], {}
+    for i, box in enumerate(boxes):
+        sums.append(F.coalesce(F.sum(leaf_costs(box, reach(box, features), F.col("y"))[1] * n), F.lit(0)).alias(f"b{i}"))
+        for t, (lo, _) in box.splits.items():
+            if lo:
+                hits.setdefault((tuple(sorted(box.features[t])), box.threshold[t]), []).append(i)
+    some = [F.max(reduce(lambda a, b: a | b, [F.col(features[f - 1]).between(*between) for f in fs], F.lit(False)).cast("int")).alias(f"h{j}") for j, (fs, between) in enumerate(hits)]
+    row = df.agg(*sums, *some).first()
+    out = [float(row[f"b{i}"]) / share + alpha * box.least_splits if box.ok else float("inf") for i, box in enumerate(boxes)]
+    for j, those in enumerate(hits.values()):
+        for i in those:
+            out[i] = out[i] if row[f"h{j}"] else float("inf")
+    return out
+
+
+def cover_counts_of(df: DataFrame, boxes: dict[int, Box], features: list[str], weight: Column) -> dict[int, list[dict]]:
+    """``cover_counts`` of many boxes by one job; there are at most classes times sets of leaves for each."""
+    if not boxes:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("box"), reach(b, features).alias("reach")) for i, b in boxes.items()]))
+    rows = df.select("y", weight.alias("_n"), each.alias("r")).groupBy("r.box", "y", "r.reach").agg(F.sum("_n").cast("long").alias("n")).collect()
+    out: dict[int, list[dict]] = {i: [] for i in boxes}
+    for r in rows:
+        out[r.box].append({"y": r.y, "reach": r.reach, "n": r.n})
+    return out
+
+
 def cover_counts(df: DataFrame, box: Box, features: list[str], weight: Column | None = None) -> DataFrame:
     """``y, reach, n``: rows by class and reachable leaves; at most classes times sets of leaves."""
     return df.groupBy("y", reach(box, features).alias("reach")).agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n"))
@@ -155,3 +191,70 @@ def tree_of(row, depth: int) -> Tree:
     """The tree of a row of ``group_bounds``."""
     split, label = json.loads(row["splits"]), json.loads(row["labels"])
     return Tree(depth, {int(t): (f, b) for t, (f, b) in split.items()}, {int(t): k for t, k in label.items()})
+
+
+#: Trees as columns: a node without split has feature 0, a leaf without label has label 0.
+SOLVED = "box int, group_id long, bound double, feature array<int>, threshold array<double>, label array<int>"
+BOXES = "box int, parent int, least array<int>, most array<int>, low array<double>, high array<double>, features array<array<int>>, labels array<array<int>>"
+
+
+def encoded(tree: Tree) -> tuple[list[int], list[float], list[int]]:
+    return [tree.split.get(t, (0, 0.0))[0] for t in tree.branches], [float(tree.split.get(t, (0, 0.0))[1]) for t in tree.branches], [tree.label.get(t, 0) for t in tree.leaves]
+
+
+def decoded(row, depth: int) -> Tree:
+    """The tree of a row of ``feature, threshold, label``."""
+    split = {t: (f, b) for t, (f, b) in enumerate(zip(row["feature"], row["threshold"], strict=True), 1) if f}
+    return Tree(depth, split, {2**depth + i: k for i, k in enumerate(row["label"]) if k})
+
+
+def box_rows(boxes: dict[int, tuple[int, Box]]) -> list[tuple]:
+    """Boxes (by number, each with its parent's) as rows of ``BOXES``."""
+    out = []
+    for i, (parent, b) in boxes.items():
+        nodes = sorted(b.splits)
+        out.append((i, parent, [b.splits[t][0] for t in nodes], [b.splits[t][1] for t in nodes], [float(b.threshold[t][0]) for t in nodes], [float(b.threshold[t][1]) for t in nodes], [sorted(b.features[t]) for t in nodes], [sorted(b.labels[t]) for t in sorted(b.labels)]))
+    return out
+
+
+def holds(tolerance: float = 1e-9) -> Column:
+    """Whether the tree of a row lies in the box of the row, as ``Box.holds`` has it."""
+    col, at = F.col, F.get
+
+    def node(f: Column, i: Column) -> Column:
+        there = (f > 0).cast("int")
+        inside = F.array_contains(at(col("features"), i), f) & at(col("threshold"), i).between(at(col("low"), i) - tolerance, at(col("high"), i) + tolerance)
+        return there.between(at(col("least"), i), at(col("most"), i)) & ((f == 0) | inside)
+
+    def leaf(k: Column, i: Column) -> Column:
+        return (k == 0) | F.array_contains(at(col("labels"), i), k)
+
+    every = lambda c: F.forall(c, lambda x: x)
+    return every(F.transform("feature", node)) & every(F.transform("label", leaf))
+
+
+def groups_in_boxes(groups: DataFrame, asked: DataFrame, boxes: dict[int, Box], features: list[str], share: float, alpha: float, total: int, eps: np.ndarray) -> DataFrame:
+    """``SOLVED``: the bound and best tree of each group within the boxes that ``asked`` (``group_id, boxes``) names for it.
+
+    ``groups`` lie whole in parts. A box that has no tree for a group gives an infinite bound and a tree without splits.
+    """
+
+    def work(batches):
+        rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame()])
+        if not len(rows):
+            return
+        names, at = np.unique(rows["group_id"].to_numpy(), return_inverse=True)
+        x, y = rows[features].to_numpy(float), rows["y"].to_numpy(int)
+        wanted = rows.drop_duplicates("group_id").sort_values("group_id")["boxes"].tolist()
+        for i, box in boxes.items():
+            mine = np.array([i in w for w in wanted])
+            some = mine[at]
+            if not some.any():
+                continue
+            place = np.cumsum(mine) - 1
+            values, trees = solve_groups(x[some], y[some], place[at[some]], box, share, alpha / total, eps)
+            feature, threshold, label = zip(*map(encoded, trees), strict=True)
+            yield pd.DataFrame({"box": i, "group_id": names[mine], "bound": values, "feature": feature, "threshold": threshold, "label": label})
+
+    rows = groups.select("group_id", *features, "y").join(asked, "group_id")
+    return rows.mapInPandas(work, SOLVED)

@@ -1,32 +1,26 @@
-"""Best-first branch and bound over boxes of trees, each bound a Spark job over distinct cells or small groups."""
+"""Best-first branch and bound over boxes of trees. A round takes several open boxes, and each kind of bound is one Spark
+job for all their halves. What the groups came to lies in tables in the shared folder; the driver sees sums."""
 
 from __future__ import annotations
 
 import heapq
 import time
-from dataclasses import replace
-from math import fsum
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.functions.prep import cells, long_form
+from timberline.functions.prep import NO_GAP, cells, min_gaps
 from timberline.operators import bounds
-from timberline.operators.box import Box, branch, feasible, free, widest_threshold
-from timberline.operators.exact import gaps
+from timberline.operators.box import Box, branch, free, widest_threshold
 from timberline.operators.greedy import cart
 from timberline.operators.groups import bootstrap, deal, group_count, leaf_deal
 from timberline.operators.tree import Tree, costs, leaf_counts, majority_labels, merged
+from timberline.sources.tables import scratch
 
 GAP = 1e-2
 LOG = "iter long, open_nodes long, level int, lb double, ub double, gap double"
-#: Distinct feature values that may come to the driver for the feasibility test.
-MOST_VALUES = 1_000_000
-#: For each group its bound and best tree in some box, None if the box has no tree for it.
-Known = dict[int, tuple[float, Tree | None]]
-
-
 def next_variable(box: Box, seed: int) -> tuple[str, object] | None:
     """What to branch on: open splits, then features and labels unless a wide threshold is preferred, then thresholds."""
     open_ = box.undetermined()
@@ -49,9 +43,20 @@ def _closed(lb: float, ub: float, gap: float) -> bool:
 
 
 #: Trees that one pass scores, and nodes after which small groups are drawn anew.
-SCORED, DRAWN = 4096, 16
-#: Groups that one task solves, where there are more than cores.
-SOLVED = 256
+SCORED, DRAWN = 1 << 16, 16
+#: Groups that one task solves, where there are more than cores; digits to which bounds of groups are cut before they are summed.
+SOLVED, DIGITS = 256, 9
+
+
+@dataclass(frozen=True)
+class Node:
+    """An open box: its bound, level, the box, and where the results of the groups in it lie."""
+
+    lb: float
+    level: int
+    box: Box
+    number: int = 0
+    path: str | None = None
 
 
 class Search:
@@ -72,11 +77,10 @@ class Search:
         counts = {r.y: r.n for r in self.cells.groupBy("y").agg(F.sum("n").alias("n")).collect()}
         self.n, self.k = sum(counts.values()), max(counts)
         self.share = share or max(counts.values()) / self.n
-        found = long_form(self.cells, features).distinct().limit(MOST_VALUES + 1).collect()
-        if len(found) > MOST_VALUES:
-            raise ValueError("too many distinct feature values: bin them first")
-        self.values = {f: sorted(r.v for r in found if r.f == f) for f in range(1, len(features) + 1)}
-        self.eps = np.array([gaps(np.array(self.values[f])[:, None])[0] for f in self.values])
+        self.eps = np.full(len(features), NO_GAP)
+        for r in min_gaps(self.cells, features).collect():
+            self.eps[r.f - 1] = r.gap
+        self.numbers = self.solved = self.jobs = 0
         self.n_groups = n_groups = min(self.n, group_count(self.n, len(features), self.k, depth))
         self.groups = self.kept(deal(points.select("row_id", *features, "y"), "y", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(104729)), "row_id", n_groups=n_groups, carry=True))
         self.tree, self.ub = Tree(depth), float("inf")
@@ -149,39 +153,81 @@ class Search:
         self.groups.count()
         old.unpersist()
 
-    def bound(self, box: Box, lb: float, known: Known | None = None) -> tuple[float, Known]:
-        """The best bound of a box, each level only while the one before leaves a gap; and what each group came to.
+    def bound(self, nodes: list[Node]) -> list[Node]:
+        """Nodes with the best bounds of their boxes, each level of bounds only for those that the one before leaves open.
 
-        ``known`` is what the groups came to in a box around this one. A group whose best tree still lies in the box
-        has the same bound here, and is not solved again.
+        ``path`` and ``number`` of a node name its parent's results of groups; those returned name its own.
         """
-        known = known or {}
-        if _closed(lb, self.ub, self.gap):
-            return lb, known
-        if "MILP" in self.methods and any(len(lab) > 1 for lab in box.labels.values()):
-            counts = [r.asDict() for r in bounds.cover_counts(self.cells, box, self.features, F.col("n")).collect()]
-            lb = max(lb, bounds.label_cover(counts, box, self.share, self.alpha))
-        if "SG" in self.methods and not _closed(lb, self.ub, self.gap):
-            still = {g: k for g, k in known.items() if k[1] is not None and box.holds(k[1])}
-            if len(still) < self.n_groups:
-                for r in bounds.group_bounds(self.groups, box, self.features, self.share, self.alpha, self.n, self.eps, whole=True, known=frozenset(still)).collect():
-                    still[r.group_id] = (r.bound, bounds.tree_of(r, self.depth) if r.bound < float("inf") else None)
-            known = still
-            lb = max(lb, fsum(b for b, _ in known.values()))  # the same in any order of the groups
-            trees = [t for _, t in known.values() if t is not None]
-            self.propose("slt", list({repr(t): t for t in trees}.values()))
-        if "SG" not in self.methods and not _closed(lb, self.ub, self.gap):
-            self.propose("heur", box=box)
-        open_ = box.undetermined()
-        if not (open_["d"] or open_["a"] or open_["c"]):
-            self.offer(self.drawn(box, self.tree))
-        return lb, known
-
-    def run(self, max_nodes: int = 1000, seconds: float = 14_400, start: Tree | None = None, shape: int = 0) -> tuple[Tree, float, float]:
+        out = dict(enumerate(nodes))
+        open_ = lambda: {i: n for i, n in out.items() if not _closed(n.lb, self.ub, self.gap)}
+        if "MILP" in self.methods:
+            boxes = {i: n.box for i, n in open_().items() if any(len(lab) > 1 for lab in n.box.labels.values())}
+            self.jobs += bool(boxes)
+            for i, counts in bounds.cover_counts_of(self.cells, boxes, self.features, F.col("n")).items():
+                out[i] = replace(out[i], lb=max(out[i].lb, bounds.label_cover(counts, out[i].box, self.share, self.alpha)))
+        if "SG" in self.methods and (left := open_()):
+            out |= self._by_groups(left)
+        if "SG" not in self.methods:
+            for n in open_().values():
+                self.propose("heur", box=n.box)
+        for n in nodes:
+            variables = n.box.undetermined()
+            if not (variables["d"] or variables["a"] or variables["c"]):
+                self.offer(self.drawn(n.box, self.tree))
+        return list(out.values())
+
+    def _by_groups(self, nodes: dict[int, Node]) -> dict[int, Node]:
+        """The bounds of the groups in each box, summed up. A group whose best tree in the parent's box still lies in the
+        box keeps it and its bound; the others are solved, all boxes at once, and offer their trees."""
+        spark = self.groups.sparkSession
+        boxes = {self.numbers + 1 + j: n for j, n in enumerate(nodes.values())}
+        self.numbers += len(boxes)
+        rows = spark.createDataFrame(bounds.box_rows({i: (n.number, n.box) for i, n in boxes.items()}), bounds.BOXES)
+        paths = sorted({n.path for n in boxes.values() if n.path})
+        asked = self.groups.select("group_id").distinct().withColumn("boxes", F.lit(list(boxes)).cast("array<int>"))
+        still = None
+        if paths:
+            known = spark.read.schema(bounds.SOLVED).parquet(*paths).withColumnRenamed("box", "parent")
+            still = known.where(F.col("bound") < float("inf")).join(F.broadcast(rows), "parent").where(bounds.holds())  # a row for each box of the round
+            still = still.select(*[c.split()[0] for c in bounds.SOLVED.split(", ")])
+            have = still.groupBy("group_id").agg(F.collect_set("box").alias("_have"))
+            asked = asked.join(have, "group_id", "left").withColumn("boxes", F.array_except("boxes", F.coalesce("_have", F.array().cast("array<int>")))).drop("_have")
+        solved = scratch(spark, "groups")
+        found = bounds.groups_in_boxes(self.groups, asked.where(F.size("boxes") > 0), {i: n.box for i, n in boxes.items()}, self.features, self.share, self.alpha, self.n, self.eps)
+        found.write.parquet(solved)
+        new = spark.read.schema(bounds.SOLVED).parquet(solved)
+        where = solved
+        if still is not None:
+            where = scratch(spark, "results")
+            still.unionByName(new).write.parquet(where)
+        none = F.col("bound") == float("inf")
+        scale = 10**DIGITS
+        cut = F.when(~none, (F.floor(F.col("bound") * scale) / scale).cast(f"decimal(38,{DIGITS})"))  # sums do not depend on an order
+        sums = {r.box: r for r in spark.read.schema(bounds.SOLVED).parquet(where).groupBy("box").agg(F.sum(cut).alias("s"), F.max(none).alias("none")).collect()}
+        self._offer_table(new.where(~none))
+        self.jobs += 4
+        out = {}
+        for key, (i, n) in zip(nodes, boxes.items(), strict=True):
+            value = float("inf") if sums[i].none else float(sums[i].s)
+            out[key] = replace(n, lb=max(n.lb, value), number=i, path=where)
+        return out
+
+    def _offer_table(self, solved: DataFrame) -> None:
+        """Offer the distinct trees of a table, ``SCORED`` on the driver at a time."""
+        trees = solved.select("feature", "threshold", "label").distinct()
+        n = trees.count()
+        self.solved += n
+        pages = -(-n // SCORED)
+        for page in range(pages):
+            some = trees if pages == 1 else trees.where(F.pmod(F.xxhash64("feature", "threshold", "label"), F.lit(pages)) == page)
+            self.offer(sorted([bounds.decoded(r, self.depth) for r in some.collect()], key=repr))
+
+    def run(self, max_nodes: int = 1000, seconds: float = 14_400, start: Tree | None = None, shape: int = 0, batch: int = 1) -> tuple[Tree, float, float]:
         """Search until the gap is closed, nodes or time run out: the tree, its cost, and the bound certified for it.
 
-        Where group bounds are on and the gap is open, small groups drawn anew offer their best trees as well, at the
-        start and after every ``DRAWN`` nodes. The persisted rows and cells go at the end.
+        A round branches ``batch`` boxes, the most promising ones, and bounds all their halves together; the log has a
+        line a round. Where group bounds are on and the gap is open, small groups drawn anew offer their best trees as
+        well, at the start and after every ``DRAWN`` nodes. The persisted rows and cells go at the end.
         """
         began = time.monotonic()
         self.offer([start, Tree(self.depth)])
@@ -189,32 +235,42 @@ class Search:
             self.propose("heur")
         if self.grouping == "leaf" and "SG" in self.methods:
             self.regroup()
-        box = free(self.depth, len(self.features), self.k, shape)
-        lb, known = self.bound(box, bounds.closed_forms(self.cells, [box], self.features, self.share, self.alpha, F.col("n"))[0])
-        heap, given_up, seq = [(lb, 0, 1, box, known)], float("inf"), 0
-        for i in range(max_nodes):
-            if "SG" in self.methods and i % DRAWN == 0 and heap and not _closed(heap[0][0], self.ub, self.gap):
-                self.bootstrap(round_=i // DRAWN)
+        top = Node(0.0, 1, free(self.depth, len(self.features), self.k, shape))
+        heap, given_up, seq, done, drawn = [], float("inf"), 0, 0, 0
+        for n in self._bounded([top]):
+            heapq.heappush(heap, (n.lb, 0, n))
+        while True:
+            if "SG" in self.methods and done >= DRAWN * drawn and heap and not _closed(heap[0][0], self.ub, self.gap):
+                self.bootstrap(round_=drawn)
+                drawn += 1
             while heap and _closed(heap[0][0], self.ub, self.gap):
                 given_up = min(given_up, heapq.heappop(heap)[0])
             least = min([given_up, self.ub, *[h[0] for h in heap[:1]]])
-            self.log.append((i, len(heap), heap[0][2] if heap else None, float(least), float(self.ub), (self.ub - least) / abs(least) if least else None))
-            if not heap or time.monotonic() - began > seconds:
+            self.log.append((done, len(heap), heap[0][2].level if heap else None, float(least), float(self.ub), (self.ub - least) / abs(least) if least else None))
+            if not heap or done >= max_nodes or time.monotonic() - began > seconds:
                 break
-            lb, _, level, box, known = heapq.heappop(heap)
-            variable = next_variable(box, self.seed + i)
-            if variable is None:
-                given_up = min(given_up, lb)
-                continue
-            halves = [b for b in branch(box, *variable) if feasible(b, self.values)]
-            for half, value in zip(halves, bounds.closed_forms(self.cells, halves, self.features, self.share, self.alpha, F.col("n")), strict=True):
+            halves = []
+            for _ in range(min(batch, max_nodes - done, len(heap))):
+                lb, _, node = heapq.heappop(heap)
+                variable = next_variable(node.box, self.seed + done)
+                done += 1
+                if variable is None:
+                    given_up = min(given_up, lb)
+                else:
+                    halves += [replace(node, level=node.level + 1, box=b) for b in branch(node.box, *variable)]
+            for n in self._bounded(halves):
                 seq += 1
-                found, groups = self.bound(half, max(lb, value), known)
-                heapq.heappush(heap, (found, -seq, level + 1, half, groups))
+                heapq.heappush(heap, (n.lb, -seq, n))
         least = min([given_up, self.ub, *[h[0] for h in heap]])
         self.cells.unpersist()
         self.groups.unpersist()
         return self.tree, self.ub, float(least)
 
+    def _bounded(self, nodes: list[Node]) -> list[Node]:
+        """Those of the nodes whose boxes have a tree, with their bounds."""
+        self.jobs += bool(nodes)
+        first = bounds.closed_and_feasible(self.cells, [n.box for n in nodes], self.features, self.share, self.alpha, F.col("n"))
+        return self.bound([replace(n, lb=max(n.lb, value)) for n, value in zip(nodes, first, strict=True) if value < float("inf")])
+
     def bound_log(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.log, LOG)

@@ -439,7 +439,7 @@ def branch_and_bound(spark, sf_dir):
     from timberline.operators.search import Search
 
     search = Search(parts(spark, sf_dir).withColumnRenamed("p_partkey", "row_id"), PART_FEATURES, 2, ALPHA)
-    search.run(max_nodes=8)
+    search.run(max_nodes=16, batch=4)
     return search.bound_log(spark)
 
 
