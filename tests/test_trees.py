@@ -217,9 +217,10 @@ def test_results_of_groups_are_kept_for_the_halves(toy):
 @pytest.mark.parametrize("batch", [3, 8])
 def test_rounds_of_several_boxes(spark, toy, batch):
     search = Search(toy, ["f1", "f2"], 2)
-    found, cost, bound = search.run(max_nodes=18, batch=batch)
+    found, cost, bound = search.run(max_nodes=9, batch=batch)
     assert cost == pytest.approx(7.90) and bound <= cost and errors(found, X, Y) == 3
-    assert [r[0] for r in search.log] == ([0, 1, 3, 6, 9, 12, 15, 18] if batch == 3 else [0, 1, 3, 7, 15, 18])
+    done = [r[0] for r in search.log]
+    assert done[:4] == ([0, 1, 3, 6] if batch == 3 else [0, 1, 3, 7]) and done[-1] == 9 and max(np.diff(done)) <= batch
 
 
 def test_trees_in_boxes_as_columns(spark):
@@ -466,6 +467,3 @@ def test_points_that_are_few_or_alike():
     assert len(set(at[:5])) == 1 and at[5] == at[6] != at[0]
     with pytest.raises(ValueError):
         groups.near_means(np.array([[0.1], [np.nan], [0.2]]), np.ones(3), 2, 1, 1)
-    cuts = groups._halved(np.random.default_rng(1).random((800, 2)), 8)
-    assert np.bincount(groups._part_of(cuts, np.random.default_rng(1).random((800, 2)))).tolist() == [100] * 8
-    assert groups._halved(one, 4) is None

@@ -156,6 +156,8 @@ def label_cover(counts: list, box: Box, share: float, alpha: float) -> float:
     return (total - most) / share + alpha * box.least_splits
 
 
+#: Rows of groups that one task solves, about, where there are many.
+TASK = 16_384
 GROUP = "group_id long, bound double, splits string, labels string"
 
 
@@ -178,7 +180,7 @@ def group_bounds(df: DataFrame, box: Box, features: list[str], share: float, alp
 
     rows = df.select("group_id", *features, "y")
     # The number of parts is stated: the rows are few bytes and much work, which Spark would put into one task.
-    rows = rows if whole else rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "group_id")
+    rows = rows if whole else rows.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, total // TASK), "group_id")
     return rows.mapInPandas(work, GROUP)
 
 

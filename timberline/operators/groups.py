@@ -14,8 +14,8 @@ from timberline.functions.prep import class_position
 from timberline.operators.tree import Tree, leaf
 from timberline.sources.tables import scratch
 
-#: Distinct points of a leaf that one k-means takes, about; points of a block that its bounds are drawn from; steps of a k-means.
-BLOCK, DRAWN, STEPS = 1024, 16, 20
+#: Distinct points of a leaf that one k-means takes, about; parts that a round cuts a block into at most; steps of a k-means.
+BLOCK, WAYS, STEPS = 1024, 4, 20
 
 
 def group_count(n: int, n_features: int, n_classes: int, depth: int) -> int:
@@ -123,64 +123,58 @@ def near_means(x: np.ndarray, w: np.ndarray, k: int, trials: int, seed: int) ->
     return found
 
 
-def _halved(x: np.ndarray, n: int):
-    """Cuts of space by medians of its widest feature into ``n`` (a power of 2) parts, as nested (feature, cut, below, above)."""
-    width = np.ptp(x, axis=0) if len(x) else np.zeros(x.shape[1])
-    if n < 2 or not width.max():
-        return None
-    f = int(width.argmax())
-    cut = float(np.median(x[:, f]))
-    cut = cut if (x[:, f] < cut).any() else float(x[x[:, f] > cut, f].min())
-    left = x[:, f] < cut
-    return f, cut, _halved(x[left], n // 2), _halved(x[~left], n // 2)
-
-
-def _part_of(cuts, x: np.ndarray) -> np.ndarray:
-    """The part that each row lies in, numbered from 0."""
-    out, todo, n = np.zeros(len(x), int), [(cuts, np.arange(len(x)))], 0
-    while todo:
-        cuts, rows = todo.pop()
-        if cuts is None:
-            out[rows] = n
-            n += 1
-        else:
-            f, cut, below, above = cuts
-            left = x[rows, f] < cut
-            todo += [(above, rows[~left]), (below, rows[left])]
-    return out
+def _cut(points: DataFrame, features: list[str], large: list[int], rounds: int) -> DataFrame:
+    """``points`` with ``_block``: those of ``large`` leaves in blocks of neighbours, about ``BLOCK`` points in each.
+
+    In each round every block with more points is cut along its widest feature, at approximate quantiles, into ``WAYS``
+    parts at most. Bounds of blocks are a table that is joined; nothing of them comes to the driver. Those of leaves of
+    more than some 10,000 points can differ with how the points are parted.
+    """
+    placed = points.withColumn("_block", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        sums = [f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max))]
+        shares = [i / WAYS for i in range(1, WAYS)]
+        quantiles = [F.percentile_approx(c, shares).alias(f"q{i}") for i, c in enumerate(features)]
+        boxes = placed.where(F.col("_leaf").isin(large)).groupBy("_leaf", "_block").agg(F.count(F.lit(1)).alias("d"), *sums, *quantiles).where(F.col("d") > BLOCK)
+        wide = F.array(*[F.coalesce(F.col(f"hi{i}") - F.col(f"lo{i}"), F.lit(0.0)) for i in range(len(features))])
+        boxes = boxes.withColumn("w", wide).withColumn("f", F.array_position("w", F.array_max("w")).cast("int")).where(F.array_max("w") > 0)
+        cuts = F.element_at(F.array(*[F.col(f"q{i}") for i in range(len(features))]), F.col("f"))
+        # As many parts as the points want, by every so-manieth quantile.
+        each = F.greatest(F.lit(1), F.floor(F.lit(WAYS) * BLOCK / F.col("d")).cast("int"))
+        some = F.array_distinct(F.filter(cuts, lambda c, i: (i + 1) % each == 0))
+        boxes = boxes.select(F.col("_leaf").alias("_l"), F.col("_block").alias("_b"), "f", some.alias("cuts"))
+        x = F.element_at(F.array(*features), F.col("f"))
+        part = F.size(F.filter("cuts", lambda c: c <= x))
+        joined = placed.join(boxes, (F.col("_leaf") == F.col("_l")) & (F.col("_block") == F.col("_b")), "left")
+        joined = joined.withColumn("_block", F.col("_block") * WAYS + F.coalesce(F.when(F.col("f").isNotNull(), part), F.lit(0)))
+        path = scratch(points.sparkSession, "blocks")
+        joined.select(*placed.columns).write.parquet(path)
+        placed = points.sparkSession.read.schema(placed.schema).parquet(path)
+    return placed
 
 
 def leaf_clusters(routed: DataFrame, features: list[str], n_groups: int, trials: int, seed: int) -> DataFrame:
     """``_leaf``, features, ``_top`` and ``_part`` of the distinct points of each ``_leaf``: its blocks and their clusters, as numbers in order.
 
     Clusters are as many as ``n_groups`` go into a leaf's rows, so they grow with the table. Leaves of more than
-    ``BLOCK`` points are cut into blocks of neighbours, by medians of a sample, and each block has its share of the
+    ``BLOCK`` points are cut into blocks of neighbours, at quantiles, and each block has its share of the
     clusters, found in one task; a cluster does not reach over the bounds of its block. A block whose share is more
     than its points has each of them as a cluster.
     """
     points = routed.groupBy("_leaf", *features).agg(F.count(F.lit(1)).alias("_w"))
     leaves = {r._leaf: (r.n, r.d) for r in points.groupBy("_leaf").agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-    large = {at: 1 << (-(-d // BLOCK) - 1).bit_length() for at, (_, d) in leaves.items() if d > BLOCK}
-    cuts = {}
-    if large:
-        drawn = points.where(F.col("_leaf").isin(list(large)) & (F.pmod(F.xxhash64("_leaf", *features), F.lit(BLOCK // DRAWN)) == 0)).na.drop().toPandas().sort_values(["_leaf", *features])
-        cuts = {at: _halved(drawn.loc[drawn["_leaf"] == at, features].to_numpy(float), n) for at, n in large.items()}
+    large = [at for at, (_, d) in leaves.items() if d > BLOCK]
+    rounds = 0
+    while large and BLOCK * WAYS**rounds < max(leaves[at][1] for at in large):
+        rounds += 1
     schema = T.StructType([*points.schema.fields, T.StructField("_block", T.LongType())])
-
-    def place(batches):
-        for rows in batches:
-            block, x = np.zeros(len(rows), int), rows[features].to_numpy(float)
-            for at in cuts:
-                mine = rows["_leaf"].to_numpy() == at
-                block[mine] = _part_of(cuts[at], x[mine])
-            yield rows.assign(_block=block)
-
+    placed = _cut(points, features, large, rounds)
     # Distances fall with the number of clusters to the power -2/p; the least sum gives a block a power of its spread.
-    placed, power = points.mapInPandas(place, schema), len(features) / (len(features) + 2)
+    power = len(features) / (len(features) + 2)
     wide = reduce(lambda a, b: a + b, [F.sum(F.col("_w") * F.col(c) * F.col(c)) - F.sum(F.col("_w") * F.col(c)) ** 2 / F.sum("_w") for c in features])
     spread = {}
     if large:
-        each = placed.where(F.col("_leaf").isin(list(large))).groupBy("_leaf", "_block").agg(F.greatest(wide, F.lit(0.0)).alias("_s"))
+        each = placed.where(F.col("_leaf").isin(large)).groupBy("_leaf", "_block").agg(F.greatest(wide, F.lit(0.0)).alias("_s"))
         spread = {r._leaf: r.s for r in each.groupBy("_leaf").agg(F.sum(F.pow("_s", F.lit(power))).alias("s")).collect()}
 
     def cluster(rows):
@@ -204,6 +198,7 @@ def leaf_deal(df: DataFrame, tree: Tree, features: list[str], key: str, n_groups
 
     A leaf has a cluster for every ``n_groups`` of its rows, two at least; a leaf with fewer rows than groups is one.
     So each group holds rows from all over each leaf. The clusters of distinct points are written to the shared folder.
+    A null feature is an error, as it has no distance.
     """
     routed = df.withColumn("_leaf", leaf(tree, features))
     path = scratch(df.sparkSession, "clusters")

@@ -15,11 +15,13 @@ from timberline.operators.optimal import Optimal, classified
 from timberline.operators.scan import Layout, anywhere, class_stats, square_stats
 from timberline.operators.tree import Tree
 from timberline.sources import tables
+from timberline.streaming import scoring
 
 FEATURES = ["f1", "f2", "f3"]
 ALPHA = 0.05
 #: Splits at the root and its left child; the right child sends all rows to the right-most leaf; leaf 6 has no label.
 DEMO = Tree(2, {1: (1, 0.5), 2: (2, 0.3)}, {4: 1, 5: 2, 7: 3})
+TWO = Tree(2, {1: (1, 0.5), 2: (2, 0.3)}, {4: 1, 5: 2, 7: 3})
 OTHER = Tree(2, {1: (2, 0.5), 2: (1, 0.25), 3: (3, 0.4)}, {4: 3, 5: 1, 6: 2, 7: 1})
 CANDIDATES = [DEMO, OTHER, Tree(2, {}, {7: 2}), Tree(2, {1: (3, 0.5), 3: (1, 0.75)}, {5: 1, 6: 2, 7: 3})]
 BOX = Box(
@@ -373,8 +375,9 @@ def _group_bound(spark, sf_dir, depth):
     eps = {r.f: r.gap for r in prep.min_gaps(df, PART_FEATURES).collect()}
     import numpy as np
 
-    dealt = groups.deal(df, "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=25)
-    found = bounds.group_bounds(dealt, free(depth, 2, 5), PART_FEATURES, _share(df), ALPHA, df.count(), np.array([eps[1], eps[2]]))
+    n = df.count()
+    dealt = groups.deal(df, "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=groups.group_count(n, 2, 5, depth))
+    found = bounds.group_bounds(dealt, free(depth, 2, 5), PART_FEATURES, _share(df), ALPHA, n, np.array([eps[1], eps[2]]))
     return found.select("group_id", F.round("bound", 6).alias("bound"))
 
 
@@ -415,15 +418,23 @@ def cart_tree(spark, sf_dir):
 
 
 def kmeans_groups(spark, sf_dir):
-    df = customers(spark, sf_dir)
-    return groups.kmeans_deal(df, PART_FEATURES, "c_custkey", N_GROUPS, 4).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    """Rows a group, dealt by k-means cluster; whether each cluster lies evenly over the groups, and nearer to its centre
+    than the rows do to four fixed ones."""
+    found = groups.clustered(customers(spark, sf_dir), PART_FEATURES, 4)
+    dealt = groups.deal(found, "_cluster", F.pmod(F.xxhash64("c_custkey", F.lit(123)), F.lit(104729)), "c_custkey", n_groups=N_GROUPS, carry=True)
+    each = dealt.groupBy("_cluster", "group_id").agg(F.count(F.lit(1)).alias("n")).groupBy("_cluster").agg((F.max("n") - F.when(F.count(F.lit(1)) < N_GROUPS, 0).otherwise(F.min("n"))).alias("d")).agg((F.max("d") <= 1).alias("even"))
+    apart = lambda c: F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c) / F.count(F.lit(1))
+    own = dealt.groupBy("_cluster").agg((apart("f1") + apart("f2")).alias("cost")).agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("k")).first()
+    fixed = F.least(*[(F.col("f1") - a) * (F.col("f1") - a) + (F.col("f2") - b) * (F.col("f2") - b) for a, b in product((0.25, 0.75), repeat=2)])
+    near = own.cost <= dealt.agg(F.sum(fixed).alias("most")).first().most
+    return dealt.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).select("group_id", "n", F.lit(each.first().even).alias("even"), F.lit(near).alias("near"), F.lit(own.k).cast("int").alias("clusters"))
 
 
 def leaf_groups(spark, sf_dir):
-    """Rows a group, dealt by leaf of a tree and k-means within the leaf."""
+    """Rows by group and leaf, dealt by leaf of a tree and k-means within the leaf."""
     df = customers(spark, sf_dir)
-    two = Tree(2, {1: (1, 0.5), 2: (2, 0.3)}, {4: 1, 5: 2, 7: 3})
-    return groups.leaf_deal(df, two, PART_FEATURES, "c_custkey", N_GROUPS, trials=2).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    dealt = groups.leaf_deal(df, TWO, PART_FEATURES, "c_custkey", N_GROUPS, trials=2)
+    return dealt.groupBy("group_id", tree.leaf(TWO, PART_FEATURES).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_delimited(spark, sf_dir):
@@ -439,7 +450,7 @@ def branch_and_bound(spark, sf_dir):
     from timberline.operators.search import Search
 
     search = Search(parts(spark, sf_dir).withColumnRenamed("p_partkey", "row_id"), PART_FEATURES, 2, ALPHA)
-    search.run(max_nodes=16, batch=4)
+    search.run(max_nodes=8, batch=4)
     return search.bound_log(spark)
 
 
@@ -450,7 +461,8 @@ def unreached_leaves(spark, sf_dir):
 
 
 def branched_boxes(spark, sf_dir):
-    """The box of each step of a branching, node by node, and the threshold that would be branched on next."""
+    """The box of each step of a branching, node by node, the threshold that would be branched on next, and how many rows
+    of ``lineitem`` have each allowed feature within a node's thresholds."""
     box, rows = free(3, 3, 3), []
     for i, (kind, at, half) in enumerate(STEPS, 1):
         box = branch(box, kind, at)[half]
@@ -458,13 +470,20 @@ def branched_boxes(spark, sf_dir):
         joined = lambda some: ",".join(map(str, sorted(some)))
         rows += [(i, t, joined(box.features[t]), *box.threshold[t], *box.splits[t], t == wide) for t in box.splits]
         rows += [(i, t, joined(lab), None, None, None, None, False) for t, lab in box.labels.items()]
-    return spark.createDataFrame(rows, "step int, t int, choices string, low double, high double, split_low int, split_high int, widest boolean")
+    boxes = spark.createDataFrame(rows, "step int, t int, choices string, low double, high double, split_low int, split_high int, widest boolean")
+    values = prep.long_form(prep.cells(points(spark, sf_dir), FEATURES), FEATURES, "n").groupBy("f", "v").agg(F.sum("n").alias("n"))
+    asked = boxes.where("low is not null and choices <> ''").select("step", "t", "low", "high", F.explode(F.split("choices", ",").cast("array<int>")).alias("f"))
+    hit = values.join(F.broadcast(asked), "f").where(F.col("v").between(F.col("low"), F.col("high"))).groupBy("step", "t").agg(F.sum("n").alias("hits"))
+    return boxes.join(hit, ["step", "t"], "left").withColumn("hits", F.when(F.col("low").isNotNull(), F.coalesce("hits", F.lit(0))))
 
 
 def equal_trees(spark, sf_dir):
-    """Which of a tree's forms, forced to shapes, are the same tree."""
-    forms = [tree.pruned(OTHER, shape) for shape in range(8)]
-    return spark.createDataFrame([(a, b, tree.same(forms[a], forms[b])) for a, b in product(range(8), repeat=2)], "a int, b int, same boolean")
+    """Which of a tree's forms, forced to shapes, are the same tree, and on how many rows two of them give other labels."""
+    df = points(spark, sf_dir)
+    forms, pairs = [tree.pruned(OTHER, shape) for shape in range(8)], list(product(range(8), repeat=2))
+    labels = df.select(*[tree.label_at(t, tree.leaf(t, FEATURES)).alias(f"l{i}") for i, t in enumerate(forms)])
+    row = labels.agg(*[F.sum((F.col(f"l{a}") != F.col(f"l{b}")).cast("long")).alias(f"d{a}{b}") for a, b in pairs]).first()
+    return spark.createDataFrame([(a, b, tree.same(forms[a], forms[b]), row[f"d{a}{b}"]) for a, b in pairs], "a int, b int, same boolean, differing long")
 
 
 def drop_missing(spark, sf_dir):
@@ -503,22 +522,36 @@ def result_row(spark, sf_dir):
 
 
 def covariance_spectrum(spark, sf_dir):
-    """Eigenvalues of a covariance made from given ones in random directions."""
+    """Eigenvalues of a covariance made in random directions from the variances of the features of ``lineitem``."""
     import numpy as np
 
-    found = np.linalg.eigvalsh(tables.covariance([6.0, 0.5, 2.0], 7))
+    row = points(spark, sf_dir).agg(*[F.var_pop(f).alias(f) for f in FEATURES]).first()
+    found = np.linalg.eigvalsh(tables.covariance([row[f] for f in FEATURES], 7))
     return spark.createDataFrame([(i, round(float(v), 9)) for i, v in enumerate(found, 1)], "i int, eigenvalue double")
 
 
 def synthetic_clusters(spark, sf_dir):
-    return tables.clusters(spark).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"))
+    """Clusters as many as the market segments of ``customer``, with as many rows as those have on average."""
+    n, k = prep.class_frequency(tables.parquet(spark, sf_dir, "customer"), "c_mktsegment").agg(F.sum("n"), F.count(F.lit(1))).first()
+    return tables.clusters(spark, n // k, k).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"))
 
 
 def tree_nodes(spark, sf_dir):
-    return DEMO.to_df(spark)
+    """The nodes of a tree, and how many rows of ``lineitem`` come to each."""
+    counts = tree.leaf_counts(points(spark, sf_dir), DEMO, FEATURES).groupBy("leaf").agg(F.sum("n").alias("n"))
+    up = counts.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEMO.depth)), lambda k: F.call_function("shiftright", F.col("leaf"), k))).alias("t"))
+    return DEMO.to_df(spark).join(up.groupBy("t").agg(F.sum("n").alias("hits")), "t", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
 
+def windowed_accuracy(spark, sf_dir):
+    """Accuracy of a tree by day, as the stream operator computes it, over all events."""
+    rows = tables.parquet(spark, sf_dir, "events").select("ts", F.hour("ts").cast("double").alias("f1"), "value", "event_type")
+    df = prep.scaled(prep.encode(rows, "event_type").withColumnRenamed("value", "f2"), ["f1", "f2"])[0]
+    found = scoring.windowed_accuracy(df, TWO, PART_FEATURES, "ts", "1 day")
+    return found.select(F.col("window.start").cast("date").cast("string").alias("day"), "n", F.round("accuracy", 9).alias("accuracy"))
 
-QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, best_stump_price, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, exact_tree_prices, exact_tree_depth3, regression_tree, leaf_report, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes)}
+
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, best_stump_price, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, exact_tree_prices, exact_tree_depth3, regression_tree, leaf_report, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes, windowed_accuracy)}
 
 _MERGED = tree.merged(CANDIDATES)
 _CLASSES = range(1, 4)
@@ -625,7 +658,14 @@ def _closed(table: str, box: Box) -> str:
 
 
 _DEAL = f"(row_number() OVER (PARTITION BY y ORDER BY (c_custkey * 7919) % {MODULUS}, c_custkey) - 1)"
-_GROUP1 = f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % 25 AS group_id FROM p),
+
+
+def _sql_groups(depth: int) -> str:
+    """How many groups the customers are dealt over, for two features and five classes."""
+    return f"(SELECT CASE WHEN count(*) < 50 THEN 2 ELSE greatest(1, round_even(count(*) / ({(152 + 2) / 2**depth - (2 + 2 + 5)}::DOUBLE), 0)) END::BIGINT FROM p)"
+
+
+_GROUP1 = f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % {_sql_groups(1)} AS group_id FROM p),
 t AS (SELECT count(*) AS total FROM p),
 l AS (SELECT group_id, y, 1 AS f, f1 AS v FROM g UNION ALL SELECT group_id, y, 2, f2 FROM g),
 h AS (SELECT group_id, f, v, y, count(*) AS n FROM l GROUP BY ALL),
@@ -641,7 +681,7 @@ def _sql_group2() -> str:
     run = ", ".join(f"coalesce(sum(n{k}) OVER (PARTITION BY group_id, rf, rv, side, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a{k}, sum(n{k}) OVER (PARTITION BY group_id, rf, rv, side, f ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b{k}" for k in ks)
     side = lambda s: f"({' + '.join(f'{s}{k}' for k in ks)})"
     wrong = " + ".join(f"{side(s)} - greatest({', '.join(f'{s}{k}' for k in ks)})" for s in "ab")
-    return f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % 25 AS group_id FROM p),
+    return f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % {_sql_groups(2)} AS group_id FROM p),
 m AS (SELECT group_id, {ALPHA}::DOUBLE * count(*)::DOUBLE / (SELECT count(*) FROM p) AS pen FROM g GROUP BY group_id),
 l AS (SELECT group_id, y, f1, f2, 1 AS f, f1 AS v FROM g UNION ALL SELECT group_id, y, f1, f2, 2, f2 FROM g),
 q AS (SELECT DISTINCT group_id, f AS rf, v AS rv FROM l),
@@ -679,7 +719,7 @@ _GROUP_COUNTS = f"""WITH t AS ({_SIZES}), q AS (SELECT *, d AS depth, (152 + p):
 s AS (SELECT *, CASE WHEN depth > 2 THEN CASE WHEN n BETWEEN 1000 AND 5000 THEN 100 ELSE 50 END WHEN a > 0 THEN a ELSE greatest(30, k) END AS size FROM q)
 SELECT tab, depth::INTEGER AS depth, CASE WHEN n < 50 THEN 2 ELSE greatest(1, round_even(n / size, 0)) END::INTEGER AS n_groups FROM s"""
 #: What is left of each node's choices after the steps so far, by the bits of node numbers: ``t >> k`` are the nodes above ``t``.
-_BRANCHED = f"""WITH s(i, kind, x, t, half) AS (VALUES {", ".join(f"({i}, '{kind}', {at[0] if isinstance(at, tuple) else 0}, {at[1] if isinstance(at, tuple) else at}, {half})" for i, (kind, at, half) in enumerate(STEPS, 1))}),
+_BRANCHED = f"""WITH {POINTS}, g AS (SELECT f, v, count(*) AS n FROM (SELECT 1 AS f, f1 AS v FROM p UNION ALL SELECT 2, f2 FROM p UNION ALL SELECT 3, f3 FROM p) GROUP BY ALL), s(i, kind, x, t, half) AS (VALUES {", ".join(f"({i}, '{kind}', {at[0] if isinstance(at, tuple) else 0}, {at[1] if isinstance(at, tuple) else at}, {half})" for i, (kind, at, half) in enumerate(STEPS, 1))}),
 b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY i) AS r FROM s WHERE kind = 'b'),
 n AS (SELECT u::INTEGER AS step, g::INTEGER AS t FROM range(1, {len(STEPS) + 1}) a(u), range(1, 16) c(g)),
 up AS (SELECT n.*, k, n.t >> k::INTEGER AS above FROM n, range(4) r(k) WHERE n.t >> k::INTEGER > 0),
@@ -691,11 +731,15 @@ cut AS (SELECT n.step, n.t, coalesce(sum(half * pow(2, -r)), 0) AS low, pow(2, -
 w AS (SELECT n.step, n.t, CASE WHEN off.t IS NULL THEN choices ELSE '' END AS choices, low, CASE WHEN off.t IS NULL THEN low + width ELSE 0 END AS high, (must.t IS NOT NULL)::INTEGER AS split_low, (off.t IS NULL)::INTEGER AS split_high
       FROM n LEFT JOIN have USING (step, t) JOIN cut USING (step, t) LEFT JOIN off USING (step, t) LEFT JOIN must USING (step, t)),
 o AS (SELECT step, t FROM w WHERE t < 8 AND low < high AND split_high = 1 QUALIFY row_number() OVER (PARTITION BY step ORDER BY (high - low) * (5 - length(bin(t))) DESC, t) = 1)
-SELECT w.step, w.t, choices, CASE WHEN w.t < 8 THEN low END AS low, CASE WHEN w.t < 8 THEN high END::DOUBLE AS high, CASE WHEN w.t < 8 THEN split_low END AS split_low, CASE WHEN w.t < 8 THEN split_high END AS split_high, o.t IS NOT NULL AS widest
+SELECT w.step, w.t, choices, CASE WHEN w.t < 8 THEN coalesce((SELECT sum(g.n) FROM g WHERE list_contains(string_split(w.choices, ','), g.f::VARCHAR) AND g.v BETWEEN w.low AND w.high), 0)::BIGINT END AS hits, CASE WHEN w.t < 8 THEN low END AS low, CASE WHEN w.t < 8 THEN high END::DOUBLE AS high, CASE WHEN w.t < 8 THEN split_low END AS split_low, CASE WHEN w.t < 8 THEN split_high END AS split_high, o.t IS NOT NULL AS widest
 FROM w LEFT JOIN o ON o.step = w.step AND o.t = w.t"""
 
-#: Group sizes do not depend on what the rows are dealt by.
-_DEALT = f"SELECT g::BIGINT AS group_id, ((SELECT count(*) FROM customer) - g + {N_GROUPS - 1}) // {N_GROUPS} AS n FROM range({N_GROUPS}) r(g) WHERE g < (SELECT count(*) FROM customer)"
+#: Group sizes do not depend on what the rows are dealt by; the rest holds for true clusters only.
+_DEALT = f"SELECT g::BIGINT AS group_id, ((SELECT count(*) FROM customer) - g + {N_GROUPS - 1}) // {N_GROUPS} AS n, true AS even, true AS near, 4::INTEGER AS clusters FROM range({N_GROUPS}) r(g) WHERE g < (SELECT count(*) FROM customer)"
+#: A leaf's rows are dealt in turn behind those of the leaves before it.
+_LEAF_DEALT = f"""WITH {CUSTOMERS}, q AS (SELECT {sql_leaf(TWO)} AS leaf FROM p), i AS (SELECT leaf, row_number() OVER (ORDER BY leaf) - 1 AS i FROM q)
+SELECT (i % {N_GROUPS})::BIGINT AS group_id, leaf::INTEGER AS leaf, count(*) AS n FROM i GROUP BY ALL"""
+
 
 ORACLES = {
     "class_frequency": "SELECT 'lineitem' AS tab, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY ALL",
@@ -741,17 +785,20 @@ ORACLES = {
     "cart_tree": _sql_cart(),
     "unreached_leaves": f"WITH {_REACH} SELECT array_to_string(list_filter([4, 5, 6, 7], lambda t: NOT list_contains(reach, t)), ',') AS unreached, count(*) AS n FROM z GROUP BY ALL",
     "branched_boxes": _BRANCHED,
-    "equal_trees": "SELECT a::INTEGER AS a, b::INTEGER AS b, (CASE WHEN a = 0 THEN 7 WHEN a < 4 THEN 3 ELSE a END) = (CASE WHEN b = 0 THEN 7 WHEN b < 4 THEN 3 ELSE b END) AS same FROM range(8) x(a), range(8) y(b)",
+    "equal_trees": f"WITH {POINTS}, f AS (SELECT {', '.join(f'{sql_label(tree.pruned(OTHER, i))} AS l{i}' for i in range(8))} FROM p), d AS ("
+    + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, sum((l{a} <> l{b})::INTEGER)::BIGINT AS differing FROM f" for a, b in product(range(8), repeat=2))
+    + ") SELECT a::INTEGER AS a, b::INTEGER AS b, (CASE WHEN a = 0 THEN 7 WHEN a < 4 THEN 3 ELSE a END) = (CASE WHEN b = 0 THEN 7 WHEN b < 4 THEN 3 ELSE b END) AS same, differing FROM d",
     "drop_missing": "SELECT c_acctbal AS f1, c_custkey::DOUBLE AS f2, c_mktsegment AS label FROM customer WHERE c_custkey % 3 > 0",
     "group_counts": _GROUP_COUNTS,
     "group_blocks": f"WITH {CUSTOMERS}, g AS (SELECT ({_DEAL} % 25)::BIGINT AS group_id FROM p) SELECT group_id, count(*) AS n, 1::BIGINT AS parts, true AS in_order FROM g GROUP BY group_id",
     "result_row": f"WITH {_REACH_L}, o AS ({sql_scores([INSIDE])}), b AS ({_closed('z', BOX)}) SELECT 'lineitem' AS name, cost AS objv, bound AS lb, round((cost - bound) / bound, 6) AS gap, accuracy FROM o, b",
-    "covariance_spectrum": "SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 2.0::DOUBLE), (3, 6.0::DOUBLE)) v(i, eigenvalue)",
+    "covariance_spectrum": f"WITH {POINTS}, v AS (SELECT unnest([var_pop(f1), var_pop(f2), var_pop(f3)]) AS x FROM p) SELECT row_number() OVER (ORDER BY x)::INTEGER AS i, round(x, 9) AS eigenvalue FROM v",
     "embedding_features": f"WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label + 1)::INTEGER AS y FROM embeddings), r AS (SELECT min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2 FROM e), p AS (SELECT vec_id, y, (x1 - a1) / (b1 - a1) AS f1, (x2 - a2) / (b2 - a2) AS f2, 0.0::DOUBLE AS f3 FROM e, r) SELECT vec_id, y, {sql_leaf(DEMO)} AS leaf, {sql_label(DEMO)} AS pred FROM p",
     "order_ranks": "SELECT event_type, first_id, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"begin\" FROM (SELECT event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY event_type)",
     "class_lookup": "SELECT s_suppkey, s_acctbal, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "kmeans_groups": _DEALT,
-    "leaf_groups": _DEALT,
+    "leaf_groups": _LEAF_DEALT,
+    "windowed_accuracy": f"WITH e AS (SELECT ts, hour(ts)::DOUBLE AS x1, value AS x2, event_type FROM events), r AS (SELECT min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2 FROM e), k AS (SELECT event_type, row_number() OVER (ORDER BY event_type)::INTEGER AS y FROM (SELECT DISTINCT event_type FROM e)), p AS (SELECT ts, (x1 - a1) / (b1 - a1) AS f1, (x2 - a2) / (b2 - a2) AS f2, y FROM e JOIN k USING (event_type), r) SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg((({sql_label(TWO)}) = y)::INTEGER), 9) AS accuracy FROM p GROUP BY 1",
     "read_delimited": f"WITH {CUSTOMERS}, c AS (SELECT min(c_custkey)::DOUBLE a3, max(c_custkey)::DOUBLE b3, count(DISTINCT c_mktsegment) AS k FROM customer) SELECT f1, f2, (c_custkey::DOUBLE - a3) / (b3 - a3) AS f3, y, k::INTEGER AS k FROM p, c",
-    "tree_nodes": "SELECT * FROM (VALUES " + ", ".join(f"({t}, 'branch', {DEMO.split[t][0] if t in DEMO.split else 'NULL'}, {DEMO.split[t][1] if t in DEMO.split else 'NULL'}::DOUBLE, {'true' if t in DEMO.split else 'false'}, NULL)" for t in DEMO.branches) + ", " + ", ".join(f"({t}, 'leaf', NULL, NULL, NULL, {DEMO.label.get(t, 0)})" for t in DEMO.leaves) + ") v(t, kind, feature, threshold, has_split, label)",
+    "tree_nodes": f"WITH {POINTS}, q AS (SELECT {sql_leaf(DEMO)} AS leaf FROM p), h AS (SELECT leaf >> k::INTEGER AS t, count(*) AS hits FROM q, range({DEMO.depth + 1}) r(k) GROUP BY ALL) SELECT v.*, coalesce(hits, 0) AS hits FROM (VALUES " + ", ".join(f"({t}, 'branch', {DEMO.split[t][0] if t in DEMO.split else 'NULL'}, {DEMO.split[t][1] if t in DEMO.split else 'NULL'}::DOUBLE, {'true' if t in DEMO.split else 'false'}, NULL)" for t in DEMO.branches) + ", " + ", ".join(f"({t}, 'leaf', NULL, NULL, NULL, {DEMO.label.get(t, 0)})" for t in DEMO.leaves) + ") v(t, kind, feature, threshold, has_split, label) LEFT JOIN h USING (t)",
 }
