@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from timberline.llm import langid
@@ -63,7 +64,7 @@ def test_rejection_is_calibrated(spark):
     held = [r.text for r in docs.where(langid.held_out()).where("text is not null").collect()]
     assert 0 < model.least < 1 and model.measured[0] <= 0.02 and model.measured[1] <= 0.05
     assert model.predict(held)[2].mean() >= 0.99
-    strange = [t for t in langid.strangers(held, seed=99) if len(t) > 40]
+    strange = [t for t in (langid.stranger(t, 99 + i) for i, t in enumerate(held)) if len(t) > 40]
     assert model.predict(strange)[2].mean() <= 0.05
 
 
@@ -80,3 +81,52 @@ def test_rows_are_accepted_by_their_texts(spark, awkward):
     want = [r.text for r in awkward.collect() if r.text and model.predict([r.text])[2][0]]
     assert kept.columns == awkward.columns
     assert {r.text for r in kept.collect()} == set(want)
+
+
+def test_the_whole_of_a_long_text_is_learnt(spark):
+    """What tells two languages apart stands behind 30,000 characters that they share."""
+    same = "ab cd ef gh " * 2500
+    rows = [(i, same + ("qqx qxq " if i % 2 else "zzv vzv ") * 5000, "q" if i % 2 else "z") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.predict([r[1] for r in rows])[0] == [r[2] for r in rows]
+
+
+def test_logits_are_averages_over_subwords(spark):
+    """The model against a plain loop over each text's subwords, one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(15).collect() if r.text] + ["a", "Ünïcode ſtraße!", "x1y2"]
+
+    def pieces(text):
+        out = []
+        chars = [" "] + [c if c.isalpha() else " " for c in text.lower()] + [" "]
+        for n in langid.SIZES:
+            for i in range(len(chars) - n + 1):
+                part = chars[i : i + n]
+                inner = part[1:-1]
+                if all(c != " " for c in inner) and (n > 2 or part != [" ", " "]):
+                    out.append("".join(part))
+        return out
+
+    logits, seen, _ = model.averages(texts)
+    for text, row, share in zip(texts, logits, seen, strict=True):
+        kinds, of = langid.counted(text)
+        assert abs(float(of.sum()) - 1) < 1e-4
+        buckets = langid.subwords([text])[0]
+        plain = np.array([model.logits[b] for b in buckets], float).mean(0) + model.bias
+        assert np.allclose(row, plain, atol=1e-4) and np.allclose(model.averages_of([(kinds, of)])[0][0], plain, atol=1e-4)
+        assert abs(share - np.mean([float(model.seen[b]) for b in buckets])) < 1e-5
+        assert len(buckets) == len(pieces(text))
+        e = np.exp((plain - plain.max()) / model.heat)
+        name, score, _ = model.predict([text])
+        assert name == [model.languages[int(plain.argmax())]]
+        assert abs(score[0] - min(1, e.max() / e.sum() * min(1, share / model.usual))) < 1e-4
+
+
+def test_strangers_are_as_long_as_their_texts():
+    for seed in range(12):
+        text = "Der Fluß fließt, und the river flows. " * 50
+        odd = langid.stranger(text, seed)
+        assert len(odd) == len(text.lower()) and odd != text.lower()
+    assert langid.stranger("", 1) == "" and len(langid.stranger("1 2", 5)) == 3

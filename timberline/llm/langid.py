@@ -2,8 +2,10 @@
 
 Subwords are runs of two to four characters within a word and its borders, hashed to ``BUCKETS`` rows of an
 embedding. A text's embedding is the average over all its subwords. Embeddings and softmax are trained by
-stochastic gradient descent in one task, on a sample whose size is bounded by parameters, and the model, a few
-megabytes whatever the input, is broadcast. Prediction reads every whole text where it lies.
+stochastic gradient descent in one task, on a sample whose number of rows is bounded by parameters. Its texts are
+counted whole where they lie, and the task gets their counts of subwords, no more than ``BUCKETS`` a text. The model,
+a few megabytes whatever the input, is broadcast. Prediction reads every whole text where it lies. What is done is the
+same for tables and texts of any size.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ SIZES = (2, 3, 4)
 #: Bound of the training sample: documents for each language, and in all.
 PER_LANGUAGE, MOST = 600, 6_000
 EPOCHS, BATCH, RATE = 6, 16, 4.0
-#: Code points of a text that training reads at most: its sample is bounded in bytes as well.
-TRAINED = 20_000
-#: Share of texts told right that calibration may reject, share of strangers that it should, and code points of those.
-REJECTED, REFUSED, STRANGE = 0.001, 0.99, 1_000
+#: Of so many documents of a language in the sample, the last is kept for calibration.
+KEPT = 5
+#: Share of texts told right that calibration may reject, and share of strangers that it should.
+REJECTED, REFUSED = 0.001, 0.99
 #: Where between the two the level lies if there is room, from the strangers' side.
 MARGIN = 0.25
 #: Code points handled at once; a text longer than ``BLOCK`` is cut at a blank.
@@ -50,13 +52,13 @@ def is_letter() -> np.ndarray:
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all subwords of the texts, the text of each, and whether each text has a letter."""
-    joined = "\n".join([*texts, ""]).lower() if texts else ""
-    if len(joined) != sum(map(len, texts)) + len(texts):  # lower case can be longer
+    joined = "\n".join(["", *texts, ""]).lower()
+    if len(joined) != sum(map(len, texts)) + len(texts) + 1:  # lower case can be longer
         texts = [t.lower() for t in texts]
-        joined = "\n".join([*texts, ""])
+        joined = "\n".join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     letter = is_letter()[points]
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    owner = np.repeat(np.arange(-1, len(texts)), [1, *[len(t) + 1 for t in texts]])
     points = np.where(letter, points, 0).astype(np.uint32)
     buckets, owners = [], []
     for n in SIZES:
@@ -72,8 +74,8 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             mixed = (mixed + points[at + i]) * _odd[i]
             mixed ^= mixed >> np.uint32(15)
         buckets.append((mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS.bit_length() + 1))
-        owners.append(owner[at + (n > 2)])
-    has = np.bincount(owner, letter, len(texts)) > 0 if len(texts) else np.zeros(0, bool)
+        owners.append(owner[at + (letter[at + 1] if n == 2 else 1)])  # the text of its letters, not of the border before them
+    has = np.bincount(owner[1:], letter[1:], len(texts)) > 0 if len(texts) else np.zeros(0, bool)
     if not buckets:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64), has
     return np.concatenate(buckets), np.concatenate(owners), has
@@ -90,21 +92,34 @@ def _blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def strangers(texts: list[str], seed: int = 3) -> list[str]:
-    """Texts of no language that was learnt, one for each of ``texts``: its letters exchanged for others throughout, as
-    in a cipher; all its characters in random order; or as many random letters and blanks."""
+def stranger(text: str, seed: int) -> str:
+    """A text as long as ``text`` in no language that was learnt: its letters exchanged for others throughout, as in a
+    cipher; all its characters in random order; or as many random letters of it and blanks."""
     random = np.random.default_rng(seed)
-    letters = sorted({c for t in texts for c in t[:STRANGE].lower() if c.isalpha()})
-    out = []
-    for k, text in enumerate(texts):
-        text = text[:STRANGE].lower()
-        if k % 3 == 0:
-            out.append(text.translate(str.maketrans(dict(zip(letters, random.permutation(letters).tolist() if letters else [], strict=True)))))
-        elif k % 3 == 1:
-            out.append("".join(random.permutation(list(text)).tolist()) if text else "")
-        else:
-            out.append("".join(random.choice([*letters, " ", " "], len(text)).tolist()))
-    return [t for t in out if any(c.isalpha() for c in t)]
+    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).copy()
+    letters = np.unique(points[is_letter()[points]])
+    kind = random.integers(3)
+    if kind == 0 and len(letters):
+        at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+        points = np.where(letters[at] == points, random.permutation(letters)[at], points)
+    elif kind == 1:
+        points = random.permutation(points)
+    elif kind == 2:
+        points = random.choice(np.concatenate([letters, np.array([32, 32], np.uint32)]), len(points))
+    return points.astype(np.uint32).tobytes().decode("utf-32-le", "replace")
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's subwords, each once, and the share of the subwords that each has."""
+    total = np.zeros(BUCKETS)
+    for block in _blocks(text):
+        total += np.bincount(subwords([block])[0], minlength=BUCKETS)
+    kinds = np.flatnonzero(total)
+    return kinds.astype(np.int32), (total[kinds] / max(total.sum(), 1)).astype(np.float32)
+
+
+#: A document of the sample: its buckets and their shares.
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 class Model:
@@ -147,32 +162,39 @@ class Model:
         n = np.maximum(total[:, -1], 1)
         return total[:, :k] / n[:, None] + self.bias, total[:, k] / n, has
 
+    def averages_of(self, documents: list[Counts]) -> tuple[np.ndarray, np.ndarray]:
+        """The same logits and shares from counts."""
+        logits = np.array([share @ self.logits[kinds] for kinds, share in documents], float).reshape(len(documents), len(self.languages))
+        return logits + self.bias, np.array([float(share @ self.seen[kinds]) for kinds, share in documents])
+
     def _softmax(self, logits: np.ndarray) -> np.ndarray:
         e = np.exp((logits - logits.max(1, keepdims=True)) / self.heat)
         return e / e.sum(1, keepdims=True)
 
-    def calibrate(self, texts: list[str], labels: np.ndarray) -> None:
+    def calibrate(self, documents: list[Counts], labels: np.ndarray, strange: list[Counts]) -> None:
         """Fit the softmax's temperature, what share of seen subwords is usual, and how much of it a text needs.
 
         A text is rejected for what no language explains, not for being in two: so the level is one of the share of its
         subwords that training saw, against the usual share, and not of the score, which is low for a mixed text too.
-        The level rejects ``REFUSED`` of strangers (see ``strangers``), but never more than ``REJECTED`` of the texts whose
+        The level rejects ``REFUSED`` of strangers (see ``stranger``), but never more than ``REJECTED`` of the texts whose
         language is told right; where both leave room, it lies nearer to the strangers, by ``MARGIN``. Every other text
         sets the level; on the rest ``measured`` has the shares of right texts rejected and of strangers accepted.
+        Without documents all stays as it is, and nothing is rejected.
         """
-        logits, seen, _ = self.averages(texts)
+        if not documents:
+            return
+        logits, seen = self.averages_of(documents)
         losses = []
         for self.heat in np.geomspace(0.05, 10, 40):
             losses.append((-np.log(self._softmax(logits)[np.arange(len(labels)), labels] + 1e-12).mean(), self.heat))
         self.heat = min(losses)[1]
         self.usual = max(float(np.quantile(seen, 0.02)), 1e-6)
         right = self._known(seen)[logits.argmax(1) == labels]
-        strange = self._known(self.averages(strangers(texts))[1])
-        if len(right) and len(strange):
-            high, low = (x[::2] if len(x) > 20 else x for x in (right, strange))
-            most, enough = float(np.quantile(high, REJECTED)), float(np.quantile(low, REFUSED))
+        strange_ = self._known(self.averages_of(strange)[1])
+        if len(right) and len(strange_):
+            most, enough = float(np.quantile(right[::2], REJECTED)), float(np.quantile(strange_[::2], REFUSED))
             self.least = min(most, enough + MARGIN * max(0.0, most - enough))
-            self.measured = float((right[1::2] < self.least).mean()) if len(right) > 1 else 0.0, float((strange[1::2] >= self.least).mean()) if len(strange) > 1 else 0.0
+            self.measured = float(np.mean([*(right[1::2] < self.least), 0])), float(np.mean([*(strange_[1::2] >= self.least), 0]))
 
     def _known(self, seen: np.ndarray) -> np.ndarray:
         return np.minimum(1.0, seen / self.usual)
@@ -194,20 +216,19 @@ class Model:
         return names, score, has & (self._known(seen) >= self.least)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
-    """Train on labelled texts in their given order, every fifth kept for calibration; any number of languages."""
+def train(documents: list[Counts], langs: list[str], turns: list[int], strange: list[Counts], seed: int = 1) -> Model:
+    """Train on counted, labelled documents in their given order; any number of languages.
+
+    ``turns`` number the documents of a language from 1; of every ``KEPT`` the last is kept for calibration, as are
+    its counts as a stranger.
+    """
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(BUCKETS))
     labels = np.searchsorted(languages, langs)
     random = np.random.default_rng(seed)
-    documents = []
-    for text in texts:
-        buckets = np.concatenate([subwords([b])[0] for b in _blocks(text)])
-        kinds, counts = np.unique(buckets, return_counts=True)
-        documents.append((kinds, (counts / max(counts.sum(), 1)).astype(np.float32)))
-    fit = [i for i in range(len(texts)) if i % 5 or len(texts) < 10]
-    held = [i for i in range(len(texts)) if i % 5 == 0] or fit
+    fit = [i for i, turn in enumerate(turns) if turn % KEPT]
+    held = [i for i, turn in enumerate(turns) if turn % KEPT == 0]
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = np.zeros((DIMENSIONS, len(languages)), np.float32)
     weights += random.normal(0, 0.1, weights.shape)
@@ -236,8 +257,9 @@ def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
     seen = np.zeros(BUCKETS)
     for i in fit:
         seen[documents[i][0]] += 1
-    model = Model(languages, (embedding @ weights).astype(np.float32), bias, (seen >= 2).astype(np.float32) if len(fit) >= 20 else (seen > 0).astype(np.float32))
-    model.calibrate([texts[i] for i in held], labels[held])
+    # A subword is the better known the more documents have it.
+    model = Model(languages, (embedding @ weights).astype(np.float32), bias, (seen / (seen + 1)).astype(np.float32))
+    model.calibrate([documents[i] for i in held], labels[held], [strange[i] for i in held if len(strange[i][0])])
     return model
 
 
@@ -250,29 +272,46 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) ->
     """A model of the labelled, not held out rows of ``docs`` (``doc_id, text, lang``), from a sample in the order of a hash.
 
     The sample has about ``per_language`` rows of each language and never more than ``most``, of which every language
-    has its share: they are taken in turns. Of a text the first ``TRAINED`` code points are learnt. Training runs in one
-    task on an executor. Without labelled rows the model knows no language and calls every text ``und``.
+    has its share: they are taken in turns. Their texts are learnt whole. Training runs in one task on an executor.
+    Without labelled rows the model knows no language and calls every text ``und``; a language with fewer than
+    ``KEPT`` rows in the sample has none for calibration.
     """
-    known = docs.where("text is not null and lang is not null").where(~held_out()).select(F.substring("text", 1, TRAINED).alias("text"), F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_hash"))
+    known = docs.where("text is not null and lang is not null").where(~held_out()).select("text", F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_hash"))
     counts = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     part = F.pmod(F.col("_hash"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = known.join(small(counts, counts.count()), "_lang").where(part < per_language / F.col("_n"))
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_hash"), "text"))  # over the sample
-    drawn = drawn.withColumn("_turn", turn).orderBy("_turn", F.xxhash64("_hash"), "_lang").limit(most).select("text", "_lang", "_hash")
+    drawn = known.join(small(counts, counts.count()), "_lang").where(part < per_language / F.col("_n")).select("text", "_lang", "_hash")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, lang, hash_ = (c[i].as_py() for c in batch.columns)
+                kinds, share = counted(text)
+                odd, odd_share = counted(stranger(text, hash_ & (2**63 - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([hash_]), *[pa.array([c.tobytes()]) for c in (kinds, share, odd, odd_share)]], names=["_lang", "_hash", *COUNTS])
+
+    sample = written(drawn.mapInArrow(frugal(count), "_lang string, _hash long, " + ", ".join(f"{c} binary" for c in COUNTS)), "langid-sample")
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_hash"), *COUNTS))  # over the sample
+    sample = sample.withColumn("_turn", turn).orderBy("_turn", F.xxhash64("_hash"), "_lang").limit(most)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"text": [], "_lang": [], "_hash": []}), *batches]).sort_values(["_hash", "_lang"])
-        yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["_lang"].tolist()))]})
+        rows = pd.concat([pd.DataFrame({c: [] for c in ("_lang", "_hash", "_turn", *COUNTS)}), *batches]).sort_values(["_hash", "_lang", "_turn"])
+        found = [[(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(rows[k], rows[v], strict=True)] for k, v in (COUNTS[:2], COUNTS[2:])]
+        yield pd.DataFrame({"model": [pickle.dumps(train(found[0], rows["_lang"].tolist(), rows["_turn"].astype(int).tolist(), found[1]))]})
+
+    found = sample.coalesce(1).mapInPandas(frugal(work), "model binary").first()
+    return pickle.loads(found[0]) if found else train([], [], [], [])  # a table without files has no task
+
 
-    found = drawn.coalesce(1).mapInPandas(frugal(work), "model binary").first()
-    return pickle.loads(found[0]) if found else train([], [])  # a table without files has no task
+#: Columns of a sampled document: buckets and shares of its own, and of it as a stranger.
+COUNTS = ("kinds", "share", "odd", "odd_share")
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, held_out, lang_pred, score, accepted``.
 
-    Null and texts without a letter are ``und`` with score 0 and are not accepted. Repeated rows are each
-    predicted; an empty table gives no rows; other columns are not read.
+    Null and texts without a letter are ``und`` with score 0 and are not accepted. Texts of any length are averaged
+    whole, in blocks of ``BLOCK`` code points. Of languages with equal logits the first by name is predicted. Repeated
+    rows are each predicted; an empty table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
