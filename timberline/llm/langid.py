@@ -115,7 +115,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     for block in _blocks(text):
         total += np.bincount(subwords([block])[0], minlength=BUCKETS)
     kinds = np.flatnonzero(total)
-    return kinds.astype(np.int32), (total[kinds] / max(total.sum(), 1)).astype(np.float32)
+    return kinds.astype(np.uint16), (total[kinds] / max(total.sum(), 1)).astype(np.float32)
 
 
 #: A document of the sample: its buckets and their shares.
@@ -289,13 +289,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) ->
                 odd, odd_share = counted(stranger(text, hash_ & (2**63 - 1)))
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([hash_]), *[pa.array([c.tobytes()]) for c in (kinds, share, odd, odd_share)]], names=["_lang", "_hash", *COUNTS])
 
-    sample = written(drawn.mapInArrow(frugal(count), "_lang string, _hash long, " + ", ".join(f"{c} binary" for c in COUNTS)), "langid-sample")
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_hash"), *COUNTS))  # over the sample
-    sample = sample.withColumn("_turn", turn).orderBy("_turn", F.xxhash64("_hash"), "_lang").limit(most)
+    sample = written(drawn.mapInArrow(frugal(count), "_lang string, _hash long, " + ", ".join(f"{c} binary" for c in COUNTS)).withColumn("_row", F.monotonically_increasing_id()), "langid-sample")
+    order = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_hash"), "_row"))  # over the sample's numbers
+    turns = sample.select("_lang", "_hash", "_row").withColumn("_turn", order).orderBy("_turn", F.xxhash64("_hash"), "_lang").limit(most).select("_row", "_turn")
+    kept = F.col("_turn") % KEPT == 0
+    sample = sample.join(F.broadcast(turns), "_row").withColumns({c: F.when(kept, F.col(c)).otherwise(F.lit(b"")) for c in COUNTS[2:]}).drop("_row")  # ``most`` numbers at most
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({c: [] for c in ("_lang", "_hash", "_turn", *COUNTS)}), *batches]).sort_values(["_hash", "_lang", "_turn"])
-        found = [[(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(rows[k], rows[v], strict=True)] for k, v in (COUNTS[:2], COUNTS[2:])]
+        found = [[(np.frombuffer(a, np.uint16), np.frombuffer(b, np.float32)) for a, b in zip(rows[k], rows[v], strict=True)] for k, v in (COUNTS[:2], COUNTS[2:])]
         yield pd.DataFrame({"model": [pickle.dumps(train(found[0], rows["_lang"].tolist(), rows["_turn"].astype(int).tolist(), found[1]))]})
 
     found = sample.coalesce(1).mapInPandas(frugal(work), "model binary").first()
