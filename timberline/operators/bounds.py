@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.box import Box
-from timberline.operators.exact import solve_groups
+from timberline.operators.exact import Pull, solve_groups
 from timberline.operators.tree import Tree, rightmost
 
 
@@ -156,6 +156,15 @@ def label_cover(counts: list, box: Box, share: float, alpha: float) -> float:
     return (total - most) / share + alpha * box.least_splits
 
 
+#: Digits to which bounds of groups are cut before they are summed.
+DIGITS = 9
+
+
+def cut(bound: Column) -> Column:
+    """Bounds cut down to decimals, whose sums do not depend on an order."""
+    return (F.floor(bound * 10**DIGITS) / 10**DIGITS).cast(f"decimal(38,{DIGITS})")
+
+
 #: Rows of groups that one task solves, about, where there are many.
 TASK = 16_384
 GROUP = "group_id long, bound double, splits string, labels string"
@@ -235,10 +244,11 @@ def holds(tolerance: float = 1e-9) -> Column:
     return every(F.transform("feature", node)) & every(F.transform("label", leaf))
 
 
-def groups_in_boxes(groups: DataFrame, asked: DataFrame, boxes: dict[int, Box], features: list[str], share: float, alpha: float, total: int, eps: np.ndarray) -> DataFrame:
+def groups_in_boxes(groups: DataFrame, asked: DataFrame, boxes: dict[int, Box], features: list[str], share: float, alpha: float, total: int, eps: np.ndarray, classes: int = 0) -> DataFrame:
     """``SOLVED``: the bound and best tree of each group within the boxes that ``asked`` (``group_id, boxes``) names for it.
 
     ``groups`` lie whole in parts. A box that has no tree for a group gives an infinite bound and a tree without splits.
+    Where ``asked`` has ``pull``, a group pays for its choices among ``classes`` by these numbers (``pull.tuned``).
     """
 
     def work(batches):
@@ -247,14 +257,17 @@ def groups_in_boxes(groups: DataFrame, asked: DataFrame, boxes: dict[int, Box],
             return
         names, at = np.unique(rows["group_id"].to_numpy(), return_inverse=True)
         x, y = rows[features].to_numpy(float), rows["y"].to_numpy(int)
-        wanted = rows.drop_duplicates("group_id").sort_values("group_id")["boxes"].tolist()
+        first = rows.drop_duplicates("group_id").sort_values("group_id")
+        wanted = first["boxes"].tolist()
+        pull = np.stack(first["pull"].to_numpy()) if "pull" in rows else None
         for i, box in boxes.items():
             mine = np.array([i in w for w in wanted])
             some = mine[at]
             if not some.any():
                 continue
             place = np.cumsum(mine) - 1
-            values, trees = solve_groups(x[some], y[some], place[at[some]], box, share, alpha / total, eps)
+            paid = None if pull is None else Pull.of(pull[mine], box.depth, len(features), classes)
+            values, trees = solve_groups(x[some], y[some], place[at[some]], box, share, alpha / total, eps, paid)
             feature, threshold, label = zip(*map(encoded, trees), strict=True)
             yield pd.DataFrame({"box": i, "group_id": names[mine], "bound": values, "feature": feature, "threshold": threshold, "label": label})
 

@@ -6,6 +6,7 @@ over (node, rows). Rows are distinct cells with a weight; the number of cells, n
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,42 @@ from timberline.operators.tree import Tree, rightmost
 
 #: Numbers that one batch of cuts may take at once, and a batch of small groups, which fits into a processor's cache.
 BATCH, SMALL = 4_000_000, 250_000
+#: Equal pieces of [0, 1] that multipliers tell thresholds apart by: a power of two, so that their borders are exact.
+PIECES = 8
+
+
+def piece(b: np.ndarray) -> np.ndarray:
+    """The piece of each threshold."""
+    return np.minimum((np.clip(b, 0.0, 1.0) * PIECES).astype(int), PIECES - 1)
+
+
+@dataclass(frozen=True)
+class Pull:
+    """What each group pays (or gains, below 0) for choices of its tree, in costs: ``split`` by group, node, feature
+    and piece of the threshold, ``label`` by group, leaf and class; all numbered from 0."""
+
+    split: np.ndarray
+    label: np.ndarray
+
+    @staticmethod
+    def size(depth: int, n_features: int, n_classes: int) -> int:
+        return (2**depth - 1) * n_features * PIECES + 2**depth * n_classes
+
+    @staticmethod
+    def of(flat: np.ndarray, depth: int, n_features: int, n_classes: int) -> Pull:
+        """From one line of numbers for each group: splits, then labels."""
+        at = (2**depth - 1) * n_features * PIECES
+        return Pull(flat[:, :at].reshape(-1, 2**depth - 1, n_features, PIECES), flat[:, at:].reshape(-1, 2**depth, n_classes))
+
+    @staticmethod
+    def chosen(tree: Tree, n_features: int, n_classes: int) -> list[int]:
+        """Places in such a line of what a tree chooses."""
+        at = (2**tree.depth - 1) * n_features * PIECES
+        splits = [((t - 1) * n_features + f - 1) * PIECES + int(piece(b)) for t, (f, b) in tree.split.items()]
+        return splits + [at + (leaf - 2**tree.depth) * n_classes + k - 1 for leaf, k in tree.label.items() if k]
+
+    def __getitem__(self, groups: np.ndarray) -> Pull:
+        return Pull(self.split[groups], self.label[groups])
 
 
 class Solver:
@@ -130,11 +167,13 @@ class Groups:
 
     Right rows are additive, and a leaf takes the class with most of them. So where a node and its child split on one
     feature, the child's best cut for all cuts of the node is a running maximum; where they split on two, counts for
-    all pairs of cuts are summed up, in parts of ``BATCH`` numbers.
+    all pairs of cuts are summed up, in parts of ``BATCH`` numbers. With ``pull`` a tree also pays for what it chooses;
+    a cut pays for the cheapest piece that its thresholds reach.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, n: int, box: Box, share: float, alpha: np.ndarray, eps: np.ndarray, k: int, least: float = 0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, n: int, box: Box, share: float, alpha: np.ndarray, eps: np.ndarray, k: int, least: float = 0, pull: Pull | None = None) -> None:
         self.x, self.y, self.w, self.at, self.n, self.box, self.share, self.alpha, self.eps, self.k, self.least = x, y, w, at, n, box, share, alpha, eps, k, least
+        self.pull, self.cheapest = pull, {}
         self.rank, self.values, self.counts = {}, {}, {}
         for f in range(1, x.shape[1] + 1):
             order = np.lexsort((x[:, f - 1], at))
@@ -150,17 +189,39 @@ class Groups:
             found = np.bincount(((y - 1) * n + at) * size + self.rank[f] + 1, w, k * n * size).reshape(k, n, size)
             self.counts[f] = np.cumsum(found, 2)
 
+    def _charge(self, leaf: int, k: int, axes: int, who: np.ndarray | None = None) -> np.ndarray | float:
+        """What groups (``who``, or all) pay for a leaf's label, in rows, with so many axes."""
+        if self.pull is None:
+            return 0.0
+        paid = self.pull.label[:, leaf - 2**self.box.depth, k - 1] * self.share
+        return (paid if who is None else paid[who]).reshape(-1, *[1] * (axes - 1))
+
+    def _fee(self, t: int, f: int, lowest: np.ndarray, highest: np.ndarray) -> np.ndarray | float:
+        """What groups (the first axis) pay at least for a split with a threshold in this range, in costs."""
+        if self.pull is None:
+            return 0.0
+        if (t, f) not in self.cheapest:
+            paid = self.pull.split[:, t - 1, f - 1]
+            table = np.empty((self.n, PIECES, PIECES))
+            for i in range(PIECES):
+                table[:, i, i:] = np.minimum.accumulate(paid[:, i:], 1)
+            self.cheapest[t, f] = table
+        low = piece(lowest)
+        group = np.arange(self.n).reshape(-1, *[1] * (low.ndim - 1))
+        return self.cheapest[t, f][group, low, np.maximum(low, piece(highest))]
+
     def _right(self, leaf: int, counts: np.ndarray) -> np.ndarray:
-        """Right rows of a leaf that takes the best of its labels."""
+        """Right rows of a leaf that takes the best of its labels, less what it pays for the label."""
         allowed = sorted(self.box.labels[leaf])
         if not allowed:
             return np.zeros(counts.shape[1:])
-        return reduce(np.maximum, [counts[k - 1] for k in allowed])
+        return reduce(np.maximum, [counts[k - 1] - self._charge(leaf, k, counts.ndim - 1) for k in allowed])
 
-    def _label(self, leaf: int, counts: np.ndarray) -> np.ndarray:
+    def _label(self, leaf: int, counts: np.ndarray, who: np.ndarray | None = None) -> np.ndarray:
         """The smallest of the best labels, 0 where the leaf has none."""
         allowed = sorted(self.box.labels[leaf])
-        return np.array(allowed)[counts[[k - 1 for k in allowed]].argmax(0)] if allowed else np.zeros(counts.shape[1:], int)
+        worth = [counts[k - 1] - self._charge(leaf, k, counts.ndim - 1, who) for k in allowed]
+        return np.array(allowed)[np.argmax(worth, 0)] if allowed else np.zeros(counts.shape[1:], int)
 
     def _fits(self, t: int, f: int, below: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest threshold of cuts with these values next to them; a cut fits if they are in order."""
@@ -180,7 +241,16 @@ class Groups:
         if self.least:
             fits &= (left >= self.least) & (left[:, -1:] - left >= self.least)
         middle = (np.maximum(below, 0.0) + np.minimum(above, 1.0)) / 2
-        return fits, np.clip(middle, lowest, np.maximum(lowest, highest))
+        middle = np.clip(middle, lowest, np.maximum(lowest, highest))
+        if self.pull is None:
+            return fits, middle
+        # A threshold in the piece that the cut pays for: the middle one if it is as cheap as any, else the first that is.
+        paid, least = self.pull.split[:, t - 1, f - 1], self._fee(t, f, lowest, highest)
+        some = np.arange(PIECES)
+        reached = (some >= piece(lowest)[..., None]) & (some <= piece(highest)[..., None])
+        cheap = (reached & (paid[:, None, :] <= least[..., None])).argmax(-1)
+        other = (np.maximum(lowest, cheap / PIECES) + np.minimum(highest, (cheap + 1) / PIECES)) / 2
+        return fits, np.where(fits & (np.take_along_axis(paid, piece(middle), 1) > least), other, middle)
 
     def _stop(self, t: int, counts: np.ndarray) -> np.ndarray:
         """Costs without a split at ``t``, infinite where the box wants one."""
@@ -198,8 +268,10 @@ class Groups:
         other = 2 * s + 1 if left else 2 * s
         # With all rows of the part on one side; the other side of the cut is open then.
         alone = lowest <= min(self.box.threshold[s][1], 1.0) if left else max(self.box.threshold[s][0], 0.0) <= highest
-        best = np.where(alone, whole, -np.inf) if not self.least else none
-        gain = np.where(lowest <= highest, whole, -np.inf)
+        ends = (lowest, np.full_like(highest, min(self.box.threshold[s][1], 1.0))) if left else (np.full_like(lowest, max(self.box.threshold[s][0], 0.0)), highest)
+        empty = self._right(other, np.zeros((self.k, self.n, 1)))
+        best = np.where(alone, whole + empty - self._fee(s, f, *ends) * self.share, -np.inf) if not self.least else none
+        gain = np.where(lowest <= highest, whole - self._fee(s, f, lowest, highest) * self.share, -np.inf)
         size = weight if left else weight[:, -1:] - weight
         if self.least:
             gain = np.where(size >= self.least, gain, -np.inf)
@@ -212,7 +284,7 @@ class Groups:
         for k in sorted(self.box.labels[other]) or [0]:
             mine = some[k - 1] if k else 0.0
             most = np.maximum.accumulate(gain - mine, 1)
-            found = np.maximum(found, mine + np.where(last >= 0, np.take_along_axis(most, np.maximum(last, 0), 1), -np.inf))
+            found = np.maximum(found, mine + np.where(last >= 0, np.take_along_axis(most, np.maximum(last, 0), 1), -np.inf) - (self._charge(other, k, 2) if k else 0.0))
         found = found if left else found[:, ::-1]
         total = weight if left else weight[:, -1:] - weight
         return (total - np.maximum(best, found)) / self.share + self.alpha[:, None]
@@ -228,7 +300,7 @@ class Groups:
         right, fits = left[..., -1:] - left, lowest <= highest
         if self.least:
             fits &= (left.sum(0) >= self.least) & (right.sum(0) >= self.least)
-        most = np.where(fits, self._right(2 * s, left) + self._right(2 * s + 1, right), -np.inf).max(2)
+        most = np.where(fits, self._right(2 * s, left) + self._right(2 * s + 1, right) - self._fee(s, g, lowest, highest) * self.share, -np.inf).max(2)
         return (left[..., -1].sum(0) - most) / self.share + self.alpha[:, None]
 
     def below(self, t: int, f: int) -> np.ndarray:
@@ -274,13 +346,14 @@ class Groups:
         chosen, at, threshold = np.zeros(self.n, int), np.zeros(self.n, int), np.zeros(self.n)
         for f in sorted(self.box.features[t]):
             fits, thresholds = self._cuts(t, f)
+            fee = self._fee(t, f, *self._fits(t, f, *self._around(f)))
             if last:
                 c = self.counts[f]
                 errors = c[:, :, -1:].sum(0) - self._right(2 * t, c) - self._right(2 * t + 1, c[:, :, -1:] - c)
-                cost = np.where(fits, errors / self.share + self.alpha[:, None], np.inf)
+                cost = np.where(fits, errors / self.share + self.alpha[:, None] + fee, np.inf)
                 i = cost.argmin(1)
             else:
-                cost = np.where(fits, self.below(t, f), np.inf)
+                cost = np.where(fits, self.below(t, f) + fee, np.inf)
                 i = (cost <= cost.min(1, keepdims=True) + 1e-12).argmax(1)
             less = cost[group, i] < best - 1e-12
             best = np.where(less, cost[group, i], best)
@@ -290,7 +363,7 @@ class Groups:
             for f in set(chosen[ways].tolist()):
                 some = ways[chosen[ways] == f]
                 left = self.counts[f][:, some, at[some]]
-                for g, b, ka, kb in zip(some.tolist(), threshold[some].tolist(), self._label(2 * t, left).tolist(), self._label(2 * t + 1, total[:, some] - left).tolist(), strict=True):
+                for g, b, ka, kb in zip(some.tolist(), threshold[some].tolist(), self._label(2 * t, left, some).tolist(), self._label(2 * t + 1, total[:, some] - left, some).tolist(), strict=True):
                     trees[g] = Tree(depth, {t: (f, b)}, {leaf: k for leaf, k in ((2 * t, ka), (2 * t + 1, kb)) if k})
             return best, trees
         if not len(ways):
@@ -300,18 +373,22 @@ class Groups:
         ranks = np.stack([self.rank[f] for f in self.rank], 1)
         own = place[self.at] >= 0
         left = own & (ranks[np.arange(len(self.at)), np.maximum(chosen[self.at], 1) - 1] < at[self.at])
-        parts = [Groups(self.x[r], self.y[r], self.w[r], place[self.at[r]], len(ways), self.box, self.share, self.alpha[ways], self.eps, self.k, self.least).solve(s) for s, r in ((2 * t, left), (2 * t + 1, own & ~left))]
+        parts = [Groups(self.x[r], self.y[r], self.w[r], place[self.at[r]], len(ways), self.box, self.share, self.alpha[ways], self.eps, self.k, self.least, self.pull and self.pull[ways]).solve(s) for s, r in ((2 * t, left), (2 * t + 1, own & ~left))]
         for i, g in enumerate(ways.tolist()):
             a, b = parts[0][1][i], parts[1][1][i]
             trees[g] = Tree(depth, {t: (int(chosen[g]), float(threshold[g]))} | a.split | b.split, a.label | b.label)
         return best, trees
 
 
-def solve_groups(x: np.ndarray, y: np.ndarray, at: np.ndarray, box: Box, share: float, alpha: float, eps: np.ndarray) -> tuple[np.ndarray, list[Tree]]:
+def solve_groups(x: np.ndarray, y: np.ndarray, at: np.ndarray, box: Box, share: float, alpha: float, eps: np.ndarray, pull: Pull | None = None) -> tuple[np.ndarray, list[Tree]]:
     """Least cost and best tree of each group ``at`` (from 0, none empty); ``alpha`` is a split's penalty for one row.
 
+    ``pull``: what each group pays for choices, for depths 1 and 2.
+
     Groups of like size are solved at once, as many as their pairs of cuts are ``BATCH`` numbers.
     """
+    if pull is not None and not 1 <= box.depth <= 2:
+        raise ValueError("multipliers are for trees of depth 1 or 2")
     sizes = np.bincount(at)
     k = max([1, int(y.max(initial=1)), *[k for lab in box.labels.values() for k in lab]])
     order = np.argsort(at, kind="stable")
@@ -323,7 +400,7 @@ def solve_groups(x: np.ndarray, y: np.ndarray, at: np.ndarray, box: Box, share:
         low += len(some)
         rows = np.concatenate([order[starts[g] : starts[g + 1]] for g in some])
         if 1 <= box.depth <= 2:
-            found = Groups(x[rows], y[rows], np.ones(len(rows)), np.repeat(np.arange(len(some)), sizes[some]), len(some), box, share, alpha * sizes[some], eps, k).solve()
+            found = Groups(x[rows], y[rows], np.ones(len(rows)), np.repeat(np.arange(len(some)), sizes[some]), len(some), box, share, alpha * sizes[some], eps, k, pull=pull and pull[some]).solve()
         else:
             ends = np.concatenate([[0], np.cumsum(sizes[some])])
             each = [_solved(x[r], y[r], box, share, alpha * len(r), eps) for r in (rows[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]

@@ -16,6 +16,7 @@ from timberline.operators import bounds
 from timberline.operators.box import Box, branch, free, widest_threshold
 from timberline.operators.greedy import cart
 from timberline.operators.groups import bootstrap, deal, group_count, leaf_deal
+from timberline.operators.pull import tuned
 from timberline.operators.tree import Tree, costs, leaf_counts, majority_labels, merged
 from timberline.sources.tables import scratch
 
@@ -44,8 +45,8 @@ def _closed(lb: float, ub: float, gap: float) -> bool:
 
 #: Trees that one pass scores, and nodes after which small groups are drawn anew.
 SCORED, DRAWN = 1 << 16, 16
-#: Groups that one task solves, where there are more than cores; digits to which bounds of groups are cut before they are summed.
-SOLVED, DIGITS = 256, 9
+#: Groups that one task solves, where there are more than cores.
+SOLVED = 256
 
 
 @dataclass(frozen=True)
@@ -63,15 +64,18 @@ class Search:
     """State of one search. ``points``: ``row_id``, features within [0, 1], and ``y`` from 1.
 
     ``grouping``: rows are dealt over groups by ``class``, or by ``leaf`` of the first incumbent and k-means within.
+    ``rounds``: how often multipliers are moved at the top box, which then hold in all boxes (``pull``); depths 1 and 2.
     """
 
-    def __init__(self, points: DataFrame, features: list[str], depth: int, alpha: float = 0.05, share: float | None = None, gap: float = GAP, methods: str = "CF+MILP+SG", seed: int = 1, grouping: str = "class") -> None:
+    def __init__(self, points: DataFrame, features: list[str], depth: int, alpha: float = 0.05, share: float | None = None, gap: float = GAP, methods: str = "CF+MILP+SG", seed: int = 1, grouping: str = "class", rounds: int = 0) -> None:
         self.methods = methods.split("+")
         if "CF" not in self.methods:
             raise ValueError("the closed-form bound is needed by all others: add CF")
         if grouping not in ("class", "leaf"):
             raise ValueError(f"no grouping by {grouping}")
-        self.grouping, self.greedy = grouping, {}
+        if rounds and not 1 <= depth <= 2:
+            raise ValueError("multipliers are for trees of depth 1 or 2")
+        self.grouping, self.greedy, self.rounds, self.pulls = grouping, {}, rounds, None
         self.features, self.depth, self.alpha, self.gap, self.seed = features, depth, alpha, gap, seed
         self.cells = cells(points, features).persist()
         counts = {r.y: r.n for r in self.cells.groupBy("y").agg(F.sum("n").alias("n")).collect()}
@@ -91,8 +95,11 @@ class Search:
 
         The number of parts is stated: the rows are few bytes and much work, which Spark would put into one task.
         """
-        cores = groups.sparkSession.sparkContext.defaultParallelism
-        return groups.repartition(max(1, min(self.n_groups, max(2 * cores, self.n_groups // SOLVED))), "group_id").persist()
+        return groups.repartition(self.parts(), "group_id").persist()
+
+    def parts(self) -> int:
+        cores = self.cells.sparkSession.sparkContext.defaultParallelism
+        return max(1, min(self.n_groups, max(2 * cores, self.n_groups // SOLVED)))
 
     def offer(self, trees: list[Tree]) -> None:
         """Score all candidates on all rows, with majority labels where theirs are worse, and keep the best.
@@ -192,8 +199,10 @@ class Search:
             still = still.select(*[c.split()[0] for c in bounds.SOLVED.split(", ")])
             have = still.groupBy("group_id").agg(F.collect_set("box").alias("_have"))
             asked = asked.join(have, "group_id", "left").withColumn("boxes", F.array_except("boxes", F.coalesce("_have", F.array().cast("array<int>")))).drop("_have")
+        if self.pulls is not None:
+            asked = asked.join(self.pulls, "group_id")
         solved = scratch(spark, "groups")
-        found = bounds.groups_in_boxes(self.groups, asked.where(F.size("boxes") > 0), {i: n.box for i, n in boxes.items()}, self.features, self.share, self.alpha, self.n, self.eps)
+        found = bounds.groups_in_boxes(self.groups, asked.where(F.size("boxes") > 0), {i: n.box for i, n in boxes.items()}, self.features, self.share, self.alpha, self.n, self.eps, self.k)
         found.write.parquet(solved)
         new = spark.read.schema(bounds.SOLVED).parquet(solved)
         where = solved
@@ -201,9 +210,7 @@ class Search:
             where = scratch(spark, "results")
             still.unionByName(new).write.parquet(where)
         none = F.col("bound") == float("inf")
-        scale = 10**DIGITS
-        cut = F.when(~none, (F.floor(F.col("bound") * scale) / scale).cast(f"decimal(38,{DIGITS})"))  # sums do not depend on an order
-        sums = {r.box: r for r in spark.read.schema(bounds.SOLVED).parquet(where).groupBy("box").agg(F.sum(cut).alias("s"), F.max(none).alias("none")).collect()}
+        sums = {r.box: r for r in spark.read.schema(bounds.SOLVED).parquet(where).groupBy("box").agg(F.sum(F.when(~none, bounds.cut(F.col("bound")))).alias("s"), F.max(none).alias("none")).collect()}
         self._offer_table(new.where(~none))
         self.jobs += 4
         out = {}
@@ -236,6 +243,8 @@ class Search:
         if self.grouping == "leaf" and "SG" in self.methods:
             self.regroup()
         top = Node(0.0, 1, free(self.depth, len(self.features), self.k, shape))
+        if self.rounds and "SG" in self.methods:
+            self.pulls, _ = tuned(self.groups, top.box, self.features, self.share, self.alpha, self.n, self.eps, self.k, self.ub, self.rounds, self.parts())
         heap, given_up, seq, done, drawn = [], float("inf"), 0, 0, 0
         for n in self._bounded([top]):
             heapq.heappush(heap, (n.lb, 0, n))
