@@ -18,8 +18,8 @@ from timberline.operators.exact import Pull, solve_groups
 from timberline.sources.tables import scratch
 
 STATE = "group_id long, x array<double>, y array<int>, bound double, chosen array<int>, pull array<double>"
-#: Rounds without a better bound after which steps are halved, and the least part of a full step.
-PATIENCE, LEAST_STEP = 3, 1e-3
+#: Part of a full step to begin with, rounds without a better bound after which it is halved, and the least part.
+FIRST_STEP, PATIENCE, LEAST_STEP = 0.25, 3, 1e-3
 
 
 def _round(state: DataFrame, box: Box, n_features: int, share: float, alpha: float, eps: np.ndarray, classes: int, step: float, mean: np.ndarray) -> DataFrame:
@@ -53,7 +53,7 @@ def tuned(groups: DataFrame, box: Box, features: list[str], share: float, alpha:
     state = groups.repartition(parts or 2 * spark.sparkContext.defaultParallelism, "group_id").groupBy("group_id").agg(rows.alias("r"))
     nothing = F.lit(0.0).alias("bound"), F.array().cast("array<int>").alias("chosen"), F.array_repeat(F.lit(0.0), size).alias("pull")
     state = state.select("group_id", F.flatten("r.x").alias("x"), F.col("r.y").alias("y"), *nothing)
-    step, mean, part, worse, values, best = 0.0, np.zeros(size), 1.0, 0, [], None
+    step, mean, part, worse, values, best = 0.0, np.zeros(size), FIRST_STEP, 0, [], None
     for _ in range(rounds):
         path = scratch(spark, "pulled")
         _round(state, box, len(features), share, alpha / total, eps, classes, step, mean).write.parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from timberline.functions import prep
 from timberline.operators import bounds, groups, tree
 from timberline.operators.box import Box, branch, feasible_in, free, widest_threshold
 from timberline.operators.optimal import Optimal, classified
+from timberline.operators.pull import tuned
 from timberline.operators.scan import Layout, anywhere, class_stats, square_stats
 from timberline.operators.tree import Tree
 from timberline.sources import tables
@@ -370,17 +372,30 @@ def bootstrap_groups(spark, sf_dir):
     return groups.bootstrap(df, F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n=df.count(), n_groups=N_BOOTSTRAP, round_=3).select("group_id", "c_custkey", "y")
 
 
+def _dealt(df: DataFrame, depth: int) -> tuple[DataFrame, int, np.ndarray]:
+    """Customers dealt over groups for trees of a depth, their number, and the least gaps of the features."""
+    eps, n = {r.f: r.gap for r in prep.min_gaps(df, PART_FEATURES).collect()}, df.count()
+    dealt = groups.deal(df, "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=groups.group_count(n, 2, 5, depth))
+    return dealt, n, np.array([eps[1], eps[2]])
+
+
 def _group_bound(spark, sf_dir, depth):
     df = customers(spark, sf_dir)
-    eps = {r.f: r.gap for r in prep.min_gaps(df, PART_FEATURES).collect()}
-    import numpy as np
-
-    n = df.count()
-    dealt = groups.deal(df, "y", F.pmod(F.col("c_custkey") * 7919, F.lit(MODULUS)), "c_custkey", n_groups=groups.group_count(n, 2, 5, depth))
-    found = bounds.group_bounds(dealt, free(depth, 2, 5), PART_FEATURES, _share(df), ALPHA, n, np.array([eps[1], eps[2]]))
+    dealt, n, eps = _dealt(df, depth)
+    found = bounds.group_bounds(dealt, free(depth, 2, 5), PART_FEATURES, _share(df), ALPHA, n, eps)
     return found.select("group_id", F.round("bound", 6).alias("bound"))
 
 
+def multiplier_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups' bound of all stumps before and after 10 rounds of multipliers, beside the exact optimum."""
+    df = customers(spark, sf_dir)
+    (dealt, n, eps), share = _dealt(df, 1), _share(df)
+    best = Optimal(_laid(df, PART_FEATURES, 5), 1, share, ALPHA).fit().cost
+    _, found = tuned(dealt, free(1, 2, 5), PART_FEATURES, share, ALPHA, n, eps, 5, best, 10)
+    row = (round(found[0], 5), round(best, 6), max(found) > found[0], max(found) <= best + 1e-6)
+    return spark.createDataFrame([row], "plain double, optimum double, tighter boolean, below boolean")
+
+
 def group_bound(spark, sf_dir):
     return _group_bound(spark, sf_dir, 1)
 
@@ -551,7 +566,7 @@ def windowed_accuracy(spark, sf_dir):
     return found.select(F.col("window.start").cast("date").cast("string").alias("day"), "n", F.round("accuracy", 9).alias("accuracy"))
 
 
-QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, best_stump_price, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, exact_tree_prices, exact_tree_depth3, regression_tree, leaf_report, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes, windowed_accuracy)}
+QUERIES = {f.__name__: f for f in (class_frequency, majority_share, label_encode, one_hot, minmax_scale, drop_constant, feature_min_gap, stratified_split, route_leaf, predict, tree_cost, leaf_histogram, confusion, prediction_agreement, accuracy_report, score_many_trees, prune_and_score, merge_trees, best_stump, best_stump_price, optimal_depth2, exact_tree, min_leaf_tree, shaped_tree, exact_tree_prices, exact_tree_depth3, regression_tree, leaf_report, box_feasible, leaf_reach, cf_bound, cf_bound_lineitem, label_cover_counts, label_cover_bound, group_deal, bootstrap_groups, group_bound, group_bound_depth2, multiplier_bound, embedding_features, order_ranks, class_lookup, cart_tree, kmeans_groups, leaf_groups, read_delimited, branch_and_bound, unreached_leaves, branched_boxes, equal_trees, drop_missing, group_counts, group_blocks, result_row, covariance_spectrum, synthetic_clusters, tree_nodes, windowed_accuracy)}
 
 _MERGED = tree.merged(CANDIDATES)
 _CLASSES = range(1, 4)
@@ -665,15 +680,20 @@ def _sql_groups(depth: int) -> str:
     return f"(SELECT CASE WHEN count(*) < 50 THEN 2 ELSE greatest(1, round_even(count(*) / ({(152 + 2) / 2**depth - (2 + 2 + 5)}::DOUBLE), 0)) END::BIGINT FROM p)"
 
 
-_GROUP1 = f"""WITH {CUSTOMERS}, g AS (SELECT *, {_DEAL} % {_sql_groups(1)} AS group_id FROM p),
-t AS (SELECT count(*) AS total FROM p),
+_DEALT1 = f"SELECT *, {_DEAL} % {_sql_groups(1)} AS group_id FROM p"
+_GROUP_STUMPS = f"""t AS (SELECT count(*) AS total FROM p),
 l AS (SELECT group_id, y, 1 AS f, f1 AS v FROM g UNION ALL SELECT group_id, y, 2, f2 FROM g),
 h AS (SELECT group_id, f, v, y, count(*) AS n FROM l GROUP BY ALL),
 s AS (SELECT DISTINCT group_id, f, v AS cut FROM h),
 o AS (SELECT s.group_id, s.f, s.cut, h.y, sum(CASE WHEN h.v < s.cut THEN n ELSE 0 END) AS a, sum(CASE WHEN h.v < s.cut THEN 0 ELSE n END) AS b
       FROM s JOIN h ON s.group_id = h.group_id AND s.f = h.f GROUP BY ALL),
-e AS (SELECT group_id, sum(a) - max(a) + sum(b) - max(b) AS errors, (sum(a) > 0) AS cut, sum(a) + sum(b) AS m FROM o GROUP BY group_id, f, o.cut)
-SELECT group_id::BIGINT AS group_id, round(min(errors::DOUBLE / {SHARE} + CASE WHEN cut THEN {ALPHA}::DOUBLE * m::DOUBLE / total ELSE 0 END), 6) AS bound FROM e, t GROUP BY group_id"""
+e AS (SELECT group_id, sum(a) - max(a) + sum(b) - max(b) AS errors, (sum(a) > 0) AS cut, sum(a) + sum(b) AS m FROM o GROUP BY group_id, f, o.cut),
+best AS (SELECT group_id, min(errors::DOUBLE / {SHARE} + CASE WHEN cut THEN {ALPHA}::DOUBLE * m::DOUBLE / total ELSE 0 END) AS bound FROM e, t GROUP BY group_id)"""
+_GROUP1 = f"WITH {CUSTOMERS}, g AS ({_DEALT1}), {_GROUP_STUMPS} SELECT group_id::BIGINT AS group_id, round(bound, 6) AS bound FROM best"
+#: All rows as one group have the best stump of all.
+_MULTIPLIER = f"""WITH {CUSTOMERS}, g AS ({_DEALT1} UNION ALL SELECT *, -1 FROM p), {_GROUP_STUMPS}
+SELECT round(sum(bound) FILTER (group_id >= 0), 5) AS plain, round(sum(bound) FILTER (group_id < 0), 6) AS optimum, true AS tighter, true AS below FROM best"""
+
 
 def _sql_group2() -> str:
     """Of each group the best tree of depth 2: every root cut with the best cut, or none, of each side; or no split."""
@@ -781,6 +801,7 @@ ORACLES = {
     "group_deal": f"WITH {CUSTOMERS} SELECT c_custkey, y, ({_DEAL} % {N_GROUPS})::BIGINT AS group_id FROM p",
     "bootstrap_groups": f"WITH {CUSTOMERS}, q AS (SELECT *, row_number() OVER (ORDER BY (c_custkey * 7919) % {MODULUS}, c_custkey) - 1 AS i FROM p), d AS (SELECT DISTINCT g AS group_id, (g * 1000003 + j * 7919 + 3 * {MODULUS}) % (SELECT count(*) FROM p) AS i FROM range({N_BOOTSTRAP}) a(g), range(50) b(j)) SELECT group_id, c_custkey, y FROM d JOIN q USING (i)",
     "group_bound": _GROUP1,
+    "multiplier_bound": _MULTIPLIER,
     "group_bound_depth2": _sql_group2(),
     "cart_tree": _sql_cart(),
     "unreached_leaves": f"WITH {_REACH} SELECT array_to_string(list_filter([4, 5, 6, 7], lambda t: NOT list_contains(reach, t)), ',') AS unreached, count(*) AS n FROM z GROUP BY ALL",
