@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from timberline.llm import borders, passages
@@ -125,6 +126,7 @@ def reported(found, kept=(False, True)):
 @pytest.mark.parametrize("chunk", [8192, 3])
 def test_stretches_reach_the_borders(spark, monkeypatch, chunk):
     monkeypatch.setattr(borders, "CHUNK", chunk)
+    monkeypatch.setattr(borders, "BLOCKED", 5)
     r = random.Random(4)
     fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
     rows, i = [], 0
@@ -188,3 +190,25 @@ def test_lines_of_texts(texts):
             want += [(i, at, n)] if n else []
             at += n
     assert got == want and len(found) == sum(len(words(t)) for t in texts)
+
+
+def test_ends_of_chunks_in_blocks(spark, monkeypatch):
+    """Ends of many chunks, some of which share all or no words, against a loop over all of them."""
+    reach, r = 3, np.random.default_rng(2)
+    words = sorted({(int(r.integers(3)), bool(r.integers(2)), r.integers(1, 3, reach).astype(np.uint32).tobytes()) for _ in range(400)})
+    cuts = sorted({0, len(words), *(int(c) for c in r.integers(1, len(words), 17))})
+    docs = r.permutation(len(words))
+    share = lambda a, b, level: a[:2] == b[:2] and a[2][: 4 * level] == b[2][: 4 * level]
+    rows, want = [], {}
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        name, ends = f"c{low}", []
+        for at in (low, high - 1):
+            for inside in (range(low, high), range(len(words))):
+                alike = [[int(docs[i]) for i in inside if share(words[i], words[at], level)] for level in range(reach + 1)]
+                ends.append([[min(a) for a in alike], [max(a) for a in alike]])
+        rows.append((name, *words[low], *words[high - 1], *ends[0], *ends[2]))
+        want[name] = (*ends[1], *ends[3])
+    for size in (2, 3, 4096):
+        monkeypatch.setattr(borders, "BLOCKED", size)
+        found = borders._ends(spark.createDataFrame(rows, borders.RECORD), reach).collect()
+        assert {f.chunk: (f.first_low, f.first_high, f.last_low, f.last_high) for f in found} == want

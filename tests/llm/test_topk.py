@@ -50,7 +50,7 @@ def test_many_equal_scores(spark, monkeypatch, broadcast):
     monkeypatch.setattr(topk, "MEET", 2)
     monkeypatch.setattr(topk, "BINS", 16)
     if not broadcast:
-        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     random = np.random.default_rng(1)
     pairs = [(int(i), [0.5, 0.5, 0.25]) for i in range(0, 900, 3)] + [(int(i), [0.5, float(x), 0.0]) for i, x in zip(range(1, 900, 3), random.random(300), strict=True)]
     pairs += [(7, [2.0, 0.0, 0.0])] * 150 + [(int(i) - 5000, random.normal(size=3).tolist()) for i in range(150)]

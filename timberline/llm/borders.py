@@ -2,7 +2,7 @@
 
 The words before (backwards) or behind a stretch are its context. Stretches with one key and one context are one class;
 classes are sorted over all tasks, so that those that share their first words stand together. Chunks of that order are
-worked on alone; what chunks share at their ends is put together by the driver, some numbers a chunk. So a stretch that
+worked on alone; what chunks share at their ends is put together in blocks of them, and blocks of blocks. So a stretch that
 a third of all documents share spreads over tasks, and each agreement is the longest with any earlier (or later) document.
 """
 
@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,15 @@ from timberline.llm.suffixes import grams
 BEFORE, BEHIND, TELL_BEFORE, TELL_BEHIND = 1, 2, 4, 8
 CONTEXT = "class long, node long, behind boolean, around binary, low long, high long, begin int"
 CHUNK = 8192
+#: Records that are joined at once.
+BLOCKED = 4096
 LEVELS = "class long, low long, high long, gone int, later int, size int, head int, tail int, who long, chunk string, edge binary"
+RECORD = "chunk string, node long, behind boolean, around binary, last_node long, last_behind boolean, last_around binary, first_low array<long>, first_high array<long>, last_low array<long>, last_high array<long>"
+BLOCK = RECORD + ", block string, first_head int, first_tail int, last_head int, last_tail int"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
 
 
 def stretch_keys(words: np.ndarray, least: int, at: np.ndarray) -> np.ndarray:
@@ -168,38 +177,98 @@ def _levels(ordered: DataFrame, reach: int) -> DataFrame:
                     out.write_table(borders.replace_schema_metadata({b"ends": ends.tobytes()}))
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 5 + (pa.int64(),)], pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
 
-    names = [f.split(" ")[0] for f in LEVELS.split(", ")]
+    names = _names(LEVELS)
     return ordered.mapInArrow(frugal(made), LEVELS)
 
 
-def _ends(found: DataFrame, reach: int) -> list[tuple]:
-    """``chunk`` and, by number of shared words, the least and greatest document of its first and its last class in all chunks."""
-    chunks = []
-    for row in found.where("edge is not null").select("chunk", "edge").toLocalIterator():
-        with pa.ipc.open_stream(bytes(row.edge)) as stream:
-            t = stream.read_all()
-        borders = [(r["node"], r["behind"], r["around"]) for r in t.to_pylist()]
-        chunks.append((borders, row.chunk, np.frombuffer(t.schema.metadata[b"ends"], np.int64).reshape(4, -1).copy()))
-    chunks.sort(key=lambda c: c[0])
-    n = len(chunks)
-    alike = lambda x, y, level: x[:2] == y[:2] and x[2][: 4 * level] == y[2][: 4 * level]
-    for level in range(reach + 1):
-        linked = [alike(chunks[i][0][1], chunks[i + 1][0][0], level) for i in range(n - 1)]
-        whole = [alike(*c[0], level) for c in chunks]
-        known = [c[2][:, level].copy() for c in chunks]
-        both = lambda x, y: (min(x[0], y[0]), max(x[1], y[1]))
-        for order, near, far in ((range(n), slice(0, 2), slice(2, 4)), (range(n - 1, -1, -1), slice(2, 4), slice(0, 2))):
-            carried = None
-            for i in order:
-                held = chunks[i][2][:, level]
-                if carried is not None:
-                    held[near] = both(held[near], carried)
-                    if whole[i]:
-                        held[far] = both(held[far], carried)
-                on = known[i][far] if carried is None or not whole[i] else both(known[i][far], carried)
-                link = i if near.start == 0 else i - 1
-                carried = tuple(on) if 0 <= link < n - 1 and linked[link] else None
-    return [(name, *[e.tolist() for e in ends]) for _, name, ends in chunks]
+def _records(levels: DataFrame) -> DataFrame:
+    """What is known of the ends of chunks, columns as in ``RECORD``."""
+
+    def made(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for name, edge in zip(batch["chunk"], batch["edge"], strict=True):
+                with pa.ipc.open_stream(bytes(edge)) as stream:
+                    t = stream.read_all()
+                first, last = ((r["node"], r["behind"], r["around"]) for r in t.to_pylist())
+                out.append((name, *first, *last, *np.frombuffer(t.schema.metadata[b"ends"], np.int64).reshape(4, -1)))
+            yield pd.DataFrame(out, columns=_names(RECORD))
+
+    return levels.where("edge is not null").select("chunk", "edge").mapInPandas(made, RECORD)
+
+
+def _common(x: tuple, y: tuple, reach: int) -> int:
+    """Words that two borders (stretch, side, context) share, -1 where the stretch or side is another."""
+    if x[:2] != y[:2]:
+        return -1
+    differs = np.flatnonzero(np.diff(_padded([x[2], y[2]], reach)[0].astype(np.int64), axis=0)[0])
+    return int(differs[0]) if len(differs) else reach
+
+
+def _joined(rows: pd.DataFrame, reach: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Neighbouring records in order: the least and greatest document by number of shared words, of the first and last
+    ends of all of them together, and what each end shares with the first and with the last one of all."""
+    first, last = (list(zip(*(rows[f"{end}{c}"] for c in ("node", "behind", "around")), strict=True)) for end in ("", "last_"))
+    line = [border for pair in zip(first, last, strict=True) for border in pair]
+    shared = np.array([_common(x, y, reach) for x, y in zip(line[:-1], line[1:], strict=True)], int)
+    values = []
+    for column, join in (("low", np.minimum), ("high", np.maximum)):
+        ends = np.stack([np.stack(rows[f"{end}_{column}"].to_numpy()) for end in ("first", "last")], 1).reshape(len(line), reach + 1)
+        for level in range(reach + 1):
+            starts = np.flatnonzero(np.concatenate([[True], shared < level]))
+            ends[:, level] = np.repeat(join.reduceat(ends[:, level], starts), np.diff(np.append(starts, len(line))))
+        values.append(ends)
+    head = np.minimum.accumulate(np.append(reach, shared))
+    tail = np.minimum.accumulate(np.append(reach, shared[::-1]))[::-1]
+    return values, head, tail
+
+
+def _blocks(ordered: DataFrame, reach: int) -> DataFrame:
+    """Columns as in ``BLOCK``: each record joined with those of its block of neighbours, and one record for each block."""
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        (low, high), head, tail = _joined(rows, reach)
+        inside = rows.assign(block=(name := uuid.uuid4().hex), first_low=list(low[::2]), first_high=list(high[::2]), last_low=list(low[1::2]), last_high=list(high[1::2]), first_head=head[::2], first_tail=tail[::2], last_head=head[1::2], last_tail=tail[1::2])
+        whole = inside.iloc[:1].assign(chunk=name, block=None, **{f"last_{c}": rows[f"last_{c}"].iloc[-1:].to_numpy() for c in ("node", "behind", "around")}, last_low=[low[-1]], last_high=[high[-1]])
+        return pd.concat([inside, whole])[_names(BLOCK)]
+
+    def made(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in rows:
+            held = batch if held is None else pd.concat([held, batch])
+            while len(held) >= BLOCKED:
+                yield block(held.iloc[:BLOCKED])
+                held = held.iloc[BLOCKED:]
+        if held is not None and len(held):
+            yield block(held)
+
+    return ordered.mapInPandas(made, BLOCK)
+
+
+def _ends(records: DataFrame, reach: int) -> DataFrame:
+    """``records`` with the least and greatest documents of their ends in all chunks.
+
+    Blocks of neighbouring records are joined first, then what the blocks are in turn, until one block holds all; so no
+    task and not the driver sees more than some blocks' records.
+    """
+    n, order = records.count(), ["node", "behind", "around"]
+    parts = 1 if n <= BLOCKED else -(-n // (4 * BLOCKED)) + 1
+    dealt = records.repartition(1) if parts == 1 else records.repartitionByRange(parts, *order)
+    found = written(_blocks(dealt.sortWithinPartitions(*order), reach), "blocks")
+    inside = found.where("block is not null")
+    if n > BLOCKED:
+        ends = [f"{end}_{column}" for end in ("first", "last") for column in ("low", "high")]
+        whole = _ends(found.where("block is null").select(*_names(RECORD)), reach)
+        whole = whole.select(F.col("chunk").alias("block"), *[F.col(c).alias(f"_{c}") for c in ends])
+
+        def joined(end: str, column: str) -> Column:
+            least = (lambda x, y: F.least(x, y)) if column == "low" else (lambda x, y: F.greatest(x, y))
+            reached = lambda other, shared: F.transform(other, lambda x, at: F.when(at <= F.col(shared), x))
+            head, tail = reached(f"_first_{column}", f"{end}_head"), reached(f"_last_{column}", f"{end}_tail")
+            return F.zip_with(F.zip_with(f"{end}_{column}", head, least), tail, least)
+
+        inside = inside.join(whole, "block").select(*_names(RECORD)[:7], *[joined(*c.split("_")).alias(c) for c in ends])
+    return inside.select(*_names(RECORD))
 
 
 def agreements(found: DataFrame, reach: int) -> DataFrame:
@@ -213,8 +282,8 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     order = ["node", "behind", "around"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     levels = written(_levels(classes.repartitionByRange(parts, *order).sortWithinPartitions(*order), reach), "levels")
-    known, found_levels = _ends(levels, reach), levels
-    ends = spark.createDataFrame(known, "chunk string, first_low array<long>, first_high array<long>, last_low array<long>, last_high array<long>")
+    found_levels = levels
+    ends = written(_ends(_records(levels), reach).select("chunk", "first_low", "first_high", "last_low", "last_high"), "ends")
 
     def most(column: str, shared: str, test) -> Column:
         return F.when(F.col(shared) >= 0, F.size(F.filter(F.slice(column, F.lit(1), F.col(shared) + 1), test)) - 1).otherwise(-1)
@@ -223,7 +292,7 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
         words = most(column, shared, lambda x: x < F.col("low"))
         return F.struct(words.alias("gone"), F.bitwise_not(F.get(column, F.greatest(words, F.lit(0)))).alias("who"))
 
-    levels = levels.where("edge is null").join(small(ends, len(known)), "chunk")
+    levels = levels.where("edge is null").join(small(ends, ends.count(), 4 * 8 * (reach + 1) + 64), "chunk")
     # Of several that share as many words the least document: bitwise not turns the order around, for every number.
     gone = F.greatest(F.struct("gone", F.bitwise_not("who").alias("who")), earlier("first_low", "head"), earlier("last_low", "tail"))
     after = [most(f"{end}_high", shared, lambda x: x > F.col("high")) for end, shared in (("first", "head"), ("last", "tail"))]
@@ -234,7 +303,7 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     who = F.when(behind_first, F.col("first")).otherwise(F.bitwise_not(F.col("_gone.who")))
     later = F.when(F.col("doc_id") < F.col("high"), F.col("size")).otherwise(F.col("_later"))
     out = written(told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later")), "agreements")
-    done(found, classes, found_levels)
+    done(found, classes, found_levels, ends)
     return out
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts, as a class body that Java, RE2 and Python read alike.
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
-#: A side is broadcast up to this many rows of at most 32 bytes; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 32_000_000
 
 _own_dir: str | None = None
 
@@ -60,9 +60,9 @@ def done(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` prove it small, else ``df`` as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` of ``width`` bytes, at most, prove it small, else ``df`` as it is."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
