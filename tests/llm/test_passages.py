@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from timberline.llm import borders, passages
+from timberline.llm.shingles import word_hashes
 from tests.conftest import SMALL
 
 
@@ -13,16 +14,33 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def plain_paragraphs(text, least):
+    """First word and end of each paragraph of a text, line by line."""
+    lines = [w for w in map(words, (text or "").split("\n")) if w]
+    out, at, k = [], 0, 0
+    while k < len(lines):
+        run = [lines[k]]
+        while len(run[0]) < least and k + len(run) < len(lines) and len(lines[k + len(run)]) < least:
+            run.append(lines[k + len(run)])
+        k, left, start = k + len(run), sum(map(len, run)), at
+        whole = left >= least
+        for w in run:
+            if at - start >= least and left >= least and word_hashes([w[0].encode()])[0][0] % passages.OPENS == 0:
+                out.append((start, at))
+                start = at
+            at, left = at + len(w), left - len(w)
+        if whole:
+            out.append((start, at))
+    return out
+
+
 def brute_paragraphs(rows, least=25, width=5, percent=80):
-    """Lines of ``least`` words in components over several documents, with the smallest document, from all pairs."""
+    """Paragraphs in components over several documents, with the smallest document, from all pairs."""
     units = []
     for i, t in rows:
-        at = 0
-        for line in (t or "").split("\n"):
-            w = words(line)
-            if len(w) >= least:
-                units.append((i, at, at + len(w), {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}))
-            at += len(w)
+        w = words(t)
+        for a, b in plain_paragraphs(t, least):
+            units.append((i, a, b, {tuple(w[k : k + width]) for k in range(a, b - width + 1)}))
     root = list(range(len(units)))
 
     def find(k):
@@ -192,6 +210,57 @@ def test_lines_of_texts(texts):
     assert got == want and len(found) == sum(len(words(t)) for t in texts)
 
 
+@pytest.mark.parametrize("least", [1, 4, 25])
+def test_short_lines_are_joined(least):
+    r = random.Random(least)
+    texts = ["", "\n\n", "a b c"] + ["\n".join(" ".join(f"w{r.randrange(50)}" for _ in range(r.choice([0, 1, 3, 9, 12, 30]))) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    _, first, text, begin, end = passages._lines([t.encode() for t in texts], least)
+    got = [(int(o), int(b - first[o]), int(e - first[o])) for o, b, e in zip(text, begin, end, strict=True)]
+    assert got == [(i, a, b) for i, t in enumerate(texts) for a, b in plain_paragraphs(t, least)]
+
+
+def test_lists_of_short_lines_are_near_copies(spark):
+    """Two lists of short lines, one line of which is another, in other surroundings, are of one component."""
+    r = random.Random(3)
+    line = lambda: " ".join(f"w{r.randrange(10**7)}" for _ in range(9))
+    shared, rows = [line() for _ in range(40)], []
+    for i in range(6):
+        mine = list(shared)
+        mine[5 + i] = line()
+        rows.append((i, "\n".join([line() for _ in range(i)] + mine + [line()])))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert parts(found, "paragraph") == brute_paragraphs(rows)
+    assert {r.doc_id for r in found if r.kind == "paragraph"} == set(range(6))
+
+
+def test_components_of_stretches(spark):
+    """Rows that share a passage are of one component; rows of one component hang together by shared or overlapping words."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    texts = {i: words(t) for i, t in rows}
+    found = [r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind == "stretch"]
+
+    def grouped(least):
+        root = list(range(len(found)))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        held = {}
+        for k, r in enumerate(found):
+            for at in range(r.begin, r.end - least + 1):
+                root[find(k)] = find(held.setdefault(tuple(texts[r.doc_id][at : at + least]), k))
+            for at in range(r.begin, r.end + 1):
+                root[find(k)] = find(held.setdefault((r.doc_id, at), k))
+        return [find(k) for k in range(len(found))]
+
+    component = [r.component for r in found]
+    assert len(set(zip(grouped(passages.PASSAGE), component, strict=True))) == len(set(grouped(passages.PASSAGE)))
+    assert len(set(zip(grouped(passages.LEAST), component, strict=True))) == len(set(component)) > 1
+
+
 def test_ends_of_chunks_in_blocks(spark, monkeypatch):
     """Ends of many chunks, some of which share all or no words, against a loop over all of them."""
     reach, r = 3, np.random.default_rng(2)

@@ -72,7 +72,7 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> Data
     """The up to ``reach`` words around the stretches at ``places``, four bytes each; columns as in ``CONTEXT``.
 
     Two kinds of rows: a class of stretches with one context once for some texts, with the least and greatest document
-    there; and the places that ask to be told, with their class, and the document in ``low``, and without the context.
+    there; and the places that ask to be told, with their class and key, and the document in ``low``, and without the context.
     """
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, reach: int) -> Data
                     n, m = len(distinct), int(asks.sum())
                     columns = [
                         pa.array(np.concatenate([prints, prints[each[asks]]])),
-                        pa.array(np.concatenate([np.frombuffer(b"".join(d[:8] for d in distinct), np.int64), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+                        pa.array(np.concatenate([np.frombuffer(b"".join(d[:8] for d in distinct), np.int64), node[which][asks]])),
                         pa.array(np.full(n + m, behind)),
                         pa.array([*[d[8:] for d in distinct], *[None] * m], pa.binary()),
                         pa.array(np.concatenate([least_doc, docs_of[asks]])),
@@ -272,7 +272,7 @@ def _ends(records: DataFrame, reach: int) -> DataFrame:
 
 
 def agreements(found: DataFrame, reach: int) -> DataFrame:
-    """Rows ``doc_id, begin, behind, gone, who, later`` of the places of ``found`` (as in ``CONTEXT``) that ask to be told:
+    """Rows ``doc_id, begin, node, behind, gone, who, later`` of the places of ``found`` (as in ``CONTEXT``) that ask to be told:
     words shared at most with an earlier document, which that is, and words shared at most with a later one; -1 if the
     stretch is in none."""
     spark = found.sparkSession
@@ -297,18 +297,18 @@ def agreements(found: DataFrame, reach: int) -> DataFrame:
     gone = F.greatest(F.struct("gone", F.bitwise_not("who").alias("who")), earlier("first_low", "head"), earlier("last_low", "tail"))
     after = [most(f"{end}_high", shared, lambda x: x > F.col("high")) for end, shared in (("first", "head"), ("last", "tail"))]
     levels = levels.select("class", "low", "high", "size", gone.alias("_gone"), F.greatest("later", *after).alias("_later"))
-    told = found.where("around is null").select("class", F.col("low").alias("doc_id"), "begin", "behind").join(spread(levels.withColumnRenamed("low", "first")), "class")
+    told = found.where("around is null").select("class", "node", F.col("low").alias("doc_id"), "begin", "behind").join(spread(levels.withColumnRenamed("low", "first")), "class")
     behind_first = F.col("doc_id") > F.col("first")
     gone = F.when(behind_first, F.col("size")).otherwise(F.col("_gone.gone"))
     who = F.when(behind_first, F.col("first")).otherwise(F.bitwise_not(F.col("_gone.who")))
     later = F.when(F.col("doc_id") < F.col("high"), F.col("size")).otherwise(F.col("_later"))
-    out = written(told.select("doc_id", "begin", "behind", gone.alias("gone"), who.alias("who"), later.alias("later")), "agreements")
+    out = written(told.select("doc_id", "begin", "node", "behind", gone.alias("gone"), who.alias("who"), later.alias("later")), "agreements")
     done(found, classes, found_levels, ends)
     return out
 
 
 def extended(docs: DataFrame, pieces: DataFrame, least: int, reach: int) -> DataFrame:
-    """``pieces`` (``doc_id, begin, end, node, keep_id``) and what extends them: spans ``doc_id, begin, end, keep_id``.
+    """``pieces`` (``doc_id, begin, end, node, keep_id``) and what extends them: spans ``doc_id, begin, end, keep_id, node``.
 
     A piece of another document than its keeper is extended as far as an earlier document agrees: that document keeps
     the words of such a span, so that what is cut stays there. Where a later document agrees further, a span that the
@@ -318,6 +318,6 @@ def extended(docs: DataFrame, pieces: DataFrame, least: int, reach: int) -> Data
     told = agreements(contexts(docs, places, least, reach), reach)
     done(places)
     span = lambda n: [F.when(F.col("behind"), F.col("begin")).otherwise(F.col("begin") - n).alias("begin"), F.when(F.col("behind"), F.col("begin") + least + n).otherwise(F.col("begin") + least).alias("end")]
-    gone = told.where("gone > 0").select("doc_id", *span(F.col("gone")), F.col("who").alias("keep_id"))
-    kept = told.where("later > gone and later > 0").select("doc_id", *span(F.col("later")), F.col("doc_id").alias("keep_id"))
-    return pieces.select("doc_id", "begin", "end", "keep_id").unionByName(gone).unionByName(kept)
+    gone = told.where("gone > 0").select("doc_id", *span(F.col("gone")), F.col("who").alias("keep_id"), "node")
+    kept = told.where("later > gone and later > 0").select("doc_id", *span(F.col("later")), F.col("doc_id").alias("keep_id"), "node")
+    return pieces.select("doc_id", "begin", "end", "keep_id", "node").unionByName(gone).unionByName(kept)

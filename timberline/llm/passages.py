@@ -1,12 +1,13 @@
 """Substring deduplication of paragraphs by MinHash banding, clustered by components.
 
-Two kinds of units are compared. Paragraphs (lines of ``LEAST`` words or more) are near-duplicates where the exact
-Jaccard similarity of their five-word shingles is high enough; bands are tuned so that such a pair collides in one
+Two kinds of units are compared. Paragraphs (lines of ``LEAST`` words or more, and shorter neighbouring lines joined to
+as many) are near-duplicates where the exact Jaccard similarity of their five-word shingles is high enough; bands are tuned so that such a pair collides in one
 with a set recall, and keys that hold several components are searched for links between them. Passages within running
 text do not keep a paragraph's borders: these are found by stretches of ``LEAST`` words that start at minimisers, of
 which every passage of ``PASSAGE`` words holds one, under a single band, the stretch itself, and extended both ways to
 the borders of what documents share, word by word. Classes of equal units are formed before anything is dealt out by
-key; under a key they are tied to one hub. Components decide which document keeps a passage.
+key; under a key they are tied to one hub. Components of paragraphs decide which document keeps them; stretches that
+stand together in some document are of one component as well.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql.window import Window
 
 from timberline.llm.borders import extended, stretch_keys
 from timberline.llm.common import done, small, spread, table, written
+from timberline.llm.components import components
 from timberline.llm.frugal import frugal
 from timberline.llm.minhash import SETS, Bands, connected, set_columns, signatures
 from timberline.llm.shingles import batches, sets_between, word_hashes
@@ -31,6 +33,8 @@ WIDTH, PERCENT, LEAST, PASSAGE = 5, 80, 25, 51
 RECALL = 0.999
 #: Words of a gram whose hash selects minimisers.
 GRAM = 5
+#: One in so many short lines may begin a paragraph within a run of them.
+OPENS = 3
 
 
 def tuned(percent: int = PERCENT, rows: int = Bands.rows, recall: float = RECALL) -> int:
@@ -49,7 +53,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 
 
 def _lines(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a batch of texts, the first word of each text, and text, first and last word of long enough lines."""
+    """Word hashes of a batch of texts, the first word of each text, and text, first and last word of the paragraphs."""
     words, starts, first = word_hashes(texts)
     breaks = np.flatnonzero(np.frombuffer(b" ".join([*texts, b""]), np.uint8) == 10)
     # A line feed is white, so no word holds one: lines end where the count of line feeds before a word changes, or the text.
@@ -58,9 +62,32 @@ def _lines(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.n
     new[1:] |= np.diff(np.searchsorted(breaks, starts)) > 0
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(words)) if len(begin) else begin
-    long = end - begin >= least
-    begin, end = begin[long], end[long]
-    return words, first, np.searchsorted(first, begin, "right") - 1, begin, end
+    return words, first, *_paragraphs(words, np.searchsorted(first, begin, "right") - 1, begin, end, least)
+
+
+def _paragraphs(words: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and last word of the lines of ``least`` words and of what shorter neighbours are joined to.
+
+    A run of shorter lines is cut where ``least`` words are held, as many are left, and the line's first word selects it:
+    so copies of a run in other surroundings fall into step. A run with fewer words in all is no paragraph.
+    """
+    size = end - begin
+    short = size < least
+    opens = ~(short & np.roll(short, 1) & (text == np.roll(text, 1)))
+    opens[:1] = True
+    heads = np.flatnonzero(opens)
+    held = np.add.reduceat(size, heads) if len(heads) else size
+    run = np.cumsum(opens) - 1
+    first, left = np.full(len(heads), -1), held.copy()
+    for i in np.flatnonzero(short & (held[run] >= 2 * least)).tolist():
+        r = run[i]
+        first[r] = max(first[r], begin[i] if opens[i] else -1)
+        if begin[i] - first[r] >= least and left[r] >= least and words[begin[i]] % np.uint64(OPENS) == 0:
+            opens[i], first[r] = True, begin[i]
+        left[r] -= size[i]
+    whole = held[run] >= least
+    text, begin, end, opens = (x[whole] for x in (text, begin, end, opens))
+    return text[opens], begin[opens], end[np.append(opens[1:], True)] if len(opens) else end
 
 
 def _node(items: np.ndarray) -> int:
@@ -73,7 +100,7 @@ UNITS = "node long, doc_id long, begin int, words int, symbols binary"
 def units(docs: DataFrame, least: int, width: int, passage: int, index: Bands) -> DataFrame:
     """Both kinds of units from one pass over the texts, columns as in ``UNITS``.
 
-    Long enough lines, with the hash of their set of shingles as ``node``, their number of words, and their signature;
+    Paragraphs, with the hash of their set of shingles as ``node``, their number of words, and their signature;
     and the ``least`` words from every minimiser on, with their hash, which have no words and no signature.
     """
     window = passage - least + 1
@@ -101,7 +128,7 @@ def units(docs: DataFrame, least: int, width: int, passage: int, index: Bands) -
 
 
 def paragraph_sets(docs: DataFrame, least: int, width: int, index: Bands) -> DataFrame:
-    """The long enough lines' sets, columns as in ``SETS`` with the hash of a set as its id."""
+    """The paragraphs' sets, columns as in ``SETS`` with the hash of a set as its id."""
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -122,27 +149,33 @@ def _islands(spans: DataFrame, *by: str) -> DataFrame:
 
 
 def shared_spans(spans: DataFrame, passage: int) -> DataFrame:
-    """``spans`` (``doc_id, begin, end, keep_id``) joined where they overlap and one document keeps them.
+    """``spans`` (``doc_id, begin, end, keep_id, node``) joined where they overlap and one document keeps them, with their
+    ``component``: the least stretch (``node``) reached from theirs through documents in which stretches overlap.
 
     Where all that overlaps in a document, whoever keeps it, itself included, comes to fewer words than ``passage``, it goes.
     """
     island = Window.partitionBy("doc_id", "_island")
     spans = _islands(spans, "doc_id").withColumn("_size", F.max("end").over(island) - F.min("begin").over(island))
-    spans = _islands(spans.where(F.col("_size") >= passage).drop("_island", "_size"), "doc_id", "keep_id")
-    return spans.groupBy("doc_id", "keep_id", "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
+    spans = spans.withColumn("head", F.min("node").over(island)).where(F.col("_size") >= passage).drop("_island", "_size")
+    spans = written(spans, "spans")
+    roots = written(components(spans.select(F.col("node").alias("a"), F.col("head").alias("b"))), "passages")
+    joined = _islands(spans, "doc_id", "keep_id").groupBy("doc_id", "keep_id", "_island")
+    joined = joined.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("head").alias("node")).drop("_island")
+    return joined.join(small(roots, roots.count()), "node", "left").withColumn("component", F.coalesce("root", "node")).drop("node", "root")
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
     """Passages that occur in several documents: ``doc_id, kind, begin, end, component, keep_id, kept``.
 
     ``begin`` and ``end`` count words (runs of non-white bytes, A-Z as a-z) of the text from 0, the end exclusive;
-    ``kind`` is ``paragraph`` or ``stretch``. Of a component of paragraphs the smallest doc_id keeps its passages, the
-    others can cut them. Stretches reach to the borders of the longest agreement: those not kept are shared with the
+    ``kind`` is ``paragraph`` (a line, or shorter ones joined) or ``stretch``. Of a component of paragraphs the smallest
+    doc_id keeps its passages, the others can cut them. Stretches that overlap in some document are of one component. Stretches reach to the borders of the longest agreement: those not kept are shared with the
     smaller doc_id ``keep_id``, which has each of their words in a run of ``least`` of them or more; where larger ones agree
     further, the document has a kept row as well. Rows of one document and keeper are joined where they overlap; rows of several keepers can overlap.
     Stretches that come to fewer than ``passage`` words with all that they overlap are left out. Repeats within one
     document alone do not count. Null, empty and short texts have none; rows that repeat a doc_id count as one document;
-    rows without a doc_id are left out; an empty table gives no rows; other columns are not read.
+    rows without a doc_id are left out; an empty table gives no rows; other columns are not read. A very long text is
+    read whole, by one task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     index = Bands(tuned(percent))
@@ -168,7 +201,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
     many = pieces.groupBy("node").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id <> last").drop("last")
     pieces = written(pieces.join(spread(many), "node").select("doc_id", "begin", (F.col("begin") + least).alias("end"), "keep_id", "node"), "repeated-stretches")
     joined = shared_spans(extended(docs, pieces, least, passage - least), passage)
-    joined = joined.select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", F.xxhash64("keep_id").alias("component"), "keep_id")
+    joined = joined.select("doc_id", F.lit("stretch").alias("kind"), "begin", "end", "component", "keep_id")
     return near.unionByName(joined).withColumn("kept", F.col("doc_id") == F.col("keep_id"))
 
 
