@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from timberline.operators import exact
+from timberline.functions import prep
+from timberline.operators import exact, scan
 from timberline.plans import catalog
+from timberline.sources import tables
 
 
 @pytest.mark.parametrize("folder", [SMALL, SMALL.replace("0.001", "0.01")])
@@ -18,3 +21,40 @@ def test_depth_2_bounds_are_of_25_groups_of_a_table_of_any_size(spark, folder):
     assert len(rows) == pytest.approx(n / 25, abs=5)
     want = exact.fit(rows[["f1", "f2"]].to_numpy(), rows["y"].to_numpy(), np.ones(len(rows)), 2, catalog._share(df), 0.05 * len(rows) / n)[0]
     assert found[7] == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_of_a_label_are_not_put_into_one_task(spark):
+    rows = spark.range(1000).withColumn("label", F.when(F.col("id") % 100 == 0, "b").otherwise("a"))
+    df = prep.encode(rows.repartition(8), "label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of which Spark does not know that labels are few
+    held = df.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(held) == 8 and max(r["count"] for r in held) < 250
+    assert {(r.label, r.y): r["count"] for r in df.groupBy("label", "y").count().collect()} == {("a", 1): 990, ("b", 2): 10}
+
+
+def test_many_labels_are_joined_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"{i % 7:02}" if i % 9 else None) for i in range(200)], "id int, label string")
+    want = sorted((r.id, r.y) for r in prep.encode(rows, "label").collect())
+    monkeypatch.setattr(prep, "FEW", 3)
+    assert sorted((r.id, r.y) for r in prep.encode(rows, "label").collect()) == want and len(want) == 177
+
+
+def test_tasks_of_a_layout_are_bounded_by_rows(spark, monkeypatch):
+    """Also where most rows have one value of a feature; splits stay the same."""
+    n = 6000
+    df = spark.range(n).select((F.col("id") / n).alias("f1"), F.when(F.col("id") % 50 == 0, 1.0).otherwise(0.0).alias("f2"), (F.floor(F.col("id") / 1700) % 3 + 1).cast("int").alias("y"), F.lit(1).alias("n"))
+    stats, names = scan.class_stats(df, 3)
+    want = scan.Layout(stats, ["f1", "f2"], names).facts([scan.anywhere(2)])[0]
+    for module in (tables, scan):
+        monkeypatch.setattr(module, "PART", 500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    layout = scan.Layout(stats.groupBy("f1", "f2").agg(*[F.sum(c).alias(c) for c in names]), ["f1", "f2"], names, n)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    files = layout.blocks.groupBy(F.input_file_name()).agg(F.sum("rows").alias("n")).collect()
+    assert sum(r.n for r in files) == 2 * n and max(r.n for r in files) < 1500
+    for sent in (scan.SENT, 0):  # sent to the blocks, or joined by shuffle
+        monkeypatch.setattr(scan, "SENT", sent)
+        got = layout.facts([scan.anywhere(2)])[0]
+        assert (got.value, got.feature, got.threshold, got.left.tolist(), got.sums.tolist()) == (want.value, want.feature, want.threshold, want.left.tolist(), want.sums.tolist())
