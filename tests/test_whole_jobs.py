@@ -1,12 +1,14 @@
 """Jobs whose size is fixed by the table alone, and steps whose tasks stay bounded as it grows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from timberline.functions import prep
-from timberline.operators import exact, scan
+from timberline.operators import exact, scan, tree
+from timberline.operators.tree import Tree
 from timberline.plans import catalog
 from timberline.sources import tables
 
@@ -58,3 +60,28 @@ def test_tasks_of_a_layout_are_bounded_by_rows(spark, monkeypatch):
         monkeypatch.setattr(scan, "SENT", sent)
         got = layout.facts([scan.anywhere(2)])[0]
         assert (got.value, got.feature, got.threshold, got.left.tolist(), got.sums.tolist()) == (want.value, want.feature, want.threshold, want.left.tolist(), want.sums.tolist())
+
+
+def test_scoring_many_trees_holds_few_rows_and_sends_arrays(monkeypatch):
+    random = np.random.default_rng(5)
+    trees = [Tree(2, {t: (int(random.integers(1, 3)), float(random.random())) for t in (1, 2, 3)}, {k: int(random.integers(1, 4)) for k in (4, 5, 6, 7)}) for _ in range(1000)]
+    rows = pd.DataFrame({"f1": random.random(300_000), "f2": random.random(300_000), "y": random.integers(1, 4, 300_000), "n": 1})
+    sent, held, kept = {}, [], tree.right_weights
+
+    class Table:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, work, schema):
+            sent["work"] = work
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        tree.costs(Table(), trees, ["f1", "f2"], 0.5, 0.05, "n")
+    assert not any(isinstance(c.cell_contents, list) and isinstance(c.cell_contents[0], Tree) for c in sent["work"].__closure__)
+    monkeypatch.setattr(tree, "right_weights", lambda some, x, y, n: held.append(len(y)) or kept(some, x, y, n))
+    (out,) = sent["work"](rows[low : low + 10_000] for low in range(0, len(rows), 10_000))
+    assert max(held) <= (1 << 17) + 10_000 and sum(held) == len(rows)
+    x = [rows["f1"].to_numpy(), rows["f2"].to_numpy()]
+    assert out["errors"][:20].tolist() == [int((tree.labels_on(t, x) != rows["y"].to_numpy()).sum()) for t in trees[:20]]
+    assert kept(tree.as_arrays(trees), x, rows["y"].to_numpy(), rows["n"].to_numpy()).tolist() == (len(rows) - out["errors"]).tolist()
